@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivalry.llm import packing, tokens, urls
+from rivalry.llm import archives, leaks, packing, secrets, tokens, urls
 from rivalry.llm.common import table
 
 #: Fixed rules of the url query: (host, path, verdict).
@@ -22,6 +22,14 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op4_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
@@ -34,6 +42,21 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.convert_pages(table(spark, sf_dir, "pages"), 0).drop("record_id")
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS x FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY x, payload_bytes) AS kept FROM h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM m"""
+
+
 def op8_sql() -> str:
     hit = r"regexp_matches(t, '(^|[^a-z0-9]){}([^a-z0-9]|$)')"
     strict = " + ".join(f"{hit.format(x)}::INT" for x in urls.STRICT)
@@ -55,5 +78,5 @@ SELECT page_id, host, path, split_part(r, '|', 1) AS rule,
 FROM c"""
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op7_best_fit_packing, op8_url_filter)}
-ORACLES = {"op8_url_filter": op8_sql()}
+QUERIES = {f.__name__: f for f in (op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op7_best_fit_packing, op8_url_filter, op10_arc_to_warc)}
+ORACLES = {"op8_url_filter": op8_sql(), "op10_arc_to_warc": OP10_SQL}
