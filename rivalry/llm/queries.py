@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivalry.llm import archives, leaks, packing, secrets, tokens, urls
+from rivalry.llm import archives, leaks, neardup, packing, secrets, substrings, tokens, urls
 from rivalry.llm.common import table
 
 #: Fixed rules of the url query: (host, path, verdict).
@@ -22,6 +22,10 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
+
+
 def op3_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op9_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), 35)
+
+
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.convert_pages(table(spark, sf_dir, "pages"), 0).drop("record_id")
 
@@ -78,5 +86,5 @@ SELECT page_id, host, path, split_part(r, '|', 1) AS rule,
 FROM c"""
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op7_best_fit_packing, op8_url_filter, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op2_min_max_near_dedup, op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op7_best_fit_packing, op8_url_filter, op9_de_bruijn_dedup, op10_arc_to_warc)}
 ORACLES = {"op8_url_filter": op8_sql(), "op10_arc_to_warc": OP10_SQL}
