@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -13,7 +15,8 @@ from pyspark.sql import Window as W
 
 from rivalry.llm.common import id_and_text, small_batches, written
 
-CACHE = 300_000
+#: Entries of a worker's cache of words, and of its cache of word parts.
+CACHE = 600_000
 #: Ranks within one length are dealt over so many salts, so that a frequent length isn't one task.
 SALTS = 64
 
@@ -21,41 +24,79 @@ PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, rank_lo long, rank_hi long, bin_lo long, bins long, offset long"
 
 
-class _Ids:
-    """Token ids of a text as little-endian bytes; words are looked up in a worker's cache.
+#: Words that the pre-tokeniser surely cuts into letters, marks and single line ends.
+_PLAIN = re.compile(r"[^\W\d_]+[!-&(-/:-@\[-`{-~]*(?:\n[^\W\d_]+[!-&(-/:-@\[-`{-~]*)*")
+_PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n")
+
+
+class _Whole(Exception):
+    """A word that can't be encoded apart from its text."""
+
+
+class _Ids(dict):
+    """Token ids of words that follow a space, as little-endian bytes, kept in a worker's cache.
 
     The pre-tokeniser always cuts before one space between two other characters, so the ids of a text are
-    those of its space-separated words, each with its space. Other texts go to the library whole.
+    those of its space-separated words, each with its space. Texts with other spacing or special strings go
+    to the library whole, and so do words that aren't plain.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = (b for b in range(256) if b not in plain)
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest)} | {b: b for b in plain}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def part(self, pretoken: str) -> bytes:
+        ids = self.parts.get(pretoken)
+        if ids is None:
+            chars = pretoken.encode().decode("latin-1").translate(self.alphabet)
+            own = [t.id for t in self.library.model.tokenize(chars)]
+            ids = self.parts[pretoken] = struct.pack(f"<{len(own)}I", *own)
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Whole
+        if len(self) > CACHE:
+            self.clear()
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        ids = None
+        if _PLAIN.fullmatch(word):
+            parts = _PARTS.findall(word)
+            if all(p.isalpha() or not p[0].isalnum() for p in parts):
+                ids = self.part(" " + parts[0]) + b"".join(map(self.part, parts[1:]))
+        self[word] = ids = self.encode(" " + word) if ids is None else ids
+        return ids
+
     def of(self, text: str) -> bytes:
-        words = text.split(" ")
-        if any(s in text for s in self.special):
+        first, *words = text.split(" ")
+        if any(s in text for s in self.special) or (words and (not first or first[-1].isspace())):
             return self.encode(text)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        out = []
-        for word in words[1:]:
-            ids = cache.get(word)
-            if ids is None:
-                if not word or word[0].isspace() or word[-1].isspace():
-                    return self.encode(text)
-                ids = cache[word] = self.encode(" " + word)
-            out.append(ids)
-        if len(words) > 1 and (not words[0] or words[0][-1].isspace()):
+        try:
+            return self.encode(first) + b"".join(map(self.__getitem__, words))
+        except _Whole:
             return self.encode(text)
-        return self.encode(words[0]) + b"".join(out)
+
+
+_WORKER: dict[str, _Ids] = {}
+
+
+def _ids_of(path: str):
+    """One tokenizer and cache for each Python worker, which lives on from task to task."""
+    if path not in _WORKER:
+        _WORKER[path] = _Ids(path)
+    return _WORKER[path].of
 
 
 def tokenized_pieces(
@@ -67,7 +108,7 @@ def tokenized_pieces(
     end, wide = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def cut(batches):
-        ids_of = _Ids(tokenizer_path).of
+        ids_of = _ids_of(tokenizer_path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for i, text in enumerate(batch.column(1).to_pylist()):

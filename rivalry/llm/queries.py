@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivalry.llm import archives, leaks, neardup, packing, secrets, substrings, tokens, urls
+from rivalry.llm import archives, leaks, neardup, packing, secrets, substrings, tokens, toxicity, urls
 from rivalry.llm.common import table
 
 #: Fixed rules of the url query: (host, path, verdict).
@@ -38,6 +38,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.7)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 1024, 2)
 
@@ -86,5 +90,5 @@ SELECT page_id, host, path, split_part(r, '|', 1) AS rule,
 FROM c"""
 
 
-QUERIES = {f.__name__: f for f in (op2_min_max_near_dedup, op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op7_best_fit_packing, op8_url_filter, op9_de_bruijn_dedup, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op2_min_max_near_dedup, op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op6_toxicity, op7_best_fit_packing, op8_url_filter, op9_de_bruijn_dedup, op10_arc_to_warc)}
 ORACLES = {"op8_url_filter": op8_sql(), "op10_arc_to_warc": OP10_SQL}
