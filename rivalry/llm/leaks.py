@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 #: in 13 leave at least one seed whole.
 MASKS = ((0, 3, 4, 5, 7), (0, 1, 2, 5, 7), (0, 1, 5, 7, 8))
 SPAN = 1 + max(m[-1] for m in MASKS)
+#: Offsets that all masks look at: positions whose tokens there aren't those of any seed are dropped first.
+COMMON = tuple(sorted(set(MASKS[0]).intersection(*MASKS[1:])))
 #: A leak is so many tokens in line (the whole item if it is shorter), of which at least AGREE per cent agree.
 WINDOW, AGREE = 13, 80
 #: Shorter items can't prove a leak.
@@ -28,19 +30,20 @@ def _hashes(text: Column) -> Column:
     return F.transform(tokens_of(text), lambda t: F.xxhash64(t))
 
 
-def _seeds(rows: DataFrame, block: int) -> DataFrame:
-    """rows has `w` (hashes) and `lead`: a row (at, mask, seed) for each mask and each of `block` positions after lead."""
+def _positions(rows: DataFrame, block: int) -> DataFrame:
+    """rows has `w` (hashes) and `lead`: a row (pos, c, common) for each of `block` positions after lead."""
     slices = [F.slice("w", F.col("lead") + 1 + j, block).alias(f"c{j}") for j in range(SPAN)]
     rows = rows.select("*", F.posexplode(F.arrays_zip(*slices)).alias("pos", "c"))
-    one = lambda m: F.when(
-        F.col(f"c.c{m[-1]}").isNotNull(), F.xxhash64(*[F.col(f"c.c{j}") for j in m])
-    )
-    return (
-        rows.select(*[c for c in rows.columns if c not in ("pos", "c")], "pos", *[one(m).alias(f"s{i}") for i, m in enumerate(MASKS)])
-        .select("*", F.expr(f"stack({len(MASKS)}, {', '.join(f'{i}, s{i}' for i in range(len(MASKS)))}) as (mask, seed)"))
-        .drop(*[f"s{i}" for i in range(len(MASKS))])
-        .where("seed is not null")
-    )
+    return rows.withColumn("common", F.xxhash64(*[F.col(f"c.c{j}") for j in COMMON]))
+
+
+def _seeds(positions: DataFrame) -> DataFrame:
+    """A row (mask, seed) for each mask that fits at a position."""
+    one = lambda m: F.when(F.col(f"c.c{m[-1]}").isNotNull(), F.xxhash64(*[F.col(f"c.c{j}") for j in m]))
+    rows = positions.select("*", *[one(m).alias(f"s{i}") for i, m in enumerate(MASKS)])
+    stack = ", ".join(f"{i}, s{i}" for i in range(len(MASKS)))
+    rows = rows.select("*", F.expr(f"stack({len(MASKS)}, {stack}) as (mask, seed)"))
+    return rows.drop("c", *[f"s{i}" for i in range(len(MASKS))]).where("seed is not null")
 
 
 def find_leaks(
@@ -48,8 +51,8 @@ def find_leaks(
 ) -> DataFrame:
     """One row (doc_id, item_id, window, agreeing, doc_token) for each document that holds a passage of a benchmark item.
 
-    Blocks of each document give a seed hash per mask and position; those meet the seeds of the benchmark
-    in a broadcast join (a shuffled one beyond BROADCAST_SEEDS), so that no hashes of the training side are
+    Blocks of each document give a hash of the COMMON tokens of every position, and where a seed has the
+    same, a hash per mask; both meet the seeds of the benchmark in broadcast joins (shuffled ones beyond BROADCAST_SEEDS), so that no hashes of the training side are
     shuffled. Around a hit, document and item are laid in line and the best window of WINDOW tokens (the
     whole item if shorter) must agree in AGREE per cent. agreeing is the most tokens that agree in such a
     window and doc_token the first place in the document of one with that many. Null or empty texts and
@@ -57,9 +60,8 @@ def find_leaks(
     """
     items = benchmark.select(F.col(item_id).alias("item_id"), _hashes(F.col(item_text)).alias("item"))
     items = items.where(F.size("item") >= LEAST).distinct()
-    seeds = _seeds(items.select("item_id", "item", F.col("item").alias("w"), F.lit(0).alias("lead")), 1 << 20).select(
-        "item_id", "item", F.col("pos").alias("item_at"), "mask", "seed"
-    )
+    seeds = _seeds(_positions(items.select("item_id", "item", F.col("item").alias("w"), F.lit(0).alias("lead")), 1 << 20))
+    seeds = seeds.select("item_id", "item", F.col("pos").alias("item_at"), "mask", "seed", "common")
     small = seeds.count() <= BROADCAST_SEEDS
     reach = WINDOW + SPAN
     rows = docs.select(F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("h"))
@@ -72,7 +74,9 @@ def find_leaks(
         ),
     )
     blocks = rows.where(F.size("h") >= LEAST).select("doc_id", F.inline(blocks))
-    hits = _seeds(blocks, BLOCK).join(F.broadcast(seeds) if small else seeds, ["mask", "seed"])
+    sized = F.broadcast if small else lambda x: x
+    places = _positions(blocks, BLOCK).join(sized(seeds.select("common").distinct()), "common", "left_semi")
+    hits = _seeds(places).drop("common").join(sized(seeds.drop("common")), ["mask", "seed"])
     # the item laid beside the block: token k of the item at block position shift + k
     shift = F.col("lead") + F.col("pos") - F.col("item_at")
     first = F.greatest(F.lit(0), F.col("item_at") - reach, -shift)
