@@ -1 +1,5 @@
+"""Registered queries of the contest operators."""
 
+from rivalry.plans import features
+
+REGISTRIES = [features.R]
