@@ -1,5 +1,5 @@
 """Registered queries of the contest operators."""
 
-from rivalry.plans import features
+from rivalry.plans import features, link
 
-REGISTRIES = [features.R]
+REGISTRIES = [features.R, link.R]
