@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rivalry.llm import archives, leaks, neardup, packing, secrets, substrings, tokens, toxicity, urls
+from rivalry.llm import archives, leaks, media, neardup, packing, secrets, substrings, tokens, toxicity, urls
 from rivalry.llm.common import table
 
 #: Fixed rules of the url query: (host, path, verdict).
@@ -22,6 +23,17 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what the media operator reads back; the tensors themselves aren't returned here."""
+    rows = media.decode_media(media.encode_texts(table(spark, sf_dir, "documents")), tensors=False)
+    payload, tail = F.col("payload"), F.expr("substring(payload, -16, 16)")
+    return rows.select(
+        "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        "feature", "height", "width",
+    )
+
+
 def op2_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
 
@@ -90,5 +102,5 @@ SELECT page_id, host, path, split_part(r, '|', 1) AS rule,
 FROM c"""
 
 
-QUERIES = {f.__name__: f for f in (op2_min_max_near_dedup, op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op6_toxicity, op7_best_fit_packing, op8_url_filter, op9_de_bruijn_dedup, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_min_max_near_dedup, op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op6_toxicity, op7_best_fit_packing, op8_url_filter, op9_de_bruijn_dedup, op10_arc_to_warc)}
 ORACLES = {"op8_url_filter": op8_sql(), "op10_arc_to_warc": OP10_SQL}
