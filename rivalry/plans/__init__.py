@@ -1,5 +1,5 @@
 """Registered queries of the contest operators."""
 
-from rivalry.plans import features, link
+from rivalry.plans import features, link, quality
 
-REGISTRIES = [features.R, link.R]
+REGISTRIES = [features.R, link.R, quality.R]
