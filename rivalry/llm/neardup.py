@@ -107,6 +107,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")
 
 
+def _own_counts(sets: DataFrame) -> DataFrame:
+    """sets (doc_id, set) -> rows (doc_id, own): shingles that no other of these sets holds."""
+
+    def members(batches):
+        for batch in batches:
+            for key, value in zip(batch.column(0), batch.column(1), strict=True):
+                h = np.frombuffer(value.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key.as_py(), np.int64)), pa.array(h)], ["doc_id", "shingle"])
+
+    each = sets.mapInArrow(members, "doc_id long, shingle long")
+    held = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1")
+    return held.groupBy("doc_id").agg(F.count("*").alias("own"))
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, band: int = BAND, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -144,8 +158,13 @@ def near_duplicates(
         ).where("low < high")
         if stage == "rest":
             left = rows.join(open_.select("bucket"), "bucket", "left_semi")
-            right = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-            pairs = left.withColumnRenamed("rep", "a").join(right, "bucket").where(near & F.expr("a < b and comp <> other"))
+            own = _own_counts(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+            own = own.withColumnRenamed("doc_id", "rep")
+            left = left.join(own, "rep", "left").select("bucket", "rep", "n", "comp", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
+            left = written(left.where(F.col("most") * 100 >= F.col("n") * percent), "neardup-open")
+            right = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("most").alias("its"))
+            able = F.least("most", "its") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+            pairs = left.withColumnRenamed("rep", "a").join(right, "bucket").where(near & able & F.expr("a < b and comp <> other"))
         else:
             star = open_.select("bucket", F.col(f"{stage}.rep").alias("b"), F.col(f"{stage}.n").alias("m"), F.col(f"{stage}.comp").alias("other"))
             pairs = rows.withColumnRenamed("rep", "a").join(star, "bucket").where(near & F.expr("comp <> other"))
