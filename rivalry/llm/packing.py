@@ -24,34 +24,56 @@ PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, rank_lo long, rank_hi long, bin_lo long, bins long, offset long"
 
 
-#: Words that the pre-tokeniser surely cuts into letters, marks and single line ends.
-_PLAIN = re.compile(r"[^\W\d_]+[!-&(-/:-@\[-`{-~]*(?:\n[^\W\d_]+[!-&(-/:-@\[-`{-~]*)*")
-_PARTS = re.compile(r"[^\W\d_]+|[!-&(-/:-@\[-`{-~]+|\n")
+#: Words that the pre-tokeniser surely cuts into letters and marks.
+_PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class _Whole(Exception):
     """A word that can't be encoded apart from its text."""
 
 
-class _Ids(dict):
-    """Token ids of words that follow a space, as little-endian bytes, kept in a worker's cache.
+class _Words(dict):
+    """Ids of words as little-endian bytes, each with `lead` before it, kept within CACHE entries."""
 
-    The pre-tokeniser always cuts before one space between two other characters, so the ids of a text are
-    those of its space-separated words, each with its space. Texts with other spacing or special strings go
-    to the library whole, and so do words that aren't plain.
+    def __init__(self, owner: _Ids, lead: str):
+        super().__init__()
+        self.owner, self.lead = owner, lead
+
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Whole
+        if len(self) > CACHE:
+            self.clear()
+        part, plain = self.owner.part, _PLAIN.fullmatch(word)
+        if plain and (word.isascii() or plain[1].isalpha()):
+            letters, marks = plain.groups()
+            ids = part(self.lead + letters) + (part(marks) if marks else b"")
+        else:
+            ids = self.owner.encode(self.lead + word)
+        self[word] = ids
+        return ids
+
+
+class _Ids:
+    """Token ids of a text as little-endian bytes.
+
+    The pre-tokeniser always cuts before one space between two other characters, and around line ends
+    between such, so the ids of a text are those of its words and line ends. Texts with other spacing or with
+    special strings go to the library whole, and so do words that aren't plain.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.parts: dict[str, bytes] = {}
+        self.words, self.firsts = _Words(self, " "), _Words(self, "")
         # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = (b for b in range(256) if b not in plain)
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)} | {b: b for b in plain}
+        self.line_end = self.part("\n")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -59,34 +81,34 @@ class _Ids(dict):
     def part(self, pretoken: str) -> bytes:
         ids = self.parts.get(pretoken)
         if ids is None:
+            if len(self.parts) > CACHE:
+                self.parts.clear()
             chars = pretoken.encode().decode("latin-1").translate(self.alphabet)
             own = [t.id for t in self.library.model.tokenize(chars)]
             ids = self.parts[pretoken] = struct.pack(f"<{len(own)}I", *own)
         return ids
 
-    def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Whole
-        if len(self) > CACHE:
-            self.clear()
-        if len(self.parts) > CACHE:
-            self.parts.clear()
-        ids = None
-        if _PLAIN.fullmatch(word):
-            parts = _PARTS.findall(word)
-            if all(p.isalpha() or not p[0].isalnum() for p in parts):
-                ids = self.part(" " + parts[0]) + b"".join(map(self.part, parts[1:]))
-        self[word] = ids = self.encode(" " + word) if ids is None else ids
-        return ids
-
     def of(self, text: str) -> bytes:
-        first, *words = text.split(" ")
-        if any(s in text for s in self.special) or (words and (not first or first[-1].isspace())):
+        if any(s in text for s in self.special):
             return self.encode(text)
+        out: list[bytes] = []
+        ends = -1  # line ends before the line
         try:
-            return self.encode(first) + b"".join(map(self.__getitem__, words))
+            for line in text.split("\n"):
+                ends += 1
+                if not line:
+                    continue
+                if ends:  # of a run of line ends before a character the last one stands alone
+                    out += [self.part("\n" * (ends - 1)), self.line_end] if ends > 1 else [self.line_end]
+                    ends = 0
+                first, *words = line.split(" ")
+                out.append(self.firsts[first])
+                out += map(self.words.__getitem__, words)
         except _Whole:
             return self.encode(text)
+        if ends > 0:
+            out.append(self.part("\n" * ends))
+        return b"".join(out)
 
 
 _WORKER: dict[str, _Ids] = {}
