@@ -1,5 +1,5 @@
 """Registered queries of the contest operators."""
 
-from rivalry.plans import features, link, quality
+from rivalry.plans import features, link, quality, scoring
 
-REGISTRIES = [features.R, link.R, quality.R]
+REGISTRIES = [features.R, link.R, quality.R, scoring.R]
