@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -44,9 +45,9 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = (term, w)
         # one edit leaves the first or the second half of a term whole
-        self.starts = {t[:2] for t in self.terms if len(t) >= 5}
-        self.ends = {t[-2:] for t in self.terms if len(t) >= 5}
-        self.known: dict[str, tuple[int, float] | None] = {}
+        long = [t for t in self.terms if len(t) >= 5]
+        self.halves = {(len(t), t[: len(t) // 2]) for t in long} | {(len(t), "-" + t[len(t) // 2 :]) for t in long}
+        self.known = _Known(self)
 
     def fuzzy(self, word: str, edits: int = 1) -> float:
         """The largest weight of a term of five letters or more within `edits` of word, or 0.
@@ -71,25 +72,23 @@ class Lexicon:
                     todo.append((child, tuple(new)))
         return best
 
+    def near(self, word: str) -> bool:
+        """Whether word has half of a term of about its length."""
+        for n in (len(word) - 1, len(word), len(word) + 1):
+            if (n, word[: n // 2]) in self.halves or (n, "-" + word[n // 2 - n :]) in self.halves:
+                return True
+        return False
+
     def hit(self, word: str) -> tuple[int, float] | None:
         """(0 term, 1 stem, 2 misspelled; weight) of a lower-case word, or None."""
-        try:
-            return self.known[word]
-        except KeyError:
-            pass
-        out = None
         if word in self.terms:
-            out = (0, self.terms[word])
-        else:
-            stem = max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) > n), default=0.0)
-            if stem:
-                out = (1, stem)
-            elif 4 <= len(word) <= 24 and (word[:2] in self.starts or word[-2:] in self.ends) and (w := self.fuzzy(word)):
-                out = (2, w)
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        self.known[word] = out
-        return out
+            return 0, self.terms[word]
+        stem = max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) > n), default=0.0)
+        if stem:
+            return 1, stem
+        if len(word) >= 4 and self.near(word) and (w := self.fuzzy(word)):
+            return 2, w
+        return None
 
     def features(self, text: str) -> list[float]:
         """Sums of weights: terms, stems, misspelled terms, quoted hits, addressed hits; and hits for 100 words."""
@@ -97,7 +96,8 @@ class Lexicon:
         words = _WORD.findall(low)
         sums = [0.0] * 5
         hits = 0
-        known = {w: h for w in set(words) if (h := self.hit(w))}
+        own = list(set(words))
+        known = {w: h for w, h in zip(own, map(self.known.__getitem__, own), strict=True) if h}
         if known:
             spots = list(_WORD.finditer(low))
             for i, m in enumerate(spots):
@@ -118,7 +118,30 @@ class Lexicon:
         return [math.log1p(x) for x in sums] + [math.log1p(100 * hits / max(1, len(words)))]
 
 
+class _Known(dict):
+    """Hits of words that a worker has met, within CACHE entries."""
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> tuple[int, float] | None:
+        if len(self) >= CACHE:
+            self.clear()
+        hit = self[word] = self.lexicon.hit(word)
+        return hit
+
+
 FEATURES = 6
+#: The last lexicon of a Python worker, which lives on from task to task.
+_WORKER: dict[str, Lexicon] = {}
+
+
+def _lexicon(name: str, weights: dict[str, float]) -> Lexicon:
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = Lexicon(weights)
+    return _WORKER[name]
 
 
 def _held_out(doc_id: Column) -> Column:
@@ -184,10 +207,10 @@ def score_toxicity(
     docs = id_and_text(docs, id_col, text_col)
     sample = written(labelled_sample(docs, labels, train_rows), "toxic-sample")
     weights = learn_lexicon(sample)
-    lexicon = spark.sparkContext.broadcast(weights)
+    lexicon, name = spark.sparkContext.broadcast(weights), uuid.uuid4().hex
 
     def featured(batches):
-        lex = Lexicon(lexicon.value)
+        lex = _lexicon(name, lexicon.value)
         for batch in batches:
             values = [lex.features(t) for t in batch.column("text").to_pylist()]
             kept = [batch.column(c) for c in batch.schema.names if c != "text"]
