@@ -1,5 +1,5 @@
 """Registered queries of the contest operators."""
 
-from rivalry.plans import features, link, quality, scoring
+from rivalry.plans import features, link, models, quality, scoring
 
-REGISTRIES = [features.R, link.R, quality.R, scoring.R]
+REGISTRIES = [features.R, link.R, quality.R, scoring.R, models.R]

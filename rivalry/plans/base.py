@@ -89,6 +89,8 @@ def ctes(sql: str) -> str:
     if not heads:
         return body
     rest = body.lstrip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(heads) + ",\n" + rest[len("WITH RECURSIVE ") :]
     if rest[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(heads) + ",\n" + rest[5:]
     return "WITH " + ",\n".join(heads) + "\n" + rest
