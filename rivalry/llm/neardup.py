@@ -149,25 +149,29 @@ def near_duplicates(
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "neardup-sets")
     member = buckets.select("rep").distinct().withColumn("comp", F.col("rep"))
-    links, tried = None, None
-    for stage in ("first", "last", "rest"):
+    links, tried, own = None, None, None
+    for stage in ("first", "best", "rest"):
         rows = buckets.join(member, "rep") if links is not None else buckets.withColumn("comp", F.col("rep"))
-        open_ = rows.groupBy("bucket").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.struct("rep", "n", "comp")).alias("first"),
-            F.max(F.struct("rep", "n", "comp")).alias("last"),
-        ).where("low < high")
+        rows = rows.withColumn("most", F.col("n"))
+        if stage != "first":
+            open_ = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+            rows = rows.drop("most").join(open_.select("bucket"), "bucket", "left_semi")
+            if own is None:
+                own = _own_counts(sets.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+                own = written(own.withColumnRenamed("doc_id", "rep"), "neardup-own")
+            rows = rows.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+            rows = written(rows.where(F.col("most") * 100 >= F.col("n") * percent), "neardup-open")
+        able = F.least("most", "its") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+        other = {"rep": "b", "n": "m", "comp": "other", "most": "its"}
         if stage == "rest":
-            left = rows.join(open_.select("bucket"), "bucket", "left_semi")
-            own = _own_counts(sets.join(left.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-            own = own.withColumnRenamed("doc_id", "rep")
-            left = left.join(own, "rep", "left").select("bucket", "rep", "n", "comp", (F.col("n") - F.coalesce("own", F.lit(0))).alias("most"))
-            left = written(left.where(F.col("most") * 100 >= F.col("n") * percent), "neardup-open")
-            right = left.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"), F.col("most").alias("its"))
-            able = F.least("most", "its") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-            pairs = left.withColumnRenamed("rep", "a").join(right, "bucket").where(near & able & F.expr("a < b and comp <> other"))
+            right = rows.withColumnsRenamed(other)
+            pairs = rows.withColumnRenamed("rep", "a").join(right, "bucket").where(near & able & F.expr("a < b and comp <> other"))
         else:
-            star = open_.select("bucket", F.col(f"{stage}.rep").alias("b"), F.col(f"{stage}.n").alias("m"), F.col(f"{stage}.comp").alias("other"))
-            pairs = rows.withColumnRenamed("rep", "a").join(star, "bucket").where(near & F.expr("comp <> other"))
+            # the smallest of a bucket, then the one with the smallest share of shingles of its own
+            at = F.lit(0.0) if stage == "first" else -F.col("most") / F.col("n")
+            star = rows.groupBy("bucket").agg(F.min(F.struct(at, "rep", "n", "comp", "most")).alias("s"))
+            star = star.select("bucket", *[F.col(f"s.{k}").alias(v) for k, v in other.items()])
+            pairs = rows.withColumnRenamed("rep", "a").join(star, "bucket").where(near & able & F.expr("comp <> other"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.select("a", "b").distinct()
         if tried is not None:
