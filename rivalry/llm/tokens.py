@@ -14,7 +14,7 @@ from rivalry.llm.common import id_and_text, small_batches
 FREQUENT = 50_000
 PER_TASK = 20_000
 #: A worker forgets its rare pre-tokens beyond this many.
-CACHE = 500_000
+CACHE = 300_000
 
 
 def _processor(model_path: str):

@@ -22,7 +22,7 @@ TERMS = 2000
 STEM_LENGTHS = (4, 5, 6)
 #: Words beside a hit that tell quotation or address.
 WINDOW = 6
-CACHE = 400_000
+CACHE = 200_000
 
 # Words that report speech, and words that address somebody.
 REPORTING = frozenset("said says called wrote word words term quote quoted dit mot dijo palabra sagte wort".split())
