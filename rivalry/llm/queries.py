@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rivalry.llm import archives, leaks, media, neardup, packing, secrets, substrings, tokens, toxicity, urls
 from rivalry.llm.common import table
+from rivalry.llm.oracles import leaks_sql, near_duplicates_sql, repeats_sql, secrets_sql
 
 #: Fixed rules of the url query: (host, path, verdict).
 RULES = (
@@ -103,4 +104,11 @@ FROM c"""
 
 
 QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_min_max_near_dedup, op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op6_toxicity, op7_best_fit_packing, op8_url_filter, op9_de_bruijn_dedup, op10_arc_to_warc)}
-ORACLES = {"op8_url_filter": op8_sql(), "op10_arc_to_warc": OP10_SQL}
+ORACLES = {
+    "op2_min_max_near_dedup": near_duplicates_sql(),
+    "op3_secret_linking": secrets_sql(),
+    "op4_spaced_seed_leaks": leaks_sql(),
+    "op8_url_filter": op8_sql(),
+    "op9_de_bruijn_dedup": repeats_sql(),
+    "op10_arc_to_warc": OP10_SQL,
+}
