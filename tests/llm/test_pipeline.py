@@ -9,7 +9,7 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def test_stages(spark, tmp_path):
     rng = random.Random(2)
-    free = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    free = lambda n: " ".join("".join(rng.choices("bcdfgaeiou", k=7)) for _ in range(n))
     item = free(40)
     texts = {i: free(60) for i in range(300)}
     labels = []
