@@ -14,7 +14,7 @@ from rivalry.core.asof import ID, appearances, by_id
 from rivalry.operators.link import membership
 
 #: Columns of a configuration, with the values that a missing one has.
-CONFIG = {"config": "base", "k": 20.0, "home_adv": 0.0, "early_k": None, "early_games": 5, "pull": 0.0, "reset": "none", "prior": None}
+CONFIG = {"config": "base", "k": 20.0, "home_adv": 0.0, "early_k": None, "early_games": 5, "pull": 0.0, "reset": "none", "offset": False}
 START = 1500.0
 OUT = "pool string, config string, contest_id long, home_rating double, away_rating double"
 
@@ -35,11 +35,15 @@ def _new_season(ratings: dict, season: int, last: int, row: dict, events: Mappin
         keep = (1.0 - row["pull"]) ** (season - last)
         for e in ratings:
             ratings[e] = START + (ratings[e] - START) * keep
-    for e, (status, offset) in events.get(season, {}).items():
+    now = events.get(season, {})
+    if row["offset"]:
+        up, down = ([e for e, (_, move) in now.items() if move == m and e in ratings] for m in ("promoted", "relegated"))
+        offset = promotion_offset([ratings[e] for e in down], [ratings[e] for e in up])
+        for e in up:
+            ratings[e] += offset
+    for e, (status, _) in now.items():
         if status in ("returning", "first_time") and row["reset"] in (status, "both"):
             ratings[e] = START
-        elif offset and e in ratings:
-            ratings[e] += offset
 
 
 def replay(
@@ -57,7 +61,8 @@ def replay(
     contests of a date read the state of the date before. Rows with a null result are targets: they are rated
     but change nothing. Optional columns: k_row and adv_row override a configuration's k and home_adv;
     prior_home and prior_away start an entity's rating. One giant pool is one task: use daily state
-    (rivalry.streaming) there. events: season -> entity -> (status, offset) at the season's start.
+    (rivalry.streaming) there. events: season -> entity -> (status, move), see season_events; with offset, those
+    promoted get the mean rating of the relegated less their own mean at the season's start.
     """
     spark = contests.sparkSession
     rows = [{**CONFIG, **c} for c in configs]
@@ -96,7 +101,7 @@ def replay(
                     flush(out)
                     day = r["d"]
                 c = settings[r["config"]]
-                r |= {"pull": c["pull"], "reset": c["reset"]}
+                r |= {"pull": c["pull"], "reset": c["reset"], "offset": c["offset"]}
                 if last is not None and r["season"] > last:
                     _new_season(ratings, r["season"], last, r, events)
                 last = r["season"]
@@ -145,19 +150,25 @@ def grid(ks: Sequence[float], advantages: Sequence[float]) -> list[dict]:
     return [{"config": f"k{k:g}a{a:g}", "k": float(k), "home_adv": float(a)} for k in ks for a in advantages]
 
 
-def season_events(contests: DataFrame, top: str, offset: float = 0.0) -> dict:
-    """Season boundary events of competition `top`: entities that are new or return, and the offset of new ones.
+def season_events(contests: DataFrame, top: str) -> dict:
+    """season -> entity -> (status, move) for competition `top`.
 
-    Only arrivals reach the driver: one row per entity and season in which it is new. offset is added to them.
+    status: first_time or returning for entities that weren't in it the season before, else empty. move: promoted
+    if they were in another one then; relegated for those that left it. Only arrivals and leavers reach the
+    driver, a few rows per season.
     """
-    m = membership(contests).where(F.col("competition") == top)
-    first = m.groupBy("e").agg(F.min("season").alias("first"))
-    stay = m.select((F.col("season") + 1).alias("season"), "e").withColumn("stay", F.lit(True))
-    rows = m.join(first, "e").join(stay, ["season", "e"], "left").where("stay is null").collect()
+    m = membership(contests)
+    mine, other = m.where(F.col("competition") == top), m.where(F.col("competition") != top)
+    first = mine.groupBy("e").agg(F.min("season").alias("first"))
+    later = lambda df: df.select((F.col("season") + 1).alias("season"), "e").distinct()
+    came = mine.select("season", "e").join(later(mine), ["season", "e"], "left_anti").join(first, "e")
+    came = came.join(later(other).withColumn("up", F.lit(True)), ["season", "e"], "left")
+    status = F.when(F.col("first") == F.col("season"), "first_time").otherwise("returning")
+    came = came.select("season", "e", status.alias("status"), F.when(F.col("up"), "promoted").otherwise("").alias("move"))
+    left = later(mine).join(mine.select("season", "e"), ["season", "e"], "left_anti").select("season", "e", F.lit("").alias("status"), F.lit("relegated").alias("move"))
     out: dict = {}
-    for r in rows:
-        status = "first_time" if r["first"] == r.season else "returning"
-        out.setdefault(r.season, {})[r.e] = (status, float(offset))
+    for r in came.union(left).collect():
+        out.setdefault(r.season, {})[r.e] = (r.status, r.move)
     return out
 
 

@@ -44,10 +44,17 @@ R.add(
 R.add("elo_grid", lambda v: RA.replay(strict(v), RA.grid([10, 20, 40], [0, 50, 100])))
 R.add("elo_per_competition_advantage", lambda v: RA.replay(strict(v).withColumn("adv_row", F.when(F.col("competition") == "BUILDING", 0.0).otherwise(175.0))))
 R.add("elo_initial_prior", lambda v: RA.replay(strict(v).withColumns({f"prior_{s}": F.when(F.col(s) % 5 == 0, 1400.0).otherwise(1500.0) for s in ("home", "away")})))
-sparse = lambda v: strict(v).where("(home + season) % 3 <> 0")
-R.add("elo_promotion_offset", lambda v: RA.replay(sparse(v).where("competition = 'BUILDING'"), [{"config": "offset"}], events=RA.season_events(sparse(v), "BUILDING", RA.promotion_offset([1480.0, 1460.0], [1500.0, 1500.0]))))
-R.add("elo_returning_hybrid", lambda v: RA.replay(sparse(v).where("competition = 'BUILDING'"), [{"config": "hybrid", "reset": "first_time"}], events=RA.season_events(sparse(v), "BUILDING")))
-R.add("elo_returning_reset", lambda v: RA.replay(sparse(v).where("competition = 'BUILDING'"), [{"config": "reset", "reset": "returning"}], events=RA.season_events(sparse(v), "BUILDING")))
+two_tier = lambda v: strict(v).withColumn("competition", F.when((F.col("home") + F.col("season")) % 3 == 0, "TOP").otherwise("LOW"))
+moves = lambda v: RA.season_events(two_tier(v).where("contest_id % 16 = 0"), "TOP")
+
+
+def boundary(config):
+    return lambda v: RA.replay(two_tier(v).withColumn("pool", F.lit("all")), [config], pool="pool", events=moves(v))
+
+
+R.add("elo_promotion_offset", boundary({"config": "offset", "offset": True}))
+R.add("elo_returning_hybrid", boundary({"config": "hybrid", "reset": "first_time"}))
+R.add("elo_returning_reset", boundary({"config": "reset", "reset": "returning"}))
 R.add("elo_season_regression", lambda v: RA.replay(strict(v), [{"config": "pull", "pull": 0.25}]))
 R.add("elo_early_k", lambda v: RA.replay(RA.with_ordinals(strict(v)), [{"config": "early", "k": 30.0, "early_k": 45.0}]))
 R.add("live_dual_replay", lambda v: RA.replay(RA.with_ordinals(strict(v)), [{"config": "a", "k": 30.0}, {"config": "b", "k": 30.0, "early_k": 45.0}], final=True))

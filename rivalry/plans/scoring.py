@@ -49,6 +49,10 @@ R.add(
     f"SELECT {edge('p_draw', (0, 0.1, 0.2, 0.3, 0.4, 1))} AS bin, count(*) AS n, avg(p_draw) AS mean_p, avg((result = 1)::INT) AS frequency FROM {{predictions}} GROUP BY 1", ["mean_p", "frequency"],
 )
 R.add("draw_table", lambda v: O.draw_table(scored(v)), f"WITH {sc()} SELECT result = 1 AS drawn, count(*) AS n, avg(p_draw) AS mean_draw, avg(nll) AS log_loss, count(CASE WHEN predicted = 1 THEN 1 END) AS predicted_draws FROM s GROUP BY 1", ["mean_draw", "log_loss"])
+R.add(
+    "draw_diagnostic", lambda v: O.draw_table(scored(v)).select("drawn", "n", "predicted_draws"),
+    f"WITH {sc()} SELECT result = 1 AS drawn, count(*) AS n, count(CASE WHEN predicted = 1 THEN 1 END) AS predicted_draws FROM s GROUP BY 1",
+)
 R.add("near_even_metrics", lambda v: O.near_even_metrics(scored(v)), f"WITH {sc()} SELECT {MET} FROM s WHERE abs(p_home - p_away) < 0.05", M)
 R.add(
     "confidence_bins", lambda v: O.confidence_bins(scored(v)),

@@ -107,6 +107,20 @@ def test_season_regression_pulls_once_for_each_year(spark):
     assert math.isclose(got[2]["home_rating"], 1500 + 10 * 0.75**2)
 
 
+def test_promoted_entities_get_the_offset(spark):
+    rows = [
+        contest(1, 0, 1, 2, 1, 0, 2020, competition="TOP"), contest(2, 1, 3, 4, 1, 0, 2020, competition="LOW"),
+        contest(3, 400, 1, 3, 1, 1, 2021, competition="TOP"), contest(4, 401, 2, 4, 1, 1, 2021, competition="LOW"),
+    ]
+    k = frame(spark, rows)
+    events = RA.season_events(k, "TOP")
+    assert events[2021] == {3: ("first_time", "promoted"), 2: ("", "relegated")}
+    got = by_id(RA.replay(k.withColumn("pool", F.lit("all")), [{"offset": True}], pool="pool", events=events))
+    assert got[3]["away_rating"] == 1490.0 and got[3]["home_rating"] == 1510.0
+    fresh = by_id(RA.replay(k.withColumn("pool", F.lit("all")), [{"reset": "first_time"}], pool="pool", events=events))
+    assert fresh[3]["away_rating"] == 1500.0
+
+
 def test_targets_may_not_carry_outcomes(spark):
     with pytest.raises(ValueError):
         forbid(frame(spark, league()), ["result"])
