@@ -15,6 +15,8 @@ PERMUTATIONS = 64
 #: Values of a band: BAND / 2 minima and as many maxima. 32 bands of 4: a pair at similarity 0.8 is missed
 #: with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8, one at 0.9 with 1e-15.
 BAND = 4
+#: Hash groups of the profiles that bound what two sets can share.
+GROUPS = 64
 _RNG = np.random.default_rng(7)
 _MULTIPLY = _RNG.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, 4096, dtype=np.uint64)
@@ -107,8 +109,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")
 
 
-def _own_counts(sets: DataFrame) -> DataFrame:
-    """sets (doc_id, set) -> rows (doc_id, own): shingles that no other of these sets holds."""
+def _profiles(sets: DataFrame) -> DataFrame:
+    """sets (doc_id, set) -> rows (doc_id, profile): how many shingles that others of these sets hold too fall in each of GROUPS hash groups."""
 
     def members(batches):
         for batch in batches:
@@ -116,9 +118,20 @@ def _own_counts(sets: DataFrame) -> DataFrame:
                 h = np.frombuffer(value.as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key.as_py(), np.int64)), pa.array(h)], ["doc_id", "shingle"])
 
+    def count(batches):
+        for batch in batches:
+            out = []
+            for value, own in zip(batch.column("set").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                h = np.frombuffer(value, np.int64)
+                if own:
+                    h = h[~np.isin(h, np.array(own, np.int64))]
+                out.append(np.bincount((h.view(np.uint64) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "profile"])
+
     each = sets.mapInArrow(members, "doc_id long, shingle long")
     held = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1")
-    return held.groupBy("doc_id").agg(F.count("*").alias("own"))
+    own = held.groupBy("doc_id").agg(F.collect_list("shingle").alias("own"))
+    return sets.join(own, "doc_id", "left").select("doc_id", "set", "own").mapInArrow(count, "doc_id long, profile array<int>")
 
 
 def near_duplicates(
@@ -152,26 +165,29 @@ def near_duplicates(
     links, tried, own = None, None, None
     for stage in ("first", "best", "rest"):
         rows = buckets.join(member, "rep") if links is not None else buckets.withColumn("comp", F.col("rep"))
-        rows = rows.withColumn("most", F.col("n"))
+        able = F.lit(True)
+        other = {"rep": "b", "n": "m", "comp": "other"}
         if stage != "first":
             open_ = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-            rows = rows.drop("most").join(open_.select("bucket"), "bucket", "left_semi")
+            rows = rows.join(open_.select("bucket"), "bucket", "left_semi")
             if own is None:
-                own = _own_counts(sets.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-                own = written(own.withColumnRenamed("doc_id", "rep"), "neardup-own")
-            rows = rows.join(own, "rep", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-            rows = written(rows.where(F.col("most") * 100 >= F.col("n") * percent), "neardup-open")
-        able = F.least("most", "its") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-        other = {"rep": "b", "n": "m", "comp": "other", "most": "its"}
+                own = _profiles(sets.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+                own = own.withColumn("most", F.aggregate("profile", F.lit(0), lambda a, x: a + x))
+                own = written(own.withColumnRenamed("doc_id", "rep"), "neardup-profiles")
+            rows = written(rows.join(own, "rep").where(F.col("most") * 100 >= F.col("n") * percent), "neardup-open")
+            enough = lambda x: x * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+            common = F.aggregate(F.zip_with("profile", "its_profile", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
+            able = enough(F.least("most", "its")) & enough(common)
+            other |= {"most": "its", "profile": "its_profile"}
         if stage == "rest":
             right = rows.withColumnsRenamed(other)
-            pairs = rows.withColumnRenamed("rep", "a").join(right, "bucket").where(near & able & F.expr("a < b and comp <> other"))
+            pairs = rows.withColumnRenamed("rep", "a").join(right, "bucket").where(F.expr("a < b and comp <> other") & near & able)
         else:
             # the smallest of a bucket, then the one with the smallest share of shingles of its own
             at = F.lit(0.0) if stage == "first" else -F.col("most") / F.col("n")
-            star = rows.groupBy("bucket").agg(F.min(F.struct(at, "rep", "n", "comp", "most")).alias("s"))
+            star = rows.groupBy("bucket").agg(F.min(F.struct(at, *other)).alias("s"))
             star = star.select("bucket", *[F.col(f"s.{k}").alias(v) for k, v in other.items()])
-            pairs = rows.withColumnRenamed("rep", "a").join(star, "bucket").where(near & able & F.expr("comp <> other"))
+            pairs = rows.withColumnRenamed("rep", "a").join(star, "bucket").where(F.expr("comp <> other") & near & able)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.select("a", "b").distinct()
         if tried is not None:
