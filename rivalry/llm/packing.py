@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from rivalry.llm.common import id_and_text, small_batches, written
 
 #: Entries of a worker's cache of words, and of its cache of word parts.
-CACHE = 400_000
+CACHE = 250_000
 #: Ranks within one length are dealt over so many salts, so that a frequent length isn't one task.
 SALTS = 64
 
