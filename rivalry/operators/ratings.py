@@ -151,13 +151,17 @@ def grid(ks: Sequence[float], advantages: Sequence[float]) -> list[dict]:
 
 
 def season_events(contests: DataFrame, top: str) -> dict:
-    """season -> entity -> (status, move) for competition `top`.
+    """membership_events of the competitions that the contests are played in."""
+    return membership_events(membership(contests), top)
+
+
+def membership_events(m: DataFrame, top: str) -> dict:
+    """season -> entity -> (status, move) for competition `top`; m: distinct (competition, season, e).
 
     status: first_time or returning for entities that weren't in it the season before, else empty. move: promoted
     if they were in another one then; relegated for those that left it. Only arrivals and leavers reach the
-    driver, a few rows per season.
+    driver: at most one row for each entity and season.
     """
-    m = membership(contests)
     mine, other = m.where(F.col("competition") == top), m.where(F.col("competition") != top)
     first = mine.groupBy("e").agg(F.min("season").alias("first"))
     later = lambda df: df.select((F.col("season") + 1).alias("season"), "e").distinct()

@@ -44,12 +44,13 @@ R.add(
 R.add("elo_grid", lambda v: RA.replay(strict(v), RA.grid([10, 20, 40], [0, 50, 100])))
 R.add("elo_per_competition_advantage", lambda v: RA.replay(strict(v).withColumn("adv_row", F.when(F.col("competition") == "BUILDING", 0.0).otherwise(175.0))))
 R.add("elo_initial_prior", lambda v: RA.replay(strict(v).withColumns({f"prior_{s}": F.when(F.col(s) % 5 == 0, 1400.0).otherwise(1500.0) for s in ("home", "away")})))
-two_tier = lambda v: strict(v).withColumn("competition", F.when((F.col("home") + F.col("season")) % 3 == 0, "TOP").otherwise("LOW"))
-moves = lambda v: RA.season_events(two_tier(v).where("contest_id % 16 = 0"), "TOP")
+tier = lambda e: F.when((F.col(e) + F.col("season")) % 3 == 0, "TOP").otherwise("LOW")
+tiers = lambda v: v("appearances").select(tier("e").alias("competition"), "season", "e").distinct()
+moves = lambda v: RA.membership_events(tiers(v), "TOP")
 
 
 def boundary(config):
-    return lambda v: RA.replay(two_tier(v).withColumn("pool", F.lit("all")), [config], pool="pool", events=moves(v))
+    return lambda v: RA.replay(strict(v).withColumn("pool", F.lit("all")), [config], pool="pool", events=moves(v))
 
 
 R.add("elo_promotion_offset", boundary({"config": "offset", "offset": True}))
