@@ -81,14 +81,14 @@ class Logit:
 class MultilayerPerceptron(Logit):
     """A small perceptron on the same standardised features."""
 
-    def __init__(self, features: Sequence[str], hidden: int = 8, seed: int = 7):
+    def __init__(self, features: Sequence[str], hidden: int = 8, seed: int = 7, steps: int = 50):
         super().__init__(features)
-        self.hidden, self.seed = hidden, seed
+        self.hidden, self.seed, self.steps = hidden, seed, steps
 
     def fit(self, train: DataFrame) -> MultilayerPerceptron:
         rows = _vector(train.withColumn("label", F.col("result").cast("double")), self.features, "raw")
         self.scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(rows)
-        net = MultilayerPerceptronClassifier(featuresCol="x", layers=[len(self.features), self.hidden, 3], maxIter=50, seed=self.seed)
+        net = MultilayerPerceptronClassifier(featuresCol="x", layers=[len(self.features), self.hidden, 3], maxIter=self.steps, seed=self.seed)
         self.model = net.fit(self.scaler.transform(rows))
         return self
 

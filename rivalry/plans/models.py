@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.operators import assembly as A
@@ -41,7 +44,7 @@ R.add(
     f"WITH {elo_sql()}, f AS (SELECT pool, e, r FROM st WHERE n = (SELECT max(n) FROM st)), p AS (SELECT DISTINCT c_mktsegment AS pool FROM {{customer}}) SELECT p.pool, s_suppkey AS e, coalesce(r, 1500) AS rating FROM {{supplier}} CROSS JOIN p LEFT JOIN f ON f.pool = p.pool AND f.e = s_suppkey",
     ["rating"],
 )
-R.add("elo_grid", lambda v: RA.replay(strict(v), RA.grid([10, 20, 40], [0, 50, 100])))
+R.add("elo_grid", lambda v: RA.replay(strict(v), RA.grid([10, 15, 20, 30, 40], range(0, 201, 25))))
 R.add("elo_per_competition_advantage", lambda v: RA.replay(strict(v).withColumn("adv_row", F.when(F.col("competition") == "BUILDING", 0.0).otherwise(175.0))))
 R.add("elo_initial_prior", lambda v: RA.replay(strict(v).withColumns({f"prior_{s}": F.when(F.col(s) % 5 == 0, 1400.0).otherwise(1500.0) for s in ("home", "away")})))
 tier = lambda e: F.when((F.col(e) + F.col("season")) % 3 == 0, "TOP").otherwise("LOW")
@@ -127,24 +130,37 @@ CAST(CAST(round(away_xg_for * 10000) AS BIGINT) AS VARCHAR), CAST(CAST(round(awa
 )
 
 # ---- models
-FOLDS = (1997, 1998)
+
+
+def folds(v) -> list[int]:
+    """Every season that has an earlier one."""
+    return sorted(r.season for r in v("contests").select("season").distinct().collect())[1:]
+
+
+def each_fold(v, rows, predict):
+    """The union of predict(earlier seasons' rows, the season's rows) over all folds."""
+    return reduce(DataFrame.unionByName, [predict(rows.where(F.col("season") < y), rows.where(F.col("season") == y)) for y in folds(v)])
+
+
 feats = lambda v: v("contests").join(FE.form_lastn(v("contests")), ID).withColumns({"pd": (F.col("home_points") - F.col("away_points")).cast("double"), "gd": (F.col("home_gf_sum") - F.col("away_gf_sum")).cast("double"), "hd": (F.col("home") - F.col("away")).cast("double")}).select(ID, "season", "d", "home", "away", "result", "pd", "gd", "hd")
 R.add("baseline_uniform", lambda v: M.baseline_uniform(v("contests")).select(ID, *M.P), "SELECT contest_id, 1.0::DOUBLE / 3 AS p_away, 1.0::DOUBLE / 3 AS p_draw, 1.0::DOUBLE / 3 AS p_home FROM {contests}", M.P)
 R.add(
     "baseline_prior", lambda v: M.baseline_prior(v("contests").where("season < 1997"), v("contests").where("season >= 1997").select(ID)),
     "WITH t AS (SELECT avg((result = 0)::INT) AS p_away, avg((result = 1)::INT) AS p_draw, avg((result = 2)::INT) AS p_home FROM {contests} WHERE season < 1997) SELECT contest_id, t.* FROM {contests} CROSS JOIN t WHERE season >= 1997", M.P,
 )
-R.add("logit_multinomial", lambda v: M.rolling_predict(feats(v), M.Logit(["hd"]), FOLDS[:1]).select(ID, *M.P), None, M.P)
-R.add("feature_set_ablation", lambda v: M.candidate_evaluation(feats(v), {"form": M.Logit(["pd", "gd"]), "all": M.Logit(["pd", "gd", "hd"])}, FOLDS[:1]), None, SC.METRICS)
-R.add("param_tuning", lambda v: M.candidate_evaluation(feats(v), {f"c{c}": M.Logit(["pd", "gd"], c) for c in (0.1, 10.0)}, FOLDS[:1]), None, SC.METRICS)
-R.add("rolling_compare", lambda v: M.rolling_compare(feats(v), M.Logit(["hd"]), M.Logit(["hd", "pd"]), FOLDS), None, [f"{m}_delta" for m in SC.METRICS])
-R.add("competition_rating_compare", lambda v: M.rolling_compare(feats(v).join(RA.replay(v("contests")).select(ID, "rating_diff"), ID), M.Logit(["hd"]), M.Logit(["rating_diff"]), FOLDS[:1]), None, [f"{m}_delta" for m in SC.METRICS])
-R.add("family_evaluation", lambda v: M.family_evaluation(feats(v).withColumn("ok", F.col(ID) % 3 != 0), M.Logit(["hd"]), M.Logit(["pd"]), "ok", FOLDS[:1]), None, SC.METRICS)
-R.add("candidate_evaluation", lambda v: M.candidate_evaluation(feats(v), {"a": M.Logit(["hd"]), "b": M.Logit(["pd"])}, FOLDS[:1]), None, SC.METRICS)
+R.add("logit_multinomial", lambda v: M.rolling_predict(feats(v), M.Logit(["hd"]), folds(v)).select(ID, *M.P), None, M.P)
+R.add("feature_set_ablation", lambda v: M.candidate_evaluation(feats(v), {"form": M.Logit(["pd", "gd"]), "all": M.Logit(["pd", "gd", "hd"])}, folds(v)), None, SC.METRICS)
+R.add("param_tuning", lambda v: M.candidate_evaluation(feats(v), {f"c{c}": M.Logit(["pd", "gd"], c) for c in (0.1, 0.3, 1.0, 3.0, 10.0)}, folds(v)), None, SC.METRICS)
+R.add("rolling_compare", lambda v: M.rolling_compare(feats(v), M.Logit(["hd"]), M.Logit(["hd", "pd"]), folds(v)), None, [f"{m}_delta" for m in SC.METRICS])
+R.add("competition_rating_compare", lambda v: M.rolling_compare(feats(v).join(RA.replay(v("contests")).select(ID, "rating_diff"), ID), M.Logit(["hd"]), M.Logit(["rating_diff"]), folds(v)), None, [f"{m}_delta" for m in SC.METRICS])
+R.add("family_evaluation", lambda v: M.family_evaluation(feats(v).withColumn("ok", F.col(ID) % 3 != 0), M.Logit(["hd"]), M.Logit(["pd"]), "ok", folds(v)), None, SC.METRICS)
+R.add("candidate_evaluation", lambda v: M.candidate_evaluation(feats(v), {"a": M.Logit(["hd"]), "b": M.Logit(["pd"])}, folds(v)), None, SC.METRICS)
 obs = lambda v: M.goal_observations(v("contests"))
-R.add("poisson_goals", lambda v: M.poisson_goals(obs(v).where("season < 1997"), obs(v).where("season = 1997").select(ID, "side", "e", "opp", "at_home")), None, ["lam"])
-R.add("poisson_goals_elo", lambda v: M.poisson_goals(obs(v).where("season < 1997").withColumn("diff", (F.col("e") - F.col("opp")) / 100), obs(v).where("season = 1997").withColumn("diff", (F.col("e") - F.col("opp")) / 100).select(ID, "side", "e", "opp", "at_home", "diff"), ["diff"], entities=False), None, ["lam"])
-R.add("poisson_goals_decay", lambda v: M.poisson_goals(obs(v).where("season < 1997"), obs(v).where("season = 1997").select(ID, "side", "e", "opp", "at_home"), entities=False, half_life=365.0), None, ["lam"])
+ASKED = [ID, "side", "e", "opp", "at_home"]
+gaps = lambda v: obs(v).withColumn("diff", (F.col("e") - F.col("opp")) / 100)
+R.add("poisson_goals", lambda v: each_fold(v, obs(v), lambda past, now: M.poisson_goals(past, now.select(ASKED))), None, ["lam"])
+R.add("poisson_goals_elo", lambda v: each_fold(v, gaps(v), lambda past, now: M.poisson_goals(past, now.select(*ASKED, "diff"), ["diff"], entities=False)), None, ["lam"])
+R.add("poisson_goals_decay", lambda v: each_fold(v, obs(v), lambda past, now: M.poisson_goals(past, now.select(ASKED), entities=False, half_life=365.0)), None, ["lam"])
 lam = lambda v: v("contests").withColumns({"home_lambda": F.lit(0.5) + (F.col("home") % 7) * 0.25, "away_lambda": F.lit(0.5) + (F.col("away") % 5) * 0.25})
 R.add(
     "score_grid_probs", lambda v: lam(v).select(ID, M.score_grid_probs(F.col("home_lambda"), F.col("away_lambda")).alias("p")).select(ID, *[F.col("p")[i].alias(n) for i, n in enumerate(M.P)]),
@@ -181,6 +197,6 @@ R.add(
     "calibrate_apply", lambda v: v("predictions").select(ID, M.calibrate(M.P, 0.8, (0.0, 0.1, -0.1)).alias("q")).select(ID, *[F.col("q")[i].alias(n) for i, n in enumerate(M.P)]),
     "WITH z AS (SELECT contest_id, pow(p_away, 0.8) AS a, pow(p_draw, 0.8) * exp(0.1) AS d, pow(p_home, 0.8) * exp(-0.1) AS h FROM {predictions}) SELECT contest_id, a / (a + d + h) AS p_away, d / (a + d + h) AS p_draw, h / (a + d + h) AS p_home FROM z", M.P,
 )
-R.add("mlp_baseline", lambda v: M.rolling_predict(feats(v), M.MultilayerPerceptron(["hd", "pd"], 4), FOLDS[:1]).select(ID, *M.P), None, M.P)
-R.add("boosted_trees", lambda v: M.rolling_predict(feats(v), M.BoostedTrees(["hd", "pd"], 3, 2), FOLDS[:1]).select(ID, *M.P), None, M.P)
-R.add("score_batch", lambda v: M.score_batch(M.Logit(["hd", "pd"]), feats(v).where("season = 1998"), feats(v).where("season < 1998"), v("contests").where("contest_id % 7 = 0").select(ID), "logit"), None, M.P)
+R.add("mlp_baseline", lambda v: M.rolling_predict(feats(v), M.MultilayerPerceptron(["hd", "pd"], 16, steps=1000), folds(v)).select(ID, *M.P), None, M.P)
+R.add("boosted_trees", lambda v: M.rolling_predict(feats(v), M.BoostedTrees(["hd", "pd"], 100, 2), folds(v)).select(ID, *M.P), None, M.P)
+R.add("score_batch", lambda v: each_fold(v, feats(v), lambda past, now: M.score_batch(M.Logit(["hd", "pd"]), now, past, v("contests").where("contest_id % 7 = 0").select(ID), "logit")), None, M.P)

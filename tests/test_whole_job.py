@@ -30,3 +30,17 @@ def test_boundary_events_come_from_all_contests(v):
             up = e in played[s - 1] - tops[s - 1]
             want[s][e] = ("first_time" if first else "returning", "promoted" if up else "")
     assert PM.moves(v) == {s: x for s, x in want.items() if x}
+
+
+SEASONS = set(range(1996, 2002))
+
+
+@pytest.mark.parametrize("key", ["logit_multinomial", "poisson_goals_elo", "score_batch"])
+def test_every_season_with_an_earlier_one_is_scored(v, key):
+    got = PM.R.queries[key](v("contests").sparkSession, DATA).select("contest_id").distinct()
+    assert {r.season for r in got.join(v("contests"), "contest_id").select("season").distinct().collect()} == SEASONS
+
+
+def test_elo_grid_has_the_reference_candidates(spark):
+    got = {r.config for r in PM.R.queries["elo_grid"](spark, DATA).select("config").distinct().collect()}
+    assert got == {f"k{k}a{a}" for k in (10, 15, 20, 30, 40) for a in range(0, 201, 25)}
