@@ -32,7 +32,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), 1024, 2)
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), 1024, 2, short_first=True)
 
 
 STAGES = [

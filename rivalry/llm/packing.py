@@ -122,9 +122,13 @@ def _ids_of(path: str):
 
 
 def tokenized_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    short_first: bool = False,
 ) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32) of each document's ids and end_id; only the last may be below capacity."""
+    """Pieces (doc_id, piece, start, length, ids_crc32) of each document's ids and end_id.
+
+    Only the last piece may be below capacity; with short_first, only the first.
+    """
     small_batches(docs.sparkSession)
     docs = id_and_text(docs, id_col, text_col)
     end, wide = np.array([end_id], "<u4").tobytes(), 4 * capacity
@@ -135,8 +139,10 @@ def tokenized_pieces(
             rows: list[list] = [[], [], [], [], []]
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = ids_of(text) + end
-                for k, at in enumerate(range(0, len(ids), wide)):
-                    part = ids[at : at + wide]
+                lead = -len(ids) % wide if short_first else 0  # what the first piece lacks
+                for k, end_at in enumerate(range(wide - lead, len(ids) + wide, wide)):
+                    at = max(0, end_at - wide)
+                    part = ids[at:end_at]
                     for column, v in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -231,14 +237,16 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    short_first: bool = False,
 ) -> DataFrame:
     """One row (doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece.
 
-    Every document, with end_id after its ids, is placed; only documents over `capacity` are cut. A null
-    or empty text is one piece of one id. Repeated rows are packed each; ties in length are ordered by
-    doc_id; other columns are not read; an empty table gives no rows.
+    Every document, with end_id after its ids, is placed; only documents over `capacity` are cut, into full
+    pieces and a rest: the last piece, or with short_first the first. A null or empty text is one piece of one
+    id. Repeated rows are packed each; ties in length are ordered by doc_id; other columns are not read; an
+    empty table gives no rows.
     """
-    pieces = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pack-pieces")
+    pieces = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, short_first), "pack-pieces")
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return pack(pieces, capacity).select(*cols)

@@ -1,0 +1,38 @@
+"""The registered corpus queries do their whole job."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from rivalry.llm import queries
+
+
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_only_the_first_piece_is_short(spark, tmp_path, pipeline):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    texts = [" ".join(f"word{i * j % 977}" for j in range(n)) for i, n in enumerate((0, 3, 900, 1800))]
+    one = " a" * 1023  # with the end id a full piece, if each word is one id
+    texts += [one, one * 2, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    if pipeline:
+        got = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))
+    else:
+        got = queries.op7_best_fit_packing(spark, str(tmp_path))
+    own = defaultdict(list)
+    for r in got.collect():
+        own[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    cut = 0
+    for i, text in enumerate(texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 or 1024
+        bounds = [0, *range(first, len(ids) + 1, 1024)]
+        cut += len(bounds) > 2
+        want = [(k, s, e - s, zlib.crc32(np.array(ids[s:e], "<u4").tobytes())) for k, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False))]
+        assert sorted(own[i]) == want
+    assert cut >= 2
