@@ -60,7 +60,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
+    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES, whole=True)
 
 
 def op9_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,20 +89,21 @@ def judge_urls(
     soft_hits: int = SOFT_HITS,
     id_col: str = "page_id",
     url_col: str = "url",
+    whole: bool = False,
 ) -> DataFrame:
     """One row (page_id, host, path, rule, verdict, n_strict, n_soft) per input row; no shuffle.
 
     A fitting rule decides (the longest one). Else the url is blocked on one strict term, or on `soft_hits`
-    different soft terms, in host and path; terms that follow '?' or '#' don't count. A null url, or one
-    without '://', has an empty host and path and is allowed. Repeated rows give repeated results; other
+    different soft terms, in host and path; terms that follow '?' or '#' don't count. With whole, terms are
+    found in all of the url. A null url, or one without '://', has an empty host and path; without `whole` it
+    is allowed, else a null one is. Repeated rows give repeated results; other
     columns are not read; an empty table gives no rows.
     """
     spark = pages.sparkSession
     small_batches(spark)
     urls = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
     host, path = host_and_path(F.col("url"))
-    rows = urls.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("terms_of", F.concat("host", "path"))
+    rows = urls.select("page_id", host.alias("host"), path.alias("path"), (F.col("url") if whole else F.concat(host, path)).alias("terms_of"))
     kind = dict(rows.dtypes)["page_id"]
     rows = rows.mapInArrow(
         term_counts(strict, soft), f"page_id {kind}, host string, path string, n_strict int, n_soft int"
