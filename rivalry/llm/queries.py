@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivalry.llm import archives, leaks, media, neardup, packing, secrets, substrings, tokens, toxicity, urls
-from rivalry.llm.common import table
+from rivalry.llm.common import table, written
 from rivalry.llm.oracles import leaks_sql, near_duplicates_sql, repeats_sql, secrets_sql
 
 #: Fixed rules of the url query: (host, path, verdict).
@@ -25,8 +25,9 @@ def tokenizer(name: str) -> str:
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what the media operator reads back; the tensors themselves aren't returned here."""
-    rows = media.decode_media(media.encode_texts(table(spark, sf_dir, "documents")), tensors=False)
+    """Digests of what is read back from the stored media and from the stored payloads and tensors."""
+    stored = written(media.encode_texts(table(spark, sf_dir, "documents")), "op1-media")
+    rows = written(media.decode_media(stored), "op1-tensors")
     payload, tail = F.col("payload"), F.expr("substring(payload, -16, 16)")
     return rows.select(
         "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),

@@ -1,13 +1,16 @@
 """The registered corpus queries do their whole job."""
 
+import hashlib
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from rivalry.llm import queries
+from rivalry.llm.common import shared_dir
 
 
 @pytest.mark.parametrize("pipeline", [False, True])
@@ -48,3 +51,15 @@ def test_every_part_of_a_url_is_judged(spark, tmp_path):
     spark.createDataFrame(list(enumerate(cases)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: (r.host, r.path, r.verdict, r.n_strict) for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(cases.values()))
+
+
+def test_media_and_tensors_are_stored(spark, tmp_path):
+    spark.createDataFrame([(0, "some text"), (1, ""), (2, "x" * 3000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    seen = set(folder.glob("op1-*"))
+    got = {r.doc_id: r for r in queries.op1_progressive_jpeg(spark, str(tmp_path)).collect()}
+    new = {p.name.rsplit("-", 1)[0]: str(p) for p in set(folder.glob("op1-*")) - seen}
+    assert set(new) == {"op1-media", "op1-tensors"}
+    assert {r.doc_id: hashlib.sha256(r.media).hexdigest() for r in spark.read.parquet(new["op1-media"]).collect()} == {i: r.media_sha256 for i, r in got.items()}
+    for r in spark.read.parquet(new["op1-tensors"]).collect():
+        assert len(r.rgb) == 3 * r.height * r.width and got[r.doc_id].feature.endswith(f"{zlib.crc32(r.rgb):08x}")
