@@ -10,31 +10,56 @@ from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 
-#: Rows of one Arrow batch. Texts can be long, so batches are kept small.
-ARROW_ROWS = 1000
+#: Tables up to so many bytes may be broadcast; their size is measured first.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one serves local runs (tests) only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="rivalry-shared-"))
     return _OWN_DIR[0]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, inside the shared one."""
+    return f"{shared_dir(spark)}/rivalry-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: the lineage ends there, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for operators that send whole texts to Python workers."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Frames that still read them fail afterwards, so write results first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no column of that name (whatever its case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs whose id is not in the one column of ids; null ids stay."""
+    key = fresh(docs, "gone")
+    return docs.join(ids.toDF(key).distinct(), F.col(id_col) == F.col(key), "left_anti")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

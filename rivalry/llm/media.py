@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rivalry.llm.common import id_and_text, small_batches
+from rivalry.llm.common import id_and_text
 
 #: Payload bytes come in units of so many.
 UNIT = 192
@@ -602,7 +602,6 @@ def _chunks(sizes: list[int], most: int = 2 << 20):
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, media): the padded UTF-8 text of each row as a progressive JPEG. A null text is empty."""
-    small_batches(docs.sparkSession)
     docs = id_and_text(docs, id_col, text_col)
 
     def rows(batches):
@@ -623,7 +622,6 @@ def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
     file that isn't a progressive JPEG fails the job; null media give nulls.
     """
     kind = dict(media.dtypes)["doc_id"]
-    small_batches(media.sparkSession)
 
     def rows(batches):
         names = ["doc_id", "n_bytes", "media", "payload", "height", "width", "feature"] + ["rgb"] * tensors

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.llm.common import components, id_and_text, small_batches, written
+from rivalry.llm.common import components, id_and_text, written
 from rivalry.llm.words import Words, chunks, mix, windows
 
 #: Each permutation gives two signature values: its minimum and its maximum.
@@ -149,7 +149,6 @@ def near_duplicates(
     null id get a component of null and are kept; rows that repeat a doc_id with equal sets count as one class.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = id_and_text(docs, id_col, text_col)
     signed = written(signatures(docs, size, permutations, band), "neardup-signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")

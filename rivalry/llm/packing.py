@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rivalry.llm.common import id_and_text, small_batches, written
+from rivalry.llm.common import fresh, id_and_text, written
 
 #: Entries of a worker's cache of words, and of its cache of word parts.
 CACHE = 250_000
-#: Ranks within one length are dealt over so many salts, so that a frequent length isn't one task.
-SALTS = 64
-
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
-PLAN = "length long, rank_lo long, rank_hi long, bin_lo long, bins long, offset long"
-
 
 #: Words that the pre-tokeniser surely cuts into letters and marks.
 _PLAIN = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
@@ -123,13 +118,11 @@ def _ids_of(path: str):
 
 def tokenized_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-    short_first: bool = False,
 ) -> DataFrame:
     """Pieces (doc_id, piece, start, length, ids_crc32) of each document's ids and end_id.
 
-    Only the last piece may be below capacity; with short_first, only the first.
+    Only the first piece may be below capacity.
     """
-    small_batches(docs.sparkSession)
     docs = id_and_text(docs, id_col, text_col)
     end, wide = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
@@ -139,7 +132,7 @@ def tokenized_pieces(
             rows: list[list] = [[], [], [], [], []]
             for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = ids_of(text) + end
-                lead = -len(ids) % wide if short_first else 0  # what the first piece lacks
+                lead = -len(ids) % wide  # what the first piece lacks
                 for k, end_at in enumerate(range(wide - lead, len(ids) + wide, wide)):
                     at = max(0, end_at - wide)
                     part = ids[at:end_at]
@@ -157,96 +150,148 @@ def tokenized_pieces(
     return docs.mapInArrow(cut, PIECE.format(id=dict(docs.dtypes)["doc_id"]))
 
 
-def match_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Supersteps of best fit over runs of equal documents and runs of equal gaps.
+def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df range-sorted by keys, with `pos` counting its rows from 0 in that order.
 
-    counts: documents of each length. A step takes the longest documents left, finds the successor gap
-    (the smallest that holds one), matches both by rank - where the gaps are too few the first ranks win,
-    and what is left goes to the next successor or to new sequences - and updates the gaps. A gap takes as
-    many equal documents as it holds, as best fit would. Returns runs (length, rank_lo, rank_hi, bin_lo,
-    bins, offset): document rank r goes to bin_lo + (r - rank_lo) % bins, at offset + (r - rank_lo) // bins * length.
-    At most `capacity` lengths and gaps exist, however many documents there are.
+    Each task numbers its own range; the sizes of the ranges, a row for each task, are summed and broadcast.
+    Equal rows are dealt over ranges by their place in the input.
+    """
+    tie = fresh(df, "tie")
+    numbered = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie)
+    numbered = written(numbered.drop(tie).withColumn("pos", F.monotonically_increasing_id()), name)
+    part = F.shiftright("pos", 33)
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = numbered.groupBy(part.alias("part")).count()
+    sizes = written(sizes.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")), f"{name}-sizes")
+    at = F.col("before") + F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn("part", part).join(F.broadcast(sizes), "part").withColumn("pos", at).drop("part", "before")
+
+
+def _by_size(df: DataFrame, column: str, capacity: int) -> np.ndarray:
+    """How many rows have each size from 0 to capacity."""
+    out = np.zeros(capacity + 1, np.int64)
+    for r in df.groupBy(column).count().collect():  # at most `capacity` rows
+        out[r[0]] = r[1]
+    return out
+
+
+def sweep(items: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Match documents with successor slots: (documents of each length that win a slot, slot position of the first of them).
+
+    items and slots count documents of each length and slots of each size. Taking lengths from the longest,
+    a document wins while a slot of its size or more is left; of equal documents the first ranks win. Winners
+    then take slots in the order of their lengths: each the successor of its length (the smallest slot that
+    holds it) or, where that is taken, the next one. Both are prefix extremes over the sizes.
     """
-    gaps: list[int] = []  # sorted
-    open_bins: dict[int, list[tuple[int, int]]] = {}
-    plan, n_bins = [], 0
-
-    def put(gap: int, lo: int, n: int) -> None:
-        if gap > 0 and n:
-            if gap not in open_bins:
-                insort(gaps, gap)
-            open_bins.setdefault(gap, []).append((lo, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                lo, n = open_bins[gap].pop()
-                if not open_bins[gap]:
-                    del open_bins[gap]
-                    gaps.pop(at)
-            else:
-                each = capacity // length
-                gap, lo, n = capacity, n_bins, -(-left // each)
-                n_bins += n
-            each = gap // length
-            full = min(n, left // each)
-            part = left - full * each if full < n else 0
-            for bins, copies, first in ((full, each, lo), (min(1, part), part, lo + full)):
-                if bins:
-                    plan.append((length, rank, rank + bins * copies, first, bins, capacity - gap))
-                    rank, left = rank + bins * copies, left - bins * copies
-                    put(gap - copies * length, first, bins)
-            used = full + min(1, part)
-            put(gap, lo + used, n - used)
-    return plan
+    at_least = slots[::-1].cumsum()[::-1]
+    longer = items[::-1].cumsum()[::-1]
+    won_so_far = longer + np.minimum(0, np.minimum.accumulate((at_least - longer)[::-1])[::-1])
+    won = won_so_far - np.append(won_so_far[1:], 0)
+    before = won.cumsum() - won
+    successor = slots.cumsum() - slots
+    return won, before + np.maximum.accumulate(np.where(won > 0, successor - before, 0))
+
+
+def _slots(bins: DataFrame, longest: int, shortest: int) -> DataFrame:
+    """bins (sequence_id, gap) -> slots (sequence_id, gap, slot, size): a gap takes as many documents as it would of the longest."""
+    n = F.greatest(F.lit(1), F.floor(F.col("gap") / longest)).cast("int")
+    rows = bins.where(F.col("gap") >= shortest).select("sequence_id", "gap", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("slot"))
+    size = F.when(F.col("slot") > 0, longest).otherwise(F.least(F.lit(longest), F.col("gap") - (F.col("n") - 1) * longest))
+    return rows.select("sequence_id", "gap", "slot", size.cast("int").alias("size"))
+
+
+def _slot_sizes(gaps: np.ndarray, longest: int, shortest: int) -> np.ndarray:
+    """How many slots of each size _slots makes of so many gaps of each size."""
+    out = np.zeros_like(gaps)
+    for gap in np.flatnonzero(gaps):
+        if gap >= shortest:
+            n = max(1, gap // longest)
+            out[longest] += gaps[gap] * (n - 1)
+            out[min(longest, gap - (n - 1) * longest)] += gaps[gap]
+    return out
+
+
+def _runs(items: DataFrame, lo: np.ndarray, n: np.ndarray, at: np.ndarray) -> DataFrame:
+    """The items of positions lo[k]:lo[k] + n[k] of each length k, with turn = at[k], at[k] + 1, ..."""
+    own = np.flatnonzero(n)
+    rows = [(int(k), int(lo[k]), int(n[k]), int(at[k])) for k in own]
+    plan = F.broadcast(items.sparkSession.createDataFrame(rows, "run_length long, lo long, n long, at long"))
+    near = items.where(F.col("length").between(int(own[0]), int(own[-1])))
+    inside = (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("lo") + F.col("n"))
+    near = near.join(plan, (F.col("length") == F.col("run_length")) & inside)
+    return near.withColumn("turn", F.col("pos") - F.col("lo") + F.col("at")).drop("run_length", "lo", "n", "at")
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Give each piece a sequence_id and the offset inside it; sequences hold at most `capacity` tokens and have no holes.
 
-    Documents are ranked within their length (the order that a sort by length gives), over salts so that no
-    length is one task; the rank runs of match_rounds, of which the number depends on capacity alone, are
-    broadcast and joined by length and rank.
+    Bulk-synchronous best fit. Pieces are range-sorted by length once. Each round range-sorts the slots of
+    the open gaps, lets sweep() tell which ranks win a slot and at which position, joins pieces and slots on
+    that position, and updates the gaps. A gap offers one slot, or as many as it would hold of the longest
+    document of the round, and a round covers lengths down to a third of the longest one left. As many
+    sequences as all that is left must need beyond the gaps are opened for the longest of the rest; where
+    that is none and few have won, as many as the tokens of the rest fill. Documents, gaps and matches stay distributed; the driver sees counts by size
+    (at most `capacity` numbers). A sequence_id is the position of the first piece in it.
     """
-    spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").count()
-    ahead = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    counts = written(counts.withColumn("before", F.coalesce(F.sum("count").over(ahead), F.lit(0))), "pack-counts")
-    by_length = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    plan = spark.createDataFrame(match_rounds(by_length, capacity), PLAN)
-    own = W.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = (
-        salted.withColumn("rank", F.row_number().over(own).cast("long") - 1)
-        .join(F.broadcast(counts.select("length", "salt", "before")), ["length", "salt"])
-        .withColumn("rank", F.col("rank") + F.col("before"))
-        .drop("before", "salt")
-    )
-    at = F.col("rank") - F.col("rank_lo")
-    fits = (F.col("rank") >= F.col("rank_lo")) & (F.col("rank") < F.col("rank_hi"))
-    return (
-        ranked.join(F.broadcast(plan.withColumnRenamed("length", "plan_length")), (F.col("length") == F.col("plan_length")) & fits)
-        .withColumn("sequence_id", F.col("bin_lo") + at % F.col("bins"))
-        .withColumn("at", F.col("offset") + F.floor(at / F.col("bins")) * F.col("length"))
-        .drop("plan_length", "rank", "rank_lo", "rank_hi", "bin_lo", "bins", "offset")
-        .withColumnRenamed("at", "offset")
-    )
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    items = ranked(pieces, ["length", "doc_id", "piece"], "pack-items")
+    total = _by_size(items, "length", capacity)
+    first, left = total.cumsum() - total, total.copy()
+    left[capacity] = 0
+    full = items.where(F.col("length") == capacity)
+    done = [full.select(*names, F.col("pos").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    bins = pieces.sparkSession.createDataFrame([], "sequence_id long, gap long")
+    sizes = np.arange(capacity + 1)
+    while left.any():
+        longest = int(np.flatnonzero(left)[-1])
+        shortest = longest // 3 + 1
+        active = np.where(sizes >= shortest, left, 0)
+        lo = first + total - left
+        placed = []
+        gaps = _by_size(bins, "gap", capacity)
+        won, at = sweep(active, _slot_sizes(gaps, longest, shortest))
+        if won.any():
+            slots = ranked(_slots(bins, longest, shortest), ["size", "sequence_id", "slot"], "pack-slots")
+            met = _runs(items, lo, won, at).join(slots.select("sequence_id", "gap", "slot", F.col("pos").alias("turn")), "turn")
+            own = W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+            ahead = F.coalesce(F.sum("length").over(own), F.lit(0))
+            placed.append(met.select(*names, "sequence_id", (capacity - F.col("gap") + ahead).alias("offset")))
+        rest = active - won
+        # sequences that are needed even if all gaps could be filled
+        need = max(-(-int(((left - gaps) * sizes).sum()) // capacity), int(rest[capacity // 2 + 1 :].sum()))
+        if rest.any() and need <= 0 and 16 * won.sum() < active.sum():
+            need = -(-int((rest * sizes).sum()) // capacity)
+        if rest.any() and need > 0:
+            each = capacity // int(np.flatnonzero(rest)[-1])
+            longer = rest[::-1].cumsum()[::-1] - rest
+            alike = sizes > (capacity // (each + 1) if each <= 3 else 0)  # pairs and triples of like lengths go together
+            opened = np.where(alike, np.clip(need * each - longer, 0, rest), 0)
+            own = W.partitionBy(F.floor(F.col("turn") / each)).orderBy("turn")
+            ahead = F.coalesce(F.sum("length").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+            new = _runs(items, lo + won, opened, longer)
+            placed.append(new.select(*names, F.first("pos").over(own).alias("sequence_id"), ahead.alias("offset")))
+            won = won + opened
+        placed = written(reduce(DataFrame.union, placed), "pack-placed")
+        done.append(placed)
+        left = left - won
+        if left.any():
+            filled = placed.groupBy("sequence_id").agg(F.sum("length").alias("filled"))
+            gap = F.coalesce("gap", F.lit(capacity)) - F.coalesce("filled", F.lit(0))
+            bins = bins.join(filled, "sequence_id", "full").select("sequence_id", gap.alias("gap"))
+            bins = written(bins.where(F.col("gap") >= int(np.flatnonzero(left)[0])), "pack-gaps")
+    return reduce(DataFrame.union, done)
 
 
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-    short_first: bool = False,
 ) -> DataFrame:
     """One row (doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece.
 
     Every document, with end_id after its ids, is placed; only documents over `capacity` are cut, into full
-    pieces and a rest: the last piece, or with short_first the first. A null or empty text is one piece of one
-    id. Repeated rows are packed each; ties in length are ordered by doc_id; other columns are not read; an
-    empty table gives no rows.
+    pieces of which the first may be shorter. A null or empty text is one piece of one id. Very long texts
+    are encoded whole, by one worker each. Repeated rows are packed each; ties in length are ordered by
+    doc_id and piece; rows with a null id are packed like others; other columns, whatever their names, are
+    not read; an empty table gives no rows.
     """
-    pieces = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, short_first), "pack-pieces")
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return pack(pieces, capacity).select(*cols)
+    pieces = written(tokenized_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pack-pieces")
+    return pack(pieces, capacity)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rivalry.llm.common import id_and_text, small_batches, written
+from rivalry.llm.common import id_and_text, written
 from rivalry.llm.words import Words, chunks, mix, windows
 
 #: Words of a node. A node is the smallest k-mer of some window, so equal windows have equal nodes.
@@ -216,7 +216,6 @@ def remove_repeats(
     if window < NODE + 1:
         raise ValueError(f"window must be over {NODE}")
     spark = docs.sparkSession
-    small_batches(spark)
     rows = id_and_text(docs, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     graph = written(_graph_rows(rows, window), "substrings-graph")
     classes = graph.groupBy("k1", "k2", "n_words").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.llm.common import id_and_text, small_batches
+from rivalry.llm.common import id_and_text
 
 #: Entries of the broadcast table, and those that one task proposes for it.
 FREQUENT = 50_000
@@ -109,7 +109,6 @@ def count_tokens(
     rows give repeated results; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     check_model(model_path)
     docs = id_and_text(docs, id_col, text_col)
     words = [r.piece for r in frequent_pretokens(docs, frequent).collect()]  # at most `frequent` short strings

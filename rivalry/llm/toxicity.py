@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.llm.common import id_and_text, small_batches, written
+from rivalry.llm.common import id_and_text, written
 
 #: Labelled rows that are learned from, at most; taken in the order of a hash of doc_id.
 TRAIN_ROWS = 8000
@@ -203,7 +203,6 @@ def score_toxicity(
     an empty table gives no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = id_and_text(docs, id_col, text_col)
     sample = written(labelled_sample(docs, labels, train_rows), "toxic-sample")
     weights = learn_lexicon(sample)

@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.llm.common import small_batches
 
 #: One of these as a whole term rejects a url.
 STRICT = ("casino", "porn", "xxx", "adult", "escort", "viagra", "sexcam", "hentai", "malware", "phishing")
@@ -100,7 +99,6 @@ def judge_urls(
     columns are not read; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     urls = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
     host, path = host_and_path(F.col("url"))
     rows = urls.select("page_id", host.alias("host"), path.alias("path"), (F.col("url") if whole else F.concat(host, path)).alias("terms_of"))

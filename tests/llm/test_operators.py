@@ -300,8 +300,9 @@ def test_packing(spark, docs, none):
     want = Counter()
     for r in corpus():
         ids = library.encode(r[1] or "", add_special_tokens=False).ids + [2]
-        for k, s in enumerate(range(0, len(ids), 256)):
-            part = ids[s : s + 256]
+        first = len(ids) % 256 or 256
+        for k, s in enumerate([0, *range(first, len(ids), 256)]):
+            part = ids[s : s + 256] if k else ids[:first]
             want[r[0], k, s, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     placed = defaultdict(list)
@@ -317,24 +318,57 @@ def test_packing(spark, docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
-def test_match_rounds_is_best_fit_decreasing():
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= s]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else capacity) - s)
+    return len(gaps)
+
+
+def test_sweeps_match_as_many_as_can_be():
     rng = random.Random(9)
-    for _ in range(60):
-        sizes = [rng.randint(1, 50) for _ in range(rng.randint(1, 120))]
-        plan = packing.match_rounds(Counter(sizes), 50)
-        used = defaultdict(int)
-        for length, lo, hi, first, bins, _ in plan:
-            for r in range(lo, hi):
-                used[first + (r - lo) % bins] += length
-        gaps = []
-        for s in sorted(sizes, reverse=True):
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - s)
-            else:
-                gaps.append(50 - s)
-        assert max(used.values()) <= 50 and len(used) == len(gaps)
+    for _ in range(400):
+        items, slots = (np.array([0] + [rng.choice((0, 0, 1, 3)) for _ in range(12)]) for _ in range(2))
+        won, at = packing.sweep(items, slots)
+        order = [s for s in range(13) for _ in range(slots[s])]
+        used = [at[n] + k for n in range(13) for k in range(won[n])]
+        assert len(set(used)) == len(used)
+        assert all(order[at[n] + k] >= n for n in range(13) for k in range(won[n]))
+        assert (won <= items).all()
+        free = sorted(order)
+        most = 0
+        for n in sorted((n for n in range(13) for _ in range(items[n])), reverse=True):
+            if free and free[-1] >= n:
+                free.remove(next(s for s in free if s >= n))
+                most += 1
+        assert won.sum() == most
+
+
+@pytest.mark.parametrize("spread", ["even", "short", "equal", "halves", "one"])
+def test_rounds_pack_like_best_fit_decreasing(spark, spread):
+    rng = random.Random(spread)
+    draw = {
+        "even": lambda: rng.randint(1, 100), "short": lambda: min(100, int(rng.expovariate(0.1)) + 1), "equal": lambda: 7,
+        "halves": lambda: rng.choice((50, 51, 49, 34, 33, 1)), "one": lambda: 1,
+    }[spread]
+    sizes = [draw() for _ in range(700)]
+    rows = [(i // 2, i % 2, 0, n, 0) for i, n in enumerate(sizes)] + [(0, 0, 0, sizes[0], 0)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), 100).collect()
+    assert Counter((r.doc_id, r.piece, r.length) for r in got) == Counter((r[0], r[1], r[3]) for r in rows)
+    placed = defaultdict(list)
+    for r in got:
+        placed[r.sequence_id].append((r.offset, r.length))
+    for own in placed.values():
+        ends = [0]
+        for offset, length in sorted(own):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 100
+    best = best_fit_decreasing([*sizes, sizes[0]], 100)
+    assert len(placed) <= best + max(1, best // 100)
 
 
 @pytest.mark.parametrize("seed", range(3))
