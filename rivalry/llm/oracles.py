@@ -47,20 +47,25 @@ FROM d LEFT JOIN g USING (doc_id)"""
 
 
 def leaks_sql() -> str:
-    """Seeds as joined tokens instead of hashes; every seed hit is verified around itself."""
-    reach = leaks.WINDOW + leaks.SPAN
-    seed = " UNION ALL ".join(
-        f"SELECT id, p, {i} AS mask, concat_ws(' ', {', '.join(f'w[p + {o + 1}]' for o in m)}) AS seed FROM {{t}} WHERE p + {m[-1]} < n" for i, m in enumerate(leaks.MASKS)
-    )
+    """Without seeds: whatever agrees in 80 per cent has a run of agreeing tokens of some length, so runs are joined.
+
+    A window of 13 or 12 tokens of which two differ has a run of four; shorter items have shorter ones. The
+    diagonals that share a run are then compared token by token, over the whole of both texts.
+    """
     token = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    differ = lambda n: n * (100 - leaks.AGREE) // 100
+    run = {n: -(-(n - differ(n)) // (differ(n) + 1)) for n in range(1, leaks.WINDOW + 1)}
+    grams = sorted(set(run.values()))
+    size = "CASE least(len(w), %d) %s END" % (leaks.WINDOW, " ".join(f"WHEN {n} THEN {g}" for n, g in run.items()))
+    gram = lambda t, g, more: (
+        f"SELECT id, w, {g} AS g, p, array_to_string(w[p + 1 : p + {g}], ' ') AS x FROM (SELECT *, unnest(range(0, len(w) - {g - 1})) AS p FROM {t} WHERE len(w) >= {g}{more}) y"
+    )
     return f"""
 WITH dt AS MATERIALIZED (SELECT doc_id AS id, {token} AS w FROM documents), bt AS MATERIALIZED (SELECT DISTINCT item_id AS id, {token} AS w FROM benchmark),
-dp AS (SELECT id, w, len(w) AS n, unnest(range(0, len(w))) AS p FROM dt WHERE len(w) >= {leaks.LEAST}), bp AS (SELECT id, w, len(w) AS n, unnest(range(0, len(w))) AS p FROM bt WHERE len(w) >= {leaks.LEAST}),
-ds AS ({seed.format(t="dp")}), bs AS ({seed.format(t="bp")}),
-h AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.p AS dp, bs.p AS bp FROM ds JOIN bs USING (mask, seed)),
-r AS (SELECT doc_id, item_id, d.w AS dw, b.w AS bw, dp - bp AS shift, least({leaks.WINDOW}, len(b.w)) AS win,
-  greatest(0, bp - {reach}, bp - dp) AS lo, least(len(b.w), bp + {leaks.SPAN + reach}, len(d.w) - dp + bp) AS hi FROM h JOIN dt d ON d.id = doc_id JOIN bt b ON b.id = item_id),
-s AS (SELECT doc_id, item_id, win, shift, unnest(range(lo, hi - win + 1)) AS k, dw, bw FROM r WHERE hi - lo >= win),
+bg AS MATERIALIZED ({" UNION ALL ".join(gram("bt", g, f" AND {size} = {g}") for g in grams)}),
+dg AS ({" UNION ALL ".join(gram("dt", g, f" AND EXISTS (SELECT 1 FROM bg WHERE g = {g})") for g in grams)}),
+h AS (SELECT DISTINCT dg.id AS doc_id, bg.id AS item_id, dg.w AS dw, bg.w AS bw, dg.p - bg.p AS shift, least({leaks.WINDOW}, len(bg.w)) AS win FROM dg JOIN bg USING (g, x)),
+s AS (SELECT *, unnest(range(greatest(0, -shift), least(len(bw), len(dw) - shift) - win + 1)) AS k FROM h),
 c AS (SELECT doc_id, item_id, win, shift + k AS place, len(list_filter(range(0, win), lambda j: dw[shift + k + j + 1] = bw[k + j + 1])) AS agreeing FROM s)
 SELECT doc_id, item_id, CAST(max(win) AS INT) AS "window", max(agreeing) AS agreeing, arg_max(place, agreeing * 1000000000 - place) AS doc_token
 FROM c WHERE agreeing * 100 >= win * {leaks.AGREE} GROUP BY 1, 2"""

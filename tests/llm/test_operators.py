@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -207,9 +208,12 @@ def test_leaks(spark, none):
     ]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows + [(9, None), (1, rows[1][1])], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.window, r.agreeing, r.doc_token) for r in leaks.find_leaks(d, b).collect()}
-    assert set(got) == {(1, 0), (2, 0), (4, 1), (5, 2), (9, 0), (11, 0), (11, 1), (1, 1)}
+    assert set(got) == {(1, 0), (2, 0), (4, 1), (5, 2), (6, 3), (9, 0), (11, 0), (11, 1), (1, 1)}
     assert got[1, 0] == (13, 13, 30) and got[5, 2] == (9, 9, 0) and got[11, 1] == (13, 13, 1010)
-    assert sorted(r.doc_id for r in leaks.drop_leaks(d, b).collect()) == [3, 6, 7, 8, 10]
+    assert sorted(r.doc_id for r in leaks.drop_leaks(d, b).collect()) == [3, 7, 8, 10]
+    shuffled = leaks.find_leaks(d, b, broadcast_bytes=0)
+    assert "BroadcastHashJoin" in leaks.find_leaks(d, b)._jdf.queryExecution().toString()
+    assert {(r.doc_id, r.item_id): (r.window, r.agreeing, r.doc_token) for r in shuffled.collect()} == got
     assert leaks.find_leaks(none, b).count() == 0 and leaks.find_leaks(d, none.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
 
 
@@ -219,6 +223,22 @@ def test_seeds_tolerate_two_substitutions_in_a_window():
             assert any(not {a, b} & {s + o for o in m} for m in leaks.MASKS for s in range(leaks.WINDOW - m[-1]))
 
 
+def test_every_allowed_substitution_is_found(spark):
+    """Items of every length, each with every set of differing tokens that leaves 80 per cent."""
+    rng = random.Random(12)
+    items, docs = [], []
+    for n in (*range(1, 15), 20):
+        item = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for e in range(4):
+            for gone in combinations(range(min(n, 13)), e):
+                w = ["other" if k in gone else t for k, t in enumerate(item[:13])]
+                docs.append((1000 * len(docs) + n, " ".join([*words(rng, 9), *w, *words(rng, 9)]), n, e))
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, n) for i, _, n, e in docs if 100 * (min(n, 13) - e) >= 80 * min(n, 13)}
+
+
 def test_token_counts_agree_with_the_library(spark, docs, none):
     import sentencepiece
 
