@@ -18,23 +18,22 @@ from rivalry.llm.common import id_and_text
 UNIT = 192
 #: Blocks (or MCUs) of a restart interval; intervals are decoded side by side.
 RESTART = 8
-#: The byte that becomes coefficient 0.
-CENTRE = 96
+#: Bytes of texts, the frequent ones first; all others follow by value. Frequent bytes become small coefficients,
+#: which takes fewer bits.
+FREQUENT = b" etaoinsrhldcumfpgwybvk,.-'" + bytes([0xC3, 0xA9, 10]) + b"xjqzSETAICMPDRBNHLWFGOUVKJYQXZ0123456789"
 
 # The zigzag order is the one that the standard gives.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
-#: Code lengths: short codes for single values, nine bits for everything else.
-DC_SYMBOLS = list(range(12))
-AC_SHORT = list(range(1, 9))
-AC_LONG = [r << 4 | s for r in range(16) for s in range(11) if not (r == 0 and 1 <= s <= 8)]
-#: (components, first, last, high, low): DC first, bands of AC, then the refinements.
-SCRIPT = (
-    [((0, 1, 2), 0, 0, 0, 1)]
-    + [((c,), 1, 5, 0, 1) for c in range(3)]
-    + [((c,), 6, 63, 0, 0) for c in range(3)]
-    + [((c,), 1, 5, 1, 0) for c in range(3)]
-    + [((0, 1, 2), 0, 0, 1, 0)]
-)
+#: Symbols by code length: short codes for small values without a run of zeros before them.
+DC_SYMBOLS = list(range(9))
+AC_LENGTHS = {2: [1, 2, 3], 3: [4], 5: [0, 5], 6: [6], 7: [7, 8], 8: [0x11, 0x12, 0x13]}
+AC_LENGTHS[13] = [x for x in (*(r << 4 | s for r in range(16) for s in range(1, 9)), 0xF0) if x not in sum(AC_LENGTHS.values(), [])]
+#: (components, first, last, high, low): DC first, low frequencies and then high ones of brightness, all of
+#: chroma, then the refinements.
+SCRIPT = [
+    ((0, 1, 2), 0, 0, 0, 1), ((0,), 1, 5, 0, 1), ((1,), 1, 63, 0, 0), ((2,), 1, 63, 0, 0),
+    ((0,), 6, 63, 0, 0), ((0,), 1, 5, 1, 0), ((0, 1, 2), 0, 0, 1, 0),
+]
 
 
 def _table(lengths: dict[int, list[int]]) -> tuple[bytes, dict[int, tuple[int, int]]]:
@@ -49,13 +48,29 @@ def _table(lengths: dict[int, list[int]]) -> tuple[bytes, dict[int, tuple[int, i
 
 
 _DC_BYTES, _DC = _table({4: DC_SYMBOLS})
-_AC_BYTES, _AC = _table({4: AC_SHORT, 9: AC_LONG})
+_AC_BYTES, _AC = _table(AC_LENGTHS)
 _DC_CODE, _DC_LEN = (np.array([_DC[s][i] for s in DC_SYMBOLS], np.uint64) for i in (0, 1))
 _AC_CODE, _AC_LEN = np.zeros(256, np.uint64), np.zeros(256, np.uint64)
 for _s, (_c, _n) in _AC.items():
     _AC_CODE[_s], _AC_LEN[_s] = _c, _n
 
 
+def _coefficients_of_bytes() -> np.ndarray:
+    """1, -1, 2, -2, ... in the order of FREQUENT; the two rarest bytes become 0 and -128."""
+    order = [*FREQUENT, *(b for b in range(256) if b not in FREQUENT)]
+    rank = np.arange(256)
+    value = np.where(rank % 2, -(rank // 2 + 1), rank // 2 + 1)
+    value[254:] = 0, -128
+    out = np.empty(256, np.int64)
+    out[order] = value
+    return out
+
+
+#: The coefficient of each byte, and the byte of each coefficient (from -128 on).
+_TO = _coefficients_of_bytes()
+_FROM = (np.argsort(_TO)).astype(np.uint8)
+
+
 def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
@@ -109,8 +124,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     planes: list[list[np.ndarray]] = [[], [], []]
     for p, m in zip(payloads, mcus, strict=True):
         v = np.zeros(m * 384, np.int64)
-        b = np.frombuffer(p, np.uint8).astype(np.int64)
-        v[: len(b)] = (b - CENTRE + 128) % 256 - 128
+        v[: len(p)] = _TO[np.frombuffer(p, np.uint8)]
         blocks = v.reshape(m * 6, 64)
         for plane, part in zip(planes, (blocks[: 4 * m], blocks[4 * m : 5 * m], blocks[5 * m :]), strict=True):
             plane.append(part)
@@ -582,14 +596,14 @@ def rgb(frame: Frame, planes: list[np.ndarray]) -> np.ndarray:
 def payload_of(frame: Frame, coefs: list[np.ndarray]) -> bytes:
     """The payload that encode() has stored."""
     units = int(frame.comment.removeprefix(b"units="))
-    return ((np.concatenate(coefs).reshape(-1)[: units * UNIT] + CENTRE) % 256).astype(np.uint8).tobytes()
+    return _FROM[np.concatenate(coefs).reshape(-1)[: units * UNIT] + 128].tobytes()
 
 
 def padded(text: bytes) -> bytes:
     return text + b" " * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
 
-def _chunks(sizes: list[int], most: int = 2 << 20):
+def _chunks(sizes: list[int], most: int = 1 << 20):
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > most:
@@ -601,7 +615,12 @@ def _chunks(sizes: list[int], most: int = 2 << 20):
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_bytes, media): the padded UTF-8 text of each row as a progressive JPEG. A null text is empty."""
+    """Rows (doc_id, n_bytes, media): the UTF-8 text of each row, padded to whole units, as a progressive JPEG.
+
+    A null or empty text is one unit of padding; a very long one is one larger image. Equal texts give equal
+    media; repeated rows and null ids are kept; other columns, whatever their names, are not read; an empty
+    table gives no rows.
+    """
     docs = id_and_text(docs, id_col, text_col)
 
     def rows(batches):
@@ -618,8 +637,12 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def decode_media(media: DataFrame, tensors: bool = True) -> DataFrame:
     """media (doc_id, n_bytes, media) -> payload, height, width, feature and, with tensors, the RGB tensor as rgb.
 
-    feature: the shape, the mean of each channel in thousandths (floored) and the CRC-32 of the tensor. A
-    file that isn't a progressive JPEG fails the job; null media give nulls.
+    Scans are accumulated into coefficient arrays, transformed and upsampled for about a megabyte of files at
+    once; a longer file is decoded alone. feature: the shape, the mean of each channel in thousandths
+    (floored) and the CRC-32 of the tensor. rgb: height * width * 3 bytes, rows from the top, red, green, blue.
+    A file that isn't a whole progressive JPEG fails the job; a null one gives nulls; a file that encode()
+    hasn't made has no payload (null). Repeated rows are decoded each; other columns aren't read; an empty
+    table gives no rows.
     """
     kind = dict(media.dtypes)["doc_id"]
 

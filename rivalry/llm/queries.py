@@ -25,14 +25,13 @@ def tokenizer(name: str) -> str:
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what is read back from the stored media and from the stored payloads and tensors."""
+    """The stored media are read back and decoded; the result stores the full-resolution RGB tensors beside the digests."""
     stored = written(media.encode_texts(table(spark, sf_dir, "documents")), "op1-media")
-    rows = written(media.decode_media(stored), "op1-tensors")
     payload, tail = F.col("payload"), F.expr("substring(payload, -16, 16)")
-    return rows.select(
+    return media.decode_media(stored).select(
         "doc_id", "n_bytes", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_sha256"),
         F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        "feature", "height", "width",
+        "feature", "height", "width", "rgb",
     )
 
 

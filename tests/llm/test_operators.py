@@ -77,7 +77,7 @@ def test_media_round_trip(spark, docs, none):
 
 def test_media_is_a_jpeg_that_other_readers_take(spark, tmp_path):
     rng = random.Random(1)
-    files = media.encode([bytes(rng.randrange(90, 103) for _ in range(192 * n)) for n in (1, 7, 300)])
+    files = media.encode([bytes(rng.choice(b"etaoins") for _ in range(192 * n)) for n in (1, 7, 300)])
     for i, f in enumerate(files):
         (tmp_path / f"{i}.jpg").write_bytes(f)
     got = spark.read.format("image").load(str(tmp_path)).select("image.origin", "image.width", "image.height", "image.data").collect()
@@ -87,7 +87,8 @@ def test_media_is_a_jpeg_that_other_readers_take(spark, tmp_path):
         own = media.rgb(frame, media.samples([frame], media.coefficients([frame]))[0]).astype(int)
         other = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)[:, :, ::-1].astype(int)
         assert own.shape == other.shape
-        assert np.abs(own.mean((0, 1)) - other.mean((0, 1))).max() < 3  # the other reader smooths chroma
+        luma = np.array([0.299, 0.587, 0.114])
+        assert np.abs(own @ luma - other @ luma).max() < 4  # the other reader smooths chroma, which leaves brightness
 
 
 def test_media_refuses_other_files():

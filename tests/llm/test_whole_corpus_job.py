@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from rivalry.llm import queries
-from rivalry.llm.common import shared_dir
+from rivalry.llm import media, queries
+from rivalry.llm.common import scratch_dir
 
 
 @pytest.mark.parametrize("pipeline", [False, True])
@@ -53,13 +53,47 @@ def test_every_part_of_a_url_is_judged(spark, tmp_path):
     assert got == dict(enumerate(cases.values()))
 
 
-def test_media_and_tensors_are_stored(spark, tmp_path):
-    spark.createDataFrame([(0, "some text"), (1, ""), (2, "x" * 3000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    folder = Path(shared_dir(spark).removeprefix("file://"))
+def plain_tensor(payload):
+    """The RGB tensor of a payload, without any JPEG: blocks of coefficients, inverse transform, repeated chroma, colours."""
+    mcus = -(-len(payload) // 384)
+    cols = min(mcus, max(64, -(-mcus // 4000)))
+    rows = -(-mcus // cols)
+    v = np.zeros(rows * cols * 384)
+    v[: len(payload)] = media._TO[np.frombuffer(payload, np.uint8)]
+    zigzag = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))
+    basis = np.array([[np.cos((2 * i + 1) * k * np.pi / 16) * (np.sqrt(1 / 8) if k == 0 else 0.5) for k in range(8)] for i in range(8)])
+    planes, at = [], 0
+    for k in (2, 1, 1):
+        plane = np.zeros((rows * k * 8, cols * k * 8))
+        for y in range(rows * k):
+            for x in range(cols * k):
+                block = np.zeros((8, 8))
+                for c, (i, j) in zip(v[at : at + 64], zigzag, strict=True):
+                    block[i, j] = c
+                plane[8 * y : 8 * y + 8, 8 * x : 8 * x + 8] = basis @ block @ basis.T
+                at += 64
+        planes.append(np.clip(np.round(plane + 128), 0, 255))
+    luma, cb, cr = planes[0], *(np.kron(p, np.ones((2, 2))) - 128 for p in planes[1:])
+    rgb = np.stack((luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb), 2)
+    return np.clip(np.round(rgb), 0, 255).astype(int)
+
+
+def test_media_are_stored_and_tensors_returned(spark, tmp_path):
+    texts = ["some text", "", "x" * 3000, None, "Ünï \x00\x7f" * 90, " ".join(map(str, range(9000)))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(scratch_dir(spark).removeprefix("file://"))
     seen = set(folder.glob("op1-*"))
     got = {r.doc_id: r for r in queries.op1_progressive_jpeg(spark, str(tmp_path)).collect()}
-    new = {p.name.rsplit("-", 1)[0]: str(p) for p in set(folder.glob("op1-*")) - seen}
-    assert set(new) == {"op1-media", "op1-tensors"}
-    assert {r.doc_id: hashlib.sha256(r.media).hexdigest() for r in spark.read.parquet(new["op1-media"]).collect()} == {i: r.media_sha256 for i, r in got.items()}
-    for r in spark.read.parquet(new["op1-tensors"]).collect():
-        assert len(r.rgb) == 3 * r.height * r.width and got[r.doc_id].feature.endswith(f"{zlib.crc32(r.rgb):08x}")
+    new = [str(p) for p in set(folder.glob("op1-*")) - seen]
+    assert len(new) == 1 and len(got) == len(texts)
+    assert {r.doc_id: hashlib.sha256(r.media).hexdigest() for r in spark.read.parquet(*new).collect()} == {i: r.media_sha256 for i, r in got.items()}
+    for i, r in got.items():
+        text = (texts[i] or "").encode()
+        payload = text + b" " * (max(192, -(-len(text) // 192) * 192) - len(text))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(text), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-16:]) and len(r.rgb) == 3 * r.height * r.width
+        assert r.feature.startswith(f"{r.height}x{r.width}:") and r.feature.endswith(f"{zlib.crc32(r.rgb):08x}")
+        if len(text) < 5000:
+            own = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3).astype(int)
+            want = plain_tensor(payload)
+            assert own.shape == want.shape and np.abs(own - want).max() <= 2 and (own == want).mean() > 0.85  # whole numbers are rounded once more
