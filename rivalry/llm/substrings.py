@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -40,15 +41,18 @@ class Graph:
             at[i : i + (1 << 16)] = own + ahead[own].argmin(1)
         self.pos, self.of_window = np.unique(at, return_inverse=True)
         self.hash, self.text = kmers[self.pos], text[self.pos]
-        span = np.zeros(len(self.pos), np.int64)
-        span[:-1] = np.where(self.text[1:] == self.text[:-1], self.pos[1:] - self.pos[:-1] + node, 0)
         self.edge = np.zeros(len(self.pos), np.uint64)  # 0: no next node
-        factor = 1
-        for j in range(int(span.max(initial=0))):
-            on = span > j
-            self.edge[on] += h[self.pos[on] + j] * np.uint64(factor)
-            factor = factor * _STEP % (1 << 64)
-        self.edge = np.where(span > 0, mix(self.edge ^ span.astype(np.uint64)) | np.uint64(1), np.uint64(0))
+        for i in np.flatnonzero(self.text[1:] == self.text[:-1]).tolist():
+            self.edge[i] = self.digest(int(self.pos[i]), int(self.pos[i + 1]) + node)
+
+    def digest(self, lo: int, hi: int) -> int:
+        """A hash of the words lo:hi themselves (their bytes at the source coordinates), never 0."""
+        w = self.words
+        starts, ends = w.starts[lo:hi], w.ends[lo:hi]
+        text = w.data[starts[0] : ends[-1]]
+        if ((starts[1:] - ends[:-1]) != 1).any() or b"\n" in text or b"\t" in text:
+            text = b" ".join([w.data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
+        return xxhash.xxh3_64_intdigest(text) | 1
 
     def before(self) -> np.ndarray:
         """The edge that leads to each node; 0 at the first of a text."""
@@ -93,33 +97,35 @@ def _graph_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _edges(docs: DataFrame, window: int) -> DataFrame:
-    """docs (key, text, nodes, flags): rows (h1, h2, key, run, known); run is start + (windows << 32).
+    """docs (key, text, nodes, paths, steps): rows (h1, h2, key, run, known); run is start + (windows << 32).
 
-    flags of a repeated node: 1 if one edge leads to it everywhere, 2 if one edge leaves it everywhere. Two
-    nodes in line of which the first has 2 and the second 1 are one path wherever they occur, so every
-    window inside a compacted path is known to repeat. Windows with a repeated node outside such paths are
-    rows of their own; those that a batch holds more than once are known too, and one row stands for them.
+    A repeated node has its compacted path and its step in it. Nodes in line with one path and steps in line
+    are one path wherever they occur, so every window inside it is known to repeat. Windows with a repeated
+    node outside such paths are rows of their own; those that a batch holds more than once are known too,
+    and one row stands for them.
     """
 
     def rows(batches):
         for batch in batches:
             texts = [t.encode() for t in batch.column("text").to_pylist()]
-            nodes, flags = batch.column("nodes").to_pylist(), batch.column("flags").to_pylist()
+            nodes, paths, steps = (batch.column(c).to_pylist() for c in ("nodes", "paths", "steps"))
             ids = np.asarray(batch.column("key").to_pylist(), np.int64)
             for a, b in chunks(texts, 4 << 20):
                 g = Graph(texts[a:b], window)
                 if not len(g.pos):
                     continue
-                state = np.full(len(g.pos), -1, np.int64)
+                path_of, step_of = np.zeros(len(g.pos), np.int64), np.full(len(g.pos), -1, np.int64)
                 hashes = _longs(g.hash)
                 ends = np.searchsorted(g.text, np.arange(b - a + 1))
                 for i in range(b - a):
-                    own = dict(zip(nodes[a + i], flags[a + i], strict=True))
-                    state[ends[i] : ends[i + 1]] = [own.get(x, -1) for x in hashes[ends[i] : ends[i + 1]].tolist()]
-                seen = state >= 0
+                    own = dict(zip(nodes[a + i], zip(paths[a + i], steps[a + i], strict=True), strict=True))
+                    got = [own.get(x, (0, -1)) for x in hashes[ends[i] : ends[i + 1]].tolist()]
+                    if got:
+                        path_of[ends[i] : ends[i + 1]], step_of[ends[i] : ends[i + 1]] = np.array(got, np.int64).T
+                seen = step_of >= 0
                 # compacted paths: first and last node of each node's path
                 tied = np.zeros(len(seen), bool)
-                tied[1:] = seen[1:] & seen[:-1] & (g.text[1:] == g.text[:-1]) & ((state[:-1] & 2) > 0) & ((state[1:] & 1) > 0)
+                tied[1:] = seen[1:] & seen[:-1] & (g.text[1:] == g.text[:-1]) & (path_of[1:] == path_of[:-1]) & (step_of[1:] == step_of[:-1] + 1)
                 path = np.cumsum(~tied) - 1
                 low = g.pos[~tied]
                 high = g.pos[np.concatenate((np.flatnonzero(~tied)[1:], [len(tied)])) - 1] + NODE
@@ -139,7 +145,8 @@ def _edges(docs: DataFrame, window: int) -> DataFrame:
                     h2 += mix(x) * np.uint64(f2)
                     f1, f2 = f1 * _STEP % (1 << 64), f2 * 0xA0761D6478BD642F % (1 << 64)
                 h1, h2 = mix(h1), mix(h2)
-                _, first, back, count = np.unique(h1, return_index=True, return_inverse=True, return_counts=True)
+                both = np.stack((h1, h2), 1).view("u8,u8").ravel()
+                _, first, back, count = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
                 known[open_[count[back] > 1]] = True
                 doc = g.words.text[start]
                 offset = g.words.first[doc]
@@ -163,7 +170,7 @@ def _edges(docs: DataFrame, window: int) -> DataFrame:
                     ["h1", "h2", "key", "run", "known"],
                 )
 
-    return docs.select("key", "text", "nodes", "flags").mapInArrow(rows, "h1 long, h2 long, key long, run long, known boolean")
+    return docs.select("key", "text", "nodes", "paths", "steps").mapInArrow(rows, "h1 long, h2 long, key long, run long, known boolean")
 
 
 def _cut(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
@@ -198,6 +205,29 @@ def _cut(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     return docs.select("doc_id", "text", "copies", "runs").mapInArrow(rows, kind + ", kept_text string" * with_text)
 
 
+def compacted(nodes: DataFrame) -> DataFrame:
+    """nodes (node, into, out_of) -> rows (node, path, step): nonbranching paths and the place of each node in its path.
+
+    into and out_of are the one edge that leads to or from a node everywhere, or 0. An edge that is both the
+    only way out of one node and the only way into another ties the two. Pointers to the node before are
+    doubled by joins until all point to the first of their path, in as many rounds as the logarithm of the
+    longest path. A text's first node has no way into it, so that paths can't be rings.
+    """
+    back = nodes.where("into <> 0").select("node", F.col("into").alias("edge"))
+    tied = back.join(nodes.where("out_of <> 0").select(F.col("out_of").alias("edge"), F.col("node").alias("to")), "edge")
+    at = nodes.select("node").join(tied.select("node", "to"), "node", "left")
+    at = at.select("node", F.coalesce("to", "node").alias("path"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("step"))
+    at = written(at, "substrings-paths")
+    while True:
+        ends = at.where("step > 0").select(F.col("node").alias("path"), F.col("path").alias("far"), F.col("step").alias("more"))
+        doubled = at.where("step > 0").join(ends, "path", "left")
+        doubled = doubled.select("node", F.coalesce("far", "path").alias("path"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"), F.col("far").isNotNull().alias("moved"))
+        doubled = written(doubled, "substrings-doubled")
+        if doubled.where("moved").isEmpty():
+            return at
+        at = at.where("step = 0").union(doubled.drop("moved"))
+
+
 def remove_repeats(
     docs: DataFrame, window: int = 35, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -205,34 +235,36 @@ def remove_repeats(
 
     1. Texts with equal words are one class; only one of them goes on, and all of a class of two or more
     are repeated. 2. Each window of `window` words has its smallest NODE-mer as node; nodes met once are
-    dropped. 3. Repeated nodes learn by a join whether the edges to and from them branch; nonbranching
-    paths are compacted to runs of windows known to repeat. 4. The other windows of repeated nodes are counted
-    by a 128-bit hash and the repeated ones go back to their source coordinates. Map tasks combine equal
-    windows of a batch first, so that a passage of a third of all texts is a few rows for each task.
+    dropped. 3. An edge is a hash of the words from one node to the next, read at their source coordinates.
+    Repeated nodes learn whether the edges to and from them branch, and compacted() joins nonbranching paths
+    to runs of windows known to repeat. 4. The other windows of repeated nodes are counted by a 128-bit hash
+    of their words and the repeated ones go back to their source coordinates. Map tasks combine equal windows
+    of a batch first, so that a passage of a third of all texts is a few rows for each task; what is joined
+    on a node or class is written before, so that a frequent one can be split among tasks.
 
-    A null or empty text has no words; a text under `window` words loses nothing; repeated rows are copies
-    of each other; overlapping runs count once; other columns are not read; an empty table gives no rows.
+    A null or empty text has no words; a text under `window` words loses nothing; a very long one is one task's
+    work; repeated rows are copies of each other; overlapping runs count once; other columns, whatever their
+    names, are not read; null ids are kept; an empty table gives no rows.
     """
     if window < NODE + 1:
         raise ValueError(f"window must be over {NODE}")
-    spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     graph = written(_graph_rows(rows, window), "substrings-graph")
-    classes = graph.groupBy("k1", "k2", "n_words").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
-    of_class = graph.select("key", "k1", "k2", "n_words").distinct().join(classes, ["k1", "k2", "n_words"])
-    of_class = written(of_class.select("key", "rep", "copies"), "substrings-classes")
-    reps = graph.join(of_class.where("key = rep").select("key"), "key", "left_semi").dropDuplicates(["key"])
-    met = reps.where(F.size("node") > 0).select("key", F.inline(F.arrays_zip("node", "before", "after")))
-    many = met.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    classes = graph.groupBy("k1", "k2", "n_words").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    classes = written(classes, "substrings-copied")
+    of_class = graph.select("key", "k1", "k2", "n_words").join(classes, ["k1", "k2", "n_words"])
+    of_class = written(of_class.select("key", "rep", "copies").distinct(), "substrings-classes")
+    reps = graph.join(of_class.where("key <> rep").select("key"), "key", "left_anti")
+    met = reps.where(F.size("node") > 0).dropDuplicates(["key"]).select("key", F.inline(F.arrays_zip("node", "before", "after")))
+    many = written(met.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "substrings-many")
     met = written(met.join(many, "node"), "substrings-nodes")
-    branch = met.groupBy("node").agg(
-        (F.when((F.min("before") == F.max("before")) & (F.min("before") != 0), 1).otherwise(0)
-         + F.when((F.min("after") == F.max("after")) & (F.min("after") != 0), 2).otherwise(0)).alias("flag")
-    )
-    listed = met.select("key", "node").distinct().join(branch, "node").groupBy("key").agg(F.collect_list(F.struct("node", "flag")).alias("own"))
-    listed = written(listed.select("key", F.col("own.node").alias("nodes"), F.col("own.flag").alias("flags")), "substrings-listed")
-    edges = _edges(rows.join(listed, "key").select("key", "text", "nodes", "flags"), window)
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(0)
+    paths = compacted(written(met.groupBy("node").agg(one("before").alias("into"), one("after").alias("out_of")), "substrings-branches"))
+    listed = met.select("key", "node").join(paths, "node").groupBy("key").agg(F.collect_set(F.struct("node", "path", "step")).alias("own"))
+    listed = listed.select("key", F.col("own.node").alias("nodes"), F.col("own.path").alias("paths"), F.col("own.step").alias("steps"))
+    listed = written(listed, "substrings-listed")
+    edges = _edges(rows.join(listed, "key").select("key", "text", "nodes", "paths", "steps"), window)
     counted = edges.withColumn("n", F.count("*").over(W.partitionBy("h1", "h2"))).where("known or n > 1")
     runs = counted.groupBy("key").agg(F.collect_list("run").alias("runs"))
-    copies = of_class.select("key", "copies")
-    return _cut(rows.join(copies, "key", "left").join(runs, "key", "left"), window, with_text)
+    rows = rows.join(of_class.select("key", "copies"), "key", "left").join(runs, "key", "left")
+    return _cut(rows.withColumn("copies", F.coalesce("copies", F.lit(1))), window, with_text)

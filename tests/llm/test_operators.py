@@ -436,6 +436,32 @@ def test_repeats_against_brute_force(docs, none, spark):
     assert substrings.remove_repeats(spark.createDataFrame([(1, one)], "doc_id long, text string")).first().n_removed == 100
 
 
+def test_paths_are_compacted_by_doubling(spark):
+    """A path of 37 nodes, one of 2, a lone node and a branching one."""
+    rows = [(i, 100 + i if i else 0, 101 + i) for i in range(37)] + [(50, 0, 7), (51, 7, 0), (60, 0, 0), (70, 0, 900), (71, 0, 900)]
+    got = substrings.compacted(spark.createDataFrame(rows, "node long, into long, out_of long")).collect()
+    assert {r.node: (r.path, r.step) for r in got} == {i: (0, i) for i in range(37)} | {50: (50, 0), 51: (50, 1), 60: (60, 0), 70: (70, 0), 71: (71, 0)}
+
+
+def test_long_shared_passages_between_other_words(spark):
+    """Passages of 40 to 400 words that overlap, in other surroundings and white space."""
+    rng = random.Random(21)
+    long = words(rng, 600, 10**6)
+    texts = []
+    for i in range(40):
+        a, n = rng.randrange(200), rng.randrange(20, 400)
+        w = words(rng, rng.randrange(50), 10**6) + long[a : a + n] + words(rng, rng.randrange(50), 10**6)
+        texts.append(rng.choice((" ", "\n", " \t ")).join(w))
+    own = [WORD.findall(t) for t in texts]
+    count = Counter(tuple(w[i : i + 35]) for w in own for i in range(len(w) - 34))
+    want = {}
+    for k, w in enumerate(own):
+        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want[k] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 35, with_text=True)
+    assert {r.doc_id: r.kept_text for r in got.collect()} == want
+
+
 def test_archives(spark, none):
     texts = ["<p>a</p>", None, "", "<p>a</p>", "é" * 4000, "WARC/1.1\r\n\r\nx", "line\r\n\r\n\r\nHTTP/1.1", "<p>a</p>", "odd"]
     rows = [(i, None if i == 3 else f"http://h/{i} x\n", t) for i, t in enumerate(texts)] + [(7, "http://h/7", "<p>a</p>"), (None, "u", "<p>a</p>"), (None, "u", "only")]
