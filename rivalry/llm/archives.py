@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm.common import shared_dir
+from rivalry.llm.common import scratch_path, written
 
-#: Records of one WARC file, which one task reads at a time.
-FILE_RECORDS = 2000
+#: A WARC file is closed once it holds so many bytes of records, so it exceeds them by one record at most.
+FILE_BYTES = 16 << 20
 END = "\r\n\r\n"
 #: Fields of an ARC header line after the address, by version of the archive.
 FIELDS = {
@@ -52,8 +52,14 @@ def arc_file(entries: Iterable[tuple[str, str, str, bytes]], version: int = 1, n
 
 
 def arc_records(data: bytes) -> Iterator[dict]:
-    """Records of an ARC archive. The version line names the header fields; declared lengths bound the content."""
-    at, fields = 0, FIELDS[b"1"]
+    """Records of an ARC archive. The version block, its first record, names the header fields; declared lengths bound the content."""
+    at, fields, version_block = 0, FIELDS[b"1"], data.startswith(b"filedesc:")
+    if version_block:
+        start = data.find(b"\n") + 1
+        version = data[start : start + 1]
+        if version not in FIELDS:
+            raise ValueError("an ARC archive of an unknown version")
+        fields = FIELDS[version]
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
@@ -62,9 +68,6 @@ def arc_records(data: bytes) -> Iterator[dict]:
         if not line.strip():
             at = end + 1
             continue
-        if line.startswith(b"filedesc:"):
-            start = end + 1
-            fields = FIELDS[data[start : start + 1]]
         parts = line.decode("utf-8", "replace").rsplit(" ", len(fields))
         head = dict(zip(("url", *fields), parts, strict=True))
         size = int(head["length"])
@@ -72,8 +75,9 @@ def arc_records(data: bytes) -> Iterator[dict]:
         if size < 0 or len(content) != size:
             raise ValueError("an ARC record is shorter than its declared length")
         at = end + 1 + size
-        if not line.startswith(b"filedesc:"):
+        if not version_block:
             yield head | {"content": content}
+        version_block = False
 
 
 def http_parts(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -85,7 +89,7 @@ def http_parts(content: bytes) -> tuple[dict[str, str], bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in lines}, payload
 
 
-def warc_record(arc: dict, key: str, refers_key: str | None = None) -> str:
+def warc_record(arc: dict, key: str, refers_key: str | None = None) -> bytes:
     """The WARC record of an ARC one: synthesised id, timestamp, type and digests. A revisit keeps the HTTP header only."""
     content, date = arc["content"], arc["date"]
     http, payload = http_parts(content)
@@ -102,7 +106,7 @@ def warc_record(arc: dict, key: str, refers_key: str | None = None) -> str:
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: {record_id(refers_key)}",
         ]
-    return "\r\n".join(head) + END + block.decode("utf-8", "surrogateescape")
+    return ("\r\n".join(head) + END).encode() + block + END.encode()
 
 
 def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,48 +130,53 @@ def warc_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], by
 def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the largest page_id of those with an equal payload of `least` bytes or more.
 
-    Payloads are grouped by SHA-1 and size; the groups are aggregated before they meet the pages again.
+    Payloads are grouped by SHA-1 and size. Only groups of two or more, a digest and an id each, are written
+    and meet the pages again, in a join of plain exchanges that splits a frequent payload among tasks.
     """
     keyed = pages.withColumns({"sha": F.sha1("html"), "size": F.octet_length("html")})
     groups = keyed.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n"))
     groups = groups.where("n > 1 and kept is not null").select(F.col("sha").alias("s"), F.col("size").alias("z"), "kept")
-    joined = keyed.join(groups, (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z")), "left")
+    joined = keyed.join(written(groups, "warc-copies"), (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z")), "left")
     other = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     return joined.select("page_id", "url", "html", F.when(other, F.col("kept")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "20000101000000") -> None:
-    """Put pages (page_id, url, html, refers_to) through ARC archives of either version and write gzipped WARC files."""
+def write_archives(pages: DataFrame, path: str, date: str = "20000101000000", file_bytes: int = FILE_BYTES) -> None:
+    """Put pages (page_id, url, html, refers_to) through ARC archives of either version and write WARC files.
+
+    A file is a row of records, a gzip member each, that Spark's text writer puts down as it is; the byte
+    that the writer adds at the end is zero, which gzip takes as padding.
+    """
 
     def convert(batches):
+        held, size = [], 0
         for batch in batches:
-            ids, urls, pages_, refs = (batch.column(i).to_pylist() for i in range(4))
-            entries: tuple[list, list] = ([], [])
-            keys: tuple[list, list] = ([], [])
-            for i, url, html, ref in zip(ids, urls, pages_, refs, strict=True):
+            for i, url, html, ref in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 payload = html.encode()
                 no = "" if i is None else str(i)
                 about = f"X-Page-Id: {no}\r\n" + ("" if ref is None else f"X-Refers-To-Page-Id: {ref}\r\n")
                 content = (
                     f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{about}Content-Length: {len(payload)}\r\n\r\n"
                 ).encode() + payload
-                half = len(payload) % 2  # both versions of the format are met
-                entries[half].append((url, date, "text/html", content))
-                keys[half].append((f"page:{no}", None if ref is None else f"page:{ref}"))
-            out = []
-            for half in (0, 1):
-                archive = arc_file(entries[half], half + 1)
-                out += [warc_record(r, *k) for r, k in zip(arc_records(archive), keys[half], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_string()).cast(pa.string())], ["value"])
+                archive = arc_file([(url, date, "text/html", content)], 1 + len(payload) % 2)  # both versions are met
+                for record in arc_records(archive):
+                    held.append(gzip.compress(warc_record(record, f"page:{no}", None if ref is None else f"page:{ref}"), 6, mtime=0))
+                    size += len(held[-1])
+                if size >= file_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["value"])
 
-    rows = pages.select("page_id", "url", "html", "refers_to").mapInArrow(convert, "value string")
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows = pages.select("page_id", "url", "html", "refers_to").mapInArrow(convert, "value binary")
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to, record_id) of the WARC files at path.
 
-    The payload of a response is digested again and must agree with its header.
+    The payload of a response is digested again and must agree with its header. Records are decompressed one
+    by one; a file is as large as write_archives() makes it.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"]
 
@@ -188,7 +197,7 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> Data
                 kinds = [pa.string(), pa.int64(), *[pa.string()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
     out = files.mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string")
     return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
@@ -196,14 +205,16 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> Data
 def convert_pages(pages: DataFrame, least: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page, from WARC files that were converted from ARC archives of the pages.
 
-    A null html is an empty payload. Of equal payloads of `least` bytes or more the largest page_id is the
-    response and the others revisit it; rows that repeat that id are responses too. Null ids stay null and
-    revisit an equal page that has an id. Other columns are not read; an empty table gives no rows.
+    A null html is an empty payload, a null url an address of "-". Of equal payloads of `least` bytes or more
+    the largest page_id is the response and the others revisit it; rows that repeat that id are responses
+    too. Null ids stay null and revisit an equal page that has an id. A url may hold anything, header words
+    of the format included; a very long page is a file of its own. Other columns, whatever their names, are
+    not read; an empty table gives no rows.
     """
     spark = pages.sparkSession
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     )
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     write_archives(with_revisits(rows, least), path)
     return read_archives(spark, path, dict(rows.dtypes)["page_id"])

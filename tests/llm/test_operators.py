@@ -1,6 +1,7 @@
 """The corpus operators on hand-made rows: null, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -465,7 +466,9 @@ def test_long_shared_passages_between_other_words(spark):
 def test_archives(spark, none):
     texts = ["<p>a</p>", None, "", "<p>a</p>", "é" * 4000, "WARC/1.1\r\n\r\nx", "line\r\n\r\n\r\nHTTP/1.1", "<p>a</p>", "odd"]
     rows = [(i, None if i == 3 else f"http://h/{i} x\n", t) for i, t in enumerate(texts)] + [(7, "http://h/7", "<p>a</p>"), (None, "u", "<p>a</p>"), (None, "u", "only")]
-    got = archives.convert_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    rows += [(20, "filedesc://x 1 2", "H"), (21, "filedesc:", "1"), (22, "WARC/1.1\r\n\r\n", "x" * 3_000_000), (23, "", "\u2028\0")]
+    wide = [(*r, "s", 1, "v", "k") for r in rows]  # columns with the names that the operator uses
+    got = archives.convert_pages(spark.createDataFrame(wide, "page_id long, url string, html string, sha string, size int, value string, kept string")).collect()
     assert len(got) == len(rows)
     last = {}
     for i, _, t in rows:
@@ -497,4 +500,19 @@ def test_arc_headers_by_version(version):
     with pytest.raises(ValueError):
         list(archives.arc_records(archives.arc_file(entries, version)[:-20]))
     record = archives.warc_record(got[0], "k")
-    assert "WARC-Date: 2001-02-03T04:05:06Z" in record and "WARC-Type: response" in record
+    assert b"WARC-Date: 2001-02-03T04:05:06Z" in record and b"WARC-Type: response" in record
+    with pytest.raises(ValueError):
+        list(archives.arc_records(b"filedesc://x 0.0.0.0 20000101000000 text/plain 9\n7 0 other\n\n"))
+
+
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(i, f"http://h/{i}", "".join(rng.choices("abcdefgh", k=rng.randrange(4000))), None) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to long").coalesce(2)
+    archives.write_archives(pages, str(tmp_path / "w"), file_bytes=20_000)
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("*.txt")]
+    assert len(files) > 10 and max(map(len, files)) < 20_000 + 4_000
+    back = [gzip.decompress(f) for f in files]
+    assert sum(f.count(b"WARC/1.1\r\n") for f in back) == 300
+    assert sum(f.count(b"\x1f\x8b\x08") for f in files) >= 300  # a member for each record
+    assert archives.read_archives(spark, str(tmp_path / "w")).count() == 300
