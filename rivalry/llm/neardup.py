@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.llm.common import components, id_and_text, written
+from rivalry.llm.common import components, id_and_text, without, written
 from rivalry.llm.words import Words, chunks, mix, windows
 
 #: Each permutation gives two signature values: its minimum and its maximum.
@@ -53,6 +53,10 @@ def band_keys(sets: list[np.ndarray], permutations: int = PERMUTATIONS, band: in
     return np.stack(keys, 1)
 
 
+def _id(df: DataFrame) -> str:
+    return dict(df.dtypes)["doc_id"]
+
+
 def signatures(docs: DataFrame, size: int, permutations: int = PERMUTATIONS, band: int = BAND) -> DataFrame:
     """Rows (doc_id, n_shingles, key1, key2, bands): keys are equal for equal sets; no bands for empty sets."""
 
@@ -74,7 +78,7 @@ def signatures(docs: DataFrame, size: int, permutations: int = PERMUTATIONS, ban
                 ["doc_id", "n_shingles", "key1", "key2", "bands"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>")
+    return docs.mapInArrow(sign, f"doc_id {_id(docs)}, n_shingles long, key1 long, key2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -87,7 +91,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingles(texts[a:b], size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "set"])
 
-    return docs.mapInArrow(full, "doc_id long, set binary")
+    return docs.mapInArrow(full, f"doc_id {_id(docs)}, set binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -106,7 +110,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(confirm, f"a {_id(sets)}, b {_id(sets)}")
 
 
 def _profiles(sets: DataFrame) -> DataFrame:
@@ -116,7 +120,8 @@ def _profiles(sets: DataFrame) -> DataFrame:
         for batch in batches:
             for key, value in zip(batch.column(0), batch.column(1), strict=True):
                 h = np.frombuffer(value.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), key.as_py(), np.int64)), pa.array(h)], ["doc_id", "shingle"])
+                own = pa.array([key.as_py()], key.type).take(pa.array(np.zeros(len(h), np.int64)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(h)], ["doc_id", "shingle"])
 
     def count(batches):
         for batch in batches:
@@ -128,38 +133,44 @@ def _profiles(sets: DataFrame) -> DataFrame:
                 out.append(np.bincount((h.view(np.uint64) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "profile"])
 
-    each = sets.mapInArrow(members, "doc_id long, shingle long")
+    each = sets.mapInArrow(members, f"doc_id {_id(sets)}, shingle long")
     held = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1")
     own = held.groupBy("doc_id").agg(F.collect_list("shingle").alias("own"))
-    return sets.join(own, "doc_id", "left").select("doc_id", "set", "own").mapInArrow(count, "doc_id long, profile array<int>")
+    return sets.join(own, "doc_id", "left").select("doc_id", "set", "own").mapInArrow(count, f"doc_id {_id(sets)}, profile array<int>")
 
 
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, band: int = BAND, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id, kept) per row of docs; doc_id is an integer.
+    """One row (doc_id, n_shingles, component_id, kept) per row of docs; doc_id is of any type with an order.
 
     1. Documents with equal sets form a class, which its smallest doc_id stands for.
     2. Classes meet in the buckets of the bands of their min-max signatures. Two star rounds confirm each
        class against the smallest, then the largest, of each of its buckets on full sets, and join what is
        linked into components. 3. Every pair of a bucket that lies in two components is then confirmed, so
-       each candidate pair is either confirmed, refused, or already connected; nothing is capped.
-
-    A text without words is linked with nothing; fewer than `size` words count as one shingle; rows with a
-    null id get a component of null and are kept; rows that repeat a doc_id with equal sets count as one class.
+       each candidate pair is either confirmed, refused, or already connected; nothing is capped. What is
+       joined on a class or bucket is written before, so that a frequent one can be split among tasks.
+
+    A text without words is linked with nothing, as is a null one; fewer than `size` words count as one
+    shingle; a very long text is one task's work; rows with a null id get a component of null and are kept;
+    rows that repeat a doc_id are one document, and where their texts differ the links of the id are
+    confirmed on the text whose set comes last in byte order; ties don't arise, since components have a
+    smallest id; other columns, whatever their names, are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col)
     signed = written(signatures(docs, size, permutations, band), "neardup-signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("key1", "key2", "n_shingles").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
+    classes = full.groupBy("key1", "key2", "n_shingles").agg(F.min("bands").alias("bands"), F.min("doc_id").alias("rep"))
+    classes = written(classes, "neardup-classes")
     buckets = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    buckets = written(buckets.join(shared.select("bucket"), "bucket"), "neardup-buckets")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    buckets = written(buckets.join(written(shared, "neardup-shared"), "bucket"), "neardup-buckets")
     near = (F.least("n", "m") * 100) >= (F.greatest("n", "m") * percent)  # sizes bound the similarity
 
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(_sets(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size), "neardup-sets")
+    sets = _sets(docs.join(ids, "doc_id", "left_semi"), size)
+    sets = written(sets.groupBy("doc_id").agg(F.max("set").alias("set")), "neardup-sets")
     member = buckets.select("rep").distinct().withColumn("comp", F.col("rep"))
     links, tried, own = None, None, None
     for stage in ("first", "best", "rest"):
@@ -200,7 +211,7 @@ def near_duplicates(
         member = member.select("rep", F.coalesce("component", "rep").alias("comp"))
     # classes are found by smallest doc_id; the component of a class is that of its members
     named = classes.select("key1", "key2", F.col("n_shingles").alias("n"), "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("key1", "key2", "n", F.coalesce("component", "rep").alias("component"))
+    named = written(named.select("key1", "key2", "n", F.coalesce("component", "rep").alias("component")), "neardup-named")
     same = (signed.key1 == named.key1) & (signed.key2 == named.key2) & (signed.n_shingles == named.n)
     out = signed.join(named, same & (signed.n_shingles > 0) & signed.doc_id.isNotNull(), "left")
     component = F.coalesce("component", "doc_id").alias("component_id")
@@ -210,7 +221,10 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component; rows with a null id stay."""
+    """docs with one document of each component, the one with the smallest id.
+
+    Rows with a null id, or a null or empty text, stay; rows that repeat an id stay or go together; all
+    columns stay, whatever their names; an empty table gives no rows.
+    """
     gone = near_duplicates(docs, size, percent, id_col=id_col, text_col=text_col).where("not kept")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without(docs, gone.select("doc_id"), id_col)

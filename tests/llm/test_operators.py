@@ -146,6 +146,11 @@ def test_near_duplicates_of_nothing(none, spark):
     got = {r.doc_id: (r.component_id, r.kept) for r in neardup.near_duplicates(odd).collect()}
     assert got == {None: (None, True), 1: (1, True), 2: (1, False)}
     assert neardup.drop_near_duplicates(odd).count() == 2
+    named = odd.where("doc_id is not null").select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(1).alias("gone"), F.lit(2).alias("rep"))
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(named).collect()} == {"d1": "d1", "d2": "d1"}
+    assert [tuple(r) for r in neardup.drop_near_duplicates(named).collect()] == [("d1", "a b c d e f", 1, 2)]
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "g h i j k l m")], "doc_id long, text string")
+    assert sorted(neardup.near_duplicates(twice, 5, 60).collect()) == sorted(neardup.near_duplicates(twice, 5, 60).collect())
 
 
 BASE = {
