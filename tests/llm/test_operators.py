@@ -197,9 +197,31 @@ def test_weak_parts_need_their_complement(spark, none):
     assert got[1].spans.split(",")[0].startswith("ident:0:11")
     clean = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert clean[1] == "[REDACTED] then [REDACTED]" and clean[2] == rows[1][1]
+    wide = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS spans", "2 AS span_doc", "3 AS start", "4 AS `end`")
+    assert {r.doc_id: (r.text, r.spans, r.end) for r in secrets.redact(wide).collect()} == {k: (v, 1, 4) for k, v in clean.items()}
     assert secrets.scan_secrets(none).count() == 0 and secrets.redact(none).count() == 0
 
 
+def test_dense_secrets_in_long_texts(spark):
+    """Thousands of spans in one text, redacted across blocks of characters, in texts beyond one byte a character."""
+    rng = random.Random(17)
+    rows, want = [], {}
+    for i, n in enumerate((0, 1, 100, 128, 129, 400, 9000)):
+        parts, clean = [], []
+        for k in range(n):
+            gap = " " + "".join(rng.choices("xyzé\U0001f600 ", k=rng.randrange(80))) + " "
+            value = f"password=hunter{k:06d}"
+            parts += [gap, value]
+            clean += [gap, "[REDACTED]"]
+        rows.append((i, "".join(parts)))
+        want[i] = "".join(clean)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.text for r in secrets.redact(d).collect()} == want
+    for r in secrets.scan_secrets(d).collect():
+        spans = [m.span() for m in re.finditer("password=hunter[0-9]+", rows[r.doc_id][1])]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"assign:{a}:{b}" for a, b in spans).encode()).hexdigest()
+
+
 def test_leaks(spark, none):
     rng = random.Random(8)
     items = [words(rng, n, 10**5) for n in (60, 20, 9, 5)]
