@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
@@ -12,16 +13,16 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.llm.common import id_and_text, written
+from rivalry.llm.common import id_and_text, without, written
 
 #: Labelled rows that are learned from, at most; taken in the order of a hash of doc_id.
 TRAIN_ROWS = 8000
-#: Terms and stems of the lexicon, at most.
-TERMS = 2000
 #: A stem is the first letters of several terms.
 STEM_LENGTHS = (4, 5, 6)
-#: Words beside a hit that tell quotation or address.
-WINDOW = 6
+#: The context window of a hit: words that tell quotation or address, and characters in which quotation marks are looked for.
+WINDOW, QUOTE_REACH = 6, 40
+#: Misspelled terms of four letters must keep the first one, and weigh less.
+SHORT, SHORT_WEIGHT = 4, 0.5
 CACHE = 200_000
 
 # Words that report speech, and words that address somebody.
@@ -29,13 +30,14 @@ REPORTING = frozenset("said says called wrote word words term quote quoted dit m
 ADDRESS = frozenset("you your youre u tu vous te du dich ihr usted eres".split())
 QUOTES = "\"“”«»„‘’"
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters and digits, with marks inside that stand for letters.
+_WORD = re.compile(r"[^\W_]+(?:[@$!*][^\W_]+)*")
 
 
 class Lexicon:
-    """Terms in a trie with weights. Stems end in '*' and match any longer word."""
+    """Terms in a trie with weights. Stems end in '*' and match any longer word. innocent words are misspellings of nothing."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], innocent: Iterable[str] = ()):
         self.root: dict = {}
         self.stems = {t[:-1]: w for t, w in weights.items() if t.endswith("*")}
         self.terms = {t: w for t, w in weights.items() if not t.endswith("*")}
@@ -44,32 +46,41 @@ class Lexicon:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = (term, w)
-        # one edit leaves the first or the second half of a term whole
-        long = [t for t in self.terms if len(t) >= 5]
-        self.halves = {(len(t), t[: len(t) // 2]) for t in long} | {(len(t), "-" + t[len(t) // 2 :]) for t in long}
+        # one edit leaves the first or the second half of a term whole, but for a swap of the letters in the middle
+        self.halves: set[tuple[int, str]] = set()
+        for t in self.terms:
+            mid = len(t) // 2
+            if len(t) >= SHORT:
+                for x in (t, t[: mid - 1] + t[mid] + t[mid - 1] + t[mid + 1 :]):
+                    self.halves |= {(len(t), x[:mid]), (len(t), "-" + x[mid:])}
+        self.innocent = frozenset(innocent)
         self.known = _Known(self)
 
     def fuzzy(self, word: str, edits: int = 1) -> float:
-        """The largest weight of a term of five letters or more within `edits` of word, or 0.
+        """The largest weight of a term of SHORT letters or more within `edits` of word, or 0; a swap of neighbours is one edit.
 
-        The Levenshtein automaton of word runs along the trie: its state at a node is one row of distances,
-        and a branch ends where the whole row is over `edits`.
+        The Levenshtein automaton of word runs along the trie: its state at a node is a row of distances
+        (and the row before it, for swaps), and a branch ends where both are over `edits`.
         """
         best = 0.0
         width = len(word) + 1
-        todo = [(self.root, tuple(range(width)))]
+        todo = [(self.root, "", tuple(range(width)), None)]
         while todo:
-            node, row = todo.pop()
+            node, came, row, before = todo.pop()
             for c, child in node.items():
                 if c == "":
-                    if row[-1] <= edits and len(child[0]) >= 5:
-                        best = max(best, child[1])
+                    term, weight = child
+                    if row[-1] <= edits and len(term) >= SHORT and (len(term) > SHORT or term[0] == word[0]):
+                        best = max(best, weight if len(term) > SHORT else weight * SHORT_WEIGHT)
                     continue
                 new = [row[0] + 1]
                 for i in range(1, width):
-                    new.append(min(new[-1] + 1, row[i] + 1, row[i - 1] + (word[i - 1] != c)))
-                if min(new) <= edits:
-                    todo.append((child, tuple(new)))
+                    v = min(new[-1] + 1, row[i] + 1, row[i - 1] + (word[i - 1] != c))
+                    if before and i > 1 and word[i - 1] == came and word[i - 2] == c:
+                        v = min(v, before[i - 2] + 1)
+                    new.append(v)
+                if min(new) <= edits or min(row) < edits:
+                    todo.append((child, c, tuple(new), row))
         return best
 
     def near(self, word: str) -> bool:
@@ -86,7 +97,7 @@ class Lexicon:
         stem = max((self.stems.get(word[:n], 0.0) for n in STEM_LENGTHS if len(word) > n), default=0.0)
         if stem:
             return 1, stem
-        if len(word) >= 4 and self.near(word) and (w := self.fuzzy(word)):
+        if len(word) >= SHORT - 1 and word not in self.innocent and self.near(word) and (w := self.fuzzy(word)):
             return 2, w
         return None
 
@@ -107,7 +118,7 @@ class Lexicon:
                 hits += 1
                 kind, w = h
                 near = {s[0] for s in spots[max(0, i - WINDOW) : i + WINDOW + 1]}
-                left, right = low[max(0, m.start() - 40) : m.start()], low[m.end() : m.end() + 40]
+                left, right = low[max(0, m.start() - QUOTE_REACH) : m.start()], low[m.end() : m.end() + QUOTE_REACH]
                 quoted = any(sum(left.count(q) for q in QUOTES) % 2 and q in right for q in QUOTES) or bool(near & REPORTING)
                 if quoted:
                     sums[3] += w
@@ -137,10 +148,10 @@ FEATURES = 6
 _WORKER: dict[str, Lexicon] = {}
 
 
-def _lexicon(name: str, weights: dict[str, float]) -> Lexicon:
+def _lexicon(name: str, parts: tuple[dict[str, float], list[str]]) -> Lexicon:
     if name not in _WORKER:
         _WORKER.clear()
-        _WORKER[name] = Lexicon(weights)
+        _WORKER[name] = Lexicon(*parts)
     return _WORKER[name]
 
 
@@ -149,28 +160,32 @@ def _held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Rows (doc_id, text, toxic) to learn from: at most `rows` labels outside the held-out third, which are broadcast."""
+    """Rows (doc_id, text, toxic) to learn from: at most `rows` labels outside the held-out third, which are broadcast.
+
+    A label of 1 or more is toxic (1), any other not (0); of several labels of a document the largest counts.
+    """
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = known.groupBy("doc_id").agg((F.max(F.col("toxic").cast("double")) >= 1).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
 
 
-def learn_lexicon(sample: DataFrame, most: int = TERMS) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], list[str]]:
     """Words and stems that toxic documents hold and others hardly do, with weights.
 
     A form counts once for each document and each word before it, whichever is fewer, so that copies of one
     document prove nothing. Its log-likelihood ratio against the base rate must be 20 or more (40 for stems,
-    which also need three words). At most `most` forms reach the driver.
+    which also need three words). Second: the words of other documents that are one edit from a term, and so
+    mean themselves. What reaches the driver is bounded by the words of the sample, which has train_rows rows.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     rows = sample.select("doc_id", "toxic", words.alias("w")).select(
         "doc_id", "toxic",
         F.inline(F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("prev"))),
-    ).where("length(word) between 3 and 40").distinct()
+    ).where("length(word) >= 3").distinct()
     rows = written(rows, "toxic-words")
     total = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(total) < 2:
-        return {}
+        return {}, []
     base = total[1] / (total[0] + total[1])
     stems = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEM_LENGTHS]
     forms = rows.select("doc_id", "toxic", "word", "prev", F.explode(F.array_compact(F.array(F.col("word"), *stems))).alias("form"))
@@ -188,8 +203,17 @@ def learn_lexicon(sample: DataFrame, most: int = TERMS) -> dict[str, float]:
     ratio = 2 * (t * F.log(p / base) + F.when(o > 0, o * F.log((1 - p) / (1 - base))).otherwise(0.0))
     stem = F.col("form").endswith("*")
     good = (p >= 0.9) & F.when(stem, (ratio >= 40) & (F.col("words") >= 3)).otherwise(ratio >= 20)
-    top = counts.withColumn("ratio", ratio).where(good).orderBy(F.desc("ratio"), "form").limit(most)
-    return {r.form: 1.0 + math.log10(r.ratio / 20) for r in top.select("form", "ratio").collect()}
+    top = counts.withColumn("ratio", ratio).where(good)
+    weights = {r.form: 1.0 + math.log10(r.ratio / 20) for r in top.select("form", "ratio").collect()}
+    lexicon = sample.sparkSession.sparkContext.broadcast(weights)
+
+    def neighbours(batches):
+        lex = Lexicon(lexicon.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in batch.column(0).to_pylist() if (lex.hit(w) or (0,))[0] == 2], pa.string())], ["word"])
+
+    seen = rows.where("toxic = 0").groupBy("word").agg(F.count_distinct("doc_id").alias("n")).where("n > 1").select("word")
+    return weights, [r.word for r in seen.mapInArrow(neighbours, "word string").collect()]
 
 
 def score_toxicity(
@@ -198,15 +222,17 @@ def score_toxicity(
     """One row (doc_id, held_out, score, predicted) per row of docs; labels has (doc_id, toxic).
 
     The lexicon and six weights are learned from at most train_rows labelled documents outside the held-out
-    third. Without labels of both kinds every score is 0. A null or empty text has the features of a text
-    without hits; a null doc_id isn't held out; repeated rows get equal scores; other columns are not read;
-    an empty table gives no rows.
+    third. Labels of 1 or more are toxic, all others aren't; null labels and labels of unknown documents are
+    left out; without labels of both kinds every score is 0. A null or empty text has the features of a text
+    without hits; a very long one is scored whole; a null doc_id isn't held out; repeated rows get equal
+    scores; rows that share an id but not a text are scored apart; other columns, whatever their names, are
+    not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = id_and_text(docs, id_col, text_col)
     sample = written(labelled_sample(docs, labels, train_rows), "toxic-sample")
-    weights = learn_lexicon(sample)
-    lexicon, name = spark.sparkContext.broadcast(weights), uuid.uuid4().hex
+    weights, innocent = learn_lexicon(sample)
+    lexicon, name = spark.sparkContext.broadcast((weights, innocent)), uuid.uuid4().hex
 
     def featured(batches):
         lex = _lexicon(name, lexicon.value)
@@ -233,6 +259,10 @@ def score_toxicity(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that are predicted toxic; rows with a null id stay."""
+    """docs without the documents that are predicted toxic.
+
+    Rows with a null id stay; rows that share an id go if one of their texts is toxic; all columns stay,
+    whatever their names; an empty table gives no rows.
+    """
     bad = score_toxicity(docs, labels, threshold, id_col=id_col, text_col=text_col).where("predicted = 1")
-    return docs.join(bad.select(F.col("doc_id").alias("__bad")).distinct(), F.col(id_col) == F.col("__bad"), "left_anti")
+    return without(docs, bad.select("doc_id"), id_col)

@@ -284,32 +284,38 @@ def test_token_counts_agree_with_the_library(spark, docs, none):
     assert tokens.count_tokens(none, model).count() == 0
 
 
-def lev(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
-        row = new
-    return row[-1]
+def edits(a, b):
+    """Edit distance in which a swap of neighbours is one edit (each letter is edited once)."""
+    d = [[max(i, j) if 0 in (i, j) else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_misspelled_terms_against_edit_distance():
-    lex = toxicity.Lexicon({"worthless": 2.0, "clown": 1.5, "bad": 1.0, "scum": 1.0, "stem*": 3.0})
+    lex = toxicity.Lexicon({"worthless": 2.0, "clown": 1.5, "idiot": 1.0, "bad": 1.0, "scum": 1.0, "stem*": 3.0}, ["clowns"])
     rng = random.Random(4)
-    for _ in range(4000):
-        w = list(rng.choice(["worthless", "clown", "scum"]))
+    for _ in range(6000):
+        w = list(rng.choice(["worthless", "clown", "scum", "idiot"]))
         for _ in range(rng.randrange(3)):
-            w[rng.randrange(len(w))] = rng.choice("abcs")
+            w[rng.randrange(len(w))] = rng.choice("abcs1")
         if rng.random() < 0.3:
             w.insert(rng.randrange(len(w)), "x")
+        if rng.random() < 0.3:
+            i = rng.randrange(len(w) - 1)
+            w[i], w[i + 1] = w[i + 1], w[i]
         word = "".join(w)
         if word in lex.terms:
             assert lex.hit(word)[0] == 0
         else:
-            near = any(lev(word, t) <= 1 for t in lex.terms if len(t) >= 5)
-            assert (lex.hit(word) is not None) == near
+            near = any(edits(word, t) <= 1 and (len(t) > 4 or t[0] == word[0]) for t in lex.terms if len(t) >= 4)
+            assert (lex.hit(word) is not None) == near, word
+    assert lex.hit("clowns") is None and lex.hit("clownz") == (2, 1.5) and lex.hit("idoit") == (2, 1.0) and lex.hit("scvm") == (2, 0.5)
     assert lex.hit("stemming") == (1, 3.0) and lex.hit("stem") is None
+    assert lex.features("an id1ot and a cl@wn")[2] > 0
     plain, quoted = lex.features("you clown here"), lex.features('he said "clown" to me')
     assert plain[0] > 0 and plain[4] > 0 and quoted[0] == 0 and quoted[3] > 0
     assert lex.features("")[:5] == [0.0] * 5
@@ -335,6 +341,12 @@ def test_toxicity_learns_and_holds_out(spark, none):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.97
+    odd = lab.withColumn("toxic", F.when(F.col("toxic") == 1, 3).otherwise(-1)).withColumn("features", F.lit(0))
+    wide = d.withColumn("features", F.lit(1)).withColumn("gone", F.lit(2))
+    again = {(r.doc_id, r.score) for r in toxicity.score_toxicity(wide, odd).collect()}
+    assert again == {(r.doc_id, r.score) for r in got}
+    kept = toxicity.drop_toxic(wide, odd)
+    assert kept.columns == wide.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
     nothing = toxicity.score_toxicity(d, lab.limit(0)).agg(F.max("score")).first()[0]
     assert nothing == 0.0
     assert toxicity.score_toxicity(none, lab.limit(0)).count() == 0
