@@ -60,7 +60,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES, whole=True)
+    return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
 def op9_de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +92,10 @@ def op8_sql() -> str:
         for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))
     )
     return rf"""
-WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host,
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-k AS (SELECT *, translate(concat(host, path), '{upper}', '{lower}') AS t, CASE {fits} END AS r FROM h),
+k AS (SELECT *, translate(url, '{upper}', '{lower}') AS t, CASE {fits} END AS r FROM h),
 c AS (SELECT page_id, host, path, r, ({strict})::INT AS n_strict, ({soft})::INT AS n_soft FROM k)
 SELECT page_id, host, path, split_part(r, '|', 1) AS rule,
   coalesce(split_part(r, '|', 2), CASE WHEN n_strict >= 1 OR n_soft >= {urls.SOFT_HITS} THEN 'block' ELSE 'allow' END) AS verdict,

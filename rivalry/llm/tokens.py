@@ -72,9 +72,11 @@ class _Lengths(dict):
 
 
 def frequent_pretokens(docs: DataFrame, size: int = FREQUENT) -> DataFrame:
-    """The pre-tokens that most texts share, counted over all texts.
+    """Frequent pre-tokens: of those that tasks propose, the `size` with the highest counts.
 
-    Each task counts its own pre-tokens and proposes PER_TASK of them; only these proposals are shuffled.
+    Each task counts its own pre-tokens, forgetting rare ones where they are many, and proposes PER_TASK of
+    them; only these proposals are shuffled. The table is about, not exactly, the most frequent ones: which
+    they are changes the speed of the lookup and never a count.
     """
 
     def propose(batches):
@@ -105,8 +107,10 @@ def count_tokens(
     """One row (doc_id, n_bytes, n_tokens, over_limit) per input row.
 
     First tier: a broadcast table of at most `frequent` lengths. Second tier: the worker's own cache, filled
-    by the library. Pre-tokens are never shuffled. A null or empty text has 0 bytes and 0 tokens; repeated
-    rows give repeated results; other columns are not read; an empty table gives no rows.
+    by the library. The texts' pre-tokens are never shuffled, only each task's proposals for the table. A null
+    or empty text has 0 bytes and 0 tokens; a very long one is counted whole; repeated rows give repeated
+    results; null ids are kept; ties in frequency go by the pre-token; other columns, whatever their names,
+    are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     check_model(model_path)

@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: One of these as a whole term rejects a url.
-STRICT = ("casino", "porn", "xxx", "adult", "escort", "viagra", "sexcam", "hentai", "malware", "phishing")
+#: The vocabulary. A strict term weighs as much as SOFT_HITS soft ones: one of these as a whole term rejects a url.
+STRICT = (
+    "adult", "bdsm", "blackjack", "botnet", "camgirl", "camgirls", "casino", "casinos", "cialis", "erotic", "escort", "escorts", "fetish",
+    "hardcore", "hentai", "keygen", "keylogger", "malware", "milf", "nsfw", "nude", "nudes", "onlyfans", "phishing", "porn", "porno",
+    "pornstar", "ransomware", "roulette", "sex", "sexcam", "sexcams", "spyware", "stripper", "trojan", "viagra", "warez", "webcam", "xxx",
+)
 #: So many different ones of these reject a url.
 SOFT = (
-    "ads", "bet", "bets", "bonus", "cash", "cheap", "clicks", "deal", "earn", "farm", "free", "jackpot", "loan",
-    "pills", "poker", "promo", "spam", "track", "tracker", "win", "winner",
+    "ads", "affiliate", "banner", "bet", "bets", "betting", "bonus", "cash", "cheap", "click", "clicks", "coupon", "crack",
+    "credit", "dating", "deal", "deals", "discount", "earn", "farm", "forex", "free", "gamble", "girls", "hack", "hot", "jackpot",
+    "keno", "loan", "loans", "lottery", "lucky", "money", "offer", "payday", "pills", "poker", "popup", "prize", "promo", "rich", "singles",
+    "slot", "slots", "spam", "torrent", "track", "tracker", "tracking", "weightloss", "win", "winner",
 )
 SOFT_HITS = 2
 
@@ -88,20 +94,18 @@ def judge_urls(
     soft_hits: int = SOFT_HITS,
     id_col: str = "page_id",
     url_col: str = "url",
-    whole: bool = False,
 ) -> DataFrame:
     """One row (page_id, host, path, rule, verdict, n_strict, n_soft) per input row; no shuffle.
 
     A fitting rule decides (the longest one). Else the url is blocked on one strict term, or on `soft_hits`
-    different soft terms, in host and path; terms that follow '?' or '#' don't count. With whole, terms are
-    found in all of the url. A null url, or one without '://', has an empty host and path; without `whole` it
-    is allowed, else a null one is. Repeated rows give repeated results; other
-    columns are not read; an empty table gives no rows.
+    different soft terms, anywhere in it. A null url, or one without '://', has an empty host and path; a
+    null or empty one is allowed, any other is judged by its terms. Very long urls are scanned whole; of
+    rules of one length the one that is listed last wins; repeated rows give repeated results; null ids are
+    kept; other columns, whatever their names, are not read; an empty table gives no rows.
     """
-    spark = pages.sparkSession
     urls = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"))
     host, path = host_and_path(F.col("url"))
-    rows = urls.select("page_id", host.alias("host"), path.alias("path"), (F.col("url") if whole else F.concat(host, path)).alias("terms_of"))
+    rows = urls.select("page_id", host.alias("host"), path.alias("path"), F.col("url").alias("terms_of"))
     kind = dict(rows.dtypes)["page_id"]
     rows = rows.mapInArrow(
         term_counts(strict, soft), f"page_id {kind}, host string, path string, n_strict int, n_soft int"
