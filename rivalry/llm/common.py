@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+_SCOPES: list[str] = []
 
 #: Tables up to so many bytes may be broadcast; their size is measured first.
 BROADCAST_BYTES = 64 << 20
@@ -28,13 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of this application's intermediate tables, inside the shared one."""
-    return f"{shared_dir(spark)}/rivalry-{spark.sparkContext.applicationId}"
+    return "/".join([shared_dir(spark), f"rivalry-{spark.sparkContext.applicationId}", *_SCOPES])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end. Results must have been written elsewhere by then."""
+    _SCOPES.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        clear_scratch(spark)
+        _SCOPES.pop()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: the lineage ends there, and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
@@ -43,7 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables. Frames that still read them fail afterwards, so write results first."""
+    """Delete the intermediate tables of this application, or inside scratch_scope those of the scope. Frames that still read them fail afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
