@@ -21,9 +21,13 @@ def training_base(contests: DataFrame, rated: DataFrame, window: int = 5) -> Dat
 
 
 def add_frames(base: DataFrame, frames: Sequence[DataFrame]) -> DataFrame:
-    """Join frames that have one row per contest; columns that base already has aren't taken again."""
+    """Join frames that have one row per contest; columns that base already has aren't taken again.
+
+    The alignment is strict: a contest that a frame hasn't fails the job instead of being dropped.
+    """
     for f in frames:
-        base = base.join(f.drop(*[c for c in f.columns if c in base.columns and c != ID]), ID)
+        f = f.drop(*[c for c in f.columns if c in base.columns and c != ID]).withColumn("__met", F.lit(True))
+        base = base.join(f, ID, "left").where(F.coalesce("__met", F.raise_error(F.lit("a feature frame lacks a contest")).cast("boolean"))).drop("__met")
     return base
 
 

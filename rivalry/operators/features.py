@@ -161,12 +161,14 @@ def schedule_gap(contests: DataFrame) -> DataFrame:
 
 
 def multi_stream_rest(contests: DataFrame) -> DataFrame:
-    """For each appearance: days since the last contest in the own competition and in any, and which of five cases holds."""
+    """For each appearance: days since the last contest in the own competition and in any, and which of five cases holds.
+
+    domestic_longer can only come from histories that leave out contests of the own competition.
+    """
     rows = _gap(_gap(appearances(contests), ["e", "competition"], "own_gap"), ["e"], "any_gap")
     case = (
-        F.when(F.col("any_gap").isNull(), "no_history").when(F.col("own_gap").isNull(), "other_only")
-        .when(F.col("own_gap") == F.col("any_gap"), "same").when(F.col("own_gap") - F.col("any_gap") <= 3, "slightly_shorter")
-        .otherwise("shorter")
+        F.when(F.col("any_gap").isNull(), "no_previous_domestic").when(F.col("own_gap").isNull(), "no_previous_league")
+        .when(F.col("any_gap") == F.col("own_gap"), "equal").when(F.col("any_gap") < F.col("own_gap"), "shorter").otherwise("domestic_longer")
     )
     return rows.select(ID, "e", "side", "competition", "own_gap", "any_gap", case.alias("category"))
 
@@ -351,13 +353,18 @@ def first_seen(contests: DataFrame) -> DataFrame:
 
 
 def min_ordinal_promoted(contests: DataFrame) -> DataFrame:
-    """The smaller season ordinal among the sides that are new this season; null if neither is."""
-    out = appearance_ordinal(contests).join(contests.select(ID, "season", "home", "away"), ID)
-    seen = first_seen(contests)
-    for s in ("home", "away"):
-        out = out.join(seen.toDF(s, f"{s}_first"), s)
-        out = out.withColumn(f"{s}_new", F.when(F.col(f"{s}_first") == F.col("season"), F.col(f"{s}_ordinal")))
-    return out.select(ID, F.least("home_new", "away_new").alias("min_ordinal"))
+    """The smaller season ordinal among the sides that weren't there the season before; null if neither is new.
+
+    Nobody is new in the first season of the data. Sides that return after a gap are new again.
+    """
+    rows = appearances(contests)
+    members = rows.select("season", "e").distinct()
+    stayed = members.select((F.col("season") + 1).alias("season"), "e", F.lit(True).alias("stayed"))
+    start = F.broadcast(members.agg(F.min("season").alias("start")))
+    new = members.join(stayed, ["season", "e"], "left").crossJoin(start).where("stayed IS NULL AND season > start").select("season", "e", F.lit(True).alias("new"))
+    w = W.partitionBy("e", "season").orderBy("d", by_id())
+    nth = rows.withColumn("ordinal", F.row_number().over(w)).join(new, ["season", "e"], "left")
+    return nth.groupBy(ID).agg(F.min(F.when(F.col("new"), F.col("ordinal"))).alias("min_ordinal"))
 
 
 def next_batch(schedule: DataFrame, status: str = "status", done: str = "completed") -> DataFrame:

@@ -135,8 +135,15 @@ def membership(contests: DataFrame) -> DataFrame:
 
 
 def membership_sets(contests: DataFrame, top: str) -> DataFrame:
-    """Members of competition `top` by season: new, returning after a gap, or staying; new ones that were elsewhere the year before are promoted."""
-    m = membership(contests)
+    """member_status() of the competitions that the contests are played in."""
+    return member_status(membership(contests), top)
+
+
+def member_status(m: DataFrame, top: str) -> DataFrame:
+    """Members of competition `top` by season: new, returning after a gap, or staying; new ones that were elsewhere the year before are promoted.
+
+    m: distinct (competition, season, e).
+    """
     mine = m.where(F.col("competition") == top)
     before = mine.select((F.col("season") + 1).alias("season"), "e").withColumn("stayed", F.lit(True))
     first = mine.groupBy("e").agg(F.min("season").alias("first"))

@@ -213,7 +213,7 @@ def davidson_probs(home_rating: Column, away_rating: Column, nu: Column, advanta
     return F.array(a / t, d / t, h / t)
 
 
-def minimise(nll, rows: DataFrame, low: float, high: float, points: int = 9, passes: int = 6) -> float:
+def minimise(nll, rows: DataFrame, low: float, high: float, points: int = 9, passes: int = 13) -> float:
     """A bounded one-parameter minimum: each pass evaluates `points` values in one aggregation and narrows the interval."""
     for _ in range(passes):
         grid = [low + (high - low) * i / (points - 1) for i in range(points)]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,20 +29,23 @@ def elo_update(row: dict, state: dict) -> tuple[float, float]:
     return step, -step
 
 
-def _new_season(ratings: dict, season: int, last: int, row: dict, events: Mapping) -> None:
-    """Season boundary: pull to the start value once for each season passed, then resets and offsets of entities."""
-    if row["pull"]:
-        keep = (1.0 - row["pull"]) ** (season - last)
+def _new_season(ratings: dict, passed: int, config: Mapping, moves: Sequence[tuple]) -> None:
+    """Season boundary: pull to the start value once for each season passed, then offsets and resets of entities.
+
+    moves: (entity, status, move) of the season that begins; those without a rating are left out.
+    """
+    if config["pull"]:
+        keep = (1.0 - config["pull"]) ** passed
         for e in ratings:
             ratings[e] = START + (ratings[e] - START) * keep
-    now = events.get(season, {})
-    if row["offset"]:
-        up, down = ([e for e, (_, move) in now.items() if move == m and e in ratings] for m in ("promoted", "relegated"))
+    moves = [m for m in moves if m[0] in ratings]
+    if config["offset"]:
+        up, down = ([e for e, _, move in moves if move == m] for m in ("promoted", "relegated"))
         offset = promotion_offset([ratings[e] for e in down], [ratings[e] for e in up])
         for e in up:
             ratings[e] += offset
-    for e, (status, _) in now.items():
-        if status in ("returning", "first_time") and row["reset"] in (status, "both"):
+    for e, status, _ in moves:
+        if status in ("returning", "first_time") and config["reset"] in (status, "both"):
             ratings[e] = START
 
 
@@ -51,70 +54,83 @@ def replay(
     configs: Sequence[Mapping] = ({},),
     pool: str = "competition",
     update: Update = elo_update,
-    events: Mapping | None = None,
+    events: DataFrame | None = None,
     final: bool = False,
 ) -> DataFrame:
     """Pre-contest ratings of every contest for each configuration; with final, the ratings after the last date.
 
     Pools are closed populations and share no state: (pool, config) is the shuffle key, rows are sorted by
-    (date, id as text) within tasks, and a task carries one number per entity from batch to batch. All
-    contests of a date read the state of the date before. Rows with a null result are targets: they are rated
-    but change nothing. Optional columns: k_row and adv_row override a configuration's k and home_adv;
+    (season, date, id as text) within tasks, and a task carries one number per entity from batch to batch.
+    All contests of a date read the state of the date before. Rows with a null result are targets: they are
+    rated but change nothing. Optional columns: k_row and adv_row override a configuration's k and home_adv;
     prior_home and prior_away start an entity's rating. One giant pool is one task: use daily state
-    (rivalry.streaming) there. events: season -> entity -> (status, move), see season_events; with offset, those
+    (rivalry.streaming) there. events: (season, e, status, move), see membership_events; they travel in the
+    same stream, before their season's contests, to the pools that the entity plays in. With offset, those
     promoted get the mean rating of the relegated less their own mean at the season's start.
     """
     spark = contests.sparkSession
     rows = [{**CONFIG, **c} for c in configs]
     conf = spark.createDataFrame(pd.DataFrame([{k: str(c[k]) for k in CONFIG} for c in rows]))
-    cols = [ID, "d", "season", "home", "away", "result", *[c for c in ("k_row", "adv_row", "prior_home", "prior_away", "home_ordinal", "away_ordinal") if c in contests.columns]]
-    sent = contests.select(F.col(pool).cast("string").alias("pool"), *cols).crossJoin(F.broadcast(conf.select("config")))
-    sent = sent.repartition("pool", "config").sortWithinPartitions("pool", "config", "d", by_id())
+    more = [c for c in ("k_row", "adv_row", "prior_home", "prior_away", "home_ordinal", "away_ordinal") if c in contests.columns]
+    at = F.col(pool).cast("string").alias("pool")
+    sent = contests.select(at, ID, "d", "season", "home", "away", "result", *more)
+    if events is not None:
+        plays = contests.select(at, F.explode(F.array("home", "away")).alias("e")).distinct()
+        told = events.join(plays, "e").select("pool", "season", F.col("e").alias("home"), "status", "move")
+        sent = sent.unionByName(told, allowMissingColumns=True)
+    sent = sent.crossJoin(F.broadcast(conf.select("config"))).repartition("pool", "config")
+    sent = sent.sortWithinPartitions("pool", "config", "season", F.col(ID).isNotNull(), "d", by_id())
     settings = {str(c["config"]): c for c in rows}
-    events = events or {}
 
     def kernel(batches: Iterable[pd.DataFrame]):
-        key, ratings, day, waiting, last = None, {}, None, [], None
+        key, ratings, day, last = None, {}, None, None
+        waiting: list[dict] = []
+        moves: list[tuple] = []
 
-        def flush(out):
+        def flush() -> None:
             for r in waiting:
-                if r["result"] is None or r["result"] != r["result"]:
-                    continue
-                a, b = update(r, ratings)
-                ratings[r["home"]] = ratings.get(r["home"], r["home_rating"]) + a
-                ratings[r["away"]] = ratings.get(r["away"], r["away_rating"]) + b
+                if r["result"] is not None and r["result"] == r["result"]:
+                    a, b = update(r, ratings)
+                    ratings[r["home"]] = ratings.get(r["home"], r["home_rating"]) + a
+                    ratings[r["away"]] = ratings.get(r["away"], r["away_rating"]) + b
             waiting.clear()
 
-        def finish(out):
-            flush(out)
+        def finish(out: list[tuple]) -> None:
+            flush()
             if final and key is not None:
-                for e, x in ratings.items():
-                    out.append((*key, e, x, float("nan")))
+                out.extend((*key, e, x, float("nan")) for e, x in ratings.items())
 
         for batch in batches:
             out: list[tuple] = []
-            for r in batch.to_dict("records"):
+            names = list(batch.columns)
+            for values in zip(*(batch[c].tolist() for c in names), strict=True):
+                r = dict(zip(names, values, strict=True))
                 if (r["pool"], r["config"]) != key:
                     finish(out)
                     key, ratings, day, last = (r["pool"], r["config"]), {}, None, None
+                    moves.clear()
+                    c = settings[r["config"]]
+                if r[ID] is None or r[ID] != r[ID]:
+                    if moves and moves[0][0] != r["season"]:
+                        moves.clear()
+                    moves.append((r["season"], int(r["home"]), r["status"], r["move"]))
+                    continue
                 if r["d"] != day:
-                    flush(out)
+                    flush()
                     day = r["d"]
-                c = settings[r["config"]]
-                r |= {"pull": c["pull"], "reset": c["reset"], "offset": c["offset"]}
                 if last is not None and r["season"] > last:
-                    _new_season(ratings, r["season"], last, r, events)
+                    _new_season(ratings, r["season"] - last, c, [m[1:] for m in moves if m[0] == r["season"]])
                 last = r["season"]
-                r["k"] = r.get("k_row", c["k"])
-                if c["early_k"] and min(r["home_ordinal"], r["away_ordinal"]) <= c["early_games"]:
-                    r["k"] = c["early_k"]
-                r["home_adv"] = r.get("adv_row", c["home_adv"])
+                k, adv = r.get("k_row"), r.get("adv_row")
+                early = c["early_k"] and min(r["home_ordinal"], r["away_ordinal"]) <= c["early_games"]
+                r["k"] = c["early_k"] if early else c["k"] if k is None or k != k else k
+                r["home_adv"] = c["home_adv"] if adv is None or adv != adv else adv
                 for s in ("home", "away"):
                     prior = r.get(f"prior_{s}")
                     r[f"{s}_rating"] = ratings.get(r[s], START if prior is None or prior != prior else prior)
                 waiting.append(r)
                 if not final:
-                    out.append((*key, r[ID], r["home_rating"], r["away_rating"]))
+                    out.append((*key, int(r[ID]), r["home_rating"], r["away_rating"]))
             yield pd.DataFrame(out, columns=["pool", "config", ID, "home_rating", "away_rating"])
         out = []
         finish(out)
@@ -150,17 +166,16 @@ def grid(ks: Sequence[float], advantages: Sequence[float]) -> list[dict]:
     return [{"config": f"k{k:g}a{a:g}", "k": float(k), "home_adv": float(a)} for k in ks for a in advantages]
 
 
-def season_events(contests: DataFrame, top: str) -> dict:
+def season_events(contests: DataFrame, top: str) -> DataFrame:
     """membership_events of the competitions that the contests are played in."""
     return membership_events(membership(contests), top)
 
 
-def membership_events(m: DataFrame, top: str) -> dict:
-    """season -> entity -> (status, move) for competition `top`; m: distinct (competition, season, e).
+def membership_events(m: DataFrame, top: str) -> DataFrame:
+    """Rows (season, e, status, move) for competition `top`; m: distinct (competition, season, e).
 
     status: first_time or returning for entities that weren't in it the season before, else empty. move: promoted
-    if they were in another one then; relegated for those that left it. Only arrivals and leavers reach the
-    driver: at most one row for each entity and season.
+    if they were in another one then; relegated for those that left it.
     """
     mine, other = m.where(F.col("competition") == top), m.where(F.col("competition") != top)
     first = mine.groupBy("e").agg(F.min("season").alias("first"))
@@ -169,11 +184,8 @@ def membership_events(m: DataFrame, top: str) -> dict:
     came = came.join(later(other).withColumn("up", F.lit(True)), ["season", "e"], "left")
     status = F.when(F.col("first") == F.col("season"), "first_time").otherwise("returning")
     came = came.select("season", "e", status.alias("status"), F.when(F.col("up"), "promoted").otherwise("").alias("move"))
-    left = later(mine).join(mine.select("season", "e"), ["season", "e"], "left_anti").select("season", "e", F.lit("").alias("status"), F.lit("relegated").alias("move"))
-    out: dict = {}
-    for r in came.union(left).collect():
-        out.setdefault(r.season, {})[r.e] = (r.status, r.move)
-    return out
+    left = later(mine).join(mine.select("season", "e"), ["season", "e"], "left_anti")
+    return came.union(left.select("season", "e", F.lit("").alias("status"), F.lit("relegated").alias("move")))
 
 
 def promotion_offset(relegated: Iterable[float], promoted: Iterable[float]) -> float:
@@ -190,40 +202,44 @@ def with_ordinals(contests: DataFrame) -> DataFrame:
     return contests.join(o.groupBy(ID).agg(pick("home"), pick("away")), ID)
 
 
-def attack_defence(contests: DataFrame, rate: float = 0.05, base: float = 0.2, pool: str = "competition") -> DataFrame:
-    """Online attack and defence strengths: expected goals exp(base + attack - defence), moved by the surprise, recentred daily."""
+def attack_defence(contests: DataFrame, train_until: int, rate: float = 0.05, pool: str = "competition") -> DataFrame:
+    """Expected goals of every contest from online attack and defence strengths, contest by contest.
+
+    Expected goals are the mean home (or away) score of the pool up to season train_until, times exp(attack of
+    the side - defence of the other). After each contest both strengths move by rate times the surprise and all
+    are recentred: only the mean is kept, so that a contest costs the same however many entities there are.
+    Contests go by date and id as text.
+    """
     cols = [ID, "d", "home", "away", "home_score", "away_score"]
-    sent = contests.select(F.col(pool).cast("string").alias("pool"), *cols).repartition("pool").sortWithinPartitions("pool", "d", by_id())
+    mean = lambda c: F.avg(F.when(F.col("season") <= train_until, F.col(c)))
+    base = contests.groupBy(F.col(pool).alias("pool")).agg(mean("home_score").alias("base_home"), mean("away_score").alias("base_away"))
+    sent = contests.select(F.col(pool).alias("pool"), *cols).join(F.broadcast(base), "pool").withColumn("pool", F.col("pool").cast("string"))
+    sent = sent.repartition("pool").sortWithinPartitions("pool", "d", by_id())
     names = ["pool", ID, "home_lambda", "away_lambda"]
 
     def kernel(batches):
-        key, att, dfn, day, waiting = None, {}, {}, None, []
-
-        def flush():
-            for r, lh, la in waiting:
-                for e, o, lam, goals in ((r["home"], r["away"], lh, r["home_score"]), (r["away"], r["home"], la, r["away_score"])):
-                    att[e] = att.get(e, 0.0) + rate * (goals - lam)
-                    dfn[o] = dfn.get(o, 0.0) - rate * (goals - lam)
-            if waiting:
-                for m in (att, dfn):
-                    mean = sum(m.values()) / len(m)
-                    for e in m:
-                        m[e] -= mean
-            waiting.clear()
-
+        key = None
+        attack: dict = {}
+        defence: dict = {}
+        mean_a = mean_d = 0.0  # strengths are kept without centring; these are their means
         for batch in batches:
             out = []
-            for r in batch.to_dict("records"):
-                if r["pool"] != key:
-                    waiting.clear()
-                    key, att, dfn, day = r["pool"], {}, {}, None
-                if r["d"] != day:
-                    flush()
-                    day = r["d"]
-                lh = float(np.exp(base + att.get(r["home"], 0.0) - dfn.get(r["away"], 0.0)))
-                la = float(np.exp(base + att.get(r["away"], 0.0) - dfn.get(r["home"], 0.0)))
-                waiting.append((r, lh, la))
-                out.append((key, r[ID], lh, la))
+            for pool_, cid, home, away, hs, as_, bh, ba in zip(*(batch[c].tolist() for c in ("pool", ID, "home", "away", "home_score", "away_score", "base_home", "base_away")), strict=True):
+                if pool_ != key:
+                    key, attack, defence, mean_a, mean_d = pool_, {}, {}, 0.0, 0.0
+                for e in (home, away):
+                    if e not in attack:  # a new entity starts at the mean
+                        attack[e], defence[e] = mean_a, mean_d
+                lh = bh * math.exp(attack[home] - mean_a - defence[away] + mean_d)
+                la = ba * math.exp(attack[away] - mean_a - defence[home] + mean_d)
+                out.append((key, cid, lh, la))
+                dh, da = rate * (hs - lh), rate * (as_ - la)
+                attack[home] += dh
+                attack[away] += da
+                defence[home] -= da
+                defence[away] -= dh
+                mean_a += (dh + da) / len(attack)
+                mean_d -= (dh + da) / len(attack)
             yield pd.DataFrame(out, columns=names)
 
     return sent.mapInPandas(kernel, "pool string, contest_id long, home_lambda double, away_lambda double")

@@ -50,11 +50,9 @@ R.add(
 PAIR = "LEFT JOIN (SELECT * FROM (SELECT a.contest_id AS aid, b.*, row_number() OVER (PARTITION BY a.contest_id ORDER BY b.d DESC, CAST(b.contest_id AS VARCHAR) DESC) AS k FROM {contests} a JOIN {contests} b ON least(a.home, a.away) = least(b.home, b.away) AND greatest(a.home, a.away) = greatest(b.home, b.away) AND b.d < a.d) x) b ON b.aid = a.contest_id"
 TURN = "CASE WHEN b.home = a.home THEN 1 ELSE -1 END"
 PD = "CASE WHEN b.home_score > b.away_score THEN 3 WHEN b.home_score < b.away_score THEN -3 ELSE 0 END"
-R.add(
-    "h2h_lastn", lambda v: O.h2h_lastn(v("contests")),
-    f"""SELECT a.contest_id, count(b.contest_id) AS h2h_n, {isum(f"{TURN} * ({PD})")} AS h2h_points_diff,
-{isum(f"{TURN} * (b.home_score - b.away_score)")} AS h2h_goal_diff FROM {{contests}} a {PAIR} AND b.k <= 5 GROUP BY a.contest_id""",
-)
+H2H = f"""SELECT a.contest_id, count(b.contest_id) AS h2h_n, {isum(f"{TURN} * ({PD})")} AS h2h_points_diff,
+{isum(f"{TURN} * (b.home_score - b.away_score)")} AS h2h_goal_diff FROM {{contests}} a {PAIR} AND b.k <= 5 GROUP BY a.contest_id"""
+R.add("h2h_lastn", lambda v: O.h2h_lastn(v("contests")), H2H)
 R.add(
     "h2h_cumulative", lambda v: O.h2h_cumulative(v("contests")),
     f"""SELECT a.contest_id, count(b.contest_id) AS h2h_played,
@@ -68,6 +66,7 @@ def stats(v):
     return v("contests").select(
         "contest_id", (F.col("contest_id") % 11).alias("home_shots"), (F.col("contest_id") % 7).alias("away_shots"),
         (F.col("contest_id") % 5).alias("home_corners"), (F.col("contest_id") % 3).alias("away_corners"),
+        (F.col("contest_id") % 13).alias("home_fouls"), (F.col("contest_id") % 9).alias("away_fouls"),
     )
 
 
@@ -76,13 +75,11 @@ def _stat(home: int, away: int, own: bool) -> str:
     return f"CASE WHEN b.side = 'home' THEN b.contest_id % {a} ELSE b.contest_id % {b} END"
 
 
-STATS = {
-    "shots_for": isum(_stat(11, 7, True)), "corners_for": isum(_stat(5, 3, True)), "shots_against": isum(_stat(11, 7, False)),
-    "corners_against": isum(_stat(5, 3, False)), "shots_diff": f"{isum(_stat(11, 7, True))} - {isum(_stat(11, 7, False))}",
-    "corners_diff": f"{isum(_stat(5, 3, True))} - {isum(_stat(5, 3, False))}",
-}
+STATS = {}
+for _name, (_h, _a) in {"shots": (11, 7), "corners": (5, 3), "fouls": (13, 9)}.items():
+    STATS |= {f"{_name}_for": isum(_stat(_h, _a, True)), f"{_name}_against": isum(_stat(_h, _a, False)), f"{_name}_diff": f"{isum(_stat(_h, _a, True))} - {isum(_stat(_h, _a, False))}"}
 R.add(
-    "stats_lastn", lambda v: O.stats_lastn(v("contests"), stats(v), ["shots", "corners"]),
+    "stats_lastn", lambda v: O.stats_lastn(v("contests"), stats(v), ["shots", "corners", "fouls"]),
     f"WITH f AS ({last_sql(5, STATS)}) {pivot_sql('f', STATS)}",
 )
 
@@ -120,8 +117,8 @@ R.add(
     "multi_stream_rest", lambda v: O.multi_stream_rest(v("contests")),
     f"""WITH o AS ({last_sql(None, {"own_gap": GAP}, "b.e = a.e AND b.competition = a.competition", keep="a.side, a.d")}),
 y AS ({last_sql(None, {"any_gap": GAP}, keep="a.side, a.d")})
-SELECT a.contest_id, a.e, a.side, a.competition, own_gap, any_gap, CASE WHEN any_gap IS NULL THEN 'no_history' WHEN own_gap IS NULL THEN 'other_only'
-WHEN own_gap = any_gap THEN 'same' WHEN own_gap - any_gap <= 3 THEN 'slightly_shorter' ELSE 'shorter' END AS category
+SELECT a.contest_id, a.e, a.side, a.competition, own_gap, any_gap, CASE WHEN any_gap IS NULL THEN 'no_previous_domestic' WHEN own_gap IS NULL THEN 'no_previous_league'
+WHEN any_gap = own_gap THEN 'equal' WHEN any_gap < own_gap THEN 'shorter' ELSE 'domestic_longer' END AS category
 FROM {{appearances}} a JOIN o ON o.contest_id = a.contest_id AND o.side = a.side JOIN y ON y.contest_id = a.contest_id AND y.side = a.side""",
 )
 R.add(
@@ -259,8 +256,8 @@ home_ordinal <= 5 OR away_ordinal <= 5 AS any_early, home_ordinal <= 5 AND away_
 R.add("first_seen", lambda v: O.first_seen(v("contests")), "SELECT e, min(season) AS first_season FROM {appearances} GROUP BY e")
 R.add(
     "min_ordinal_promoted", lambda v: O.min_ordinal_promoted(v("contests")),
-    f"""WITH {ORD}, s AS (SELECT e, min(season) AS fs FROM {{appearances}} GROUP BY e)
-SELECT contest_id, min(CASE WHEN s.fs = o.season THEN ordinal END) AS min_ordinal FROM o JOIN s ON s.e = o.e GROUP BY contest_id""",
+    f"""WITH {ORD}, m AS (SELECT DISTINCT season, e FROM {{appearances}})
+SELECT contest_id, min(CASE WHEN o.season > (SELECT min(season) FROM m) AND NOT EXISTS (SELECT 1 FROM m WHERE m.e = o.e AND m.season = o.season - 1) THEN ordinal END) AS min_ordinal FROM o GROUP BY contest_id""",
 )
 R.add(
     "next_batch", lambda v: O.next_batch(v("schedule_rev").where("rev = 2")),

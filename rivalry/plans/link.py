@@ -142,23 +142,23 @@ SELECT contest_id, h.gf AS home_gf_rate, h.ga AS home_ga_rate, a.gf AS away_gf_r
 FROM {contests} k LEFT JOIN w h ON h.season = k.season AND h.e = k.home LEFT JOIN w a ON a.season = k.season AND a.e = k.away""",
     ["home_gf_rate", "home_ga_rate", "away_gf_rate", "away_ga_rate"],
 )
-tops = lambda v: v("contests").withColumn("competition", F.when((F.col("home") + F.col("season")) % 3 == 0, "TOP").otherwise("LOW"))
-TOPS = """m AS (SELECT DISTINCT season, e, CASE WHEN (CASE WHEN side = 'home' THEN e ELSE opp END + season) % 3 = 0 THEN 'TOP' ELSE 'LOW' END AS c FROM {appearances} WHERE contest_id % 16 = 0),
+tiers = lambda v: v("appearances").select(F.when((F.col("e") + F.col("season")) % 3 == 0, "TOP").otherwise("LOW").alias("competition"), "season", "e").distinct()
+TOPS = """m AS (SELECT DISTINCT season, e, CASE WHEN (e + season) % 3 = 0 THEN 'TOP' ELSE 'LOW' END AS c FROM {appearances}),
 t AS (SELECT season, e FROM m WHERE c = 'TOP'), l AS (SELECT season, e FROM m WHERE c = 'LOW')"""
 R.add(
-    "membership_sets", lambda v: O.membership_sets(tops(v).where("contest_id % 16 = 0"), "TOP"),
+    "membership_sets", lambda v: O.member_status(tiers(v), "TOP"),
     f"""WITH {TOPS} SELECT season, e, CASE WHEN EXISTS (SELECT 1 FROM t x WHERE x.e = t.e AND x.season = t.season - 1) THEN 'staying'
 WHEN NOT EXISTS (SELECT 1 FROM t x WHERE x.e = t.e AND x.season < t.season) THEN 'first_time' ELSE 'returning' END AS status,
 NOT EXISTS (SELECT 1 FROM t x WHERE x.e = t.e AND x.season = t.season - 1) AND EXISTS (SELECT 1 FROM l WHERE l.e = t.e AND l.season = t.season - 1) AS promoted FROM t""",
 )
 R.add(
-    "retain_involved", lambda v: O.retain_involved(v("contests"), O.membership(tops(v).where("contest_id % 16 = 0")).where("competition = 'TOP'")),
+    "retain_involved", lambda v: O.retain_involved(v("contests"), tiers(v).where("competition = 'TOP'")),
     f"WITH {TOPS} SELECT * FROM {{contests}} k WHERE EXISTS (SELECT 1 FROM t WHERE t.season = k.season AND t.e = k.home) OR EXISTS (SELECT 1 FROM t WHERE t.season = k.season AND t.e = k.away)",
 )
 
 
 def _bridge(v):
-    m = O.membership(tops(v).where("contest_id % 16 = 0"))
+    m = tiers(v)
     return O.bridge_candidates(v("contests"), m.where("competition = 'TOP'"), m.where("competition = 'LOW'"))
 
 
@@ -204,8 +204,8 @@ R.add(
     "SELECT contest_id, home, away, contest_id % 12 <> 0 AS identity_ok FROM {contests} WHERE contest_id % 6 = 0",
 )
 R.add(
-    "dataset_compare", lambda v: O.dataset_compare(v("appearances").where("season = 1996 and side = 'home' and contest_id % 40 < 10"), v("appearances").where("season = 1997 and side = 'home' and contest_id % 40 < 10"), "e", "place"),
-    """WITH o AS (SELECT DISTINCT e, place FROM {appearances} WHERE season = 1996 AND side = 'home' AND contest_id % 40 < 10), n AS (SELECT DISTINCT e, place FROM {appearances} WHERE season = 1997 AND side = 'home' AND contest_id % 40 < 10),
+    "dataset_compare", lambda v: O.dataset_compare(v("appearances").where("season <= 1997"), v("appearances").where("season > 1997"), "e", "place"),
+    """WITH o AS (SELECT DISTINCT e, place FROM {appearances} WHERE season <= 1997), n AS (SELECT DISTINCT e, place FROM {appearances} WHERE season > 1997),
 j AS (SELECT coalesce(o.e, n.e) AS e, o.place AS op, n.place AS np FROM o FULL JOIN n ON o.e = n.e AND o.place = n.place)
 SELECT e, CASE WHEN count(op) = 0 THEN 'added' WHEN count(np) = 0 THEN 'removed' ELSE 'common' END AS state, count(CASE WHEN op IS NULL THEN 1 END) AS gained, count(CASE WHEN np IS NULL THEN 1 END) AS lost FROM j GROUP BY e""",
 )

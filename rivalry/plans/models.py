@@ -13,24 +13,41 @@ from rivalry.operators import models as M
 from rivalry.operators import ratings as RA
 from rivalry.operators import scoring as SC
 from rivalry.plans.base import Registry, last_sql, pivot_sql
-from rivalry.plans.features import FORM_SQL, XG, XG_AGG, stats
+from rivalry.plans.features import FORM_SQL, H2H, PLACE, STATS, XG, XG_AGG, stats
 
 R = Registry()
 ID = "contest_id"
 RATES = ["home_rating", "away_rating", "rating_diff"]
 
 
-def elo_sql(source: str = "{contests_strict}", k: float = 20.0, adv: float = 0.0) -> str:
-    """Day by day: state (n, pool, e, r) after n days; each entity meets at most once a day."""
-    return f"""RECURSIVE dn AS MATERIALIZED (SELECT *, CAST(dense_rank() OVER (ORDER BY d) AS INT) AS n FROM {source} z),
-en AS MATERIALIZED (SELECT DISTINCT competition AS pool, home AS e FROM dn UNION SELECT DISTINCT competition, away FROM dn),
-st AS (SELECT 0 AS n, pool, e, 1500.0::DOUBLE AS r FROM en UNION ALL
-SELECT s.n + 1, s.pool, s.e, s.r + coalesce(CASE WHEN x.home = s.e THEN x.delta ELSE -x.delta END, 0) FROM st s LEFT JOIN (
-  SELECT k.competition, k.home, k.away, {k} * (k.result / 2.0::DOUBLE - 1 / (1 + pow(10, (a.r - h.r - {adv}) / 400))) AS delta FROM dn k
-  JOIN st h ON h.pool = k.competition AND h.e = k.home AND k.n = h.n + 1 JOIN st a ON a.pool = k.competition AND a.e = k.away AND k.n = a.n + 1) x
-  ON x.competition = s.pool AND (x.home = s.e OR x.away = s.e) WHERE s.n < (SELECT max(n) FROM dn)),
-rt AS (SELECT k.competition AS pool, 'base' AS config, k.contest_id, h.r AS home_rating, a.r AS away_rating, h.r - a.r AS rating_diff FROM dn k
-JOIN st h ON h.pool = k.competition AND h.e = k.home AND h.n = k.n - 1 JOIN st a ON a.pool = k.competition AND a.e = k.away AND a.n = k.n - 1)"""
+def elo_sql(source: str = "{contests_strict}", k: str = "20.0", adv: str = "0.0", prior: str = "1500.0", pull: float = 0.0, config: str = "base", moves: str = "", t: str = "") -> str:
+    """Day by day: state (n, pool, e, r) after n days. k, adv and prior are SQL over the contest or entity; t ends the names.
+
+    Before a pool's first day of a season ratings are pulled to 1500 once for each season passed; then moves ('offset', or the status
+    that resets) act on the entities of mv (season, e, status, move) that have played.
+    """
+    now = f"1500 + (s.r - 1500) * coalesce(f.keep, 1)"
+    joins = f"LEFT JOIN pf{t} f ON f.pool = s.pool AND f.n = s.n + 1"
+    if moves:
+        joins += f" LEFT JOIN es{t} v ON v.pool = s.pool AND v.e = s.e AND v.n = s.n + 1"
+    if moves == "offset":
+        mean = lambda m: f"avg(CASE WHEN v.move = '{m}' THEN st{t}.r END)"
+        joins += f" LEFT JOIN (SELECT st{t}.pool, st{t}.n, {mean('relegated')} - {mean('promoted')} AS gift FROM st{t} JOIN es{t} v ON v.pool = st{t}.pool AND v.e = st{t}.e AND v.n = st{t}.n + 1 GROUP BY 1, 2) g ON g.pool = s.pool AND g.n = s.n"
+        now = f"{now} + CASE WHEN v.move = 'promoted' THEN coalesce(g.gift, 0) ELSE 0 END"
+    elif moves:
+        now = f"CASE WHEN v.status = '{moves}' THEN 1500 ELSE {now} END"
+    state = f"(SELECT s.n, s.pool, s.e, {now} AS r FROM st{t} s {joins})"
+    met = f"FROM dn{t} k JOIN {state} h ON h.pool = k.competition AND h.e = k.home AND k.n = h.n + 1 JOIN {state} a ON a.pool = k.competition AND a.e = k.away AND k.n = a.n + 1"
+    events = f"""
+es{t} AS MATERIALIZED (SELECT f.pool, f.n, m.e, m.status, m.move FROM pf{t} f JOIN mv m ON m.season = f.season JOIN (SELECT pool, e, min(n) AS n FROM pl{t} GROUP BY 1, 2) p ON p.pool = f.pool AND p.e = m.e AND p.n < f.n WHERE f.season > f.last),""" if moves else ""
+    return f"""RECURSIVE dn{t} AS MATERIALIZED (SELECT *, CAST(dense_rank() OVER (ORDER BY d) AS INT) AS n, {k} AS kk, {adv} AS aa FROM {source} z),
+pl{t} AS MATERIALIZED (SELECT DISTINCT competition AS pool, home AS e, n FROM dn{t} UNION SELECT DISTINCT competition, away, n FROM dn{t}),
+pf{t} AS MATERIALIZED (SELECT *, pow({1 - pull}, season - last) AS keep FROM (SELECT pool, n, season, lag(season) OVER (PARTITION BY pool ORDER BY n) AS last FROM (SELECT DISTINCT competition AS pool, n, season FROM dn{t}) y) y),{events}
+st{t} AS (SELECT 0 AS n, pool, e, CAST({prior} AS DOUBLE) AS r FROM (SELECT DISTINCT pool, e FROM pl{t}) y UNION ALL
+SELECT s.n + 1, s.pool, s.e, s.r + coalesce(x.delta, 0) FROM {state} s LEFT JOIN (SELECT pool, e, sum(delta) AS delta FROM (SELECT competition AS pool, unnest([home, away]) AS e, unnest([delta, -delta]) AS delta FROM (
+  SELECT k.competition, k.home, k.away, k.kk * (k.result / 2.0::DOUBLE - 1 / (1 + pow(10, (a.r - h.r - k.aa) / 400))) AS delta {met}) y) y GROUP BY 1, 2) x
+  ON x.pool = s.pool AND x.e = s.e WHERE s.n < (SELECT max(n) FROM dn{t})),
+rt{t} AS (SELECT k.competition AS pool, '{config}' AS config, k.contest_id, h.r AS home_rating, a.r AS away_rating, h.r - a.r AS rating_diff {met})"""
 
 
 strict = lambda v: v("contests_strict")
@@ -45,23 +62,47 @@ R.add(
     ["rating"],
 )
 R.add("elo_grid", lambda v: RA.replay(strict(v), RA.grid([10, 15, 20, 30, 40], range(0, 201, 25))))
-R.add("elo_per_competition_advantage", lambda v: RA.replay(strict(v).withColumn("adv_row", F.when(F.col("competition") == "BUILDING", 0.0).otherwise(175.0))))
-R.add("elo_initial_prior", lambda v: RA.replay(strict(v).withColumns({f"prior_{s}": F.when(F.col(s) % 5 == 0, 1400.0).otherwise(1500.0) for s in ("home", "away")})))
+R.add(
+    "elo_per_competition_advantage", lambda v: RA.replay(strict(v).withColumn("adv_row", F.when(F.col("competition") == "BUILDING", 0.0).otherwise(175.0))),
+    f"""WITH {elo_sql(adv="CASE WHEN competition = 'BUILDING' THEN 0.0 ELSE 175.0 END")} SELECT * FROM rt""", RATES,
+)
+R.add(
+    "elo_initial_prior", lambda v: RA.replay(strict(v).withColumns({f"prior_{s}": F.when(F.col(s) % 5 == 0, 1400.0).otherwise(1500.0) for s in ("home", "away")})),
+    f"WITH {elo_sql(prior='CASE WHEN e % 5 = 0 THEN 1400.0 ELSE 1500.0 END')} SELECT * FROM rt", RATES,
+)
 tier = lambda e: F.when((F.col(e) + F.col("season")) % 3 == 0, "TOP").otherwise("LOW")
 tiers = lambda v: v("appearances").select(tier("e").alias("competition"), "season", "e").distinct()
 moves = lambda v: RA.membership_events(tiers(v), "TOP")
 
 
-def boundary(config):
-    return lambda v: RA.replay(strict(v).withColumn("pool", F.lit("all")), [config], pool="pool", events=moves(v))
+#: Tiers by entity and season: what membership_events makes of them, by EXISTS.
+MOVES = """tt AS (SELECT DISTINCT season, e, (e + season) % 3 = 0 AS top FROM {appearances}), tc AS (SELECT DISTINCT season + 1 AS season, e, top FROM tt),
+mv AS MATERIALIZED (SELECT season, e, CASE WHEN EXISTS (SELECT 1 FROM tt y WHERE y.top AND y.e = t.e AND y.season < t.season) THEN 'returning' ELSE 'first_time' END AS status,
+  CASE WHEN EXISTS (SELECT 1 FROM tc y WHERE NOT y.top AND y.e = t.e AND y.season = t.season) THEN 'promoted' ELSE '' END AS move FROM tt t WHERE top AND NOT EXISTS (SELECT 1 FROM tc y WHERE y.top AND y.e = t.e AND y.season = t.season)
+UNION ALL SELECT season, e, '', 'relegated' FROM tc c WHERE top AND NOT EXISTS (SELECT 1 FROM tt y WHERE y.top AND y.e = c.e AND y.season = c.season))"""
 
 
-R.add("elo_promotion_offset", boundary({"config": "offset", "offset": True}))
-R.add("elo_returning_hybrid", boundary({"config": "hybrid", "reset": "first_time"}))
-R.add("elo_returning_reset", boundary({"config": "reset", "reset": "returning"}))
-R.add("elo_season_regression", lambda v: RA.replay(strict(v), [{"config": "pull", "pull": 0.25}]))
-R.add("elo_early_k", lambda v: RA.replay(RA.with_ordinals(strict(v)), [{"config": "early", "k": 30.0, "early_k": 45.0}]))
-R.add("live_dual_replay", lambda v: RA.replay(RA.with_ordinals(strict(v)), [{"config": "a", "k": 30.0}, {"config": "b", "k": 30.0, "early_k": 45.0}], final=True))
+def boundary(key: str, config: dict, act: str) -> None:
+    sql = elo_sql(config=config["config"], moves=act)
+    R.add(key, lambda v: RA.replay(strict(v), [config], events=moves(v)), f"WITH RECURSIVE {MOVES}, {sql[len('RECURSIVE '):]} SELECT * FROM rt", RATES)
+
+
+boundary("elo_promotion_offset", {"config": "offset", "offset": True}, "offset")
+boundary("elo_returning_hybrid", {"config": "hybrid", "reset": "first_time"}, "first_time")
+boundary("elo_returning_reset", {"config": "reset", "reset": "returning"}, "returning")
+R.add("elo_season_regression", lambda v: RA.replay(strict(v), [{"config": "pull", "pull": 0.25}]), f"WITH {elo_sql(pull=0.25, config='pull')} SELECT * FROM rt", RATES)
+NTH = """(WITH o AS (SELECT contest_id, e, row_number() OVER (PARTITION BY e, season ORDER BY d, CAST(contest_id AS VARCHAR)) AS o FROM (SELECT contest_id, season, d, unnest([home, away]) AS e FROM {contests_strict}) y)
+SELECT k.*, least(h.o, a.o) AS nth FROM {contests_strict} k JOIN o h ON h.contest_id = k.contest_id AND h.e = k.home JOIN o a ON a.contest_id = k.contest_id AND a.e = k.away)"""
+EARLY = "CASE WHEN nth <= 5 THEN 45.0 ELSE 30.0 END"
+R.add(
+    "elo_early_k", lambda v: RA.replay(RA.with_ordinals(strict(v)), [{"config": "early", "k": 30.0, "early_k": 45.0}]),
+    f"WITH {elo_sql(NTH, EARLY, config='early')} SELECT * FROM rt", RATES,
+)
+LAST = "SELECT pool, '{0}' AS config, e, r AS rating FROM st_{0} WHERE n = (SELECT max(n) FROM st_{0})"
+R.add(
+    "live_dual_replay", lambda v: RA.replay(RA.with_ordinals(strict(v)), [{"config": "a", "k": 30.0}, {"config": "b", "k": 30.0, "early_k": 45.0}], final=True),
+    f"WITH {elo_sql(k='30.0', t='_a')}, {elo_sql(NTH, EARLY, t='_b')[len('RECURSIVE '):]} {LAST.format('a')} UNION ALL {LAST.format('b')}", ["rating"],
+)
 R.add(
     "asof_ratings_for_targets", lambda v: RA.replay(strict(v).withColumn("result", F.when(F.col("season") < 1998, F.col("result")))).join(strict(v).where("season >= 1998").select(ID), ID, "left_semi"),
     f"""WITH {elo_sql("(SELECT * FROM {contests_strict} WHERE season < 1998)")}, f AS (SELECT pool, e, r FROM st WHERE n = (SELECT max(n) FROM st))
@@ -69,12 +110,30 @@ SELECT competition AS pool, 'base' AS config, contest_id, coalesce(h.r, 1500) AS
 LEFT JOIN f h ON h.pool = k.competition AND h.e = k.home LEFT JOIN f a ON a.pool = k.competition AND a.e = k.away WHERE season >= 1998""",
     RATES,
 )
-R.add("attack_defence_replay", lambda v: RA.attack_defence(v("contests")))
-R.add("elo_same_date_manifest", lambda v: RA.replay(v("contests")))
 R.add(
-    "transition_sanity",
-    lambda v: RA.transition_sanity(strict(v), RA.replay(strict(v)), RA.replay(strict(v).withColumn("all", F.lit("all")), pool="all")),
-)
+    "attack_defence_replay", lambda v: RA.attack_defence(v("contests"), 1996),
+    """WITH RECURSIVE q AS MATERIALIZED (SELECT k.*, row_number() OVER (PARTITION BY competition ORDER BY d, CAST(contest_id AS VARCHAR)) AS i,
+  avg(CASE WHEN season <= 1996 THEN home_score END) OVER (PARTITION BY competition) AS bh, avg(CASE WHEN season <= 1996 THEN away_score END) OVER (PARTITION BY competition) AS ba FROM {contests} k),
+f AS MATERIALIZED (SELECT competition AS pool, e, min(i) AS i FROM (SELECT competition, i, unnest([home, away]) AS e FROM q) y GROUP BY 1, 2),
+st AS (SELECT CAST(0 AS BIGINT) AS i, pool, e, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM f UNION ALL
+SELECT s.i + 1, s.pool, s.e, CASE WHEN s.fi <= s.i + 1 THEN s.a + CASE s.e WHEN x.home THEN x.dh WHEN x.away THEN x.da ELSE 0 END - (x.dh + x.da) / x.met ELSE 0 END,
+  CASE WHEN s.fi <= s.i + 1 THEN s.b - CASE s.e WHEN x.home THEN x.da WHEN x.away THEN x.dh ELSE 0 END + (x.dh + x.da) / x.met ELSE 0 END
+FROM (SELECT st.*, f.i AS fi FROM st JOIN f USING (pool, e)) s JOIN (
+  SELECT q.competition AS pool, q.home, q.away, 0.05 * (q.home_score - q.bh * exp(h.a - w.b)) AS dh, 0.05 * (q.away_score - q.ba * exp(w.a - h.b)) AS da, (SELECT count(*) FROM f WHERE f.pool = q.competition AND f.i <= q.i) AS met
+  FROM q JOIN st h ON h.pool = q.competition AND h.e = q.home AND q.i = h.i + 1 JOIN st w ON w.pool = q.competition AND w.e = q.away AND q.i = w.i + 1) x ON x.pool = s.pool)
+SELECT q.competition AS pool, q.contest_id, q.bh * exp(h.a - w.b) AS home_lambda, q.ba * exp(w.a - h.b) AS away_lambda FROM q
+JOIN st h ON h.pool = q.competition AND h.e = q.home AND h.i = q.i - 1 JOIN st w ON w.pool = q.competition AND w.e = q.away AND w.i = q.i - 1""",
+    ["home_lambda", "away_lambda"],
+)
+R.add("elo_same_date_manifest", lambda v: RA.replay(v("contests")), f"WITH {elo_sql('{contests}')} SELECT * FROM rt", RATES)
+pair = lambda df: df.withColumn("pool", F.when(F.col("competition").isin("BUILDING", "MACHINERY"), "PAIR").otherwise(F.col("competition")))
+PAIRED = "(SELECT * REPLACE (CASE WHEN competition IN ('BUILDING', 'MACHINERY') THEN 'PAIR' ELSE competition END AS competition) FROM {contests_strict})"
+R.add(
+    "transition_sanity", lambda v: RA.transition_sanity(strict(v), RA.replay(strict(v)), RA.replay(pair(strict(v)), pool="pool")),
+    f"""WITH {elo_sql()}, {elo_sql(PAIRED, t='_p')[len('RECURSIVE '):]}, o AS (SELECT contest_id, e, season, row_number() OVER (PARTITION BY e, season ORDER BY d, CAST(contest_id AS VARCHAR)) AS o FROM (SELECT contest_id, season, d, unnest([home, away]) AS e FROM dn) y)
+SELECT o.contest_id, e, season, rt.rating_diff AS own_diff, rt_p.rating_diff AS combined_diff FROM o JOIN rt USING (contest_id) JOIN rt_p USING (contest_id) WHERE o.o = 1""",
+    ["own_diff", "combined_diff"],
+)
 R.add(
     "export_ratings",
     lambda v: RA.replay(strict(v), final=True).join(RA.appearances(strict(v)).groupBy(F.col("competition").alias("pool"), "e").agg(F.max("d").alias("last_date"), F.count("*").alias("played")), ["pool", "e"]).drop("config"),
@@ -99,10 +158,35 @@ R.add(
     "training_plus_venue", lambda v: A.plus_venue(base(v), strict(v)),
     base_sql(f", v0 AS ({last_sql(5, VEN, 'b.e = a.e AND b.side = a.side', base='sa')}), ve AS ({pivot_sql('v0', VEN)})") + f" {TB}, ve.* EXCLUDE (contest_id) {FROM} JOIN ve ON ve.contest_id = k.contest_id", RATES,
 )
-R.add("training_plus_matchup", lambda v: A.plus_matchup(base(v), strict(v)))
-R.add("training_plus_context", lambda v: A.plus_context(base(v), strict(v)))
-R.add("training_plus_full", lambda v: A.plus_momentum(A.plus_context(A.plus_matchup(A.plus_venue(base(v), strict(v)), strict(v)), strict(v)), strict(v), A.rated_rows(strict(v))))
-R.add("training_plus_stats", lambda v: A.plus_stats(base(v), strict(v), stats(v), ["shots", "corners"]))
+SPAN = "date_diff('day', max(b.d), a.d)"
+H2H_ROWS = f"h2 AS ({H2H.replace('{contests}', '{contests_strict}')})"
+PLACES = f"p0 AS ({last_sql(5, PLACE, 'b.e = a.e AND b.place = a.place', base='sa')}), pf_ AS ({pivot_sql('p0', PLACE)})"
+GAPS = f"""g0 AS ({last_sql(None, {"gap": SPAN}, base="sa", keep="a.side, a.d")}), g1 AS ({pivot_sql("g0", ["gap"])}), ga AS (SELECT contest_id, coalesce(home_gap, 0) AS home_gap, coalesce(away_gap, 0) AS away_gap,
+home_gap IS NOT NULL AS home_known, away_gap IS NOT NULL AS away_known, coalesce(home_gap - away_gap, 0) AS gap_diff FROM g1)"""
+VENUES = f"v0 AS ({last_sql(5, VEN, 'b.e = a.e AND b.side = a.side', base='sa')}), ve AS ({pivot_sql('v0', VEN)})"
+MOMENTUM = f"""mr AS (SELECT sa.*, CASE WHEN sa.side = 'home' THEN rt.home_rating ELSE rt.away_rating END AS rating FROM sa JOIN rt USING (contest_id)),
+m0 AS ({last_sql(5, {"oldest": "arg_max(b.rating, b.k)", "momentum_n": "count(b.rating)"}, base="mr", keep="a.side, a.rating")}), m1 AS (SELECT contest_id, side, momentum_n, coalesce(rating - oldest, 0) AS momentum FROM m0), mo AS ({pivot_sql("m1", ["momentum", "momentum_n"])})"""
+SUMS = f"s0 AS ({last_sql(5, STATS, base='sa')}), ss AS ({pivot_sql('s0', STATS)})"
+
+
+def plus_sql(parts: dict[str, str]) -> str:
+    """The base table with the columns of the named parts: name of the common table expression -> its SQL."""
+    return base_sql("".join(f", {x}" for x in parts.values())) + f" {TB}, " + ", ".join(f"{n}.* EXCLUDE (contest_id)" for n in parts) + f" {FROM} " + " ".join(f"JOIN {n} ON {n}.contest_id = k.contest_id" for n in parts)
+
+
+MATCHUP = {"h2": H2H_ROWS, "pf_": PLACES}
+R.add("training_plus_matchup", lambda v: A.plus_matchup(base(v), strict(v)), plus_sql(MATCHUP), RATES)
+R.add("training_plus_context", lambda v: A.plus_context(base(v), strict(v)), plus_sql({"ga": GAPS}), RATES)
+
+
+def full(v) -> DataFrame:
+    rated = A.rated_rows(strict(v))
+    out = A.training_base(strict(v), rated)
+    return A.plus_momentum(A.plus_context(A.plus_matchup(A.plus_venue(out, strict(v)), strict(v)), strict(v)), strict(v), rated)
+
+
+R.add("training_plus_full", full, plus_sql({"ve": VENUES, **MATCHUP, "ga": GAPS, "mo": MOMENTUM}), [*RATES, "home_momentum", "away_momentum"])
+R.add("training_plus_stats", lambda v: A.plus_stats(base(v), strict(v), stats(v), ["shots", "corners", "fouls"]), plus_sql({"ss": SUMS}), RATES)
 R.add(
     "continuous_history",
     lambda v: A.continuous_history({"a": v("contests").where("season < 1996"), "b": v("contests").where("season >= 1996").drop("place")}, FE.form_lastn)["b"],
@@ -110,8 +194,8 @@ R.add(
 )
 R.add("time_split", lambda v: M.time_split(v("contests"), 1995, 1996, 1997).select(ID, "split"), "SELECT contest_id, CASE WHEN season <= 1995 THEN 'train' WHEN season = 1996 THEN 'validation' WHEN season = 1997 THEN 'test' ELSE 'reserved' END AS split FROM {contests}")
 R.add(
-    "expanding_folds", lambda v: M.expanding_folds(v("contests"), [1995, 1996, 1997]).select(ID, "fold", "role"),
-    "SELECT contest_id, CAST(y AS INT) AS fold, CASE WHEN season = y THEN 'valid' ELSE 'train' END AS role FROM {contests} JOIN range(1995, 1998) r(y) ON season <= y",
+    "expanding_folds", lambda v: M.expanding_folds(v("contests"), folds(v)).select(ID, "fold", "role"),
+    "SELECT contest_id, CAST(y AS INT) AS fold, CASE WHEN season = y THEN 'valid' ELSE 'train' END AS role FROM {contests} JOIN (SELECT DISTINCT season AS y FROM {contests} WHERE season > (SELECT min(season) FROM {contests})) r ON season <= y",
 )
 R.add(
     "eligibility_flag", lambda v: M.eligibility_flag(v("predictions").withColumns({"ok": F.col(ID) % 4 != 0, "x": F.when(F.col(ID) % 5 != 0, F.col("p_home"))}), ["ok"], ["x"]).select(ID, "eligible"),
@@ -173,13 +257,25 @@ R.add(
     """WITH l AS (SELECT *, 0.5::DOUBLE + (home % 7) * 0.25 AS hl, 0.5::DOUBLE + (away % 5) * 0.25 AS al FROM {contests}) SELECT contest_id, CASE WHEN home_score = 0 AND away_score = 0 THEN 1 - hl * al * 0.1 WHEN home_score = 0 AND away_score = 1 THEN 1 + hl * 0.1 WHEN home_score = 1 AND away_score = 0 THEN 1 + al * 0.1 WHEN home_score = 1 AND away_score = 1 THEN 0.9 ELSE 1 END AS tau FROM l""",
     ["tau"],
 )
-R.add("dixon_coles_rho", lambda v: v("contests").select(F.max("season").alias("season")).withColumn("rho", F.lit(M.dixon_coles_rho(lam(v)))), None, ["rho"])
+R.add(
+    "dixon_coles_rho", lambda v: v("contests").select(F.max("season").alias("season")).withColumn("rho", F.lit(M.dixon_coles_rho(lam(v)))),
+    """WITH RECURSIVE l AS MATERIALIZED (SELECT home_score AS h, away_score AS a, 0.5::DOUBLE + (home % 7) * 0.25 AS hl, 0.5::DOUBLE + (away % 5) * 0.25 AS al, count(*) AS n FROM {contests} WHERE home_score <= 1 AND away_score <= 1 GROUP BY ALL),
+z AS (SELECT 0 AS i, -0.2::DOUBLE AS lo, 0.2::DOUBLE AS hi UNION ALL SELECT i + 1, CASE WHEN slope > 0 THEN mid ELSE lo END, CASE WHEN slope > 0 THEN hi ELSE mid END FROM (
+  SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT sum(n * CASE WHEN h = 0 AND a = 0 THEN -hl * al / (1 - hl * al * (lo + hi) / 2) WHEN h = 0 THEN hl / (1 + hl * (lo + hi) / 2) WHEN a = 0 THEN al / (1 + al * (lo + hi) / 2) ELSE -1 / (1 - (lo + hi) / 2) END) FROM l) AS slope FROM z WHERE i < 40) y)
+SELECT (SELECT max(season) FROM {contests}) AS season, (lo + hi) / 2 AS rho FROM z WHERE i = 40""", ["rho"],
+)
 dav = lambda v: v("contests").withColumns({"home_rating": (1500 + F.col("home")).cast("double"), "away_rating": (1500 + F.col("away")).cast("double")})
 R.add(
     "davidson_probs", lambda v: dav(v).select(ID, M.davidson_probs(F.col("home_rating"), F.col("away_rating"), F.lit(0.7)).alias("p")).select(ID, *[F.col("p")[i].alias(n) for i, n in enumerate(M.P)]),
     """WITH g AS (SELECT contest_id, pow(10, (1500 + home) / 400.0::DOUBLE) AS h, pow(10, (1500 + away) / 400.0::DOUBLE) AS a FROM {contests}) SELECT contest_id, a / (h + a + 0.7 * sqrt(h * a)) AS p_away, 0.7 * sqrt(h * a) / (h + a + 0.7 * sqrt(h * a)) AS p_draw, h / (h + a + 0.7 * sqrt(h * a)) AS p_home FROM g""", M.P,
 )
-R.add("davidson_nu", lambda v: v("contests").select(F.max("season").alias("season")).withColumn("nu", F.lit(M.davidson_nu(dav(v)))), None, ["nu"])
+R.add(
+    "davidson_nu", lambda v: v("contests").select(F.max("season").alias("season")).withColumn("nu", F.lit(M.davidson_nu(dav(v)))),
+    """WITH RECURSIVE g AS MATERIALIZED (SELECT pow(10, home / 400.0::DOUBLE) AS h, pow(10, away / 400.0::DOUBLE) AS a, count(*) AS n, count(CASE WHEN result = 1 THEN 1 END) AS drawn FROM {contests} GROUP BY home, away),
+z AS (SELECT 0 AS i, 0.01::DOUBLE AS lo, 5.0::DOUBLE AS hi UNION ALL SELECT i + 1, CASE WHEN slope > 0 THEN mid ELSE lo END, CASE WHEN slope > 0 THEN hi ELSE mid END FROM (
+  SELECT i, lo, hi, (lo + hi) / 2 AS mid, (SELECT sum(drawn / ((lo + hi) / 2) - n * sqrt(h * a) / (h + a + (lo + hi) / 2 * sqrt(h * a))) FROM g) AS slope FROM z WHERE i < 45) y)
+SELECT (SELECT max(season) FROM {contests}) AS season, (lo + hi) / 2 AS nu FROM z WHERE i = 45""", ["nu"],
+)
 
 
 def _calibrated(kind):
@@ -191,8 +287,34 @@ def _calibrated(kind):
     return build
 
 
-for _kind in ("C1", "C2", "C3"):
-    R.add(f"calibrate_{_kind}", _calibrated(_kind), None, M.P)
+#: Newton's steps by Cramer's rule: biases x and y of draw and home, temperature t, of which a kind moves its own.
+_Q = "(SELECT result, n, la, ld, lh, t, x, y, i, 1 / (1 + exp(t * (ld - la) + x) + exp(t * (lh - la) + y)) AS qa FROM rows CROSS JOIN (SELECT * FROM z WHERE i < 25) z)"
+_MOVE = {"t": ("la", "ld", "lh"), "x": ("0", "1", "0"), "y": ("0", "0", "1")}
+
+
+def calibration_sql(own: str) -> str:
+    mean = lambda u: f"(qa * {u[0]} + qd * {u[1]} + qh * {u[2]})"
+    true = lambda u: f"(CASE result WHEN 0 THEN {u[0]} WHEN 1 THEN {u[1]} ELSE {u[2]} END)"
+    picks = [f"sum(n * ({mean(_MOVE[m])} - {true(_MOVE[m])})) AS g{m}" for m in own]
+    picks += [f"sum(n * ({mean([f'({p}) * ({q})' for p, q in zip(_MOVE[a], _MOVE[b], strict=True)])} - {mean(_MOVE[a])} * {mean(_MOVE[b])})) AS h{a}{b}" for a in own for b in own]
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {det([r[:j] + r[j + 1:] for r in m[1:]])}" for j in range(len(m))) + ")"
+
+    h = [[f"h{a}{b}" for b in own] for a in own]
+    solved = {m: f"{m} - {det([[f'g{own[i]}' if own[c] == m else h[i][c] for c in range(len(own))] for i in range(len(own))])} / {det(h)}" for m in own}
+    step = ", ".join(f"greatest(0, {solved[m]})" if m == "t" and m in own else solved.get(m, m) for m in "txy")
+    return f"""WITH RECURSIVE rows AS MATERIALIZED (SELECT result, ln(p_away) AS la, ln(p_draw) AS ld, ln(p_home) AS lh, count(*) AS n FROM {{predictions}} WHERE season < 1997 GROUP BY ALL),
+z AS (SELECT 0 AS i, 1.0::DOUBLE AS t, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y UNION ALL SELECT i + 1, {step} FROM (
+  SELECT i, t, x, y, {', '.join(picks)} FROM (SELECT *, qa * exp(t * (ld - la) + x) AS qd, qa * exp(t * (lh - la) + y) AS qh FROM {_Q} u) u GROUP BY i, t, x, y) w),
+o AS (SELECT contest_id, pow(p_away, t) AS a, pow(p_draw, t) * exp(x) AS d, pow(p_home, t) * exp(y) AS h FROM {{predictions}} CROSS JOIN (SELECT * FROM z WHERE i = 25) f WHERE season >= 1997)
+SELECT contest_id, a / (a + d + h) AS p_away, d / (a + d + h) AS p_draw, h / (a + d + h) AS p_home FROM o"""
+
+
+for _kind, _own in (("C1", "t"), ("C2", "xy"), ("C3", "txy")):
+    R.add(f"calibrate_{_kind}", _calibrated(_kind), calibration_sql(_own), M.P)
 R.add(
     "calibrate_apply", lambda v: v("predictions").select(ID, M.calibrate(M.P, 0.8, (0.0, 0.1, -0.1)).alias("q")).select(ID, *[F.col("q")[i].alias(n) for i, n in enumerate(M.P)]),
     "WITH z AS (SELECT contest_id, pow(p_away, 0.8) AS a, pow(p_draw, 0.8) * exp(0.1) AS d, pow(p_home, 0.8) * exp(-0.1) AS h FROM {predictions}) SELECT contest_id, a / (a + d + h) AS p_away, d / (a + d + h) AS p_draw, h / (a + d + h) AS p_home FROM z", M.P,
