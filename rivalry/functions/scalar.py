@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def c(x) -> Column:
@@ -92,3 +96,14 @@ def clipped_log(p) -> Column:
     """log of a probability, clipped at the double epsilon on both sides."""
     eps = 2.220446049250313e-16
     return F.log(F.greatest(F.lit(eps), F.least(F.lit(1 - eps), c(p))))
+
+
+@F.pandas_udf(StringType())
+def nfkc(names: pd.Series) -> pd.Series:
+    """Unicode compatibility composition; Spark has no function for it. Meant for distinct names, not for long texts."""
+    return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
+def name_key(name: Column) -> Column:
+    """A name for comparison: NFKC, lower case, runs of white space (the ideographic one too) as one blank."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(name)), r"[\s\u3000]+", " "))

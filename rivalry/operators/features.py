@@ -221,24 +221,29 @@ def discipline_rates(contests: DataFrame, events: DataFrame) -> DataFrame:
 ORDER = ("half", "minute", "added")
 
 
-def first_event_side(contests: DataFrame, events: DataFrame, kind: str = "GOAL") -> DataFrame:
-    """home, away, AMBIGUOUS where both sides hold the smallest order key, NO_EVENT without one."""
+def first_event_side(contests: DataFrame, events: DataFrame, kind: str = "GOAL", not_checkable: DataFrame | None = None) -> DataFrame:
+    """home, away, AMBIGUOUS where both sides hold the smallest order key, NO_EVENT without one; NOT_CHECKABLE for the contests listed as such."""
     goals = events.where(F.col("event_type") == kind)
     per = goals.groupBy(ID, "side").agg(F.min(F.struct(*ORDER)).alias("at"))
     first = per.groupBy(ID).agg(F.min(F.when(F.col("side") == "home", F.col("at"))).alias("h"), F.min(F.when(F.col("side") == "away", F.col("at"))).alias("a"))
+    rows = contests.select(ID).join(first, ID, "left")
+    forced = F.lit(False)
+    if not_checkable is not None:
+        rows = rows.join(not_checkable.select(ID).distinct().withColumn("forced", F.lit(True)), ID, "left")
+        forced = F.coalesce("forced", F.lit(False))
     side = (
-        F.when(F.col("h").isNull() & F.col("a").isNull(), "NO_EVENT").when(F.col("a").isNull(), "home").when(F.col("h").isNull(), "away")
+        F.when(forced, "NOT_CHECKABLE").when(F.col("h").isNull() & F.col("a").isNull(), "NO_EVENT").when(F.col("a").isNull(), "home").when(F.col("h").isNull(), "away")
         .when(F.col("h") == F.col("a"), "AMBIGUOUS").when(F.col("h") < F.col("a"), "home").otherwise("away")
     )
-    return contests.select(ID).join(first, ID, "left").select(ID, side.alias("first_side"))
+    return rows.select(ID, side.alias("first_side"))
 
 
-def first_event_profile(contests: DataFrame, events: DataFrame) -> DataFrame:
-    """Season so far: scored first, conceded first, no goal - counts and rates over checkable contests."""
-    rows = appearances(contests).join(first_event_side(contests, events), ID)
+def first_event_profile(contests: DataFrame, events: DataFrame, not_checkable: DataFrame | None = None) -> DataFrame:
+    """Season so far: scored first, conceded first, no goal - counts and rates over contests that can be checked and aren't ambiguous."""
+    rows = appearances(contests).join(first_event_side(contests, events, not_checkable=not_checkable), ID)
     is_ = lambda x: F.count(F.when(x, 1))
     own = F.col("first_side") == F.col("side")
-    ok = F.col("first_side") != "AMBIGUOUS"
+    ok = ~F.col("first_side").isin("AMBIGUOUS", "NOT_CHECKABLE")
     rows = prior(rows, {
         "n": is_(ok), "scored": is_(own), "conceded": is_(ok & ~own & (F.col("first_side") != "NO_EVENT")), "goalless": is_(F.col("first_side") == "NO_EVENT"),
     }, ["e", "season"])
@@ -248,7 +253,7 @@ def first_event_profile(contests: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def event_timing_profile(contests: DataFrame, events: DataFrame) -> DataFrame:
-    """Season so far: count and mean minute of the contest's first goal, of own goals and of goals against."""
+    """Season so far: count, sum and mean of the minutes of the contest's first goal, of own goals and of goals against."""
     goals = events.where("event_type = 'GOAL'")
     first = goals.groupBy(ID).agg(F.min("minute").alias("first"))
     per = goals.groupBy(ID, "side").agg(F.count("*").alias("k"), F.sum("minute").alias("m"))
@@ -262,8 +267,8 @@ def event_timing_profile(contests: DataFrame, events: DataFrame) -> DataFrame:
         "conceded_n": F.sum(pick("k", False)), "conceded_sum": F.sum(pick("m", False)),
     }, ["e", "season"])
     kinds = ["first", "scored", "conceded"]
-    rows = _zero(rows, [f"{k}_n" for k in kinds]).withColumns({f"{k}_mean": F.when(F.col(f"{k}_n") > 0, F.col(f"{k}_sum") / F.col(f"{k}_n")) for k in kinds})
-    return repivot(rows, [f"{k}_{x}" for k in kinds for x in ("n", "mean")])
+    rows = _zero(rows, [f"{k}_{x}" for k in kinds for x in ("n", "sum")]).withColumns({f"{k}_mean": F.when(F.col(f"{k}_n") > 0, F.col(f"{k}_sum") / F.col(f"{k}_n")) for k in kinds})
+    return repivot(rows, [f"{k}_{x}" for k in kinds for x in ("n", "sum", "mean")])
 
 
 def substitution_profile(contests: DataFrame, events: DataFrame) -> DataFrame:
@@ -341,11 +346,23 @@ def transition_events(staff: DataFrame) -> DataFrame:
 
 
 def appearance_ordinal(contests: DataFrame, first: int = 5) -> DataFrame:
-    """Which contest of the season it is for each side, and whether it is one of the first ones."""
+    """Which contest of the season it is for each side, whether it is one of the first ones, and what the sides were the season before.
+
+    A side's status is ESTABLISHED if it played the season before, RETURNING if in an earlier one, else FIRST_TIME_IN_SCOPE.
+    """
+    rows = appearances(contests)
     w = W.partitionBy("e", "season").orderBy("d", by_id())
-    out = repivot(appearances(contests).withColumn("ordinal", F.row_number().over(w)), ["ordinal"])
+    seasons = rows.select("season", "e").distinct().withColumn("before", F.lag("season").over(W.partitionBy("e").orderBy("season")))
+    status = F.when(F.col("before") == F.col("season") - 1, "ESTABLISHED").when(F.col("before").isNotNull(), "RETURNING").otherwise("FIRST_TIME_IN_SCOPE")
+    rows = rows.withColumn("ordinal", F.row_number().over(w)).join(seasons.select("season", "e", status.alias("status")), ["season", "e"])
+    out = repivot(rows, ["ordinal", "status"])
     h, a = F.col("home_ordinal") <= first, F.col("away_ordinal") <= first
-    return out.withColumns({"home_early": h, "away_early": a, "any_early": h | a, "both_early": h & a})
+    old = lambda s, x: F.col(f"{s}_status") == x
+    return out.withColumns({
+        "home_early": h, "away_early": a, "any_early": h | a, "both_early": h & a,
+        "promoted_involved": ~old("home", "ESTABLISHED") | ~old("away", "ESTABLISHED"), "returning_involved": old("home", "RETURNING") | old("away", "RETURNING"),
+        "established_only": old("home", "ESTABLISHED") & old("away", "ESTABLISHED"),
+    })
 
 
 def first_seen(contests: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.core.asof import ID, appearances
+from rivalry.functions.scalar import name_key
 
 
 def resolve_alias_asof(rows: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -31,10 +32,11 @@ def resolve_alias_safe(rows: DataFrame, aliases: DataFrame, given: str = "given_
 
 
 def resolve_unique_name(rows: DataFrame, master: DataFrame, name: str = "name", id_col: str = "id") -> DataFrame:
-    """Link by normalised name (lower case, single blanks) only where exactly one id has it."""
-    norm = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
-    one = master.groupBy(norm(F.col(name)).alias("_n")).agg(F.count_distinct(id_col).alias("k"), F.min(id_col).alias("linked_id")).where("k = 1").drop("k")
-    return rows.join(one, norm(F.col(name)) == F.col("_n"), "left").drop("_n")
+    """Link by normalised name (name_key) only where exactly one id has it. Each distinct name is normalised once."""
+    keys = lambda df: df.select(F.col(name).alias("_name")).distinct().withColumn("_n", name_key(F.col("_name")))
+    known = master.join(keys(master), F.col(name) == F.col("_name"))
+    one = known.groupBy("_n").agg(F.count_distinct(id_col).alias("k"), F.min(id_col).alias("linked_id")).where("k = 1").drop("k")
+    return rows.join(keys(rows).join(one, "_n"), F.col(name) == F.col("_name"), "left").drop("_n", "_name")
 
 
 def scoped_exact_link(rows: DataFrame, master: DataFrame, scope: Sequence[str], name: str, id_col: str = "id") -> DataFrame:

@@ -215,11 +215,13 @@ def davidson_probs(home_rating: Column, away_rating: Column, nu: Column, advanta
 
 def minimise(nll, rows: DataFrame, low: float, high: float, points: int = 9, passes: int = 13) -> float:
     """A bounded one-parameter minimum: each pass evaluates `points` values in one aggregation and narrows the interval."""
+    rows = rows.persist()
     for _ in range(passes):
         grid = [low + (high - low) * i / (points - 1) for i in range(points)]
         got = rows.agg(*[F.sum(nll(F.lit(x))).alias(f"v{i}") for i, x in enumerate(grid)]).first()
         best = min(range(points), key=lambda i: float("inf") if got[i] is None or got[i] != got[i] else got[i])
         low, high = grid[max(0, best - 1)], grid[min(points - 1, best + 1)]
+    rows.unpersist()
     return (low + high) / 2
 
 
@@ -250,6 +252,7 @@ def fit_calibration(rows: DataFrame, kind: str = "C1", steps: int = 12, probs: S
     x = dict.fromkeys(["tau", "b1", "b2"], 0.0) | {"tau": 1.0}
     logs = [clipped_log(p) for p in probs]
     feats = {"tau": logs, "b1": [F.lit(0.0), F.lit(1.0), F.lit(0.0)], "b2": [F.lit(0.0), F.lit(0.0), F.lit(1.0)]}
+    rows = rows.select("result", *probs).persist()
     for _ in range(steps):
         q = calibrate(probs, x["tau"], (0.0, x["b1"], x["b2"]))
         mean = {n: q[0] * feats[n][0] + q[1] * feats[n][1] + q[2] * feats[n][2] for n in names}
@@ -264,6 +267,7 @@ def fit_calibration(rows: DataFrame, kind: str = "C1", steps: int = 12, probs: S
         x["tau"] = max(0.0, x["tau"])
         if max(abs(step)) < 1e-10:
             break
+    rows.unpersist()
     return x["tau"], (0.0, x["b1"], x["b2"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +23,28 @@ def unequal(a, b) -> Column:
     return ~c(a).eqNullSafe(c(b))
 
 
+def _repeated(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """df with a flag for rows whose (non-null) keys occur more than once; only the repeated keys are joined back."""
+    full = F.lit(True)
+    for k in keys:
+        full = full & F.col(k).isNotNull()
+    many = df.where(full).groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys, F.lit(True).alias(name))
+    return df.join(many, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def expect_contests(contests: DataFrame) -> DataFrame:
-    """Blank ids, missing dates, negative or missing scores, results that differ from scores, equal sides, repeated ids and natural keys."""
-    counted = contests.withColumns({
-        "_same_id": F.count("*").over(W.partitionBy(ID)), "_same_key": F.count("*").over(W.partitionBy("d", "home", "away")),
-    })
+    """Blank ids, missing dates, negative or missing scores, results that differ from scores, equal sides, repeated ids and natural keys.
+
+    Keys with a null aren't compared.
+    """
+    rows = contests.select(ID, "d", "home", "away", "home_score", "away_score", "result")
+    counted = _repeated(_repeated(rows, [ID], "_same_id"), ["d", "home", "away"], "_same_key")
     sign = F.signum((F.col("home_score") - F.col("away_score")).cast("double")) + 1
     return violations(counted, [ID], {
         "blank_id": F.col(ID).isNull(), "missing_date": F.col("d").isNull(),
         "bad_score": F.coalesce((F.col("home_score") < 0) | (F.col("away_score") < 0), F.lit(True)),
         "result_differs": unequal(F.col("result").cast("double"), sign), "same_sides": F.col("home").eqNullSafe(F.col("away")),
-        "duplicate_id": F.col("_same_id") > 1, "duplicate_key": F.col("_same_key") > 1,
+        "duplicate_id": F.col("_same_id"), "duplicate_key": F.col("_same_key"),
     })
 
 
@@ -41,24 +53,45 @@ def expect_no_same_day_dup(contests: DataFrame) -> DataFrame:
 
 
 def expect_alias_intervals(aliases: DataFrame) -> DataFrame:
-    """Reversed intervals, and intervals of one (source, name) that overlap an earlier one."""
+    """Reversed intervals, intervals of one (source, name) that overlap an earlier one, entities with several canonical names
+    (column canonical_name) and external ids (column external_id) of one source with several entities, where there are such columns."""
     lo = F.coalesce("valid_from", F.lit("0001-01-01").cast("date"))
     hi = F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
     w = W.partitionBy("source", "source_name").orderBy(lo, hi, "entity_id").rowsBetween(W.unboundedPreceding, -1)
     rows = aliases.withColumns({"_lo": lo, "_hi": hi, "_before": F.max(hi).over(w)})
-    return violations(rows, ["source", "source_name", "entity_id"], {"reversed": F.col("_lo") > F.col("_hi"), "overlap": F.col("_lo") <= F.col("_before")})
+    rules = {"reversed": F.col("_lo") > F.col("_hi"), "overlap": F.col("_lo") <= F.col("_before")}
+    for rule, keys, value in (("canonical_differs", ["entity_id"], "canonical_name"), ("external_shared", ["source", "external_id"], "entity_id")):
+        if value in aliases.columns and keys[-1] in aliases.columns:
+            odd = aliases.groupBy(*keys).agg(F.count_distinct(value).alias("_k")).where("_k > 1").select(*keys, F.lit(True).alias(f"_{rule}"))
+            rows = rows.join(odd, keys, "left")
+            rules[rule] = F.coalesce(f"_{rule}", F.lit(False))
+    return violations(rows, ["source", "source_name", "entity_id"], rules)
 
 
-def expect_round_robin(contests: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Directed pairs of a scope's entities that don't meet exactly once: MISSING or REPEATED with their count.
+def expect_round_robin(contests: DataFrame, scope: Sequence[str], round_: str | None = None) -> DataFrame:
+    """What keeps a scope from being a double round robin: (scope.., problem, subject, n).
 
-    The pairs of a scope are built by an equi-join of its entities on the scope.
+    MISSING: an entity hosts n others too few; REPEATED: it hosts n of them more than once. With round_:
+    ROUND_SIZE, a round has n contests where half the entities are due; ROUND_APPEARANCES, an entity plays n
+    rounds not exactly once. Counts for each entity and round; no pairs are made.
     """
-    e = appearances(contests, scope).select(*scope, "e").distinct()
-    pairs = e.withColumnRenamed("e", "home").join(e.withColumnRenamed("e", "away"), list(scope)).where("home <> away")
-    met = contests.groupBy(*scope, "home", "away").agg(F.count("*").alias("n"))
-    out = pairs.join(met, [*scope, "home", "away"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.where("n <> 1").withColumn("problem", F.when(F.col("n") == 0, "MISSING").otherwise("REPEATED"))
+    sides = appearances(contests, [*scope, *([round_] if round_ else [])])
+    entities = sides.select(*scope, "e").distinct()
+    sizes = entities.groupBy(*scope).agg(F.count("*").alias("_all"))
+    hosted = contests.groupBy(*scope, F.col("home").alias("e"), "away").agg(F.count("*").alias("_n"))
+    hosted = hosted.groupBy(*scope, "e").agg(F.count("*").alias("_met"), F.count(F.when(F.col("_n") > 1, 1)).alias("_more"))
+    each = entities.join(hosted, [*scope, "e"], "left").join(F.broadcast(sizes), list(scope))
+    lacks = F.col("_all") - 1 - F.coalesce("_met", F.lit(0))
+    out = [(each, "MISSING", F.col("e"), lacks), (each, "REPEATED", F.col("e"), F.coalesce("_more", F.lit(0)))]
+    if round_:
+        size = contests.groupBy(*scope, round_).agg(F.count("*").alias("_k")).join(F.broadcast(sizes), list(scope))
+        played = sides.groupBy(*scope, "e", round_).agg(F.count("*").alias("_k"))
+        rounds = contests.groupBy(*scope).agg(F.count_distinct(round_).alias("_rounds"))
+        played = played.groupBy(*scope, "e").agg(F.count(F.when(F.col("_k") == 1, 1)).alias("_once")).join(F.broadcast(rounds), list(scope))
+        wrong = F.when(F.col("_k") != F.floor(F.col("_all") / 2), F.col("_k")).otherwise(0)
+        out += [(size, "ROUND_SIZE", F.col(round_), wrong), (played, "ROUND_APPEARANCES", F.col("e"), F.col("_rounds") - F.col("_once"))]
+    rows = [df.select(*scope, F.lit(p).alias("problem"), s.cast("string").alias("subject"), n.cast("long").alias("n")).where("n <> 0") for df, p, s, n in out]
+    return reduce(DataFrame.union, rows)
 
 
 def expect_events(events: DataFrame, kinds: Sequence[str]) -> DataFrame:

@@ -116,10 +116,31 @@ def segment_metrics(scored: DataFrame, segments: Mapping[str, Column]) -> DataFr
     return scored.withColumn("segment", F.explode(names)).groupBy("segment").agg(*metric_aggs())
 
 
-def promotion_segments(rows: DataFrame, status: Column, ordinal: str) -> DataFrame:
-    """Segment names of each row: status, and the ordinal's range 1-3, 4-10 or 11+."""
+def transition_masks() -> dict[str, Column]:
+    """Overlapping segments of rows with the columns of appearance_ordinal and season_phase: phases, first contests, statuses and their crossings."""
+    flag = {n: F.col(n) for n in ("promoted_involved", "returning_involved", "established_only")}
+    phase = {p: F.col("season_phase") == p for p in ("early", "middle", "late")}
+    out = {f"phase:{p}": x for p, x in phase.items()} | {"any_first5": F.col("any_early"), "neither_first5": ~F.col("any_early"), "both_first5": F.col("both_early")}
+    for s in ("home", "away"):
+        out |= {f"{s}_first5": F.col(f"{s}_early"), f"{s}_6plus": ~F.col(f"{s}_early")}
+    for name, member in flag.items():
+        out[name] = member
+        if name != "established_only":
+            out[f"not:{name}"] = ~member
+        out |= {f"{name}:phase:{p}": member & x for p, x in phase.items()}
+        out |= {f"{name}:first5:{k}": member & (F.col("any_early") == F.lit(bool(k))) for k in (0, 1)}
+    out["core"] = flag["established_only"] & ~F.col("any_early")
+    for s in ("home", "away"):
+        for status in ("ESTABLISHED", "RETURNING", "FIRST_TIME_IN_SCOPE"):
+            out |= {f"{s}:{status}:first5:{k}": (F.col(f"{s}_status") == status) & (F.col(f"{s}_early") == F.lit(bool(k))) for k in (0, 1)}
+    return out
+
+
+def promotion_segments(scored: DataFrame, status: Column, ordinal: str) -> DataFrame:
+    """Metrics by status and by the ordinal's range (1-3, 4-10 or 11+), with totals where either is null."""
     o = F.col(ordinal)
-    return rows.select(ID, status.alias("status"), F.when(o <= 3, "1-3").when(o <= 10, "4-10").when(o.isNotNull(), "11+").alias("ordinal_range"))
+    range_ = F.when(o <= 3, "1-3").when(o <= 10, "4-10").when(o.isNotNull(), "11+").otherwise("none")
+    return scored.withColumns({"status": status, "ordinal_range": range_}).cube("status", "ordinal_range").agg(*metric_aggs())
 
 
 def favorite_outcome(rows: DataFrame) -> DataFrame:
@@ -135,17 +156,26 @@ def localization_mass(rows: DataFrame, segment: Column, probs: Sequence[str] = P
     return out.withColumn("share", F.col("inside") / F.col("mass"))
 
 
-def entity_concentration(scored: DataFrame, period: str = "season", top: int = 5) -> DataFrame:
-    """By period: how the nll, given to both sides, is spread over entities: top share and quartiles of entity shares."""
+def entity_cells(scored: DataFrame, period: str = "season") -> DataFrame:
+    """The nll of each contest, given to both sides, by (period, entity): contests, total, mean and its shares of the period and of all."""
     x = scored.select(period, "nll", F.expr("stack(2, home, away) as (e)"))
-    per = x.groupBy(period, "e").agg(F.sum("nll").alias("loss"))
-    per = per.withColumns({
-        "share": F.col("loss") / F.sum("loss").over(W.partitionBy(period)), "k": F.row_number().over(W.partitionBy(period).orderBy(F.desc("loss"), "e")),
-    })
-    q = lambda p: F.percentile("share", p)
-    return per.groupBy(period).agg(
-        F.count("*").alias("entities"), F.sum(F.when(F.col("k") <= top, F.col("share"))).alias("top_share"), q(0.25).alias("q1"), q(0.5).alias("q2"),
-        q(0.75).alias("q3"), (q(0.75) - q(0.25)).alias("iqr"),
+    per = x.groupBy(period, "e").agg(F.count("*").alias("n"), F.sum("nll").alias("total_nll"), F.avg("nll").alias("log_loss"))
+    all_ = F.broadcast(per.agg(F.sum("total_nll").alias("_all")))
+    own = F.sum("total_nll").over(W.partitionBy(period))
+    return per.withColumn("period_share", F.col("total_nll") / own).crossJoin(all_).withColumn("pooled_share", F.col("total_nll") / F.col("_all")).drop("_all")
+
+
+def entity_concentration(scored: DataFrame, period: str = "season", top: int = 5) -> DataFrame:
+    """By period, and over all cells where period is null: the share of the nll that the `top` cells hold, and quartiles of the cells' mean nll.
+
+    A cell is an entity in a period. Cells are ranked by their total, then by period and entity.
+    """
+    cells = entity_cells(scored, period).select(F.explode(F.array(F.col(period), F.lit(None))).alias("of"), period, "e", "total_nll", "log_loss")
+    cells = cells.withColumn("k", F.row_number().over(W.partitionBy("of").orderBy(F.desc("total_nll"), period, "e")))
+    q = lambda p: F.percentile("log_loss", p)
+    return cells.groupBy(F.col("of").alias(period)).agg(
+        F.count("*").alias("entities"), (F.sum(F.when(F.col("k") <= top, F.col("total_nll"))) / F.sum("total_nll")).alias("top_share"),
+        q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), (q(0.75) - q(0.25)).alias("iqr"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,23 +11,49 @@ from pyspark.sql import functions as F
 KEY = "fixture_key"
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str = KEY) -> DataFrame:
-    """Typed events between two snapshots (key, d, status, score), with values before and after and an event id."""
-    o = old.select(key, F.struct("d", "status", "score").alias("before"))
-    n = new.select(key, F.struct("d", "status", "score").alias("after"))
-    j = o.join(n, key, "full")
-    both = F.col("before").isNotNull() & F.col("after").isNotNull()
-    ch = lambda f: both & ~F.col(f"before.{f}").eqNullSafe(F.col(f"after.{f}"))
-    b, a = F.col("before.status"), F.col("after.status")
-    kinds = F.array_compact(F.array(
-        F.when(F.col("before").isNull(), "NEW"), F.when(F.col("after").isNull(), "MISSING"), F.when(ch("d"), "SCHEDULE_CHANGED"),
-        F.when(ch("status") & (a == "candidate"), "CANDIDATE"), F.when(ch("status") & (a == "completed"), "COMPLETED"),
-        F.when(ch("status") & (b == "completed"), "UNCONFIRMED"), F.when(ch("score") & (b == "completed") & (a == "completed"), "CORRECTED"),
-    ))
-    rows = j.select(key, F.explode(kinds).alias("event"), "before", "after")
-    flat = [F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in ("before", "after") for f in ("d", "status", "score")]
-    text = F.concat_ws("|", F.col(key).cast("string"), "event", *[F.coalesce(F.col(f"{s}.{f}").cast("string"), F.lit("~")) for s in ("before", "after") for f in ("d", "status", "score")])
-    return rows.select(key, "event", *flat, F.sha2(text, 256).alias("event_id"))
+def snapshot_diff(
+    old: DataFrame, new: DataFrame, key: str = KEY, schedule: Sequence[str] = ("d",), scores: Sequence[str] = ("score",), id_col: str = "match_id",
+    ignored: Sequence[str] = (), bridged: DataFrame | None = None, established: DataFrame | None = None, spaces: tuple[str, str] | None = None,
+) -> DataFrame:
+    """Typed events between two snapshots (key, status, schedule, scores and other fields): (key, event, changed_fields, before_*, after_*, event_id).
+
+    A new fixture with a score is a RESULT_CANDIDATE too, and a completed one COMPLETED. bridged holds the
+    keys whose ids are known in both namespaces: there the step from spaces[0] to spaces[1] (column
+    namespace) is a transition, not a conflict of ids. established holds the keys that were bridged just now.
+    METADATA_CHANGED tells of any other field; ignored fields (provenance) never make an event. All
+    comparisons treat nulls as equal; fields are those that both snapshots have.
+    """
+    fields = [c for c in new.columns if c in old.columns and c != key and c not in ignored]
+    side = lambda df, name: df.select(key, F.struct(*fields).alias(name))
+    j = side(old, "before").join(side(new, "after"), key, "full")
+    for name, known in (("_bridged", bridged), ("_fresh", established)):
+        if known is not None:
+            j = j.join(known.select(key).distinct().withColumn(name, F.lit(True)), key, "left")
+        j = j.withColumn(name, F.coalesce(name, F.lit(False)) if known is not None else F.lit(False))
+    was, is_ = F.col("before").isNotNull(), F.col("after").isNotNull()
+    both = was & is_
+    differs = lambda f: ~F.col(f"before.{f}").eqNullSafe(F.col(f"after.{f}"))
+    any_of = lambda names: reduce(lambda a, b: a | b, [differs(f) for f in names if f in fields], F.lit(False))
+    done = lambda s: F.coalesce(F.col(f"{s}.status") == "completed", F.lit(False))
+    moved = F.lit(False)
+    if spaces:
+        moved = both & F.col("_bridged") & F.col("before.namespace").eqNullSafe(F.lit(spaces[0])) & F.col("after.namespace").eqNullSafe(F.lit(spaces[1]))
+    other_id, unknown, given = F.lit(False), F.lit(False), F.lit(False)
+    if id_col in fields:
+        other_id, unknown, given = both & differs(id_col) & ~moved, F.col(f"before.{id_col}").isNull(), F.col(f"after.{id_col}").isNotNull()
+    scored = reduce(lambda a, b: a | b, [F.col(f"after.{f}").isNotNull() for f in scores], F.lit(False))
+    kinds = F.array_compact(F.array(*[F.when(cond, name) for name, cond in {
+        "NEW": ~was, "MISSING": ~is_, "SCHEDULE_CHANGED": both & any_of(schedule), "BRIDGE_ESTABLISHED": is_ & F.col("_fresh"), "NAMESPACE_TRANSITION": moved,
+        "IDENTITY_LINKED": other_id & unknown & given, "IDENTITY_CONFLICT": other_id & ~(unknown & given),
+        "RESULT_CANDIDATE": (~was & scored) | (both & any_of(scores) & ~done("before")), "RESULT_CORRECTED": both & any_of(scores) & done("before"),
+        "COMPLETED": is_ & done("after") & ~(was & done("before")), "UNCONFIRMED": both & done("before") & ~done("after"),
+    }.items()]))
+    changed = F.array_join(F.array_compact(F.array(*[F.when(differs(f), f) for f in sorted(fields)])), ",")
+    kinds = F.when((F.size(kinds) == 0) & (changed != ""), F.array(F.lit("METADATA_CHANGED"))).otherwise(kinds)
+    rows = j.select(key, F.explode(kinds).alias("event"), changed.alias("changed_fields"), "before", "after")
+    flat = [F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in ("before", "after") for f in fields]
+    text = F.concat_ws("|", F.col(key).cast("string"), "event", *[F.coalesce(F.col(f"{s}.{f}").cast("string"), F.lit("~")) for s in ("before", "after") for f in fields])
+    return rows.select(key, "event", "changed_fields", *flat, F.sha2(text, 256).alias("event_id"))
 
 
 def carry_forward_identity(old: DataFrame, new: DataFrame, bound: Sequence[str], key: str = KEY, id_col: str = "official_id") -> DataFrame:

@@ -161,24 +161,25 @@ q AS ({pivot_sql("f", ["yellow_rate", "red_rate", "n"])}) SELECT *, home_n > 0 A
 )
 FIRST = """g AS (SELECT contest_id, side, half * 1000000 + minute * 1000 + added AS o FROM {contest_events} WHERE event_type = 'GOAL'),
 m AS (SELECT contest_id, min(CASE WHEN side = 'home' THEN o END) AS h, min(CASE WHEN side = 'away' THEN o END) AS a FROM g GROUP BY 1),
-fs AS (SELECT k.contest_id, CASE WHEN h IS NULL AND a IS NULL THEN 'NO_EVENT' WHEN a IS NULL THEN 'home' WHEN h IS NULL THEN 'away'
+fs AS (SELECT k.contest_id, CASE WHEN k.contest_id % 53 = 0 THEN 'NOT_CHECKABLE' WHEN h IS NULL AND a IS NULL THEN 'NO_EVENT' WHEN a IS NULL THEN 'home' WHEN h IS NULL THEN 'away'
 WHEN h = a THEN 'AMBIGUOUS' WHEN h < a THEN 'home' ELSE 'away' END AS first_side FROM {contests} k LEFT JOIN m USING (contest_id))"""
-R.add("first_event_side", lambda v: O.first_event_side(v("contests"), v("contest_events")), f"WITH {FIRST} SELECT * FROM fs")
+unseen = lambda v: v("contests").where("contest_id % 53 = 0")
+R.add("first_event_side", lambda v: O.first_event_side(v("contests"), v("contest_events"), not_checkable=unseen(v)), f"WITH {FIRST} SELECT * FROM fs")
 FEP = {
-    "n": "count(CASE WHEN b.first_side <> 'AMBIGUOUS' THEN 1 END)", "scored": "count(CASE WHEN b.first_side = b.side THEN 1 END)",
+    "n": "count(CASE WHEN b.first_side NOT IN ('AMBIGUOUS', 'NOT_CHECKABLE') THEN 1 END)", "scored": "count(CASE WHEN b.first_side = b.side THEN 1 END)",
     "conceded": "count(CASE WHEN b.first_side IN ('home', 'away') AND b.first_side <> b.side THEN 1 END)",
     "goalless": "count(CASE WHEN b.first_side = 'NO_EVENT' THEN 1 END)",
 }
 FEP_RATES = [f"{x}_rate" for x in ("scored", "conceded", "goalless")]
 R.add(
-    "first_event_profile", lambda v: O.first_event_profile(v("contests"), v("contest_events")),
+    "first_event_profile", lambda v: O.first_event_profile(v("contests"), v("contest_events"), unseen(v)),
     f"""WITH {FIRST}, t AS (SELECT a.*, fs.first_side FROM {{appearances}} a JOIN fs USING (contest_id)), f0 AS ({last_sql(None, FEP, SEASON, base="t")}),
 f AS (SELECT *, {", ".join(f"CAST({x} AS DOUBLE) / nullif(n, 0) AS {x}_rate" for x in ("scored", "conceded", "goalless"))} FROM f0)
 {pivot_sql("f", [*FEP, *FEP_RATES])}""",
     [f"{s}_{x}" for s in ("home", "away") for x in FEP_RATES],
 )
 TIMING = {
-    "first_n": "count(b.first)", "first_mean": "avg(b.first)", "scored_n": isum("b.sk"), "scored_mean": "CAST(sum(b.sm) AS DOUBLE) / nullif(sum(b.sk), 0)",
+    "first_n": "count(b.first)", "first_sum": "CAST(coalesce(sum(b.first), 0) AS BIGINT)", "scored_sum": isum("b.sm"), "conceded_sum": isum("b.cm"), "first_mean": "avg(b.first)", "scored_n": isum("b.sk"), "scored_mean": "CAST(sum(b.sm) AS DOUBLE) / nullif(sum(b.sk), 0)",
     "conceded_n": isum("b.ck"), "conceded_mean": "CAST(sum(b.cm) AS DOUBLE) / nullif(sum(b.ck), 0)",
 }
 R.add(
@@ -250,8 +251,10 @@ SELECT x.e, y.contest_id AS previous_id, x.contest_id, y.value AS old_value, x.v
 ORD = "o AS (SELECT *, row_number() OVER (PARTITION BY e, season ORDER BY d, CAST(contest_id AS VARCHAR)) AS ordinal FROM {appearances})"
 R.add(
     "appearance_ordinal", lambda v: O.appearance_ordinal(v("contests")),
-    f"""WITH {ORD}, p AS ({pivot_sql("o", ["ordinal"])}) SELECT *, home_ordinal <= 5 AS home_early, away_ordinal <= 5 AS away_early,
-home_ordinal <= 5 OR away_ordinal <= 5 AS any_early, home_ordinal <= 5 AND away_ordinal <= 5 AS both_early FROM p""",
+    f"""WITH {ORD}, m AS (SELECT DISTINCT season, e FROM {{appearances}}), t AS (SELECT o.*, CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.e = o.e AND m.season = o.season - 1) THEN 'ESTABLISHED'
+WHEN EXISTS (SELECT 1 FROM m WHERE m.e = o.e AND m.season < o.season) THEN 'RETURNING' ELSE 'FIRST_TIME_IN_SCOPE' END AS status FROM o), p AS ({pivot_sql("t", ["ordinal", "status"])}) SELECT *, home_ordinal <= 5 AS home_early, away_ordinal <= 5 AS away_early,
+home_ordinal <= 5 OR away_ordinal <= 5 AS any_early, home_ordinal <= 5 AND away_ordinal <= 5 AS both_early, home_status <> 'ESTABLISHED' OR away_status <> 'ESTABLISHED' AS promoted_involved,
+home_status = 'RETURNING' OR away_status = 'RETURNING' AS returning_involved, home_status = 'ESTABLISHED' AND away_status = 'ESTABLISHED' AS established_only FROM p""",
 )
 R.add("first_seen", lambda v: O.first_seen(v("contests")), "SELECT e, min(season) AS first_season FROM {appearances} GROUP BY e")
 R.add(

@@ -32,21 +32,28 @@ CASE WHEN contest_id % 97 = 0 THEN -1 ELSE home_score END AS home_score, away_sc
 i AS (SELECT *, count(*) OVER (PARTITION BY contest_id) AS ni, count(*) OVER (PARTITION BY d, home, away) AS nk FROM k)"""
 R.add(
     "expect_contests", lambda v: O.expect_contests(faulty(v)),
-    f"WITH {BAD} " + unions(("missing_date", "i", "d IS NULL"), ("bad_score", "i", "home_score < 0"), ("result_differs", "i", "result <> sign(home_score - away_score) + 1"), ("same_sides", "i", "home = away"), ("duplicate_id", "i", "ni > 1"), ("duplicate_key", "i", "nk > 1")),
+    f"WITH {BAD} " + unions(("missing_date", "i", "d IS NULL"), ("bad_score", "i", "home_score < 0"), ("result_differs", "i", "result <> sign(home_score - away_score) + 1"), ("same_sides", "i", "home = away"), ("duplicate_id", "i", "ni > 1"), ("duplicate_key", "i", "nk > 1 AND d IS NOT NULL")),
 )
 R.add("expect_no_same_day_dup", lambda v: O.expect_no_same_day_dup(v("contests")), "SELECT e, d, count(*) AS n FROM {appearances} GROUP BY 1, 2 HAVING count(*) > 1")
 bent = lambda v: v("aliases").withColumns({"valid_to": F.when(F.col("entity_id") % 10 == 3, F.lit("1998-06-01").cast("date")).otherwise(F.col("valid_to")), "valid_from": F.when(F.col("entity_id") % 25 == 4, F.lit("1999-01-01").cast("date")).otherwise(F.col("valid_from"))})
+named = lambda v: bent(v).withColumns({"canonical_name": F.concat(F.lit("C"), F.when(F.col("source_name") == "N7", 1).otherwise(F.col("entity_id") % 40)), "external_id": F.when(F.col("entity_id") % 9 == 0, F.col("entity_id") % 18)})
 R.add(
-    "expect_alias_intervals", lambda v: O.expect_alias_intervals(bent(v)),
-    """WITH a AS (SELECT entity_id, source_name, source, coalesce(CASE WHEN entity_id % 25 = 4 THEN DATE '1999-01-01' ELSE valid_from END, DATE '0001-01-01') AS lo, coalesce(CASE WHEN entity_id % 10 = 3 THEN DATE '1998-06-01' ELSE valid_to END, DATE '9999-12-31') AS hi FROM {aliases})
+    "expect_alias_intervals", lambda v: O.expect_alias_intervals(named(v).union(named(v).where("entity_id % 40 = 6").withColumn("source_name", F.lit("N7x")).withColumn("canonical_name", F.lit("other")))),
+    """WITH a0 AS (SELECT *, concat('C', CASE WHEN source_name = 'N7' THEN 1 ELSE entity_id % 40 END) AS canonical_name, CASE WHEN entity_id % 9 = 0 THEN entity_id % 18 END AS external_id FROM {aliases}),
+b AS (SELECT * FROM a0 UNION ALL SELECT * REPLACE ('N7x' AS source_name, 'other' AS canonical_name) FROM a0 WHERE entity_id % 40 = 6), a AS (SELECT canonical_name, external_id, entity_id, source_name, source, coalesce(CASE WHEN entity_id % 25 = 4 THEN DATE '1999-01-01' ELSE valid_from END, DATE '0001-01-01') AS lo, coalesce(CASE WHEN entity_id % 10 = 3 THEN DATE '1998-06-01' ELSE valid_to END, DATE '9999-12-31') AS hi FROM b)
+SELECT source, source_name, entity_id, 'canonical_differs' AS rule FROM a x WHERE EXISTS (SELECT 1 FROM a y WHERE y.entity_id = x.entity_id AND y.canonical_name <> x.canonical_name) UNION ALL
+SELECT source, source_name, entity_id, 'external_shared' FROM a x WHERE EXISTS (SELECT 1 FROM a y WHERE y.source = x.source AND y.external_id = x.external_id AND y.entity_id <> x.entity_id) UNION ALL
 SELECT source, source_name, entity_id, 'reversed' AS rule FROM a WHERE lo > hi UNION ALL SELECT source, source_name, entity_id, 'overlap' FROM a x
 WHERE EXISTS (SELECT 1 FROM a y WHERE y.source = x.source AND y.source_name = x.source_name AND (y.lo, y.hi, y.entity_id) < (x.lo, x.hi, x.entity_id) AND y.hi >= x.lo)""",
 )
 R.add(
-    "expect_round_robin", lambda v: O.expect_round_robin(v("contests").where("season = 1996"), ["competition"]),
-    """WITH k AS (SELECT * FROM {contests} WHERE season = 1996), e AS (SELECT DISTINCT competition, e FROM {appearances} WHERE season = 1996), m AS (SELECT competition, home, away, count(*) AS n FROM k GROUP BY 1, 2, 3)
-SELECT a.competition, a.e AS home, b.e AS away, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'MISSING' ELSE 'REPEATED' END AS problem FROM e a JOIN e b ON a.competition = b.competition AND a.e <> b.e
-LEFT JOIN m ON m.competition = a.competition AND m.home = a.e AND m.away = b.e WHERE coalesce(n, 0) <> 1""",
+    "expect_round_robin", lambda v: O.expect_round_robin(v("contests").withColumn("round", F.month("d")), ["season", "competition"], "round"),
+    """WITH k AS (SELECT *, month(d) AS round FROM {contests}), a AS (SELECT season, competition, round, unnest([home, away]) AS e FROM k), e AS (SELECT DISTINCT season, competition, e FROM a), z AS (SELECT season, competition, count(*) AS z FROM e GROUP BY 1, 2),
+p AS (SELECT x.season, x.competition, x.e, y.e AS o, (SELECT count(*) FROM k WHERE k.season = x.season AND k.competition = x.competition AND k.home = x.e AND k.away = y.e) AS n FROM e x JOIN e y ON x.season = y.season AND x.competition = y.competition AND x.e <> y.e),
+r AS (SELECT season, competition, round, count(*) AS n FROM k GROUP BY 1, 2, 3), t AS (SELECT season, competition, e, round, count(*) AS n FROM a GROUP BY 1, 2, 3, 4)
+SELECT season, competition, 'MISSING' AS problem, CAST(e AS VARCHAR) AS subject, count(*) AS n FROM p WHERE n = 0 GROUP BY ALL UNION ALL SELECT season, competition, 'REPEATED', CAST(e AS VARCHAR), count(*) FROM p WHERE n > 1 GROUP BY ALL
+UNION ALL SELECT season, competition, 'ROUND_SIZE', CAST(round AS VARCHAR), n FROM r JOIN z USING (season, competition) WHERE n <> z // 2
+UNION ALL SELECT season, competition, 'ROUND_APPEARANCES', CAST(e AS VARCHAR), q.rounds - count(CASE WHEN t.n = 1 THEN 1 END) FROM t JOIN (SELECT season, competition, count(DISTINCT round) AS rounds FROM k GROUP BY 1, 2) q USING (season, competition) GROUP BY season, competition, e, q.rounds HAVING q.rounds <> count(CASE WHEN t.n = 1 THEN 1 END)""",
 )
 odd = lambda v: v("contest_events").withColumns({"minute": F.when(F.col("event_id") % 61 == 0, 130).otherwise(F.col("minute")), "side": F.when(F.col("event_id") % 67 == 0, "both").otherwise(F.col("side"))})
 ODD = "k AS (SELECT event_id, contest_id, e, event_type, half, CASE WHEN event_id % 61 = 0 THEN 130 ELSE minute END AS minute, CASE WHEN event_id % 67 = 0 THEN 'both' ELSE side END AS side FROM {contest_events}), i AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM k)"

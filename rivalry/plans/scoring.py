@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rivalry.functions.scalar import season_phase
+from rivalry.operators import features as FE
 from rivalry.operators import scoring as O
 from rivalry.operators import versions as V
 from rivalry.plans.base import Registry
@@ -64,13 +66,45 @@ R.add(
     f"SELECT {edge('(home - away)', (-200, -50, -20, 0, 20, 50, 200))} AS bin, count(*) AS n, " + ", ".join(f"avg((result = {k})::INT) AS share_{k}" for k in range(3)) + ", avg(p_home) AS mean_home FROM {predictions} GROUP BY 1",
     ["share_0", "share_1", "share_2", "mean_home"],
 )
+PHASE = "CASE WHEN rno <= 5 THEN 'early' WHEN rno <= 29 THEN 'middle' ELSE 'late' END"
+
+
+def in_transition(v):
+    """Scored rows with the phase of the season and the statuses and ordinals of both sides."""
+    phase = season_phase(F.col(ID) % 38 + 1).alias("season_phase")
+    return scored(v).join(FE.appearance_ordinal(v("contests")), ID).select("*", phase)
+
+
+STATUS = """m AS (SELECT DISTINCT season, e FROM {appearances}), o AS (SELECT contest_id, side, row_number() OVER (PARTITION BY e, season ORDER BY d, CAST(contest_id AS VARCHAR)) AS o,
+  CASE WHEN EXISTS (SELECT 1 FROM m WHERE m.e = a.e AND m.season = a.season - 1) THEN 'ESTABLISHED' WHEN EXISTS (SELECT 1 FROM m WHERE m.e = a.e AND m.season < a.season) THEN 'RETURNING' ELSE 'FIRST_TIME_IN_SCOPE' END AS st FROM {appearances} a),
+tr AS (SELECT s.*, contest_id % 38 + 1 AS rno, h.o AS ho, a.o AS ao, h.st AS hs, a.st AS aws FROM s JOIN (SELECT * FROM o WHERE side = 'home') h USING (contest_id) JOIN (SELECT * FROM o WHERE side = 'away') a USING (contest_id))"""
+
+
+def _masks() -> dict[str, str]:
+    any5, both5 = "(ho <= 5 OR ao <= 5)", "(ho <= 5 AND ao <= 5)"
+    out = {f"phase:{p}": f"{PHASE} = '{p}'" for p in ("early", "middle", "late")} | {"any_first5": any5, "neither_first5": f"NOT {any5}", "both_first5": both5}
+    out |= {"home_first5": "ho <= 5", "home_6plus": "ho > 5", "away_first5": "ao <= 5", "away_6plus": "ao > 5"}
+    who = {"promoted_involved": "(hs <> 'ESTABLISHED' OR aws <> 'ESTABLISHED')", "returning_involved": "(hs = 'RETURNING' OR aws = 'RETURNING')", "established_only": "(hs = 'ESTABLISHED' AND aws = 'ESTABLISHED')"}
+    for n, x in who.items():
+        out |= {n: x} | {f"{n}:phase:{p}": f"{x} AND {PHASE} = '{p}'" for p in ("early", "middle", "late")} | {f"{n}:first5:0": f"{x} AND NOT {any5}", f"{n}:first5:1": f"{x} AND {any5}"}
+    out |= {f"not:{n}": f"NOT {who[n]}" for n in ("promoted_involved", "returning_involved")} | {"core": f"{who['established_only']} AND NOT {any5}"}
+    for side, st, o in (("home", "hs", "ho"), ("away", "aws", "ao")):
+        out |= {f"{side}:{x}:first5:{k}": f"{st} = '{x}' AND ({o} <= 5) = {bool(k)}" for x in ("ESTABLISHED", "RETURNING", "FIRST_TIME_IN_SCOPE") for k in (0, 1)}
+    return out
+
+
+SEGMENTS = " UNION ALL ".join(f"SELECT '{n}' AS segment, * FROM tr WHERE {x}" for n, x in _masks().items())
 R.add(
-    "segment_metrics", lambda v: O.segment_metrics(scored(v), {"early": F.month("d") <= 3, "even": F.abs(F.col("p_home") - F.col("p_away")) < 0.05, "low_home": F.col("home") <= 20, "all": F.lit(True)}),
-    f"WITH {sc()}, g AS (SELECT 'early' AS segment, * FROM s WHERE month(d) <= 3 UNION ALL SELECT 'even', * FROM s WHERE abs(p_home - p_away) < 0.05 UNION ALL SELECT 'low_home', * FROM s WHERE home <= 20 UNION ALL SELECT 'all', * FROM s) SELECT segment, {MET} FROM g GROUP BY 1", M,
+    "segment_metrics", lambda v: O.segment_metrics(in_transition(v), O.transition_masks()),
+    f"WITH {sc()}, {STATUS}, g AS ({SEGMENTS}) SELECT segment, {MET} FROM g GROUP BY 1", M,
 )
 R.add(
-    "promotion_segments", lambda v: O.promotion_segments(v("contests").withColumn("o", F.month("d") + F.col("home") % 4), F.when(F.col("home") % 5 == 0, "returning").otherwise("none"), "o"),
-    "SELECT contest_id, CASE WHEN home % 5 = 0 THEN 'returning' ELSE 'none' END AS status, CASE WHEN month(d) + home % 4 <= 3 THEN '1-3' WHEN month(d) + home % 4 <= 10 THEN '4-10' ELSE '11+' END AS ordinal_range FROM {contests}",
+    "promotion_segments",
+    lambda v: O.promotion_segments(scored(v).join(FE.min_ordinal_promoted(v("contests")), ID).join(FE.appearance_ordinal(v("contests")).select(ID, "returning_involved", "promoted_involved"), ID), F.when(F.col("returning_involved"), "returning").when(F.col("promoted_involved"), "first_time").otherwise("none"), "min_ordinal"),
+    f"""WITH {sc()}, {STATUS}, n AS (SELECT contest_id, CASE WHEN hs = 'RETURNING' OR aws = 'RETURNING' THEN 'returning' WHEN hs <> 'ESTABLISHED' OR aws <> 'ESTABLISHED' THEN 'first_time' ELSE 'none' END AS status,
+  CASE WHEN season > (SELECT min(season) FROM m) THEN least(CASE WHEN hs <> 'ESTABLISHED' THEN ho END, CASE WHEN aws <> 'ESTABLISHED' THEN ao END) END AS mo FROM tr),
+g AS (SELECT s.*, status, CASE WHEN mo <= 3 THEN '1-3' WHEN mo <= 10 THEN '4-10' WHEN mo IS NOT NULL THEN '11+' ELSE 'none' END AS ordinal_range FROM s JOIN n USING (contest_id))
+SELECT status, ordinal_range, {MET} FROM g GROUP BY CUBE (status, ordinal_range)""", M,
 )
 R.add("favorite_outcome", lambda v: O.favorite_outcome(v("predictions")), "SELECT CASE WHEN p_home > p_away THEN 'home' WHEN p_home < p_away THEN 'away' ELSE 'none' END AS favorite, result, count(*) AS n FROM {predictions} GROUP BY 1, 2")
 R.add(
@@ -78,11 +112,15 @@ R.add(
     f"WITH {CLS}, r AS (SELECT *, hit::INT - p AS r FROM c) SELECT class, CASE WHEN r >= 0 THEN 'under' ELSE 'over' END AS direction, sum(abs(r)) AS mass, sum(CASE WHEN home <= 20 THEN abs(r) ELSE 0 END) AS inside, sum(CASE WHEN home <= 20 THEN abs(r) ELSE 0 END) / sum(abs(r)) AS share FROM r GROUP BY 1, 2",
     ["mass", "inside", "share"],
 )
+CELLS = """x AS (SELECT season, unnest([home, away]) AS e, nll FROM s), p AS (SELECT season, e, count(*) AS n, sum(nll) AS total_nll, avg(nll) AS log_loss FROM x GROUP BY 1, 2)"""
+R.add(
+    "entity_cells", lambda v: O.entity_cells(scored(v)),
+    f"WITH {sc()}, {CELLS} SELECT *, total_nll / sum(total_nll) OVER (PARTITION BY season) AS period_share, total_nll / sum(total_nll) OVER () AS pooled_share FROM p", ["total_nll", "log_loss", "period_share", "pooled_share"],
+)
 R.add(
     "entity_concentration", lambda v: O.entity_concentration(scored(v)),
-    f"""WITH {sc()}, x AS (SELECT season, home AS e, nll FROM s UNION ALL SELECT season, away, nll FROM s), p AS (SELECT season, e, sum(nll) AS l FROM x GROUP BY 1, 2),
-q AS (SELECT *, l / sum(l) OVER (PARTITION BY season) AS share, row_number() OVER (PARTITION BY season ORDER BY l DESC, e) AS k FROM p)
-SELECT season, count(*) AS entities, sum(CASE WHEN k <= 5 THEN share END) AS top_share, quantile_cont(share, 0.25) AS q1, quantile_cont(share, 0.5) AS q2, quantile_cont(share, 0.75) AS q3, quantile_cont(share, 0.75) - quantile_cont(share, 0.25) AS iqr FROM q GROUP BY 1""",
+    f"""WITH {sc()}, {CELLS}, q AS (SELECT *, season AS g, row_number() OVER (PARTITION BY season ORDER BY total_nll DESC, season, e) AS k FROM p UNION ALL SELECT *, NULL, row_number() OVER (ORDER BY total_nll DESC, season, e) FROM p)
+SELECT g AS season, count(*) AS entities, sum(CASE WHEN k <= 5 THEN total_nll END) / sum(total_nll) AS top_share, quantile_cont(log_loss, 0.25) AS q1, quantile_cont(log_loss, 0.5) AS q2, quantile_cont(log_loss, 0.75) AS q3, quantile_cont(log_loss, 0.75) - quantile_cont(log_loss, 0.25) AS iqr FROM q GROUP BY 1""",
     ["top_share", "q1", "q2", "q3", "iqr"],
 )
 R.add(
@@ -114,14 +152,54 @@ R.add(
 # ---- versions
 rev = lambda v, r: v("schedule_rev").where(f"rev = {r}").drop("rev")
 J = """a AS (SELECT * FROM {schedule_rev} WHERE rev = 1), b AS (SELECT * FROM {schedule_rev} WHERE rev = 2)"""
-DIFF = f"""{J}, j AS (SELECT coalesce(a.fixture_key, b.fixture_key) AS fixture_key, a.fixture_key AS k1, b.fixture_key AS k2, a.d AS before_d, a.status AS before_status, a.score AS before_score, b.d AS after_d, b.status AS after_status, b.score AS after_score FROM a FULL JOIN b ON a.fixture_key = b.fixture_key),
-ev AS (SELECT 'NEW' AS event, * FROM j WHERE k1 IS NULL UNION ALL SELECT 'MISSING', * FROM j WHERE k2 IS NULL UNION ALL SELECT 'SCHEDULE_CHANGED', * FROM j WHERE before_d <> after_d
-UNION ALL SELECT 'CANDIDATE', * FROM j WHERE before_status <> after_status AND after_status = 'candidate' UNION ALL SELECT 'COMPLETED', * FROM j WHERE before_status <> after_status AND after_status = 'completed'
-UNION ALL SELECT 'UNCONFIRMED', * FROM j WHERE before_status <> after_status AND before_status = 'completed' UNION ALL SELECT 'CORRECTED', * FROM j WHERE before_status = 'completed' AND after_status = 'completed' AND before_score IS DISTINCT FROM after_score)"""
-COLS = [f"{s}_{f}" for s in ("before", "after") for f in ("d", "status", "score")]
-R.add(
-    "snapshot_diff", lambda v: V.snapshot_diff(rev(v, 1), rev(v, 2)),
-    f"WITH {DIFF} SELECT fixture_key, event, {', '.join(COLS)}, sha256(concat_ws('|', CAST(fixture_key AS VARCHAR), event, {', '.join(f'''coalesce(CAST({c} AS VARCHAR), '~')''' for c in COLS)})) AS event_id FROM ev",
+#: The snapshots with what else a schedule has: an id and its namespace, and a note.
+more = lambda v, r: rev(v, r).withColumns({
+    "match_id": F.when(F.lit(r == 2) & (F.col("fixture_key") % 29 == 0), F.col("fixture_key") + 1).when(F.lit(r == 2) | (F.col("fixture_key") % 3 != 0), F.col("fixture_key")),
+    "namespace": F.when(F.lit(r == 2) & (F.col("fixture_key") % 23 == 0), "site").otherwise("page"), "note": F.when(F.lit(r == 2) & (F.col("fixture_key") % 31 == 0), "moved"),
+    "fetched": F.lit(r),
+})
+DIFF_FIELDS = ("d", "status", "score", "match_id", "namespace", "note")
+MORE = """s AS (SELECT *, CASE WHEN rev = 2 AND fixture_key % 29 = 0 THEN fixture_key + 1 WHEN rev = 2 OR fixture_key % 3 <> 0 THEN fixture_key END AS match_id, CASE WHEN rev = 2 AND fixture_key % 23 = 0 THEN 'site' ELSE 'page' END AS namespace,
+  CASE WHEN rev = 2 AND fixture_key % 31 = 0 THEN 'moved' END AS note FROM {schedule_rev}),
+a AS (SELECT * FROM s WHERE rev = 1), b AS (SELECT * FROM s WHERE rev = 2)"""
+
+
+def diff_sql(views: str, fields: tuple[str, ...], bridged: str = "false", fresh: str = "false") -> str:
+    """Event kinds by UNION over a full join, from the rules for two rows of a fixture."""
+    ids = "match_id" in fields
+    pick = ", ".join(f"{t}.{c} AS {n}_{c}" for t, n in (("a", "before"), ("b", "after")) for c in fields)
+    both = "k1 IS NOT NULL AND k2 IS NOT NULL"
+    moved = f"({bridged} AND before_namespace = 'page' AND after_namespace = 'site')" if ids else "false"
+    rules = {
+        "NEW": "k1 IS NULL", "MISSING": "k2 IS NULL", "SCHEDULE_CHANGED": f"{both} AND before_d IS DISTINCT FROM after_d",
+        "BRIDGE_ESTABLISHED": f"k2 IS NOT NULL AND {fresh}", "NAMESPACE_TRANSITION": f"{both} AND {moved}",
+        "RESULT_CANDIDATE": f"(k1 IS NULL AND after_score IS NOT NULL) OR ({both} AND before_status <> 'completed' AND before_score IS DISTINCT FROM after_score)",
+        "RESULT_CORRECTED": f"{both} AND before_status = 'completed' AND before_score IS DISTINCT FROM after_score",
+        "COMPLETED": f"(k1 IS NULL AND after_status = 'completed') OR ({both} AND before_status <> 'completed' AND after_status = 'completed')",
+        "UNCONFIRMED": f"{both} AND before_status = 'completed' AND after_status <> 'completed'",
+    }
+    if ids:
+        rules["IDENTITY_LINKED"] = f"{both} AND NOT {moved} AND before_match_id IS NULL AND after_match_id IS NOT NULL"
+        rules["IDENTITY_CONFLICT"] = f"{both} AND NOT {moved} AND before_match_id IS NOT NULL AND before_match_id IS DISTINCT FROM after_match_id"
+    changed = [f"CASE WHEN before_{c} IS DISTINCT FROM after_{c} THEN '{c}' END" for c in sorted(fields)]
+    union = " UNION ALL ".join(f"SELECT '{n}' AS event, j.* FROM j WHERE {x}" for n, x in rules.items())
+    return f"""{views}, j AS (SELECT coalesce(a.fixture_key, b.fixture_key) AS fixture_key, a.fixture_key AS k1, b.fixture_key AS k2, {pick} FROM a FULL JOIN b ON a.fixture_key = b.fixture_key),
+e1 AS ({union}), e2 AS (SELECT * FROM e1 UNION ALL SELECT 'METADATA_CHANGED', j.* FROM j WHERE {both} AND fixture_key NOT IN (SELECT fixture_key FROM e1) AND concat_ws(',', {', '.join(changed)}) <> ''),
+ev AS (SELECT *, concat_ws(',', {', '.join(changed)}) AS changed_fields FROM e2)"""
+
+
+def diff_rows(fields: tuple[str, ...]) -> str:
+    cols = [f"{s}_{c}" for s in ("before", "after") for c in fields]
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cols)
+    return f"SELECT fixture_key, event, changed_fields, {', '.join(cols)}, sha256(concat_ws('|', CAST(fixture_key AS VARCHAR), event, {text})) AS event_id FROM ev"
+
+
+PLAIN = ("d", "status", "score")
+DIFF = diff_sql(J, PLAIN)
+keys = lambda v, n: rev(v, 2).where(F.col("fixture_key") % n == 0).select("fixture_key")
+R.add(
+    "snapshot_diff", lambda v: V.snapshot_diff(more(v, 1), more(v, 2), ignored=["fetched"], bridged=keys(v, 23), established=keys(v, 46), spaces=("page", "site")),
+    f"WITH {diff_sql(MORE, DIFF_FIELDS, 'fixture_key % 23 = 0', 'fixture_key % 46 = 0')} {diff_rows(DIFF_FIELDS)}",
 )
 off = lambda df, m: df.withColumn("official_id", F.when(F.col("fixture_key") % m == 0, F.col("fixture_key") + 1000))
 R.add(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rivalry.operators import features as FE
 from rivalry.plans.base import Registry
 from rivalry.plans.models import elo_sql
-from rivalry.plans.scoring import COLS, DIFF
+from rivalry.plans.scoring import DIFF, PLAIN, diff_rows
 from rivalry.sources import pages as P
 from rivalry.sources import tables as T
 from rivalry.streaming import jobs as J
@@ -104,34 +104,30 @@ R.add(
 
 
 def run_diff(v) -> DataFrame:
+    """Both revisions arrive in one micro-batch."""
     s = v("schedule_rev").select("rev", "fixture_key", "d", "status", F.col("score").cast("long").alias("score"))
     spark, path = s.sparkSession, scratch(s.sparkSession, "diff-stream")
-    for rev in (1, 2):
-        s.where(F.col("rev") == rev).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    J.stream_snapshot_diff(stream, path).trigger(availableNow=True).start().awaitTermination()
+    s.write.parquet(f"{path}/in")
+    J.stream_snapshot_diff(spark.readStream.schema(s.schema).parquet(f"{path}/in"), path).trigger(availableNow=True).start().awaitTermination()
     return J.snapshot_events(spark, path).where("rev = 2").drop("rev")
 
 
-R.add(
-    "stream_snapshot_diff", run_diff,
-    f"WITH {DIFF} SELECT fixture_key, event, {', '.join(COLS)}, sha256(concat_ws('|', CAST(fixture_key AS VARCHAR), event, {', '.join(f'''coalesce(CAST({c} AS VARCHAR), '~')''' for c in COLS)})) AS event_id FROM ev",
-)
+R.add("stream_snapshot_diff", run_diff, f"WITH {DIFF} {diff_rows(PLAIN)}")
 
 
 def run_ratings(v) -> DataFrame:
+    """Two runs of one stream: the contests up to 1995, then the later ones and a closing row for each pool."""
     k = v("contests_strict").select(F.col("competition").alias("pool"), "contest_id", F.col("d").cast("timestamp").alias("ts"), "home", "away", "result", "season")
     spark, path = k.sparkSession, scratch(k.sparkSession, "rating-stream")
-    for part in ("season <= 1995", "season > 1995"):
-        k.where(part).drop("season").coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(k.drop("season").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    rated = J.stream_ratings(stream)
-    rated.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    end = (F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")
+    close = k.select("pool").distinct().crossJoin(F.broadcast(k.agg(end)))
+    for rows in (k.where("season <= 1995"), k.where("season > 1995"), k.limit(0).unionByName(close, allowMissingColumns=True)):
+        rows.drop("season").write.mode("append").parquet(f"{path}/in")
+        rated = J.stream_ratings(spark.readStream.schema(k.drop("season").schema).parquet(f"{path}/in"))
+        rated.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(J.RATED).parquet(f"{path}/out").drop("d")
 
 
 R.add(
-    "stream_ratings", run_ratings,
-    f"WITH {elo_sql()} SELECT rt.pool, rt.contest_id, home_rating, away_rating, false AS late FROM rt JOIN dn ON dn.contest_id = rt.contest_id WHERE d < (SELECT max(d) FROM dn)",
-    ["home_rating", "away_rating"],
+    "stream_ratings", run_ratings, f"WITH {elo_sql()} SELECT rt.pool, rt.contest_id, home_rating, away_rating, false AS late FROM rt", ["home_rating", "away_rating"],
 )

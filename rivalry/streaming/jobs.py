@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,36 +15,41 @@ from rivalry.operators.ratings import START, elo_update
 from rivalry.operators.versions import snapshot_diff
 
 
-def stream_snapshot_diff(snapshots: DataFrame, path: str, key: str = "fixture_key"):
-    """A stream of whole snapshots (rev, key, d, status, score), one per micro-batch -> events appended at path/events.
+def stream_snapshot_diff(snapshots: DataFrame, path: str, key: str = "fixture_key", **options):
+    """A stream of whole snapshots (rev, key, d, status, score, ..) -> events at path/events, each by the revision before.
 
-    Each batch is compared with the newest published snapshot, which is kept at path/state/<rev>; a batch that
-    isn't newer is held: it changes nothing. Rerunning a batch writes the same files again.
+    A micro-batch may hold several revisions: they are taken in order. Each is compared with the newest one
+    published before it, kept at path/state/rev=<rev>, of which only that folder is read; a revision that
+    isn't newer is held: it changes nothing. Rerunning a batch writes the same folders again. options go to
+    snapshot_diff.
     """
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        rev = batch.agg(F.max("rev")).first()[0]
+    def newest(spark: SparkSession, below: int) -> int | None:
         try:
-            seen = spark.read.parquet(f"{path}/state").agg(F.max("rev")).first()[0]
-        except Exception as e:  # no snapshot yet
+            return spark.read.parquet(f"{path}/state").where(F.col("rev") < below).agg(F.max("rev")).first()[0]
+        except AnalysisException as e:  # no snapshot yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
-            seen = None
-        if rev is not None and (seen is None or rev > seen):
-            new = batch.where(F.col("rev") == rev)
-            old = spark.read.parquet(f"{path}/state").where(F.col("rev") == seen) if seen is not None else new.limit(0)
-            events = snapshot_diff(old.drop("rev"), new.drop("rev"), key).withColumn("rev", F.lit(rev))
-            events.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
-            new.write.mode("append").parquet(f"{path}/state")
+            return None
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        ahead = newest(spark, 1 << 60)
+        for rev in sorted(r.rev for r in batch.select("rev").distinct().collect() if r.rev is not None):
+            if ahead is not None and rev < ahead:
+                continue
+            new, before = batch.where(F.col("rev") == rev).drop("rev"), newest(spark, rev)
+            old = spark.read.parquet(f"{path}/state/rev={before}") if before is not None else new.limit(0)
+            snapshot_diff(old, new, key, **options).write.mode("overwrite").parquet(f"{path}/events/rev={rev}")
+            new.write.mode("overwrite").parquet(f"{path}/state/rev={rev}")
         batch.unpersist()
 
     return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/checkpoint")
 
 
 def snapshot_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/events").drop("batch")
+    return spark.read.parquet(f"{path}/events")
 
 
 RATED = "pool string, contest_id long, d date, home_rating double, away_rating double, late boolean"
@@ -55,7 +61,8 @@ def stream_ratings(contests: DataFrame, k: float = 20.0, home_adv: float = 0.0,
 
     State per pool: one number per entity, the last date applied, and the contests of dates still open. A
     date is applied as a whole; contests of a date that is already applied come out with late = true and
-    null ratings and change nothing.
+    null ratings and change nothing. A row without contest_id only moves the watermark: sources end with one
+    per pool, later than all contests, so that the last date comes out too.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -63,12 +70,14 @@ def stream_ratings(contests: DataFrame, k: float = 20.0, home_adv: float = 0.0,
         out: list[tuple] = []
         if not state.hasTimedOut:
             for pdf in batches:
-                for row in pdf.to_dict("records"):
-                    day = str(row["ts"])[:10]
+                for ts, cid, home, away, result in zip(*(pdf[c].tolist() for c in ("ts", "contest_id", "home", "away", "result")), strict=True):
+                    day = str(ts)[:10]
+                    if cid is None or cid != cid:
+                        continue
                     if day <= held["done"]:
-                        out.append((key[0], row["contest_id"], pd.Timestamp(day).date(), None, None, True))
+                        out.append((key[0], int(cid), pd.Timestamp(day).date(), None, None, True))
                     else:
-                        held["open"].setdefault(day, []).append([int(row["contest_id"]), str(row["home"]), str(row["away"]), int(row["result"])])
+                        held["open"].setdefault(day, []).append([int(cid), str(int(home)), str(int(away)), int(result)])
         mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms").strftime("%Y-%m-%d")
         ratings = held["r"]
         for day in sorted(x for x in held["open"] if x < mark):

@@ -17,6 +17,7 @@ from rivalry.operators import quality as Q
 from rivalry.operators import ratings as RA
 from rivalry.operators import scoring as SC
 from rivalry.operators import versions as V
+from rivalry.streaming import jobs as J
 
 SCHEMA = "contest_id long, d date, season int, home long, away long, competition string, place int, home_score int, away_score int, result int"
 DAY = dt.date(2020, 1, 1)
@@ -168,10 +169,48 @@ def test_snapshot_diff_events(spark):
     old = spark.createDataFrame([(1, DAY, "scheduled", None), (2, DAY, "completed", 1), (3, DAY, "scheduled", None)], s)
     new = spark.createDataFrame([(1, DAY + dt.timedelta(1), "completed", 2), (2, DAY, "completed", 2), (4, DAY, "scheduled", None)], s)
     got = sorted((r.fixture_key, r.event) for r in V.snapshot_diff(old, new).collect())
-    assert got == [(1, "COMPLETED"), (1, "SCHEDULE_CHANGED"), (2, "CORRECTED"), (3, "MISSING"), (4, "NEW")]
+    assert got == [(1, "COMPLETED"), (1, "RESULT_CANDIDATE"), (1, "SCHEDULE_CHANGED"), (2, "RESULT_CORRECTED"), (3, "MISSING"), (4, "NEW")]
     assert V.snapshot_diff(old, old).count() == 0
 
 
+def test_snapshot_identities_and_metadata(spark):
+    s = "fixture_key long, d date, status string, score long, match_id string, namespace string, note string, fetched int"
+    row = lambda k, **x: ({"fixture_key": k, "d": DAY, "status": "scheduled", "score": None, "match_id": "p1", "namespace": "page", "note": None, "fetched": 1} | x)
+    frame_of = lambda rows: spark.createDataFrame([tuple(r.values()) for r in rows], s)
+    old = [row(1, match_id=None), row(2), row(3), row(4), row(5), row(6, status="completed", score=1)]
+    new = [row(1), row(2, match_id="p2"), row(3, match_id="d3", namespace="site"), row(4, note="moved"), row(5, fetched=2), row(6, score=1), row(7, status="completed", score=3)]
+    keys = spark.createDataFrame([(3,), (7,)], "fixture_key long")
+    got = V.snapshot_diff(frame_of(old), frame_of(new), ignored=["fetched"], bridged=keys, established=keys.where("fixture_key = 7"), spaces=("page", "site"))
+    rows = {(r.fixture_key, r.event): r.changed_fields for r in got.collect()}
+    assert set(rows) == {
+        (1, "IDENTITY_LINKED"), (2, "IDENTITY_CONFLICT"), (3, "NAMESPACE_TRANSITION"), (4, "METADATA_CHANGED"), (6, "UNCONFIRMED"),
+        (7, "NEW"), (7, "BRIDGE_ESTABLISHED"), (7, "RESULT_CANDIDATE"), (7, "COMPLETED"),
+    }
+    assert rows[3, "NAMESPACE_TRANSITION"] == "match_id,namespace" and rows[4, "METADATA_CHANGED"] == "note"
+
+
+def test_stream_takes_every_revision_of_a_batch(spark, tmp_path):
+    s = "rev int, fixture_key long, d date, status string, score long"
+    rows = [(1, 1, DAY, "scheduled", None), (2, 1, DAY, "candidate", 1), (3, 1, DAY, "completed", 1), (3, 2, DAY, "scheduled", None)]
+    spark.createDataFrame(rows, s).write.parquet(str(tmp_path / "in"))
+    J.stream_snapshot_diff(spark.readStream.schema(s).parquet(str(tmp_path / "in")), str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.rev, r.fixture_key, r.event) for r in J.snapshot_events(spark, str(tmp_path)).collect()}
+    assert got == {(1, 1, "NEW"), (2, 1, "RESULT_CANDIDATE"), (3, 1, "COMPLETED"), (3, 2, "NEW")}
+
+
+def test_names_are_compared_by_their_compatibility_forms(spark):
+    names = spark.createDataFrame([(1, "Ｇａｍｂａ　 Osaka"), (2, "twin"), (3, "Twin")], "id long, name string")
+    asked = spark.createDataFrame([("gamba osaka",), ("TWIN",), (None,)], "name string")
+    assert {r.name: r.linked_id for r in L.resolve_unique_name(asked, names).collect()} == {"gamba osaka": 1, "TWIN": None, None: None}
+
+
+def test_quartiles_are_of_mean_losses(spark):
+    rows = spark.createDataFrame([(2020, 1, 2, 1.0), (2020, 1, 3, 2.0), (2021, 1, 2, 4.0)], "season int, home long, away long, nll double")
+    got = {r.season: r for r in SC.entity_concentration(rows, top=1).collect()}
+    assert got[2020].entities == 3 and got[2020].q2 == 1.5 and got[2020].top_share == 0.5
+    assert got[None].entities == 5 and got[None].top_share == 4 / 14 and got[None].q3 == 4.0
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     for feature in FEATURES[:-1]:
