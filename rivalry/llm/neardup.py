@@ -179,7 +179,7 @@ def near_duplicates(
         other = {"rep": "b", "n": "m", "comp": "other"}
         if stage != "first":
             open_ = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-            rows = rows.join(open_.select("bucket"), "bucket", "left_semi")
+            rows = rows.join(written(open_.select("bucket"), "neardup-split"), "bucket", "left_semi")
             if own is None:
                 own = _profiles(sets.join(rows.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
                 own = own.withColumn("most", F.aggregate("profile", F.lit(0), lambda a, x: a + x))
@@ -196,7 +196,7 @@ def near_duplicates(
             # the smallest of a bucket, then the one with the smallest share of shingles of its own
             at = F.lit(0.0) if stage == "first" else -F.col("most") / F.col("n")
             star = rows.groupBy("bucket").agg(F.min(F.struct(at, *other)).alias("s"))
-            star = star.select("bucket", *[F.col(f"s.{k}").alias(v) for k, v in other.items()])
+            star = written(star.select("bucket", *[F.col(f"s.{k}").alias(v) for k, v in other.items()]), "neardup-stars")
             pairs = rows.withColumnRenamed("rep", "a").join(star, "bucket").where(F.expr("comp <> other") & near & able)
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.select("a", "b").distinct()
