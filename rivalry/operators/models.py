@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from copy import copy
+from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
@@ -61,21 +65,28 @@ class Logit:
     def __init__(self, features: Sequence[str], c: float = 1.0, weight: str | None = None):
         self.features, self.c, self.weight = list(features), c, weight
 
+    def _standardised(self, rows: DataFrame) -> DataFrame:
+        z = {f"_z{i}": (F.col(x) - m) / s for i, (x, m, s) in enumerate(self.scale)}
+        return _vector(rows.withColumns(z), list(z)).drop(*z)
+
+    def _measure(self, train: DataFrame) -> int:
+        """The number of rows; keeps means and population deviations. One aggregation."""
+        pick = [a for x in self.features for a in (F.avg(x), F.stddev_pop(x))]
+        n, *got = train.agg(F.count("*"), *pick).first()
+        self.scale = [(x, got[2 * i] or 0.0, got[2 * i + 1] or 1.0) for i, x in enumerate(self.features)]
+        return n
+
     def fit(self, train: DataFrame) -> Logit:
-        n = train.count()
-        rows = _vector(train.withColumn("label", F.col("result").cast("double")), self.features, "raw")
-        self.scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(rows)
-        # the scaler divides by the sample deviation: a penalty of (n - 1) / n of it gives the population's fit
-        lr = LogisticRegression(featuresCol="x", family="multinomial", regParam=(n - 1) / n / (self.c * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-9)
+        n = self._measure(train)
+        lr = LogisticRegression(featuresCol="x", family="multinomial", regParam=1.0 / (self.c * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-9)
         if self.weight:
             lr = lr.setWeightCol(self.weight)
-        self.model = lr.fit(self.scaler.transform(rows))
+        self.model = lr.fit(self._standardised(train.withColumn("label", F.col("result").cast("double"))))
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        got = self.model.transform(self.scaler.transform(_vector(rows, self.features, "raw")))
         p = vector_to_array("probability")
-        return got.withColumns({name: p[i] for i, name in enumerate(P)}).select(*rows.columns, *P)
+        return self.model.transform(self._standardised(rows)).withColumns({name: p[i] for i, name in enumerate(P)}).select(*rows.columns, *P)
 
 
 class MultilayerPerceptron(Logit):
@@ -86,10 +97,9 @@ class MultilayerPerceptron(Logit):
         self.hidden, self.seed, self.steps = hidden, seed, steps
 
     def fit(self, train: DataFrame) -> MultilayerPerceptron:
-        rows = _vector(train.withColumn("label", F.col("result").cast("double")), self.features, "raw")
-        self.scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(rows)
+        self._measure(train)
         net = MultilayerPerceptronClassifier(featuresCol="x", layers=[len(self.features), self.hidden, 3], maxIter=self.steps, seed=self.seed)
-        self.model = net.fit(self.scaler.transform(rows))
+        self.model = net.fit(self._standardised(train.withColumn("label", F.col("result").cast("double"))))
         return self
 
 
@@ -102,7 +112,7 @@ class BoostedTrees:
     def fit(self, train: DataFrame) -> BoostedTrees:
         rows = _vector(train.withColumn("label", F.col("result").cast("double")), self.features)
         tree = GBTClassifier(featuresCol="x", maxIter=self.trees, maxDepth=self.depth, seed=self.seed)
-        self.model = OneVsRest(classifier=tree, featuresCol="x").fit(rows)
+        self.model = OneVsRest(classifier=tree, featuresCol="x", parallelism=3).fit(rows)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -114,13 +124,20 @@ class BoostedTrees:
         return out.withColumns({name: ps[i] / total for i, name in enumerate(P)}).select(*rows.columns, *P)
 
 
+#: Folds that are fitted side by side.
+PARALLEL = 6
+
+
+def side_by_side(run, folds: Sequence[int]) -> DataFrame:
+    """The union of run(fold) over all folds; the fits are independent Spark jobs that wait for each other's tasks only."""
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        made = [pool.submit(inheritable_thread_target(run), y) for y in folds]
+        return reduce(DataFrame.unionByName, [x.result() for x in made])
+
+
 def rolling_predict(rows: DataFrame, model: Logit | BoostedTrees, folds: Sequence[int]) -> DataFrame:
     """Out-of-fold predictions: for each season the model is fitted on all earlier ones."""
-    out = None
-    for y in folds:
-        got = model.fit(rows.where(F.col("season") < y)).predict(rows.where(F.col("season") == y))
-        out = got if out is None else out.unionByName(got)
-    return out
+    return side_by_side(lambda y: copy(model).fit(rows.where(F.col("season") < y)).predict(rows.where(F.col("season") == y)), folds)
 
 
 def rolling_compare(rows: DataFrame, base: Logit, challenger: Logit, folds: Sequence[int]) -> DataFrame:
@@ -138,18 +155,24 @@ def candidate_evaluation(rows: DataFrame, candidates: Mapping[str, Logit], folds
     return out
 
 
-def family_evaluation(rows: DataFrame, base: Logit, challenger: Logit, flag: str, folds: Sequence[int]) -> DataFrame:
-    """Matched comparison on eligible rows, and the challenger with the baseline's prediction where it isn't eligible."""
-    ok = rows.where(F.col(flag))
+def family_evaluation(rows: DataFrame, base: Logit, families: Mapping[str, tuple[Logit, str]], folds: Sequence[int]) -> DataFrame:
+    """For each family (a challenger and the flag of the rows that it can judge): a matched comparison on eligible rows, and
+    the challenger with the baseline's prediction where a row isn't eligible. The baseline is fitted once. A challenger
+    judges the folds before which all three results were met among its eligible rows."""
     whole = rolling_predict(rows, base, folds)
-    part = rolling_predict(ok, challenger, folds)
-    mixed = fallback_union(whole, part, P)
-    named = {"baseline_all": whole, "operational": mixed.select(*whole.columns), "challenger_matched": part.select(*whole.columns), "baseline_matched": whole.where(F.col(flag))}
-    out = None
-    for name, df in named.items():
-        got = metrics_by_fold_pooled(row_scores(df)).withColumn("population", F.lit(name))
-        out = got if out is None else out.unionByName(got)
-    return out
+
+    def judged(family: str) -> list[tuple[str, str, DataFrame]]:
+        challenger, flag = families[family]
+        met = {r.result: r.first for r in rows.where(F.col(flag)).groupBy("result").agg(F.min("season").alias("first")).collect()}
+        own = [y for y in folds if len(met) == len(P) and max(met.values()) < y]
+        part = rolling_predict(rows.where(F.col(flag)), challenger, own) if own else whole.limit(0)
+        mixed = fallback_union(whole, part, P)
+        return [(family, "operational", mixed.select(*whole.columns)), (family, "challenger_matched", part.select(*whole.columns)), (family, "baseline_matched", whole.where(F.col(flag)))]
+    with ThreadPoolExecutor(3) as pool:
+        parts = [pool.submit(inheritable_thread_target(judged), x) for x in families]
+        out = [("", "baseline_all", whole), *(row for x in parts for row in x.result())]
+    slim = [df.select("season", "result", *P, F.lit(f).alias("family"), F.lit(n).alias("population")) for f, n, df in out]
+    return metrics_by_fold_pooled(row_scores(reduce(DataFrame.unionByName, slim)), by=["family", "population"])
 
 
 def poisson_goals(observations: DataFrame, rows: DataFrame, numeric: Sequence[str] = (), entities: bool = True, alpha: float = 1e-4, half_life: float | None = None) -> DataFrame:
@@ -179,21 +202,29 @@ def poisson_goals(observations: DataFrame, rows: DataFrame, numeric: Sequence[st
 
 
 def score_grid_probs(home_lambda: Column, away_lambda: Column, most: int = 15, rho: Column | float = 0.0) -> Column:
-    """array(away, draw, home) from independent Poisson goals 0..most, renormalised; rho corrects the four low scores."""
+    """array(away, draw, home) from independent Poisson goals 0..most, renormalised; rho corrects the four low scores.
+
+    One pass over the goals with running sums; the two distributions are computed once and bound by a lambda.
+    """
     def pmf(lam):
         return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.exp(-lam + k * F.log(lam)) / F.factorial(k))
 
     rho = F.lit(float(rho)) if isinstance(rho, (int, float)) else rho
-    h, a = pmf(home_lambda), pmf(away_lambda)
-    below = lambda xs, n: F.aggregate(F.slice(xs, F.lit(1), n), F.lit(0.0), lambda s, v: s + v)
-    home = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.lit(0.0), lambda s, k: s + F.element_at(h, k + 1) * below(a, k))
-    away = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.lit(0.0), lambda s, k: s + F.element_at(a, k + 1) * below(h, k))
-    draw = F.aggregate(F.sequence(F.lit(1), F.lit(most + 1)), F.lit(0.0), lambda s, k: s + F.element_at(h, k) * F.element_at(a, k))
-    at = lambda i, j: F.element_at(h, i + 1) * F.element_at(a, j + 1)
-    fix = {(i, j): at(i, j) * (dixon_coles_tau(F.lit(i), F.lit(j), home_lambda, away_lambda, rho) - 1) for i in (0, 1) for j in (0, 1)}
-    home, away, draw = home + fix[1, 0], away + fix[0, 1], draw + fix[0, 0] + fix[1, 1]
-    total = home + away + draw
-    return F.array(away / total, draw / total, home / total)
+    names = ("home", "away", "draw", "under_h", "under_a")
+
+    def step(s: Column, x: Column) -> Column:
+        new = (s["home"] + x["h"] * s["under_a"], s["away"] + x["a"] * s["under_h"], s["draw"] + x["h"] * x["a"], s["under_h"] + x["h"], s["under_a"] + x["a"])
+        return F.struct(*[v.alias(n) for v, n in zip(new, names, strict=True)])
+
+    def probs(goals: Column) -> Column:
+        sums = F.aggregate(goals, F.struct(*[F.lit(0.0).alias(n) for n in names]), step)
+        at = lambda i, j: F.element_at(goals, i + 1)["h"] * F.element_at(goals, j + 1)["a"]
+        fix = {(i, j): at(i, j) * (dixon_coles_tau(F.lit(i), F.lit(j), home_lambda, away_lambda, rho) - 1) for i in (0, 1) for j in (0, 1)}
+        return F.struct((sums["home"] + fix[1, 0]).alias("h"), (sums["away"] + fix[0, 1]).alias("a"), (sums["draw"] + fix[0, 0] + fix[1, 1]).alias("d"))
+
+    goals = F.zip_with(pmf(home_lambda), pmf(away_lambda), lambda h, a: F.struct(h.alias("h"), a.alias("a")))
+    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return bind(bind(goals, probs), lambda p: F.array(p["a"] / (p["h"] + p["a"] + p["d"]), p["d"] / (p["h"] + p["a"] + p["d"]), p["h"] / (p["h"] + p["a"] + p["d"])))
 
 
 def dixon_coles_tau(h: Column, a: Column, home_lambda: Column, away_lambda: Column, rho: Column) -> Column:

@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents")
 
+_OWN: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder; where that isn't set a temporary one serves local runs (tests) only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="rivalry-"))
+        root = _OWN[0]
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for plans that read one frame many times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 VIEWS = {
     "ranked_lines": """SELECT l_orderkey, l_suppkey, l_partkey, l_quantity, l_discount,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivalry.core.asof import forbid
+from rivalry.core.asof import appearances, forbid
 
 CONTEST = T.StructType([
     T.StructField(n, t) for n, t in (
@@ -55,6 +55,13 @@ def write_csv(rows: DataFrame, path: str, order: Sequence[str]) -> None:
     rows.orderBy(*order).write.option("header", True).option("dateFormat", "yyyy-MM-dd").mode("overwrite").csv(path)
 
 
+def export_ratings(ratings: DataFrame, contests: DataFrame, path: str) -> DataFrame:
+    """Write (pool, e, rating, last_date, played) as sorted CSV, and read it again; ratings: replay(final=True) of contests."""
+    told = appearances(contests).groupBy(F.col("competition").alias("pool"), "e").agg(F.max("d").alias("last_date"), F.count("*").alias("played"))
+    write_csv(ratings.join(told, ["pool", "e"]).select("pool", "e", "rating", "last_date", "played"), path, ["pool", "e"])
+    return ratings.sparkSession.read.schema("pool string, e long, rating double, last_date date, played long").option("header", True).csv(path)
+
+
 def json_feed(past: DataFrame, coming: DataFrame, by: str = "competition") -> DataFrame:
     """One JSON document per group with its previous and next batch as ordered arrays; batches are a date's rows only."""
     def pack(df, name):
