@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, Multila
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivalry.core.asof import ID, appearances
@@ -128,16 +128,16 @@ class BoostedTrees:
 PARALLEL = 6
 
 
-def side_by_side(run, folds: Sequence[int]) -> DataFrame:
+def side_by_side(spark: SparkSession, run, folds: Sequence[int]) -> DataFrame:
     """The union of run(fold) over all folds; the fits are independent Spark jobs that wait for each other's tasks only."""
     with ThreadPoolExecutor(PARALLEL) as pool:
-        made = [pool.submit(inheritable_thread_target(run), y) for y in folds]
+        made = [pool.submit(inheritable_thread_target(spark)(run), y) for y in folds]
         return reduce(DataFrame.unionByName, [x.result() for x in made])
 
 
 def rolling_predict(rows: DataFrame, model: Logit | BoostedTrees, folds: Sequence[int]) -> DataFrame:
     """Out-of-fold predictions: for each season the model is fitted on all earlier ones."""
-    return side_by_side(lambda y: copy(model).fit(rows.where(F.col("season") < y)).predict(rows.where(F.col("season") == y)), folds)
+    return side_by_side(rows.sparkSession, lambda y: copy(model).fit(rows.where(F.col("season") < y)).predict(rows.where(F.col("season") == y)), folds)
 
 
 def rolling_compare(rows: DataFrame, base: Logit, challenger: Logit, folds: Sequence[int]) -> DataFrame:
@@ -169,7 +169,7 @@ def family_evaluation(rows: DataFrame, base: Logit, families: Mapping[str, tuple
         mixed = fallback_union(whole, part, P)
         return [(family, "operational", mixed.select(*whole.columns)), (family, "challenger_matched", part.select(*whole.columns)), (family, "baseline_matched", whole.where(F.col(flag)))]
     with ThreadPoolExecutor(3) as pool:
-        parts = [pool.submit(inheritable_thread_target(judged), x) for x in families]
+        parts = [pool.submit(inheritable_thread_target(rows.sparkSession)(judged), x) for x in families]
         out = [("", "baseline_all", whole), *(row for x in parts for row in x.result())]
     slim = [df.select("season", "result", *P, F.lit(f).alias("family"), F.lit(n).alias("population")) for f, n, df in out]
     return metrics_by_fold_pooled(row_scores(reduce(DataFrame.unionByName, slim)), by=["family", "population"])

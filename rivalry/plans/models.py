@@ -225,7 +225,7 @@ def folds(v) -> list[int]:
 
 def each_fold(v, rows, predict):
     """The union of predict(earlier seasons' rows, the season's rows) over all folds."""
-    return M.side_by_side(lambda y: predict(rows.where(F.col("season") < y), rows.where(F.col("season") == y)), folds(v))
+    return M.side_by_side(rows.sparkSession, lambda y: predict(rows.where(F.col("season") < y), rows.where(F.col("season") == y)), folds(v))
 
 
 def feats(v, more=()) -> DataFrame:
