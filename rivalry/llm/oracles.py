@@ -100,3 +100,55 @@ c AS (SELECT x FROM x WHERE x IS NOT NULL GROUP BY x HAVING count(*) > 1),
 f AS (SELECT doc_id, i, word, max(CASE WHEN c.x IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS gone FROM x LEFT JOIN c ON c.x = x.x),
 k AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM f GROUP BY 1)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)"""
+
+
+def nearest_sql(every: int = 20, k: int = 20, scale: int = 64) -> str:
+    """All inner products, ranked."""
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % {every} = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= {k}"""
+
+
+def collocations_sql(longest: int = 5, least: int = 100, top: int = 2000, scale: int = 1000, cover: int = 100) -> str:
+    """All phrases are counted; cuts and longer phrases are looked up."""
+    return rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY 1),
+s AS (SELECT lang, w, unnest(range(1, {longest + 1})) AS k FROM w), i AS (SELECT lang, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS i FROM s),
+f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM i GROUP BY ALL HAVING count(*) >= {least}),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+x AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+z AS (SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, n.n, ({scale} * c.a::HUGEINT * n.n) // (l.f::HUGEINT * r.f) AS score FROM x c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1 :], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+u AS (SELECT lang, w, k, a, unnest(range(2, k)) AS m FROM c WHERE k >= 3), v AS (SELECT *, unnest(range(1, k - m + 2)) AS i FROM u),
+h AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS longer FROM v GROUP BY 1, 2),
+o AS (SELECT b.lang, CAST(row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS INT) AS rank, b.phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+  FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE 100 * coalesce(longer, 0) < {cover} * a)
+SELECT * FROM o WHERE rank <= {top}"""
+
+
+def trie_sql(every: int = 20, most: int = 4) -> str:
+    """Prefixes as text; each node is joined with the prefixes of the conversation that names it. CRC-32 by a table of its 256 steps."""
+    words = WORDS.format("coalesce(text, '')")
+    return f"""
+WITH RECURSIVE g AS (SELECT range AS b, range AS v, 0 AS i FROM range(0, 256) UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, i + 1 FROM g WHERE i < 8),
+tab AS MATERIALIZED (SELECT list(v ORDER BY b) AS tab FROM g WHERE i = 8),
+t AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS i,
+  concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS x, len({words}) AS words FROM conversations WHERE conv_id IS NOT NULL),
+m AS MATERIALIZED (SELECT c, count(*) AS n FROM t GROUP BY 1),
+h AS MATERIALIZED (SELECT m.c, b.c AS base, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(m.c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda r, s: xor(r // 256, tab[xor(r, s) % 256 + 1])), 4294967295) % {most} AS h, coalesce(b.n, 0) AS bn
+  FROM m CROSS JOIN tab LEFT JOIN m b ON b.c = m.c - m.c % {every}),
+r AS MATERIALIZED (SELECT c, 0 AS d, '' AS x, 0 AS words FROM m UNION ALL SELECT h.c, t.i, t.x, t.words FROM h JOIN t ON t.c = h.base AND t.i <= h.h
+  UNION ALL SELECT h.c, t.i - h.h + least(h.h, h.bn), t.x, t.words FROM h JOIN t ON t.c = h.c AND t.i > h.h),
+k AS MATERIALIZED (SELECT c, d, words, sha256(string_agg(concat(length(x), ':', x), '') OVER (PARTITION BY c ORDER BY d)) AS key, max(d) OVER (PARTITION BY c) = d AS last FROM r),
+p AS MATERIALIZED (SELECT *, min(c) OVER (PARTITION BY d, key) AS rep FROM k),
+v AS MATERIALIZED (SELECT rep AS conv_id, d AS depth, count(*) AS n_convs, (count(*) - 1) * min(words) AS own, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+a AS MATERIALIZED (SELECT v.*, q.rep AS parent_conv_id FROM v LEFT JOIN p q ON q.c = v.conv_id AND q.d = v.depth - 1),
+s AS MATERIALIZED (SELECT a.*, coalesce(y.n, 0) AS n_children FROM a LEFT JOIN (SELECT parent_conv_id, depth - 1 AS depth, count(*) AS n FROM a GROUP BY 1, 2) y ON y.parent_conv_id = a.conv_id AND y.depth = a.depth),
+e AS (SELECT p.rep AS conv_id, p.d AS depth, sum((s.n_children = 0)::INT) AS n_leaves, sum(s.own) AS saved_tokens FROM s JOIN p ON p.c = s.conv_id AND p.d <= s.depth GROUP BY 1, 2)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM s JOIN e USING (conv_id, depth)"""

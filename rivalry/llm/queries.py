@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivalry.llm import archives, leaks, media, neardup, packing, secrets, substrings, tokens, toxicity, urls
+from rivalry.llm import archives, leaks, media, nearest, neardup, packing, phrases, secrets, substrings, tokens, toxicity, tries, urls
 from rivalry.llm.common import table, written
-from rivalry.llm.oracles import leaks_sql, near_duplicates_sql, repeats_sql, secrets_sql
+from rivalry.llm.oracles import collocations_sql, leaks_sql, near_duplicates_sql, nearest_sql, repeats_sql, secrets_sql, trie_sql
 
 #: Fixed rules of the url query: (host, path, verdict).
 RULES = (
@@ -71,6 +71,19 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.convert_pages(table(spark, sf_dir, "pages"), 0).drop("record_id")
 
 
+def op11_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", nearest.quantised("embedding", 64).alias("embedding"))
+    return nearest.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS x FROM p),
@@ -103,7 +116,7 @@ SELECT page_id, host, path, split_part(r, '|', 1) AS rule,
 FROM c"""
 
 
-QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_min_max_near_dedup, op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op6_toxicity, op7_best_fit_packing, op8_url_filter, op9_de_bruijn_dedup, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op1_progressive_jpeg, op2_min_max_near_dedup, op3_secret_linking, op4_spaced_seed_leaks, op5_token_counts, op6_toxicity, op7_best_fit_packing, op8_url_filter, op9_de_bruijn_dedup, op10_arc_to_warc, op11_pivot_search, op12_phrase_collocations, op13_prefix_trie)}
 ORACLES = {
     "op2_min_max_near_dedup": near_duplicates_sql(),
     "op3_secret_linking": secrets_sql(),
@@ -111,4 +124,7 @@ ORACLES = {
     "op8_url_filter": op8_sql(),
     "op9_de_bruijn_dedup": repeats_sql(),
     "op10_arc_to_warc": OP10_SQL,
+    "op11_pivot_search": nearest_sql(),
+    "op12_phrase_collocations": collocations_sql(),
+    "op13_prefix_trie": trie_sql(),
 }
