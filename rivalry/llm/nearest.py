@@ -20,6 +20,12 @@ BLOCK, QUERY_BLOCK = 4096, 1024
 EXACT = float(1 << 52)
 #: Block pairs are listed in so many slices, so that no task holds all blocks of one length.
 SLICES = 64
+#: Queries that share an order of candidates, and candidates that are scored together.
+QUERIES, TILE = 64, 512
+#: Share of the squared norms by which a bound from rounded distances may be off.
+SLACK = 4e-6
+#: No score.
+NONE = np.iinfo(np.int64).min
 
 
 def quantised(vec: str | Column, scale: int) -> Column:
@@ -106,47 +112,73 @@ def block_pairs(queries: DataFrame, blocks: DataFrame) -> DataFrame:
     apart = F.coalesce(apart, F.lit(0.0))
     sums = F.col("q_norm") + F.col("c_norm")
     most = F.least((sums - apart * apart) / 2, F.sqrt("q_norm") * F.sqrt("c_norm"))
-    return pairs.select("q", "c", F.when(sums < EXACT, most + sums * 1e-9 + 1).otherwise(float("inf")).alias("most"))
+    return pairs.select("q", "c", F.when(sums < EXACT, most + sums * SLACK + 1).otherwise(float("inf")).alias("most"))
 
 
 def _whole(x: np.ndarray, y: np.ndarray) -> int:
     """An inner product beyond the doubles, held within 64 bits."""
-    return max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x, y, strict=True))))
+    return max(1 - (1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(x, y, strict=True))))
+
+
+def _highest(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k highest of each row, in no order."""
+    return scores if scores.shape[1] <= k else np.partition(scores, scores.shape[1] - k, axis=1)[:, -k:]
 
 
 def _eliminate(k: int):
-    """For a block of queries and one of candidates: the k best of each query, unless `need` or the bounds exclude them."""
+    """For a block of queries and one of candidates: the k best of each query, unless `need` or the bounds exclude them.
+
+    QUERIES queries at a time share one order of the candidates, by their highest bound for any of them, and score TILE of them at a time.
+    A query stops where no bound from there on reaches `need` or the k-th best score that it has met.
+    """
 
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(q) and len(c):
-            c = c.sort_values("id", kind="stable")
-            ids, x = c["id"].to_numpy(), np.stack(c["v"].to_numpy())
-            norm, dist = c["norm"].to_numpy(), np.ascontiguousarray(np.stack(c["dist"].to_numpy()).T)
-            for row, qid, v, own_norm, own_dist, need in zip(q["row"], q["id"], q["v"], q["norm"], q["dist"], q["need"], strict=True):
-                sums = norm + own_norm
-                far = np.abs(dist - np.asarray(own_dist)[:, None]).max(axis=0) if len(dist) else np.zeros(len(ids))
-                with np.errstate(invalid="ignore"):
-                    most = np.where(sums < EXACT, np.floor((sums - far * far) / 2 + sums * 1e-9 + 1e-3), np.inf)
-                most[ids == qid] = -np.inf
-                left = np.flatnonzero((most >= need) & (most > -np.inf))
-                left = left[np.argsort(-most[left], kind="stable")]
-                at, width, done, scores = 0, max(256, 4 * k), [], np.empty(0, np.int64)
-                while at < len(left) and most[left[at]] >= need:
-                    part = left[at : at + width]
-                    if np.isfinite(most[part[0]]):
-                        new = (x[part] @ np.asarray(v)).astype(np.int64)
-                    else:
-                        new = np.array([_whole(x[i], v) for i in part], np.int64)
-                    done.append(part)
-                    scores = np.concatenate((scores, new))
-                    if len(scores) >= k:
-                        need = max(need, float(np.partition(scores, len(scores) - k)[len(scores) - k]))
-                    at, width = at + width, 2 * width
-                if done:
-                    seen = np.concatenate(done)
-                    top = np.lexsort((seen, -scores))[:k]
-                    out.append(pd.DataFrame({"row": row, "query_id": qid, "vec_id": ids[seen[top]], "score": scores[top]}))
+        c = c.sort_values("id", kind="stable")
+        ids, norm = c["id"].to_numpy(), c["norm"].to_numpy()
+        if len(c):
+            x, dist = np.stack(c["v"].to_numpy()), np.ascontiguousarray(np.stack(c["dist"].to_numpy()).T, np.float32)
+        for a in range(0, len(q) if len(c) else 0, QUERIES):
+            part = q.iloc[a : a + QUERIES]
+            v, own = np.stack(part["v"].to_numpy()), np.stack(part["dist"].to_numpy()).astype(np.float32)
+            need, asked = part["need"].to_numpy().copy(), part["id"].to_numpy()
+            far, gap = np.zeros((len(part), len(c)), np.float32), np.empty((len(part), len(c)), np.float32)
+            for i, d in enumerate(dist):
+                np.maximum(far, np.abs(np.subtract(d, own[:, i, None], out=gap), out=gap), out=far)
+            sums = part["norm"].to_numpy()[:, None] + norm
+            exact = sums < EXACT
+            with np.errstate(invalid="ignore"):
+                most = np.where(exact, np.floor((sums - np.square(far, dtype=np.float64)) / 2 + sums * SLACK), np.inf)
+            for i, (lo, hi) in enumerate(zip(np.searchsorted(ids, asked, "left"), np.searchsorted(ids, asked, "right"), strict=True)):
+                most[i, lo:hi] = -np.inf
+            order = np.argsort(-most.max(axis=0), kind="stable")
+            starts = range(0, len(c), TILE)
+            ahead = np.array([most[:, order[s : s + TILE]].max(axis=1) for s in starts])
+            ahead = np.maximum.accumulate(ahead[::-1])[::-1]  # the highest bound from each tile on
+            top, met = np.full((len(part), k), NONE, np.int64), []
+            for s, bound in zip(starts, ahead, strict=True):
+                on = np.flatnonzero((bound >= need) & (bound > -np.inf))
+                if not len(on):
+                    break
+                tile = order[s : s + TILE]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    score = (v[on] @ x[tile].T).astype(np.int64)
+                for i, j in np.argwhere(~exact[np.ix_(on, tile)]):
+                    score[i, j] = _whole(v[on[i]], x[tile[j]])
+                score[most[np.ix_(on, tile)] == -np.inf] = NONE
+                top[on] = _highest(np.concatenate((top[on], score), axis=1), k)
+                kth = top[on].min(axis=1)
+                need[on] = np.where(kth > NONE, np.maximum(need[on], kth.astype(np.float64)), need[on])
+                i, j = np.nonzero((score > NONE) & (score >= np.maximum(kth, NONE)[:, None]))
+                met.append((on[i], tile[j], score[i, j]))
+            if met:
+                i, j, score = (np.concatenate(z) for z in zip(*met, strict=True))
+                keep = score >= top.min(axis=1)[i]
+                i, j, score = i[keep], j[keep], score[keep]
+                best = np.lexsort((j, -score, i))
+                i, j, score = i[best], j[best], score[best]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append(pd.DataFrame({"row": part["row"].to_numpy()[i[keep]], "query_id": asked[i[keep]], "vec_id": ids[j[keep]], "score": score[keep]}))
         return pd.concat(out) if out else pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
 
     return search
