@@ -177,24 +177,31 @@ def frequent_hashes(docs: DataFrame, sizes: tuple[int, ...], least: int, parts:
     return sent.repartition(parts, "part").mapInArrow(merge, "hash long")
 
 
-def exact_counts(docs: DataFrame, longest: int, least: int, known=None, hashes: DataFrame | None = None) -> DataFrame:
+_ENTRY = ["lang", "k", "phrase", "f"]
+
+
+def exact_counts(docs: DataFrame, longest: int, least: int, parts: int, known=None, hashes: DataFrame | None = None) -> DataFrame:
     """(lang, k, phrase, f): counts of the phrases of 1 to `longest` words whose hashes are known, and k = 0 for the number of words.
 
-    known: a broadcast sorted array of hashes, or hashes: the same as a table, which is joined after each task has added up its phrases.
+    known: a broadcast sorted array of hashes. Or hashes: the same as a table, which is joined after each task has added up its phrases.
+    Tasks send what they have added up in lists, one for each of the `parts` partitions that add them up again.
     """
 
     def count(batches):
         totals: dict[str, int] = {}
-        seen: dict[tuple[int, int], tuple] = {}  # (hash, second hash) -> lang, k, phrase and count
+        seen: dict[tuple[int, int], list] = {}  # hash and second hash -> lang, k, phrase and count
 
-        def rows():
-            held = list(seen.items())
-            n = len(totals)
-            out = [[*([0] * n), *(h for (h, _), _ in held)], [*totals, *(v[0] for _, v in held)], [*([0] * n), *(v[1] for _, v in held)], [*([""] * n), *(v[2].decode() for _, v in held)], [*totals.values(), *(v[3] for _, v in held)]]
+        def sent():
+            held = [(xxhash.xxh3_64_intdigest(x.encode()), x, 0, "", n) for x, n in totals.items()]
+            held += [(h, x, k, phrase.decode(), n) for (h, _), (x, k, phrase, n) in seen.items()]
             seen.clear()
             totals.clear()
+            own: dict[int, list] = {}
+            for row in held:
+                own.setdefault(row[0] % parts, []).append(row)
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), *(pa.array(x, t) for x, t in zip(out[1:], kinds[1:], strict=True))], ["hash", "lang", "k", "phrase", "f"])
+            lists = [[[r[i] if i else (r[0] ^ (1 << 63)) - (1 << 63) for r in rows] for rows in own.values()] for i in range(5)]
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), *(pa.array(x, pa.list_(t)) for x, t in zip(lists, kinds, strict=True))], ["part", "hash", *_ENTRY])
 
         for batch in batches:
             for pieces, langs in _texts(batch):
@@ -216,14 +223,31 @@ def exact_counts(docs: DataFrame, longest: int, least: int, known=None, hashes:
                     n = np.diff(np.append(first, len(keys)))
                     for i, h, s, c in zip(at[first].tolist(), keys[first].tolist(), second[first].tolist(), n.tolist(), strict=True):
                         old = seen.get((h, s))
-                        seen[h, s] = (*old[:3], old[3] + c) if old else (langs[pieces.text[i]], k, pieces.phrase(i, k), c)
+                        if old:
+                            old[3] += c
+                        else:
+                            seen[h, s] = [langs[pieces.text[i]], k, pieces.phrase(i, k), c]
                 if len(seen) > HELD // 10:
-                    yield rows()
-        yield rows()
+                    yield sent()
+        yield sent()
 
-    out = docs.select("text", "lang").mapInArrow(count, "hash long, lang string, k int, phrase string, f long")
-    if hashes is not None:
-        out = out.where("k = 0").union(out.join(hashes.distinct(), "hash", "left_semi"))
+    def add(batches):
+        total: dict[tuple, int] = {}
+        for batch in batches:
+            for lists in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                for *entry, n in zip(*lists, strict=True):
+                    entry = tuple(entry)
+                    total[entry] = total.get(entry, 0) + n
+        rows = [(*entry, n) for entry, n in total.items() if not entry[1] or n >= least]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], _ENTRY)
+
+    kind = ", ".join(f"{n} array<{t}>" for n, t in zip(["hash", *_ENTRY], ["long", "string", "int", "string", "long"], strict=True))
+    out = docs.select("text", "lang").mapInArrow(count, f"part int, {kind}")
+    if hashes is None:
+        return out.repartition(parts, "part").mapInArrow(add, "lang string, k int, phrase string, f long")
+    out = out.select(F.explode(F.arrays_zip("hash", *_ENTRY)).alias("x")).select("x.*")
+    out = out.where("k = 0").union(out.join(hashes.distinct(), "hash", "left_semi"))
     return out.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).where((F.col("k") == 0) | (F.col("f") >= least))
 
 
@@ -246,7 +270,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, broadcast_bytes:
     if longest > 2:
         hashes = short.union(written(frequent_hashes(docs, tuple(range(3, longest + 1)), least, parts, known), "long"))
     known = _collected(hashes, broadcast_bytes)
-    return exact_counts(docs, longest, least, known, None if known else hashes)
+    return exact_counts(docs, longest, least, parts, known, None if known else hashes)
 
 
 def _joined(words: Column, start: int | Column, n: int | Column) -> Column:
