@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from rivalry.core.asof import ID, appearances
 from rivalry.functions.scalar import clipped_log, time_decay
-from rivalry.operators.link import fallback_union
-from rivalry.operators.scoring import P, metric_delta, metrics_by_fold_pooled, row_scores
+from rivalry.operators.logits import Candidate, fit_logits, predict_logits, rolling_logits
+from rivalry.operators.scoring import P, metrics_by_fold_pooled, row_scores
 
 
 def time_split(rows: DataFrame, train_to: int, valid: int, test: int) -> DataFrame:
@@ -60,48 +60,40 @@ def _vector(rows: DataFrame, features: Sequence[str], out: str = "x") -> DataFra
 
 
 class Logit:
-    """Standardised multinomial logistic regression with an L2 penalty of 1 / (C n); scaled by the population deviation."""
+    """One standardised multinomial logistic fit with an L2 penalty of 1 / C; see logits for many at once."""
 
-    def __init__(self, features: Sequence[str], c: float = 1.0, weight: str | None = None):
-        self.features, self.c, self.weight = list(features), c, weight
-
-    def _standardised(self, rows: DataFrame) -> DataFrame:
-        z = {f"_z{i}": (F.col(x) - m) / s for i, (x, m, s) in enumerate(self.scale)}
-        return _vector(rows.withColumns(z), list(z)).drop(*z)
-
-    def _measure(self, train: DataFrame) -> int:
-        """The number of rows; keeps means and population deviations. One aggregation."""
-        pick = [a for x in self.features for a in (F.avg(x), F.stddev_pop(x))]
-        n, *got = train.agg(F.count("*"), *pick).first()
-        self.scale = [(x, got[2 * i] or 0.0, got[2 * i + 1] or 1.0) for i, x in enumerate(self.features)]
-        return n
+    def __init__(self, features: Sequence[str], c: float = 1.0):
+        self.candidates = {"": Candidate(tuple(features), c)}
 
     def fit(self, train: DataFrame) -> Logit:
-        n = self._measure(train)
-        lr = LogisticRegression(featuresCol="x", family="multinomial", regParam=1.0 / (self.c * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-9)
-        if self.weight:
-            lr = lr.setWeightCol(self.weight)
-        self.model = lr.fit(self._standardised(train.withColumn("label", F.col("result").cast("double"))))
+        self.fits = fit_logits(train if "season" in train.columns else train.withColumn("season", F.lit(0)), self.candidates)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        p = vector_to_array("probability")
-        return self.model.transform(self._standardised(rows)).withColumns({name: p[i] for i, name in enumerate(P)}).select(*rows.columns, *P)
+        return predict_logits(rows, self.candidates, self.fits).select(*rows.columns, *P)
 
 
-class MultilayerPerceptron(Logit):
-    """A small perceptron on the same standardised features."""
+class MultilayerPerceptron:
+    """A small perceptron on features scaled by their means and population deviations."""
 
     def __init__(self, features: Sequence[str], hidden: int = 8, seed: int = 7, steps: int = 50):
-        super().__init__(features)
-        self.hidden, self.seed, self.steps = hidden, seed, steps
+        self.features, self.hidden, self.seed, self.steps = list(features), hidden, seed, steps
+
+    def _standardised(self, rows: DataFrame) -> DataFrame:
+        z = {f"_z{i}": (F.col(x) - m) / s for i, (x, m, s) in enumerate(self.scale)}
+        return _vector(rows.withColumns(z), list(z)).drop(*z)
 
     def fit(self, train: DataFrame) -> MultilayerPerceptron:
-        self._measure(train)
+        got = train.agg(*[a for x in self.features for a in (F.avg(x), F.stddev_pop(x))]).first()
+        self.scale = [(x, got[2 * i] or 0.0, got[2 * i + 1] or 1.0) for i, x in enumerate(self.features)]
         net = MultilayerPerceptronClassifier(featuresCol="x", layers=[len(self.features), self.hidden, 3], maxIter=self.steps, seed=self.seed)
         self.model = net.fit(self._standardised(train.withColumn("label", F.col("result").cast("double"))))
         return self
 
+    def predict(self, rows: DataFrame) -> DataFrame:
+        p = vector_to_array("probability")
+        return self.model.transform(self._standardised(rows)).withColumns({name: p[i] for i, name in enumerate(P)}).select(*rows.columns, *P)
+
 
 class BoostedTrees:
     """One boosted tree classifier per class, normalised. Another algorithm than a multiclass booster: no equal numbers."""
@@ -135,44 +127,27 @@ def side_by_side(spark: SparkSession, run, folds: Sequence[int]) -> DataFrame:
         return reduce(DataFrame.unionByName, [x.result() for x in made])
 
 
-def rolling_predict(rows: DataFrame, model: Logit | BoostedTrees, folds: Sequence[int]) -> DataFrame:
+def rolling_predict(rows: DataFrame, model: MultilayerPerceptron | BoostedTrees, folds: Sequence[int]) -> DataFrame:
     """Out-of-fold predictions: for each season the model is fitted on all earlier ones."""
     return side_by_side(rows.sparkSession, lambda y: copy(model).fit(rows.where(F.col("season") < y)).predict(rows.where(F.col("season") == y)), folds)
 
 
-def rolling_compare(rows: DataFrame, base: Logit, challenger: Logit, folds: Sequence[int]) -> DataFrame:
-    """Metric deltas of challenger and baseline per fold and pooled, over the same rows."""
-    m = [metrics_by_fold_pooled(row_scores(rolling_predict(rows, x, folds))) for x in (base, challenger)]
-    return metric_delta(*m)
-
-
-def candidate_evaluation(rows: DataFrame, candidates: Mapping[str, Logit], folds: Sequence[int]) -> DataFrame:
-    """Metrics of several candidates on the same folds."""
-    out = None
-    for name, model in candidates.items():
-        got = metrics_by_fold_pooled(row_scores(rolling_predict(rows, model, folds))).withColumn("candidate", F.lit(name))
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def family_evaluation(rows: DataFrame, base: Logit, families: Mapping[str, tuple[Logit, str]], folds: Sequence[int]) -> DataFrame:
-    """For each family (a challenger and the flag of the rows that it can judge): a matched comparison on eligible rows, and
-    the challenger with the baseline's prediction where a row isn't eligible. The baseline is fitted once. A challenger
-    judges the folds before which all three results were met among its eligible rows."""
-    whole = rolling_predict(rows, base, folds)
-
-    def judged(family: str) -> list[tuple[str, str, DataFrame]]:
-        challenger, flag = families[family]
-        met = {r.result: r.first for r in rows.where(F.col(flag)).groupBy("result").agg(F.min("season").alias("first")).collect()}
-        own = [y for y in folds if len(met) == len(P) and max(met.values()) < y]
-        part = rolling_predict(rows.where(F.col(flag)), challenger, own) if own else whole.limit(0)
-        mixed = fallback_union(whole, part, P)
-        return [(family, "operational", mixed.select(*whole.columns)), (family, "challenger_matched", part.select(*whole.columns)), (family, "baseline_matched", whole.where(F.col(flag)))]
-    with ThreadPoolExecutor(3) as pool:
-        parts = [pool.submit(inheritable_thread_target(rows.sparkSession)(judged), x) for x in families]
-        out = [("", "baseline_all", whole), *(row for x in parts for row in x.result())]
-    slim = [df.select("season", "result", *P, F.lit(f).alias("family"), F.lit(n).alias("population")) for f, n, df in out]
-    return metrics_by_fold_pooled(row_scores(reduce(DataFrame.unionByName, slim)), by=["family", "population"])
+def family_metrics(rows: DataFrame, candidates: Mapping[str, Candidate], base: str, folds: Sequence[int]) -> DataFrame:
+    """For each candidate with a flag (a challenger on the rows that it can judge): a matched comparison with `base` on those rows, and
+    the challenger with the baseline's prediction where a row isn't flagged. All are fitted together. A challenger judges the folds
+    before which all three results were met among its rows."""
+    flags = {n: c.flag for n, c in candidates.items() if n != base}
+    got = rolling_logits(rows, candidates, folds)
+    named = F.array(*[F.struct(F.lit(n).alias("family"), F.coalesce(F.col(f), F.lit(False)).alias("_on")) for n, f in flags.items()])
+    whole = got.where(F.col("candidate") == base).withColumn("_f", F.explode(named)).select(ID, "season", "result", *P, "_f.*")
+    part = got.where(F.col("candidate") != base).select(ID, F.col("candidate").alias("family"), *[F.col(p).alias(f"_{p}") for p in P])
+    both = whole.join(part, [ID, "family"], "left")
+    judged = F.col(f"_{P[0]}").isNotNull()
+    new = [F.coalesce(f"_{p}", p).alias(p) for p in P]
+    keep = lambda df, name, family, probs: df.select("season", "result", *probs, family.alias("family"), F.lit(name).alias("population"))
+    out = keep(both, "operational", F.col("family"), new).unionByName(keep(both.where(judged), "challenger_matched", F.col("family"), new))
+    out = out.unionByName(keep(both.where("_on"), "baseline_matched", F.col("family"), P)).unionByName(keep(got.where(F.col("candidate") == base), "baseline_all", F.lit(""), P))
+    return metrics_by_fold_pooled(row_scores(out), by=["family", "population"])
 
 
 def poisson_goals(observations: DataFrame, rows: DataFrame, numeric: Sequence[str] = (), entities: bool = True, alpha: float = 1e-4, half_life: float | None = None) -> DataFrame:
@@ -302,12 +277,6 @@ def fit_calibration(rows: DataFrame, kind: str = "C1", steps: int = 12, probs: S
     return x["tau"], (0.0, x["b1"], x["b2"])
 
 
-def score_batch(model: Logit, batch: DataFrame, history_seasons: DataFrame, bound: DataFrame, name: str) -> DataFrame:
-    """Prediction rows for a batch that isn't bound yet, by a model fitted on history."""
-    left = batch.join(bound.select(ID).distinct(), ID, "left_anti")
-    return model.fit(history_seasons).predict(left).select(ID, *P, F.lit(name).alias("model"))
-
-
 def goal_observations(contests: DataFrame) -> DataFrame:
     """Two rows per contest: e scores gf against opp, at_home 1 or 0."""
     return appearances(contests).withColumn("at_home", (F.col("side") == "home").cast("double")).withColumn("gf", F.col("gf").cast("double"))

@@ -1,5 +1,5 @@
 """Registered queries of the contest operators."""
 
-from rivalry.plans import features, link, models, quality, scoring, sources
+from rivalry.plans import features, link, models, quality, rolling, scoring, sources
 
-REGISTRIES = [features.R, link.R, quality.R, scoring.R, models.R, sources.R]
+REGISTRIES = [features.R, link.R, quality.R, scoring.R, models.R, rolling.R, sources.R]

@@ -143,6 +143,8 @@ class Registry:
     def __init__(self):
         self.queries: dict = {}
         self.oracles: dict[str, str] = {}
+        #: the SQL before doubles are rounded, for SQL that builds on it
+        self.raw: dict[str, str] = {}
 
     def add(self, key: str, build, sql: str | None = None, doubles: tuple[str, ...] | list[str] = ()) -> None:
         """build(v) gets a function from view name to DataFrame. `doubles` are rounded to six places on both sides."""
@@ -153,7 +155,7 @@ class Registry:
 
         self.queries[key] = query
         if sql:
-            text = ctes(sql)
+            text = self.raw[key] = ctes(sql)
             if doubles:
                 text = f"SELECT * REPLACE ({', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in doubles)}) FROM ({text}) z"
             self.oracles[key] = text

@@ -238,77 +238,12 @@ def feats(v, more=()) -> DataFrame:
     return stored(rows, "features")
 
 
-def family(frame: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """The columns of a feature frame as doubles named <name>_<i>, and <name>_ok where all are known."""
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    return frame.select(ID, *[F.col(c).cast("double").alias(f"{name}_{i}") for i, c in enumerate(columns)], known.alias(f"{name}_ok"))
-
-
-def families(v) -> dict[str, tuple[DataFrame, list[str]]]:
-    """The nine families: their frames and feature columns."""
-    k, ev = v("contests"), v("contest_events")
-    both = lambda *names: [f"{s}_{n}" for n in names for s in ("home", "away")]
-    xi = v("squads").where("starter").groupBy(ID, "d", "e").agg(F.collect_set("player").alias("xi")).join(FE.appearances(k).select(ID, "e", "side"), [ID, "e"])
-    h2h = FE.h2h_cumulative(k).withColumn("wins", F.when(F.col("h2h_available"), F.col("h2h_home_wins"))).withColumn("draws", F.when(F.col("h2h_available"), F.col("h2h_draws")))
-    return {
-        "workload": (FE.workload_windows(k, v("squads")), both("squad_minutes_7", "squad_minutes_14")), "discipline": (FE.discipline_rates(k, ev), both("yellow_rate", "red_rate")),
-        "first_event": (FE.first_event_profile(k, ev), both("scored_rate", "conceded_rate")), "timing": (FE.event_timing_profile(k, ev), both("scored_mean", "conceded_mean")),
-        "substitution": (FE.substitution_profile(k, ev), both("subs_mean")), "lineup": (FE.lineup_overlap(xi), both("overlap")), "draws": (FE.draw_rates(k), ["last_mean", "season_mean"]),
-        "previous": (L.previous_period_profile(k, v("profiles"), ["gf", "ga"]), both("gf_rate", "ga_rate")), "h2h": (h2h, ["wins", "draws"]),
-    }
-
-
-def nine(v) -> DataFrame:
-    own = families(v)
-    rows = feats(v, [family(frame, cols, name) for name, (frame, cols) in own.items()])
-    tests = {n: (M.Logit(["rating_diff", *[f"{n}_{i}" for i in range(len(cols))]]), f"{n}_ok") for n, (_, cols) in own.items()}
-    return M.family_evaluation(rows, M.Logit(["rating_diff"]), tests, folds(v))
-
-
 R.add("baseline_uniform", lambda v: M.baseline_uniform(v("contests")).select(ID, *M.P), "SELECT contest_id, 1.0::DOUBLE / 3 AS p_away, 1.0::DOUBLE / 3 AS p_draw, 1.0::DOUBLE / 3 AS p_home FROM {contests}", M.P)
 R.add(
     "baseline_prior", lambda v: M.baseline_prior(v("contests").where("season < 1997"), v("contests").where("season >= 1997").select(ID)),
     "WITH t AS (SELECT avg((result = 0)::INT) AS p_away, avg((result = 1)::INT) AS p_draw, avg((result = 2)::INT) AS p_home FROM {contests} WHERE season < 1997) SELECT contest_id, t.* FROM {contests} CROSS JOIN t WHERE season >= 1997", M.P,
 )
 ALL = ["rating_diff", "points_diff", "goal_diff"]
-R.add("logit_multinomial", lambda v: M.rolling_predict(feats(v), M.Logit(["rating_diff"]), folds(v)).select(ID, *M.P), None, M.P)
-R.add("feature_set_ablation", lambda v: M.candidate_evaluation(feats(v), {"rating": M.Logit(ALL[:1]), "form": M.Logit(ALL[1:]), "all": M.Logit(ALL)}, folds(v)), None, SC.METRICS)
-#: Penalties, crossed with how many contests at the same place count.
-PENALTIES, PLACE_WINDOWS = (0.1, 0.3, 1.0, 3.0, 10.0), (3, 5, 10)
-
-
-def tuning(v) -> DataFrame:
-    at = lambda n: FE.place_form(v("contests"), n).select(ID, (F.col("home_place_points") - F.col("away_place_points")).cast("double").alias(f"place_{n}"))
-    rows = feats(v, [at(n) for n in PLACE_WINDOWS])
-    return M.candidate_evaluation(rows, {f"c{c}w{n}": M.Logit([*ALL, f"place_{n}"], c) for c in PENALTIES for n in PLACE_WINDOWS}, folds(v))
-
-
-R.add("param_tuning", tuning, None, SC.METRICS)
-R.add("rolling_compare", lambda v: M.rolling_compare(feats(v), M.Logit(ALL[:1]), M.Logit(ALL), folds(v)), None, [f"{m}_delta" for m in SC.METRICS])
-
-
-def two_ratings(v) -> DataFrame:
-    """Ratings within each competition against ratings over the two joined ones, on the same rows."""
-    joined = RA.replay(pair(v("contests")), pool="pool").select(ID, F.col("rating_diff").alias("joined_diff"))
-    return M.rolling_compare(feats(v, [joined]), M.Logit(["rating_diff"]), M.Logit(["joined_diff"]), folds(v))
-
-
-R.add("competition_rating_compare", two_ratings, None, [f"{m}_delta" for m in SC.METRICS])
-R.add("family_evaluation", nine, None, SC.METRICS)
-R.add("candidate_evaluation", lambda v: M.candidate_evaluation(feats(v), {"a": M.Logit(ALL[:1]), "b": M.Logit(ALL[1:])}, folds(v)), None, SC.METRICS)
-obs = lambda v: stored(M.goal_observations(v("contests")), "observations")
-ASKED = [ID, "side", "e", "opp", "at_home"]
-
-
-def gaps(v) -> DataFrame:
-    """Observations with the rating difference as the scoring side sees it, in hundreds."""
-    r = RA.replay(v("contests")).select(ID, F.expr("stack(2, 'home', rating_diff, 'away', -rating_diff) AS (side, diff)"))
-    return stored(M.goal_observations(v("contests")).join(r, [ID, "side"]).withColumn("diff", F.col("diff") / 100), "observations")
-
-
-R.add("poisson_goals", lambda v: each_fold(v, obs(v), lambda past, now: M.poisson_goals(past, now.select(ASKED))), None, ["lam"])
-R.add("poisson_goals_elo", lambda v: each_fold(v, gaps(v), lambda past, now: M.poisson_goals(past, now.select(*ASKED, "diff"), ["diff"], entities=False)), None, ["lam"])
-R.add("poisson_goals_decay", lambda v: each_fold(v, obs(v), lambda past, now: M.poisson_goals(past, now.select(ASKED), entities=False, half_life=365.0)), None, ["lam"])
 lam = lambda v: v("contests").withColumns({"home_lambda": F.lit(0.5) + (F.col("home") % 7) * 0.25, "away_lambda": F.lit(0.5) + (F.col("away") % 5) * 0.25})
 R.add(
     "score_grid_probs", lambda v: lam(v).select(ID, M.score_grid_probs(F.col("home_lambda"), F.col("away_lambda")).alias("p")).select(ID, *[F.col("p")[i].alias(n) for i, n in enumerate(M.P)]),
@@ -385,4 +320,3 @@ R.add(
 )
 R.add("mlp_baseline", lambda v: M.rolling_predict(feats(v), M.MultilayerPerceptron(ALL, 16, steps=1000), folds(v)).select(ID, *M.P), None, M.P)
 R.add("boosted_trees", lambda v: M.rolling_predict(feats(v), M.BoostedTrees(ALL, 100, 2), folds(v)).select(ID, *M.P), None, M.P)
-R.add("score_batch", lambda v: each_fold(v, feats(v), lambda past, now: M.score_batch(M.Logit(ALL), now, past, v("contests").where("contest_id % 7 = 0").select(ID), "logit")), None, M.P)
