@@ -10,14 +10,13 @@ from functools import reduce
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivalry.core.asof import ID, appearances
-from rivalry.functions.scalar import clipped_log, time_decay
+from rivalry.functions.scalar import clipped_log
 from rivalry.operators.logits import Candidate, fit_logits, predict_logits, rolling_logits
 from rivalry.operators.scoring import P, metrics_by_fold_pooled, row_scores
 
@@ -150,32 +149,6 @@ def family_metrics(rows: DataFrame, candidates: Mapping[str, Candidate], base: s
     return metrics_by_fold_pooled(row_scores(out), by=["family", "population"])
 
 
-def poisson_goals(observations: DataFrame, rows: DataFrame, numeric: Sequence[str] = (), entities: bool = True, alpha: float = 1e-4, half_life: float | None = None) -> DataFrame:
-    """Log-linear goals ~ attacker + defender + at_home (+ numeric columns); predicts lam for rows.
-
-    observations and rows: (e, opp, at_home, numeric..); observations also gf, and d for weights with a half-life.
-    Entities that weren't met in training are all zeros.
-    """
-    cols = ["at_home", *numeric]
-    if entities:
-        index = StringIndexer(inputCols=["_e", "_o"], outputCols=["_ei", "_oi"], handleInvalid="keep")
-        text = lambda df: df.withColumns({"_e": F.col("e").cast("string"), "_o": F.col("opp").cast("string")})
-        fitted = index.fit(text(observations))
-        hot = OneHotEncoder(inputCols=["_ei", "_oi"], outputCols=["_ev", "_ov"], handleInvalid="keep").fit(fitted.transform(text(observations)))
-        prepare = lambda df: hot.transform(fitted.transform(text(df)))
-        cols = ["_ev", "_ov", *cols]
-    else:
-        prepare = lambda df: df
-    train = observations
-    glm = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="x", labelCol="gf", regParam=alpha, maxIter=50, predictionCol="lam")
-    if half_life is not None:
-        last = observations.agg(F.max("d").alias("_last"))
-        train = train.crossJoin(F.broadcast(last)).withColumn("_w", time_decay(F.datediff("_last", "d"), half_life))
-        glm = glm.setWeightCol("_w")
-    model = glm.fit(_vector(prepare(train), cols))
-    return model.transform(_vector(prepare(rows), cols)).select(*rows.columns, "lam")
-
-
 def score_grid_probs(home_lambda: Column, away_lambda: Column, most: int = 15, rho: Column | float = 0.0) -> Column:
     """array(away, draw, home) from independent Poisson goals 0..most, renormalised; rho corrects the four low scores.
 

@@ -71,3 +71,35 @@ def deltas_sql(base: str, source: str = "pr") -> str:
     """Metrics of every other candidate less those of `base`, by season and pooled."""
     picks = ", ".join(f"c.{m} - b.{m} AS {m}_delta" for m in ("accuracy", "log_loss", "brier_score"))
     return f"SELECT c.candidate AS challenger, b.season, b.n, b.n = c.n AS same_rows, {picks} FROM ({metrics_sql(source)}) b JOIN ({metrics_sql(source)}) c ON c.season IS NOT DISTINCT FROM b.season AND b.candidate = '{base}' AND c.candidate <> '{base}'"
+
+
+def poisson_sql(numeric: list[str], alpha: float = 1e-6, rounds: int = 30, weight: str = "1.0::DOUBLE") -> str:
+    """Common table expressions that end with pr (.., lam), from ob (contest_id, side, season, d, e, opp, gf, numeric..).
+
+    One round of a recursion sets the attack effects, centres them, does the same for defence, and takes a Newton step of the rest.
+    weight: SQL over ob and `last`, the last date of a fold's training rows.
+    """
+    n = len(numeric) + 1
+    xs = ["1.0", *[f"c.{x}" for x in numeric]]
+    rate = " + ".join(["m.t[1]", *[f"m.t[{i + 2}] * c.{x}" for i, x in enumerate(numeric)]])
+    solve = "list_reduce(list_prepend(greatest(ln((y + 1) / t), 0), list_transform(range(0, 40), lambda x: 0.0::DOUBLE)), lambda a, x: a + (y - exp(a) * t - k * a) / (exp(a) * t + k))"
+
+    def block(name: str, own: str, other: str, effects: str, theta: str) -> str:
+        return f"""{name}_s AS (SELECT c.y_ AS fold, c.{own} AS id, kp.k, sum(c.y) AS y, sum(c.w * exp({rate} + f.v)) AS t FROM cl c JOIN kp ON kp.fold = c.y_ JOIN {theta} m ON m.fold = c.y_ JOIN {effects} f ON f.fold = c.y_ AND f.id = c.{other} GROUP BY ALL),
+{name}_r AS (SELECT fold, id, {solve} AS v FROM {name}_s), {name}_m AS (SELECT fold, avg(v) AS mean FROM {name}_r GROUP BY 1),
+{name} AS (SELECT r.fold, id, v - mean AS v FROM {name}_r r JOIN {name}_m USING (fold)), {name}_t AS (SELECT m.fold, list_prepend(m.t[1] + mean, m.t[2:]) AS t FROM {theta} m JOIN {name}_m USING (fold))"""
+
+    g = ", ".join(f"sum((r - y) * {x.replace('c.', '')}) AS g{i}" for i, x in enumerate(xs))
+    h = ", ".join(f"sum(r * {xs[i].replace('c.', '')} * {xs[j].replace('c.', '')}) AS h{i}_{j}" for i in range(n) for j in range(i, n))
+    pull = lambda i: " + k" if i else ""
+    matrix = ", ".join("[" + ", ".join([f"h{min(i, j)}_{max(i, j)}{pull(i) if i == j else ''}" for j in range(n)] + [f"g{i}" + (f" + k * t[{i + 1}]" if i else "")]) + "]" for i in range(n))
+    newton = _solved(n, f"SELECT fold, t, [{matrix}] AS m FROM (SELECT fold, t, k, {g}, {h} FROM (SELECT c.*, c.y_ AS fold, m.t, kp.k, c.w * exp({rate} + a.v + d.v) AS r FROM cl c JOIN kp ON kp.fold = c.y_ JOIN dd_t m ON m.fold = c.y_ JOIN aa a ON a.fold = c.y_ AND a.id = c.e JOIN dd d ON d.fold = c.y_ AND d.id = c.opp) y GROUP BY fold, t, k) y", "fold, t")
+    keys = ", ".join(["y_", "e", "opp", *numeric])
+    return f"""ys AS MATERIALIZED (SELECT DISTINCT season AS y_ FROM ob WHERE season > (SELECT min(season) FROM ob)), tr AS (SELECT ob.*, y_, max(d) OVER (PARTITION BY y_) AS last FROM ob JOIN ys ON season < y_),
+cl AS MATERIALIZED (SELECT {keys}, sum({weight}) AS w, sum({weight} * gf) AS y FROM tr GROUP BY {keys}), kp AS MATERIALIZED (SELECT y_ AS fold, {alpha} * sum(w) AS k, ln(sum(y) / sum(w)) AS mu FROM cl GROUP BY 1),
+sp AS (SELECT 0 AS i, 'm' AS kind, fold, CAST(0 AS BIGINT) AS id, 0.0::DOUBLE AS v, [mu{', 0.0' * (n - 1)}] AS t FROM kp UNION ALL SELECT DISTINCT 0, 'a', y_, CAST(e AS BIGINT), 0.0::DOUBLE, [0.0::DOUBLE] FROM cl UNION ALL SELECT DISTINCT 0, 'd', y_, CAST(opp AS BIGINT), 0.0::DOUBLE, [0.0::DOUBLE] FROM cl
+UNION ALL SELECT * FROM (WITH s0 AS (SELECT * FROM sp WHERE i < {rounds}), d0 AS (SELECT * FROM s0 WHERE kind = 'd'), m0 AS (SELECT fold, t FROM s0 WHERE kind = 'm'), i0 AS (SELECT max(i) + 1 AS i FROM s0),
+{block("aa", "e", "opp", "d0", "m0")}, {block("dd", "opp", "e", "aa", "aa_t")}, mm AS (SELECT fold, list_transform(range(1, {n + 1}), lambda j: t[j] - m[j][{n + 1}]) AS t FROM ({newton}) y)
+SELECT i0.i, x.* FROM i0, (SELECT 'm' AS kind, fold, CAST(0 AS BIGINT) AS id, 0.0::DOUBLE AS v, t FROM mm UNION ALL SELECT 'a', fold, id, v, [0.0::DOUBLE] FROM aa UNION ALL SELECT 'd', fold, id, v, [0.0::DOUBLE] FROM dd) x) y),
+z AS MATERIALIZED (SELECT * FROM sp WHERE i = {rounds}),
+pr AS (SELECT c.*, exp({rate} + coalesce(a.v, 0) + coalesce(d.v, 0)) AS lam FROM ob c JOIN z m ON m.kind = 'm' AND m.fold = c.season LEFT JOIN z a ON a.kind = 'a' AND a.fold = c.season AND a.id = c.e LEFT JOIN z d ON d.kind = 'd' AND d.fold = c.season AND d.id = c.opp)"""

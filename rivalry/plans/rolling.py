@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rivalry.core.asof import appearances
 from rivalry.operators import assembly as A
 from rivalry.operators import features as FE
+from rivalry.operators import goals as G
 from rivalry.operators import link as L
 from rivalry.operators import logits as LO
 from rivalry.operators import models as M
@@ -21,7 +22,7 @@ from rivalry.plans import link as PL
 from rivalry.plans import models as PM
 from rivalry.plans.base import Registry, last_sql, pivot_sql, stored
 from rivalry.plans.features import FORM_SQL, PLACE, stats
-from rivalry.plans.fits import deltas_sql, logit_sql, metrics_sql
+from rivalry.plans.fits import deltas_sql, logit_sql, metrics_sql, poisson_sql
 from rivalry.plans.models import ID, elo_sql, feats, folds, strict
 
 R = Registry()
@@ -230,3 +231,30 @@ UNION ALL SELECT season, result, ca, cd, ch, family, 'challenger_matched' FROM o
 UNION ALL SELECT season, result, p_away, p_draw, p_home, '', 'baseline_all' FROM pr WHERE candidate = 'rating')
 {metrics_sql("u", "family, population")}"""), SC.METRICS,
 )
+
+# ---- goals with an attack and a defence effect of each entity
+
+ASKED = [ID, "side", "e", "opp", "at_home"]
+OB = "SELECT contest_id, side, season, d, e, opp, CAST(gf AS DOUBLE) AS gf, CAST(side = 'home' AS DOUBLE) AS at_home FROM {appearances}"
+HALF_LIFE = 365.0
+DECAY = f"exp(-ln(2) * date_diff('day', d, last) / {HALF_LIFE})"
+
+
+def gaps(v) -> DataFrame:
+    """Observations with the rating difference as the scoring side sees it, in hundreds."""
+    r = RA.replay(v("contests")).select(ID, F.expr("stack(2, 'home', rating_diff, 'away', -rating_diff) AS (side, diff)"))
+    return M.goal_observations(v("contests")).join(r, [ID, "side"]).withColumn("diff", F.col("diff") / 100)
+
+
+def goals_sql(ob: str, numeric: list[str], **more) -> str:
+    """ob: common table expressions that end with ob."""
+    return f"WITH RECURSIVE {ob}, {poisson_sql(numeric, **more)} SELECT {', '.join(ASKED + numeric[1:])}, lam FROM pr"
+
+
+RATED_OB = f"{elo_sql('{contests}')[len('RECURSIVE '):]}, ob AS MATERIALIZED (SELECT o.*, CASE WHEN side = 'home' THEN rating_diff ELSE -rating_diff END / 100 AS diff FROM ({OB}) o JOIN rt USING (contest_id))"
+R.add("poisson_goals", lambda v: G.poisson_goals(M.goal_observations(v("contests")), folds(v), stored).select(*ASKED, "lam"), goals_sql(f"ob AS MATERIALIZED ({OB})", ["at_home"]), ["lam"])
+R.add("poisson_goals_elo", lambda v: G.poisson_goals(gaps(v), folds(v), stored, ["diff"]).select(*ASKED, "diff", "lam"), goals_sql(RATED_OB, ["at_home", "diff"]), ["diff", "lam"])
+R.add(
+    "poisson_goals_decay", lambda v: G.poisson_goals(M.goal_observations(v("contests")), folds(v), stored, half_life=HALF_LIFE).select(*ASKED, "lam"),
+    goals_sql(f"ob AS MATERIALIZED ({OB})", ["at_home"], weight=DECAY), ["lam"],
+)
