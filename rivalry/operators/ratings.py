@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,7 +16,7 @@ from rivalry.core.asof import ID, appearances, by_id
 from rivalry.operators.link import membership
 
 #: Columns of a configuration, with the values that a missing one has.
-CONFIG = {"config": "base", "k": 20.0, "home_adv": 0.0, "early_k": None, "early_games": 5, "pull": 0.0, "reset": "none", "offset": False}
+CONFIG = {"config": "base", "k": 20.0, "home_adv": 0.0, "early_k": None, "early_games": 5, "pull": 0.0, "reset": "none", "offset": False, "use_prior": True}
 START = 1500.0
 OUT = "pool string, config string, contest_id long, home_rating double, away_rating double"
 
@@ -49,6 +51,117 @@ def _new_season(ratings: dict, passed: int, config: Mapping, moves: Sequence[tup
             ratings[e] = START
 
 
+class _Pool:
+    """Ratings of a pool: a row per entity, a column per configuration; and the contests of the last date, which are still to count."""
+
+    def __init__(self, configs: Sequence[Mapping]):
+        self.configs = configs
+        self.at: dict = {}
+        self.ratings, self.known = np.empty((64, len(configs))), np.zeros(64, bool)
+        self.day = self.season = None
+        self.moves: list[tuple] = []
+        self.waiting: list[tuple] = []
+
+    def places(self, entities: list) -> np.ndarray:
+        out = np.array([self.at.setdefault(e, len(self.at)) for e in entities], np.int64)
+        while len(self.at) > len(self.known):
+            self.ratings, self.known = np.concatenate((self.ratings, np.empty_like(self.ratings))), np.concatenate((self.known, np.zeros_like(self.known)))
+        return out
+
+    def flush(self) -> None:
+        """Count the contests of the last date: an entity that has no rating yet starts from the one that its first row was given."""
+        for place, start, step in self.waiting:
+            new = np.flatnonzero(~self.known[place])
+            if len(new):
+                first, at = np.unique(place[new], return_index=True)
+                self.ratings[first], self.known[first] = start[new[at]], True
+            np.add.at(self.ratings, place, step)
+        self.waiting.clear()
+
+    def new_season(self, passed: int, moves: Sequence[tuple]) -> None:
+        r, known = self.ratings, np.flatnonzero(self.known)
+        moves = [(self.at[e], status, move) for e, status, move in moves if e in self.at and self.known[self.at[e]]]
+        up, down = ([e for e, _, move in moves if move == m] for m in ("promoted", "relegated"))
+        for i, c in enumerate(self.configs):
+            if c["pull"]:
+                r[known, i] = START + (r[known, i] - START) * (1.0 - c["pull"]) ** passed
+            if c["offset"]:
+                r[up, i] += promotion_offset(r[down, i].tolist(), r[up, i].tolist())
+            back = [e for e, status, _ in moves if status in ("returning", "first_time") and c["reset"] in (status, "both")]
+            r[back, i] = START
+
+
+def _vector_replay(batches: Iterable[pa.RecordBatch], configs: Sequence[Mapping], final: bool) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pool, season, events first, and date; each run of rows of one date is rated and counted at once."""
+    names = np.array([str(c["config"]) for c in configs], object)
+    n = len(configs)
+    of = lambda key: np.array([np.nan if c[key] is None else float(c[key]) for c in configs])
+    k, adv, early_k, early_games, use_prior = of("k"), of("home_adv"), of("early_k"), of("early_games"), np.array([bool(c["use_prior"]) for c in configs])
+    key, pool = None, None
+
+    def told(pools: list, ids: np.ndarray, home: np.ndarray, away: np.ndarray) -> pa.RecordBatch:
+        at = np.repeat(np.arange(len(ids)), n)
+        text = lambda values, index: pa.DictionaryArray.from_arrays(pa.array(index, pa.int32()), pa.array(values, pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([text(pools, at), text(list(names), np.tile(np.arange(n), len(ids))), pa.array(np.repeat(ids, n), pa.int64()), pa.array(home.ravel()), pa.array(away.ravel())], ["pool", "config", ID, "home_rating", "away_rating"])
+
+    def ended() -> pa.RecordBatch:
+        pool.flush()
+        kept = [(e, i) for e, i in pool.at.items() if pool.known[i]]
+        return told([key] * len(kept), np.array([e for e, _ in kept], np.int64), pool.ratings[[i for _, i in kept]].reshape(-1, n), np.full((len(kept), n), np.nan))
+
+    for batch in batches:
+        cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+        value = lambda c: cols[c].cast(pa.float64()).to_numpy(zero_copy_only=False) if c in cols else np.full(batch.num_rows, np.nan)  # noqa: B023, E731
+        pools, home, away = (cols[c].to_pylist() for c in ("pool", "home", "away"))
+        ids, event = cols[ID].fill_null(0).to_numpy(zero_copy_only=False), cols[ID].is_null().to_numpy(zero_copy_only=False)
+        season = cols["season"].to_numpy(zero_copy_only=False)
+        day = cols["d"].cast(pa.date32()).cast(pa.int32()).fill_null(-(1 << 31)).to_numpy(zero_copy_only=False)
+        result, k_row, adv_row = value("result"), value("k_row"), value("adv_row")
+        prior = np.stack([value("prior_home"), value("prior_away")], axis=1)
+        ordinal = np.fmin(value("home_ordinal"), value("away_ordinal"))
+        status, move = (cols[c].to_pylist() if c in cols else None for c in ("status", "move"))
+        rated = np.empty((batch.num_rows, 2, n))
+        code = np.unique(np.array(pools, str), return_inverse=True)[1] if pools else np.empty(0)
+        change = (code[1:] != code[:-1]) | (season[1:] != season[:-1]) | (day[1:] != day[:-1]) | (event[1:] != event[:-1])
+        starts = np.concatenate(([0], np.flatnonzero(change) + 1)) if len(pools) else []
+        for a, b in zip(starts, [*starts[1:], len(pools)], strict=True):
+            if pools[a] != key:
+                if pool is not None and final:
+                    yield ended()
+                key, pool = pools[a], _Pool(configs)
+            if event[a]:
+                if pool.moves and pool.moves[0][0] != season[a]:
+                    pool.moves.clear()
+                pool.moves.extend((season[i], home[i], status[i], move[i]) for i in range(a, b))
+                continue
+            if day[a] != pool.day:
+                pool.flush()
+                pool.day = day[a]
+            if pool.season is not None and season[a] > pool.season:
+                pool.new_season(int(season[a] - pool.season), [m[1:] for m in pool.moves if m[0] == season[a]])
+            pool.season = season[a]
+            place = pool.places([e for pair in zip(home[a:b], away[a:b], strict=True) for e in pair])
+            given = prior[a:b].reshape(-1, 1)
+            start = np.where(use_prior & ~np.isnan(given), given, START)
+            now = np.where(pool.known[place, None], pool.ratings[place], start)
+            rated[a:b] = now.reshape(-1, 2, n)
+            counted = np.flatnonzero(~np.isnan(result[a:b]))
+            if len(counted):
+                at = a + counted
+                own_k = np.where(np.isnan(k_row[at, None]), k, k_row[at, None])
+                own_k = np.where(~np.isnan(early_k) & (ordinal[at, None] <= early_games), early_k, own_k)
+                own_adv = np.where(np.isnan(adv_row[at, None]), adv, adv_row[at, None])
+                gap = np.clip((rated[at, 1] - rated[at, 0] - own_adv) / 400.0, -300.0, 300.0)
+                step = own_k * (result[at, None] / 2.0 - 1.0 / (1.0 + 10.0**gap))
+                both = np.stack((2 * counted, 2 * counted + 1), axis=1).ravel()
+                pool.waiting.append((place[both], now[both], np.stack((step, -step), axis=1).reshape(-1, n)))
+        if not final:
+            shown = ~event
+            yield told([p for p, e in zip(pools, event, strict=True) if not e], ids[shown], rated[shown, 0], rated[shown, 1])
+    if pool is not None and final:
+        yield ended()
+
+
 def replay(
     contests: DataFrame,
     configs: Sequence[Mapping] = ({},),
@@ -59,8 +172,10 @@ def replay(
 ) -> DataFrame:
     """Pre-contest ratings of every contest for each configuration; with final, the ratings after the last date.
 
-    Pools are closed populations and share no state: (pool, config) is the shuffle key, rows are sorted by
-    (season, date, id as text) within tasks, and a task carries one number per entity from batch to batch.
+    Pools are closed populations and share no state: the pool is the shuffle key, rows are sorted by (season, date, id as text)
+    within tasks, and a task carries one number per entity and configuration from batch to batch: contests are shuffled once, and a
+    date's contests are updated together for all configurations. Another update than the default one is called row by row, with
+    (pool, config) as the key.
     All contests of a date read the state of the date before. Rows with a null result are targets: they are
     rated but change nothing. Optional columns: k_row and adv_row override a configuration's k and home_adv;
     prior_home and prior_away start an entity's rating. One giant pool is one task: use daily state
@@ -70,7 +185,6 @@ def replay(
     """
     spark = contests.sparkSession
     rows = [{**CONFIG, **c} for c in configs]
-    conf = spark.createDataFrame(pd.DataFrame([{k: str(c[k]) for k in CONFIG} for c in rows]))
     more = [c for c in ("k_row", "adv_row", "prior_home", "prior_away", "home_ordinal", "away_ordinal") if c in contests.columns]
     at = F.col(pool).cast("string").alias("pool")
     sent = contests.select(at, ID, "d", "season", "home", "away", "result", *more)
@@ -78,7 +192,11 @@ def replay(
         plays = contests.select(at, F.explode(F.array("home", "away")).alias("e")).distinct()
         told = events.join(plays, "e").select("pool", "season", F.col("e").alias("home"), "status", "move")
         sent = sent.unionByName(told, allowMissingColumns=True)
-    sent = sent.crossJoin(F.broadcast(conf.select("config"))).repartition("pool", "config")
+    if update is elo_update:
+        sent = sent.repartition("pool").sortWithinPartitions("pool", "season", F.col(ID).isNotNull(), "d", by_id())
+        return _rated(sent.mapInArrow(lambda batches: _vector_replay(batches, rows, final), OUT), final)
+    conf = spark.createDataFrame([(str(c["config"]),) for c in rows], "config string")
+    sent = sent.crossJoin(F.broadcast(conf)).repartition("pool", "config")
     sent = sent.sortWithinPartitions("pool", "config", "season", F.col(ID).isNotNull(), "d", by_id())
     settings = {str(c["config"]): c for c in rows}
 
@@ -126,7 +244,7 @@ def replay(
                 r["k"] = c["early_k"] if early else c["k"] if k is None or k != k else k
                 r["home_adv"] = c["home_adv"] if adv is None or adv != adv else adv
                 for s in ("home", "away"):
-                    prior = r.get(f"prior_{s}")
+                    prior = r.get(f"prior_{s}") if c["use_prior"] else None
                     r[f"{s}_rating"] = ratings.get(r[s], START if prior is None or prior != prior else prior)
                 waiting.append(r)
                 if not final:
@@ -136,7 +254,10 @@ def replay(
         finish(out)
         yield pd.DataFrame(out, columns=["pool", "config", ID, "home_rating", "away_rating"])
 
-    got = sent.mapInPandas(kernel, OUT)
+    return _rated(sent.mapInPandas(kernel, OUT), final)
+
+
+def _rated(got: DataFrame, final: bool) -> DataFrame:
     if final:
         return got.select("pool", "config", F.col(ID).alias("e"), F.col("home_rating").alias("rating"))
     return got.withColumn("rating_diff", F.col("home_rating") - F.col("away_rating"))
