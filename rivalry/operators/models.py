@@ -218,7 +218,7 @@ def davidson_nu(rows: DataFrame, bound: float = 5.0) -> float:
 
 def calibrate(probs: Sequence[str], tau, biases: Sequence = (0.0, 0.0, 0.0)) -> Column:
     """q ~ p ** tau * exp(bias), computed from logs less their maximum."""
-    z = [F.lit(tau) * clipped_log(p) + F.lit(b) for p, b in zip(probs, biases, strict=True)]
+    z = [F.lit(tau) * clipped_log(p) + (b if isinstance(b, Column) else F.lit(b)) for p, b in zip(probs, biases, strict=True)]
     top = F.greatest(*z)
     e = [F.exp(x - top) for x in z]
     total = e[0] + e[1] + e[2]
@@ -250,6 +250,70 @@ def fit_calibration(rows: DataFrame, kind: str = "C1", steps: int = 12, probs: S
     return x["tau"], (0.0, x["b1"], x["b2"])
 
 
+#: Parameters of each kind of calibration, which start at tau = 1 and biases of 0.
+KINDS = {"C1": ("tau",), "C2": ("b1", "b2"), "C3": ("tau", "b1", "b2")}
+
+
+def fit_calibrations(rows: DataFrame, folds: Sequence[int], kinds: Sequence[str] = tuple(KINDS), steps: int = 40, tolerance: float = 1e-10) -> dict[tuple[str, int], tuple[float, float, float]]:
+    """(kind, fold) -> (tau, bias of draw, bias of home), learned from the rows (season, result, probabilities) of earlier seasons.
+
+    A Newton step of all kinds and folds is one aggregation. Folds without earlier rows have no entry.
+    """
+    fold = F.explode(F.filter(F.array(*map(F.lit, folds)), lambda y: F.col("season") < y))
+    logs = [f"_l{i}" for i in range(len(P))]
+    rows = rows.select("season", "result", *[clipped_log(p).alias(x) for p, x in zip(P, logs, strict=True)]).withColumn("_fold", fold)
+    theta = {(k, r["_fold"]): np.array([1.0, 0.0, 0.0]) for r in rows.select("_fold").distinct().collect() for k in kinds}  # a row per fold
+    at = {"tau": 0, "b1": 1, "b2": 2}
+    moves = {"tau": [F.col(x) for x in logs], "b1": [F.lit(0.0), F.lit(1.0), F.lit(0.0)], "b2": [F.lit(0.0), F.lit(0.0), F.lit(1.0)]}
+    for _ in range(steps if theta else 0):
+        own = {f: [float(x) for k in kinds for x in theta[k, f]] for f in {f for _, f in theta}}
+        names = [f"_{k}{i}" for k in kinds for i in range(3)]
+        known = F.broadcast(rows.sparkSession.createDataFrame([(f, *x) for f, x in own.items()], ", ".join(["_fold int", *[f"{n} double" for n in names]])))
+        now, aggs = rows.join(known, "_fold"), []
+        for k in kinds:
+            z = [F.col(f"_{k}0") * F.col(x) + (F.col(f"_{k}{i}") if i else F.lit(0.0)) for i, x in enumerate(logs)]
+            now = now.withColumn(f"_q{k}", F.transform(F.array(*z), lambda x: F.exp(x - F.greatest(*z))))  # noqa: B023
+            q = [F.col(f"_q{k}")[i] / (F.col(f"_q{k}")[0] + F.col(f"_q{k}")[1] + F.col(f"_q{k}")[2]) for i in range(3)]
+            mean = {n: sum((q[i] * moves[n][i] for i in range(3)), F.lit(0.0)) for n in KINDS[k]}
+            aggs += [F.sum(mean[n] - F.element_at(F.array(*moves[n]), F.col("result") + 1)) for n in KINDS[k]]
+            aggs += [F.sum(sum((q[i] * moves[a][i] * moves[b][i] for i in range(3)), F.lit(0.0)) - mean[a] * mean[b]) for a in KINDS[k] for b in KINDS[k]]
+        furthest = 0.0
+        for r in now.groupBy("_fold").agg(*aggs).collect():
+            got, i = list(r)[1:], 0
+            for k in kinds:
+                n = len(KINDS[k])
+                g, h = np.array(got[i : i + n]), np.array(got[i + n : i + n + n * n]).reshape(n, n)
+                step = np.linalg.solve(h + 1e-12 * np.eye(n), g)
+                i += n + n * n
+                new = theta[k, r["_fold"]].copy()
+                new[[at[x] for x in KINDS[k]]] -= step
+                new[0] = max(0.0, new[0])
+                furthest = max(furthest, float(np.abs(new - theta[k, r["_fold"]]).max()))
+                theta[k, r["_fold"]] = new
+        if furthest < tolerance:
+            return {k: tuple(map(float, x)) for k, x in theta.items()}
+    if theta:
+        raise ValueError("no convergence")
+    return {}
+
+
+def chained(predictions: DataFrame, folds: Sequence[int], kinds: Sequence[str] = tuple(KINDS)) -> DataFrame:
+    """predictions (season, result, probabilities ..), out of fold, with calibrated copies: kind and probabilities by a calibrator that has
+    learned from the out-of-fold rows of earlier folds. Seasons without earlier folds have no calibrated rows."""
+    fits = fit_calibrations(predictions, folds, kinds)
+    table = [(k, f, *x) for (k, f), x in fits.items()]
+    known = F.broadcast(predictions.sparkSession.createDataFrame(table, "kind string, _fold int, _t double, _b1 double, _b2 double"))
+    both = predictions.join(known, F.col("season") == F.col("_fold"))
+    q = calibrate(P, F.col("_t"), (F.lit(0.0), F.col("_b1"), F.col("_b2")))
+    return both.withColumn("_q", q).select(*[c for c in predictions.columns if c not in P], "kind", *[F.col("_q")[i].alias(p) for i, p in enumerate(P)])
+
+
+def held_out_metrics(rows: DataFrame, holdout: int, by: Sequence[str] = ("candidate",)) -> DataFrame:
+    """Metrics of each candidate by season, and pooled (season null) over the development seasons and over the held-out one apart."""
+    part = F.when(F.col("season") >= holdout, "holdout").otherwise("development")
+    return metrics_by_fold_pooled(row_scores(rows.withColumn("part", part)), by=[*by, "part"])
+
+
 def goal_observations(contests: DataFrame) -> DataFrame:
     """Two rows per contest: e scores gf against opp, at_home 1 or 0."""
     return appearances(contests).withColumn("at_home", (F.col("side") == "home").cast("double")).withColumn("gf", F.col("gf").cast("double"))

@@ -103,3 +103,30 @@ UNION ALL SELECT * FROM (WITH s0 AS (SELECT * FROM sp WHERE i < {rounds}), d0 AS
 SELECT i0.i, x.* FROM i0, (SELECT 'm' AS kind, fold, CAST(0 AS BIGINT) AS id, 0.0::DOUBLE AS v, t FROM mm UNION ALL SELECT 'a', fold, id, v, [0.0::DOUBLE] FROM aa UNION ALL SELECT 'd', fold, id, v, [0.0::DOUBLE] FROM dd) x) y),
 z AS MATERIALIZED (SELECT * FROM sp WHERE i = {rounds}),
 pr AS (SELECT c.*, exp({rate} + coalesce(a.v, 0) + coalesce(d.v, 0)) AS lam FROM ob c JOIN z m ON m.kind = 'm' AND m.fold = c.season LEFT JOIN z a ON a.kind = 'a' AND a.fold = c.season AND a.id = c.e LEFT JOIN z d ON d.kind = 'd' AND d.fold = c.season AND d.id = c.opp)"""
+
+
+#: What moves with the temperature and the biases of draw and home, for away, draw and home.
+_MOVES = {"tau": ("la", "ld", "lh"), "b1": ("0", "1", "0"), "b2": ("0", "0", "1")}
+
+
+def chained_sql(kinds: Mapping[str, tuple[str, ...]], source: str, steps: int = 30) -> str:
+    """Common table expressions that end with ch (contest_id, season, result, kind, probabilities): each season of source (contest_id,
+    season, result, probabilities) by calibrators of the rows of its earlier seasons."""
+    out = [f"oo AS MATERIALIZED (SELECT contest_id, season, result, ln(p_away) AS la, ln(p_draw) AS ld, ln(p_home) AS lh FROM {source})", "yo AS MATERIALIZED (SELECT DISTINCT season AS y FROM oo WHERE season > (SELECT min(season) FROM oo))"]
+    ends = []
+    for kind, own in kinds.items():
+        n, at = len(own), {"tau": 1, "b1": 2, "b2": 3}
+        mean = lambda u: f"(qa * ({u[0]}) + qd * ({u[1]}) + qh * ({u[2]}))"
+        sums = [f"sum({mean(_MOVES[m])} - CASE result WHEN 0 THEN {_MOVES[m][0]} WHEN 1 THEN {_MOVES[m][1]} ELSE {_MOVES[m][2]} END) AS g{i}" for i, m in enumerate(own)]
+        sums += [f"sum({mean([f'({p}) * ({q})' for p, q in zip(_MOVES[a], _MOVES[b], strict=True)])} - {mean(_MOVES[a])} * {mean(_MOVES[b])}) AS h{i}_{j}" for i, a in enumerate(own) for j, b in enumerate(own)]
+        matrix = ", ".join("[" + ", ".join([f"h{i}_{j}" for j in range(n)] + [f"g{i}"]) + "]" for i in range(n))
+        odds = f"SELECT z.y, i, b, result, la, ld, lh, exp(b[1] * (ld - la) + b[2]) AS ed, exp(b[1] * (lh - la) + b[3]) AS eh FROM oo JOIN cal_{kind} z ON season < z.y WHERE i < {steps}"
+        probs = f"SELECT y, i, b, result, la, ld, lh, 1 / (1 + ed + eh) AS qa, ed / (1 + ed + eh) AS qd, eh / (1 + ed + eh) AS qh FROM ({odds}) y"
+        solved = _solved(n, f"SELECT y, i, b, [{matrix}] AS m FROM (SELECT y, i, b, {', '.join(sums)} FROM ({probs}) y GROUP BY y, i, b) y", "y, i, b")
+        new = ["b[1]", "b[2]", "b[3]"]
+        for i, m in enumerate(own):
+            new[at[m] - 1] = f"b[{at[m]}] - m[{i + 1}][{n + 1}]"
+        new[0] = f"greatest(0, {new[0]})"
+        out.append(f"cal_{kind} AS (SELECT y, 0 AS i, [1.0::DOUBLE, 0, 0] AS b FROM yo UNION ALL SELECT y, i + 1, [{', '.join(new)}] FROM ({solved}) y)")
+        ends.append(f"SELECT contest_id, season, result, '{kind}' AS kind, 1 / (1 + ed + eh) AS p_away, ed / (1 + ed + eh) AS p_draw, eh / (1 + ed + eh) AS p_home FROM (SELECT oo.*, exp(b[1] * (ld - la) + b[2]) AS ed, exp(b[1] * (lh - la) + b[3]) AS eh FROM oo JOIN cal_{kind} z ON z.y = season AND i = {steps}) y")
+    return ",\n".join([*out, f"ch AS ({' UNION ALL '.join(ends)})"])

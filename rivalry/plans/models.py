@@ -63,7 +63,6 @@ R.add(
     f"WITH {elo_sql()}, f AS (SELECT pool, e, r FROM st WHERE n = (SELECT max(n) FROM st)), p AS (SELECT DISTINCT c_mktsegment AS pool FROM {{customer}}) SELECT p.pool, s_suppkey AS e, coalesce(r, 1500) AS rating FROM {{supplier}} CROSS JOIN p LEFT JOIN f ON f.pool = p.pool AND f.e = s_suppkey",
     ["rating"],
 )
-R.add("elo_grid", lambda v: RA.replay(strict(v), RA.grid([10, 15, 20, 30, 40], range(0, 201, 25))))
 R.add(
     "elo_per_competition_advantage", lambda v: RA.replay(strict(v).withColumn("adv_row", F.when(F.col("competition") == "BUILDING", 0.0).otherwise(175.0))),
     f"""WITH {elo_sql(adv="CASE WHEN competition = 'BUILDING' THEN 0.0 ELSE 175.0 END")} SELECT * FROM rt""", RATES,

@@ -22,7 +22,7 @@ from rivalry.plans import link as PL
 from rivalry.plans import models as PM
 from rivalry.plans.base import Registry, last_sql, pivot_sql, stored
 from rivalry.plans.features import FORM_SQL, PLACE, stats
-from rivalry.plans.fits import deltas_sql, logit_sql, metrics_sql, poisson_sql
+from rivalry.plans.fits import chained_sql, deltas_sql, logit_sql, metrics_sql, poisson_sql
 from rivalry.plans.models import ID, elo_sql, feats, folds, strict
 
 R = Registry()
@@ -258,3 +258,70 @@ R.add(
     "poisson_goals_decay", lambda v: G.poisson_goals(M.goal_observations(v("contests")), folds(v), stored, half_life=HALF_LIFE).select(*ASKED, "lam"),
     goals_sql(f"ob AS MATERIALIZED ({OB})", ["at_home"], weight=DECAY), ["lam"],
 )
+
+# ---- rating variants: one replay, then one fit of each
+
+#: Variant -> the pools that it is replayed in and the configuration.
+VARIANTS = {"own": ("own", "base"), "joined": ("joined", "base"), "prior": ("joined", "prior"), "calibrated": ("joined", "offset"), "hybrid": ("joined", "hybrid"), "reset": ("joined", "reset"), "bridged": ("bridged", "base")}
+SETTINGS = [
+    {"config": "base", "use_prior": False}, {"config": "prior"}, {"config": "offset", "use_prior": False, "offset": True},
+    {"config": "hybrid", "use_prior": False, "reset": "first_time"}, {"config": "reset", "use_prior": False, "reset": "returning"},
+]
+VARIANT = {n: Candidate((n,)) for n in VARIANTS}
+
+
+def variants(v) -> DataFrame:
+    """(contest_id, a column per variant): each competition by itself, two competitions joined with five rules, and all bridged."""
+    two = F.when(F.col("competition").isin("BUILDING", "MACHINERY"), "PAIR").otherwise(F.col("competition"))
+    pools = F.array(F.concat(F.lit("own:"), "competition"), F.concat(F.lit("joined:"), two), F.lit("bridged:all"))
+    rows = v("contests").withColumn("pool", F.explode(pools)).withColumns({f"prior_{s}": F.when(F.col(s) % 5 == 0, 1400.0).otherwise(1500.0) for s in ("home", "away")})
+    got = RA.replay(rows, SETTINGS, pool="pool", events=PM.moves(v)).withColumn("kind", F.split("pool", ":")[0])
+    return got.groupBy(ID).agg(*[F.max(F.when((F.col("kind") == kind) & (F.col("config") == config), F.col("rating_diff"))).alias(n) for n, (kind, config) in VARIANTS.items()])
+
+
+def two_ratings(v) -> DataFrame:
+    rows = v("contests").select(ID, "season", "result").join(variants(v), ID)
+    return against(stored(rows, "variants"), "own", VARIANT, folds(v))
+
+
+_joined = "(SELECT * REPLACE (CASE WHEN competition IN ('BUILDING', 'MACHINERY') THEN 'PAIR' ELSE competition END AS competition) FROM {contests})"
+_all = "(SELECT * REPLACE ('all' AS competition) FROM {contests})"
+_rules = {
+    "own": {"source": "{contests}"}, "joined": {"source": _joined}, "prior": {"source": _joined, "prior": "CASE WHEN e % 5 = 0 THEN 1400.0 ELSE 1500.0 END"}, "calibrated": {"source": _joined, "moves": "offset"},
+    "hybrid": {"source": _joined, "moves": "first_time"}, "reset": {"source": _joined, "moves": "returning"}, "bridged": {"source": _all},
+}
+
+
+def variants_sql(names) -> str:
+    parts = [elo_sql(t=f"_{n}", **_rules[n])[len("RECURSIVE "):] for n in names]
+    picks = ", ".join(f"rt_{n}.rating_diff AS {n}" for n in names)
+    return f"RECURSIVE {PM.MOVES}, {', '.join(parts)}, va AS MATERIALIZED (SELECT k.contest_id, k.season, k.result, {picks} FROM {{contests}} k " + " ".join(f"JOIN rt_{n} ON rt_{n}.contest_id = k.contest_id" for n in names) + ")"
+
+
+R.add("competition_rating_compare", two_ratings, fitted(VARIANT, f"{variants_sql(VARIANTS)}, fr AS (SELECT * FROM va)", deltas_sql("own")), DELTAS)
+R.add(
+    "elo_grid", lambda v: RA.replay(strict(v), RA.grid([10, 15, 20, 30, 40], range(0, 201, 25))),
+    f"""WITH {elo_sql("(SELECT k.* REPLACE (concat(competition, '|k', kx, 'a', ax) AS competition), kx, ax FROM {contests_strict} k CROSS JOIN (SELECT unnest([10, 15, 20, 30, 40]) AS kx) x CROSS JOIN (SELECT unnest(range(0, 201, 25)) AS ax) y)", k="kx::DOUBLE", adv="ax::DOUBLE")}
+SELECT split_part(pool, '|', 1) AS pool, split_part(pool, '|', 2) AS config, contest_id, home_rating, away_rating, rating_diff FROM rt""", PM.RATES,
+)
+
+# ---- candidates on the same folds: architectures, season rules of ratings, calibrators of earlier out-of-fold rows, a held-out season
+
+CANDIDATES = {"rating": Candidate(RATING), "form": Candidate(ALL[1:]), "all": Candidate(ALL), "joined": Candidate(("joined",)), "calibrated": Candidate(("calibrated",)), "reset": Candidate(("reset",))}
+
+
+def candidates(v) -> DataFrame:
+    rows = stored(feats(v).join(variants(v), ID), "candidates")
+    got = stored(LO.rolling_logits(rows, CANDIDATES, folds(v)).select(ID, "season", "result", "candidate", *M.P), "out-of-fold")
+    base = got.where(F.col("candidate") == "rating").drop("candidate")
+    every = got.unionByName(M.chained(base, folds(v)).withColumnRenamed("kind", "candidate"))
+    return M.held_out_metrics(every, folds(v)[-1])
+
+
+_own = ("joined", "calibrated", "reset")
+R.add(
+    "candidate_evaluation", candidates,
+    fitted(CANDIDATES, f"{variants_sql(_own)}, {FEATS[len('RECURSIVE '):]}, fr AS MATERIALIZED (SELECT fe.*, {', '.join(_own)} FROM fe JOIN va USING (contest_id))", f""", {chained_sql(M.KINDS, "(SELECT * FROM pr WHERE candidate = 'rating')")},
+u AS (SELECT season, result, candidate, p_away, p_draw, p_home FROM pr UNION ALL SELECT season, result, kind, p_away, p_draw, p_home FROM ch), w AS (SELECT *, CASE WHEN season >= (SELECT max(season) FROM u) THEN 'holdout' ELSE 'development' END AS part FROM u)
+{metrics_sql("w", "candidate, part")}"""), SC.METRICS,
+)
