@@ -43,7 +43,7 @@ def choose_pivots(rows: DataFrame, n: int, sample: int) -> dict[int, np.ndarray]
     """By length of vector: up to n pivots, each the one farthest from those before it, from at most `sample` rows in the order of a hash."""
     got = rows.select("v", F.xxhash64("id").alias("o")).orderBy("o").limit(sample).select("v").collect()  # at most `sample` rows
     out = {}
-    for dim in sorted({len(r.v) for r in got}):
+    for dim in sorted({len(r.v) for r in got} - {0}):
         x = np.unique(np.array([r.v for r in got if len(r.v) == dim]).reshape(-1, dim), axis=0)
         x = x[(x * x).sum(axis=1) < EXACT]
         far, picks = np.full(len(x), np.inf), []

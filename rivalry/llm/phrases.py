@@ -72,11 +72,11 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
 class Summary:
     """Misra-Gries counters that can be merged. No count is too high; each is too low by `error` at most, which stays under `most`.
 
-    Reducing n counters to `size` takes the (size + 1)-th highest count from each, so the error is at most mass / (size + 1). Where that
-    would pass `most`, the summary grows instead: its size exceeds mass / most at no time by more than a factor of two.
+    Reducing n counters to `size` takes the (size + 1)-th highest count from each, so the error is at most mass / (size + 1): a size of
+    mass / most is enough. Where the mass turns out higher and the error would pass `most`, the summary doubles its size instead.
     """
 
-    def __init__(self, most: float, size: int = 1 << 16):
+    def __init__(self, most: float, size: int):
         self.most, self.size, self.error = most, size, 0
         self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -121,14 +121,16 @@ def _known(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == keys
 
 
-def frequent_hashes(docs: DataFrame, sizes: tuple[int, ...], least: int, parts: int, known=None) -> DataFrame:
+def frequent_hashes(docs: DataFrame, sizes: tuple[int, ...], least: int, parts: int, n_bytes: int, known=None) -> DataFrame:
     """(hash) of every phrase of one of `sizes` words that occurs `least` times, and of some that occur less often.
 
-    docs (text, lang). known: a broadcast sorted array of the hashes of frequent pairs; phrases with another pair in them can't be
+    docs (text, lang), n_bytes: the texts' length, from which the summaries' size is reckoned at a word for four bytes. known: a broadcast sorted array of the hashes of frequent pairs; phrases with another pair in them can't be
     frequent. Workers add up the phrases of their texts in each hash partition; these summaries without error are merged where the
     partition is, in memory that holds mass / (SHARE * least) counters.
     """
 
+    size = max(1 << 12, int(n_bytes / 4 / parts * len(sizes) / (SHARE * least)))
+
     def summarise(batches):
         def sent(held: list[np.ndarray], counts: list[np.ndarray]):
             keys, n = counted(np.concatenate(held), np.concatenate(counts))
@@ -169,7 +171,7 @@ def frequent_hashes(docs: DataFrame, sizes: tuple[int, ...], least: int, parts:
         merged: dict[int, Summary] = {}
         for batch in batches:
             for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                merged.setdefault(part, Summary(SHARE * least)).add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64))
+                merged.setdefault(part, Summary(SHARE * least, size)).add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64))
         for own in merged.values():
             yield pa.RecordBatch.from_arrays([pa.array(own.reaching(least).view(np.int64))], ["hash"])
 
@@ -264,11 +266,11 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int, broadcast_bytes:
     """docs (text, lang) -> (lang, k, phrase, f): all phrases of 1 to `longest` words that occur `least` times or more; k = 0: all words."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(size // PARTITION_BYTES)
-    short = written(frequent_hashes(docs, tuple(range(1, min(longest, 2) + 1)), least, parts), "short")
+    short = written(frequent_hashes(docs, tuple(range(1, min(longest, 2) + 1)), least, parts, size), "short")
     known = _collected(short, broadcast_bytes)
     hashes = short
     if longest > 2:
-        hashes = short.union(written(frequent_hashes(docs, tuple(range(3, longest + 1)), least, parts, known), "long"))
+        hashes = short.union(written(frequent_hashes(docs, tuple(range(3, longest + 1)), least, parts, size, known), "long"))
     known = _collected(hashes, broadcast_bytes)
     return exact_counts(docs, longest, least, parts, known, None if known else hashes)
 
