@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rivalry.functions.scalar import time_decay
 
 #: Rounds before a fit counts as failed, and the largest change of an effect in the last round.
-ROUNDS, TOLERANCE = 80, 1e-9
+ROUNDS, TOLERANCE = 80, 1e-8
 #: Newton steps for the one effect of an entity.
 INNER = 40
 

@@ -9,7 +9,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,27 +94,6 @@ class MultilayerPerceptron:
         return self.model.transform(self._standardised(rows)).withColumns({name: p[i] for i, name in enumerate(P)}).select(*rows.columns, *P)
 
 
-class BoostedTrees:
-    """One boosted tree classifier per class, normalised. Another algorithm than a multiclass booster: no equal numbers."""
-
-    def __init__(self, features: Sequence[str], trees: int = 10, depth: int = 3, seed: int = 7):
-        self.features, self.trees, self.depth, self.seed = list(features), trees, depth, seed
-
-    def fit(self, train: DataFrame) -> BoostedTrees:
-        rows = _vector(train.withColumn("label", F.col("result").cast("double")), self.features)
-        tree = GBTClassifier(featuresCol="x", maxIter=self.trees, maxDepth=self.depth, seed=self.seed)
-        self.model = OneVsRest(classifier=tree, featuresCol="x", parallelism=3).fit(rows)
-        return self
-
-    def predict(self, rows: DataFrame) -> DataFrame:
-        out = _vector(rows, self.features)
-        for i, m in enumerate(self.model.models):
-            out = m.setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_y{i}").transform(out)
-        ps = [vector_to_array(f"_p{i}")[1] for i in range(3)]
-        total = ps[0] + ps[1] + ps[2]
-        return out.withColumns({name: ps[i] / total for i, name in enumerate(P)}).select(*rows.columns, *P)
-
-
 #: Folds that are fitted side by side.
 PARALLEL = 6
 
@@ -126,7 +105,7 @@ def side_by_side(spark: SparkSession, run, folds: Sequence[int]) -> DataFrame:
         return reduce(DataFrame.unionByName, [x.result() for x in made])
 
 
-def rolling_predict(rows: DataFrame, model: MultilayerPerceptron | BoostedTrees, folds: Sequence[int]) -> DataFrame:
+def rolling_predict(rows: DataFrame, model: MultilayerPerceptron, folds: Sequence[int]) -> DataFrame:
     """Out-of-fold predictions: for each season the model is fitted on all earlier ones."""
     return side_by_side(rows.sparkSession, lambda y: copy(model).fit(rows.where(F.col("season") < y)).predict(rows.where(F.col("season") == y)), folds)
 

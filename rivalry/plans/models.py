@@ -318,4 +318,3 @@ R.add(
     "WITH z AS (SELECT contest_id, pow(p_away, 0.8) AS a, pow(p_draw, 0.8) * exp(0.1) AS d, pow(p_home, 0.8) * exp(-0.1) AS h FROM {predictions}) SELECT contest_id, a / (a + d + h) AS p_away, d / (a + d + h) AS p_draw, h / (a + d + h) AS p_home FROM z", M.P,
 )
 R.add("mlp_baseline", lambda v: M.rolling_predict(feats(v), M.MultilayerPerceptron(ALL, 16, steps=1000), folds(v)).select(ID, *M.P), None, M.P)
-R.add("boosted_trees", lambda v: M.rolling_predict(feats(v), M.BoostedTrees(ALL, 100, 2), folds(v)).select(ID, *M.P), None, M.P)

@@ -16,6 +16,7 @@ from rivalry.operators import logits as LO
 from rivalry.operators import models as M
 from rivalry.operators import ratings as RA
 from rivalry.operators import scoring as SC
+from rivalry.operators.boosting import Boost, fit_boosted, predict_boosted
 from rivalry.operators.logits import Candidate
 from rivalry.plans import features as PF
 from rivalry.plans import link as PL
@@ -325,3 +326,25 @@ R.add(
 u AS (SELECT season, result, candidate, p_away, p_draw, p_home FROM pr UNION ALL SELECT season, result, kind, p_away, p_draw, p_home FROM ch), w AS (SELECT *, CASE WHEN season >= (SELECT max(season) FROM u) THEN 'holdout' ELSE 'development' END AS part FROM u)
 {metrics_sql("w", "candidate, part")}"""), SC.METRICS,
 )
+
+# ---- boosted trees: ablation and tuning on the last season, the fixed state model on all folds
+
+CONTEXT = (*RATING, *PLACES, *GAPS, *KNOWN)
+TREE_SETS = {"rating": RATING, "context": CONTEXT, "context_momentum": (*CONTEXT, *MOMENTUM), "context_momentum_h2h": (*CONTEXT, *MOMENTUM, *H2H), "all_numeric": SETS["all_numeric"]}
+TREE_PARAMETERS = {
+    "very_small": {"trees": 80, "rate": 0.03, "leaves": 3, "depth": 2, "least": 80, "lam": 5.0}, "small": {"trees": 120, "rate": 0.03, "leaves": 5, "depth": 3, "least": 60, "lam": 3.0},
+    "small_regularized": {"trees": 150, "rate": 0.03, "leaves": 7, "depth": 3, "least": 50, "alpha": 0.5, "lam": 5.0}, "conservative": {"trees": 100, "rate": 0.05, "leaves": 5, "depth": 3, "least": 100, "alpha": 1.0, "lam": 10.0},
+}
+STATE = (*RATING, *BOTH("points", "gf_sum", "ga_sum"), "points_diff", "goal_diff")
+BOOSTED = {f"set_{n}": Boost(tuple(x), leaves=15, depth=4) for n, x in TREE_SETS.items()}
+BOOSTED |= {f"{name}_{n}": Boost(tuple(TREE_SETS[n]), **more) for n in ("context", "all_numeric") for name, more in TREE_PARAMETERS.items()}
+BOOSTED |= {"state": Boost(STATE, leaves=5, depth=3)}
+
+
+def boosted(v) -> DataFrame:
+    rows, years = wide(v), folds(v)
+    fits = fit_boosted(rows, BOOSTED, {n: years if n == "state" else years[-1:] for n in BOOSTED}, stored)
+    return SC.metrics_by_fold_pooled(SC.row_scores(predict_boosted(rows, BOOSTED, fits)), by=["candidate"])
+
+
+R.add("boosted_trees", boosted, None, SC.METRICS)
