@@ -104,7 +104,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Interval join: parts of a document lie in cells of REACH characters; a weak part looks up the first and
     last start of each role in its own cell and both neighbours, so no pairs of parts are made. Scopes and
-    overlaps with base spans come from windows over a document's spans in the order of their starts.
+    overlaps with base spans come from windows over a document's spans in the order of their starts, with frames that only grow.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     runs = {"access": _longer(BASE["access"][0], BASE["access"][2] - 4), "hex": _longer(BASE["hex"][0], BASE["hex"][2])}
@@ -114,6 +114,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.select("doc_id", "text_key", F.array_sort(F.concat(*BASE)).alias("base"), F.concat(*WEAK).alias("weak"), "breaks")
     rows = written(rows, "secrets")
     own = W.partitionBy("doc_id", "text_key").orderBy("start")
+    later = W.partitionBy("doc_id", "text_key").orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, -1)
     strong, open_ = F.col("kind").between(0, len(BASE) - 1), F.col("kind") == -1
     parts = (
         rows.where(F.size("weak") > 0)
@@ -121,7 +122,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select("doc_id", "text_key", F.inline("parts"))
         .withColumn("scope", F.count(F.when(open_, 1)).over(own.rangeBetween(W.unboundedPreceding, -1)))
         .withColumn("covered", F.max(F.when(strong, F.col("end"))).over(own.rangeBetween(W.unboundedPreceding, 0)) > F.col("start"))
-        .withColumn("cut", F.min(F.when(strong, F.col("start"))).over(own.rangeBetween(1, W.unboundedFollowing)) < F.col("end"))
+        .withColumn("cut", F.min(F.when(strong, F.col("start"))).over(later) < F.col("end"))
     )
     clash = F.coalesce("covered", F.lit(False)) | F.coalesce("cut", F.lit(False))
     parts = parts.where(~open_ & (strong | ~clash)).drop("covered", "cut").withColumn("cell", F.floor(F.col("start") / REACH))
