@@ -43,6 +43,18 @@ def _hashes(text: Column) -> Column:
     return F.transform(tokens_of(text), lambda t: F.xxhash64(t))
 
 
+def _blocks(hashes: str) -> Column:
+    """Blocks of BLOCK hashes as structs (begin, lead, w): w has up to REACH hashes before the block, lead of them, and REACH after it."""
+    return F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)), F.lit(BLOCK)),
+        lambda b: F.struct(
+            b.alias("begin"),
+            F.least(b, F.lit(REACH)).alias("lead"),
+            F.slice(hashes, F.greatest(b - REACH, F.lit(0)) + 1, F.lit(BLOCK + 2 * REACH)).alias("w"),
+        ),
+    )
+
+
 def _positions(rows: DataFrame, block: int, span: int) -> DataFrame:
     """rows has `w` (hashes) and `lead`: a row (pos, c) for each of `block` positions after lead, c being the next `span` hashes."""
     slices = [F.slice("w", F.col("lead") + 1 + j, block).alias(f"c{j}") for j in range(span)]
@@ -77,7 +89,7 @@ def find_leaks(
 
     agreeing is the most tokens that agree in such a window and doc_token the first place in the document of
     one with that many. Null or empty texts give nothing, on either side, and so do empty tables; very long
-    texts are cut into overlapping blocks; an item under five tokens must agree in all of them; repeated rows
+    texts, of documents and of items, are cut into overlapping blocks; an item under five tokens must agree in all of them; repeated rows
     count once; two texts under one item_id, or doc_id, count as one item, or document; a null id is an id
     like others; other columns, whatever their names, are not read.
     """
@@ -92,19 +104,11 @@ def find_leaks(
     span = max([SPAN, *shorts])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), _hashes(F.col(text_col)).alias("h"))
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(BLOCK)),
-        lambda b: F.struct(
-            b.alias("begin"),
-            F.least(b, F.lit(REACH)).alias("lead"),
-            F.slice("h", F.greatest(b - REACH, F.lit(0)) + 1, F.lit(BLOCK + 2 * REACH)).alias("w"),
-        ),
-    )
-    blocks = rows.where(F.size("h") > 0).select("doc_id", F.inline(blocks))
+    blocks = rows.where(F.size("h") > 0).select("doc_id", F.inline(_blocks("h")))
     laid = items.select("item_key", F.col("item").alias("w"), F.lit(0).alias("lead"))
     if any(r.n == WINDOW for r in sizes):
-        own = _common(_positions(laid.where(F.size("w") >= WINDOW), 1 << 20, SPAN))
-        seeds = _seeds(own, enumerate(MASKS)).select("item_key", F.col("pos").alias("item_at"), "mask", "seed", "common")
+        own = _common(_positions(items.where(F.size("item") >= WINDOW).select("item_key", F.inline(_blocks("item"))), BLOCK, SPAN))
+        seeds = _seeds(own, enumerate(MASKS)).select("item_key", (F.col("begin") + F.col("pos")).alias("item_at"), "mask", "seed", "common")
         n_bytes = len(MASKS) * n_tokens * SEED_BYTES
         places = _common(_positions(blocks, BLOCK, SPAN)).join(sized(seeds.select("common").distinct(), n_bytes), "common", "left_semi")
         hits = _seeds(places, enumerate(MASKS)).drop("common").join(sized(seeds.drop("common"), n_bytes), ["mask", "seed"])
