@@ -13,8 +13,9 @@ from rivalry.llm.common import id_and_text
 #: Entries of the broadcast table, and those that one task proposes for it.
 FREQUENT = 50_000
 PER_TASK = 20_000
-#: A worker forgets its rare pre-tokens beyond this many.
+#: A worker forgets its rare pre-tokens beyond this many, and never keeps one of more characters: texts without spaces are one pre-token.
 CACHE = 300_000
+LONGEST = 64
 
 
 def _processor(model_path: str):
@@ -41,10 +42,12 @@ class _Lengths(dict):
         self.frequent, self.sp = frequent, _processor(model_path)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) > len(self.frequent) + CACHE:
-            self.clear()
-            self.update(self.frequent)
-        n = self[piece] = len(self.sp.encode(piece))  # the model puts a space before a text by itself
+        n = len(self.sp.encode(piece))  # the model puts a space before a text by itself
+        if len(piece) <= LONGEST:
+            if len(self) > len(self.frequent) + CACHE:
+                self.clear()
+                self.update(self.frequent)
+            self[piece] = n
         return n
 
     def count(self, text: str) -> int:
@@ -83,10 +86,10 @@ def frequent_pretokens(docs: DataFrame, size: int = FREQUENT) -> DataFrame:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(text.split(" "))
+                seen.update(x for x in text.split(" ") if 0 < len(x) <= LONGEST)
             if len(seen) > 20 * PER_TASK:
                 seen = Counter(dict(seen.most_common(10 * PER_TASK)))
-        top = [(k, n) for k, n in seen.most_common(PER_TASK) if n > 1 and 0 < len(k) <= 64]
+        top = [(k, n) for k, n in seen.most_common(PER_TASK) if n > 1]
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"]
         )
