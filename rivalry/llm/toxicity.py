@@ -24,6 +24,8 @@ WINDOW, QUOTE_REACH = 6, 40
 #: Misspelled terms of four letters must keep the first one, and weigh less.
 SHORT, SHORT_WEIGHT = 4, 0.5
 CACHE = 200_000
+#: Longer words aren't kept.
+LONGEST = 64
 
 # Words that report speech, and words that address somebody.
 REPORTING = frozenset("said says called wrote word words term quote quoted dit mot dijo palabra sagte wort".split())
@@ -137,9 +139,11 @@ class _Known(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> tuple[int, float] | None:
-        if len(self) >= CACHE:
-            self.clear()
-        hit = self[word] = self.lexicon.hit(word)
+        hit = self.lexicon.hit(word)
+        if len(word) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = hit
         return hit
 
 
@@ -181,7 +185,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], list[str]]:
     rows = sample.select("doc_id", "toxic", words.alias("w")).select(
         "doc_id", "toxic",
         F.inline(F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("prev"))),
-    ).where("length(word) >= 3").distinct()
+    ).distinct()
     rows = written(rows, "toxic-words")
     total = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(total) < 2:
@@ -224,7 +228,7 @@ def score_toxicity(
     The lexicon and six weights are learned from at most train_rows labelled documents outside the held-out
     third. Labels of 1 or more are toxic, all others aren't; null labels and labels of unknown documents are
     left out; without labels of both kinds every score is 0. A null or empty text has the features of a text
-    without hits; a very long one is scored whole; a null doc_id isn't held out; repeated rows get equal
+    without hits; a very long one is scored whole; a null doc_id isn't held out; ids are of any type that both tables have; repeated rows get equal
     scores; rows that share an id but not a text are scored apart; other columns, whatever their names, are
     not read; an empty table gives no rows.
     """
@@ -244,7 +248,7 @@ def score_toxicity(
 
     coefficients, intercept = [0.0] * FEATURES, None
     if weights:
-        train = written(sample.mapInArrow(featured, "doc_id long, toxic int, features array<double>"), "toxic-train")
+        train = written(sample.mapInArrow(featured, f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, features array<double>"), "toxic-train")
         model = LogisticRegression(labelCol="toxic", regParam=0.001, maxIter=50).fit(
             train.select(F.col("toxic").cast("double").alias("toxic"), array_to_vector("features").alias("features"))
         )
