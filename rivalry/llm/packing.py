@@ -15,8 +15,9 @@ from pyspark.sql import Window as W
 
 from rivalry.llm.common import fresh, id_and_text, written
 
-#: Entries of a worker's cache of words, and of its cache of word parts.
+#: Entries of a worker's cache of words, and of its cache of word parts; longer ones aren't kept.
 CACHE = 250_000
+LONGEST = 64
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 #: Words that the pre-tokeniser surely cuts into letters and marks.
@@ -45,7 +46,8 @@ class _Words(dict):
             ids = part(self.lead + letters) + (part(marks) if marks else b"")
         else:
             ids = self.owner.encode(self.lead + word)
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
 
@@ -80,7 +82,9 @@ class _Ids:
                 self.parts.clear()
             chars = pretoken.encode().decode("latin-1").translate(self.alphabet)
             own = [t.id for t in self.library.model.tokenize(chars)]
-            ids = self.parts[pretoken] = struct.pack(f"<{len(own)}I", *own)
+            ids = struct.pack(f"<{len(own)}I", *own)
+            if len(pretoken) <= LONGEST:
+                self.parts[pretoken] = ids
         return ids
 
     def of(self, text: str) -> bytes:
