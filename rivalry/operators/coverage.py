@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from rivalry.core.asof import ID, appearances
 from rivalry.functions.scalar import points
+from rivalry.operators.sketches import LG, SKETCH_K, quantile
 
 
 def contest_summary(contests: DataFrame, by: Sequence[str] = ("competition",)) -> DataFrame:
@@ -69,11 +70,16 @@ def _labels(edges: Sequence[int]) -> list[str]:
 
 
 def distribution(df: DataFrame, column: str, by: Sequence[str] = (), approximate: bool = False) -> DataFrame:
-    """n, nulls, min, median, mean, max, variance, distinct values and mode (the smallest of the most frequent)."""
+    """n, nulls, min, median, mean, max, variance, distinct values and mode (the smallest of the most frequent).
+
+    approximate: median and distinct values by mergeable sketches (see sketches, whose profiles can be stored and merged), of bounded
+    size however many values there are.
+    """
     freq = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_f"))
     mode = freq.groupBy(*by).agg(F.max(F.struct("_f", (-F.col(column)).alias("v"))).alias("m"))
-    median = F.percentile_approx(column, 0.5) if approximate else F.percentile(column, 0.5)
-    unique = F.approx_count_distinct(column) if approximate else F.count_distinct(column)
+    x = F.col(column).cast("double")
+    median = quantile(F.kll_sketch_agg_double(x, F.lit(SKETCH_K)), 0.5) if approximate else F.percentile(column, 0.5)
+    unique = F.hll_sketch_estimate(F.hll_sketch_agg(x.cast("string"), F.lit(LG))) if approximate else F.count_distinct(column)
     base = df.groupBy(*by).agg(
         F.count("*").alias("n"), F.count(F.when(F.col(column).isNull(), 1)).alias("nulls"), F.min(column).alias("lo"), median.alias("median"),
         F.avg(column).alias("mean"), F.max(column).alias("hi"), F.var_pop(column).alias("variance"), unique.alias("distinct_values"),

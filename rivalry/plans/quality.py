@@ -8,7 +8,8 @@ from rivalry.core.asof import appearances
 from rivalry.operators import coverage as C
 from rivalry.operators import features as FE
 from rivalry.operators import quality as O
-from rivalry.plans.base import Registry, last_sql, pivot_sql
+from rivalry.operators import sketches as SK
+from rivalry.plans.base import Registry, last_sql, pivot_sql, stored
 
 R = Registry()
 ID = "contest_id"
@@ -165,6 +166,23 @@ SELECT season, count(*) AS n, count(*) - count(gap) AS nulls, min(gap) AS lo, qu
 (SELECT g FROM (SELECT y.gap AS g, count(*) AS c FROM x y WHERE y.season = x.season AND y.gap IS NOT NULL GROUP BY 1 ORDER BY c DESC, g LIMIT 1) q) AS mode FROM x GROUP BY season""",
     ["median", "mean", "variance"],
 )
+def profiles(v):
+    """Profiles of each date's goals per contest, merged by season; the sketches are held against exact ranks and counts."""
+    k = v("contests").select("season", "d", F.when(F.col("contest_id") % 10 != 3, F.col("contest_id") * 7 % 1009).cast("double").alias("x"))
+    got = SK.described(SK.merged(stored(SK.profile(k, "x", ["season", "d"]), "profiles"), ["season"]), ["season"])
+    at = k.join(F.broadcast(got.select("season", "median", "distinct_values")), "season").groupBy("season").agg(
+        (F.count(F.when(F.col("x") <= F.col("median"), 1)) / F.count("x")).alias("_le"), (F.count(F.when(F.col("x") < F.col("median"), 1)) / F.count("x")).alias("_lt"), F.count_distinct("x").alias("_d"),
+    )
+    near = (F.col("_le") >= 0.5 - SK.RANK_ERROR) & (F.col("_lt") <= 0.5 + SK.RANK_ERROR)
+    close = F.abs(F.col("distinct_values") - F.col("_d")) <= F.ceil(F.col("_d") * 4 * 1.04 / 2 ** (SK.LG / 2))
+    return got.join(at, "season").select("season", "n", "nulls", "lo", "mean", "hi", "variance", near.alias("median_near"), close.alias("distinct_near"))
+
+
+R.add(
+    "coverage_profiles", profiles,
+    "WITH x AS (SELECT season, CASE WHEN contest_id % 10 <> 3 THEN CAST(contest_id * 7 % 1009 AS DOUBLE) END AS x FROM {contests}) SELECT season, count(*) AS n, count(*) - count(x) AS nulls, min(x) AS lo, avg(x) AS mean, max(x) AS hi, var_pop(x) AS variance, true AS median_near, true AS distinct_near FROM x GROUP BY 1",
+    ["mean", "variance"],
+)
 R.add(
     "source_audit", lambda v: C.source_audit(v("contests").where(f"{ID} % 19 <> 0"), v("contest_events").where(f"{ID} % 17 <> 0")),
     """SELECT (SELECT count(*) FROM {contests} WHERE contest_id % 19 <> 0) AS contests, count(*) AS events, count(CASE WHEN contest_id % 19 = 0 THEN 1 END) AS orphan_events,

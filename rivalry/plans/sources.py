@@ -95,11 +95,12 @@ R.add(
 
 
 def run_diff(v) -> DataFrame:
-    """Both revisions arrive in one micro-batch."""
+    """Both revisions arrive in pieces that mix their rows, a file for each piece and two files to a micro-batch."""
     s = v("schedule_rev").select("rev", "fixture_key", "d", "status", F.col("score").cast("long").alias("score"))
+    s = s.join(F.broadcast(s.groupBy("rev").agg(F.count("*").alias("rev_rows"))), "rev")
     spark, path = s.sparkSession, scratch(s.sparkSession, "diff-stream")
-    s.write.parquet(f"{path}/in")
-    J.stream_snapshot_diff(spark.readStream.schema(s.schema).parquet(f"{path}/in"), path).trigger(availableNow=True).start().awaitTermination()
+    s.repartition(6, "fixture_key").write.parquet(f"{path}/in")
+    J.stream_snapshot_diff(spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in"), path, size="rev_rows").trigger(availableNow=True).start().awaitTermination()
     return J.snapshot_events(spark, path).where("rev = 2").drop("rev")
 
 

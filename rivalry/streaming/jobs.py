@@ -2,47 +2,63 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from rivalry.operators.ratings import START, elo_update
 from rivalry.operators.versions import snapshot_diff
 
 
-def stream_snapshot_diff(snapshots: DataFrame, path: str, key: str = "fixture_key", **options):
+def stream_snapshot_diff(snapshots: DataFrame, path: str, key: str = "fixture_key", size: str | None = None, **options):
     """A stream of whole snapshots (rev, key, d, status, score, ..) -> events at path/events, each by the revision before.
 
-    A micro-batch may hold several revisions: they are taken in order. Each is compared with the newest one
-    published before it, kept at path/state/rev=<rev>, of which only that folder is read; a revision that
-    isn't newer is held: it changes nothing. Rerunning a batch writes the same folders again. options go to
-    snapshot_diff.
+    size: the column that holds, on every row, the number of rows of its revision. A revision then may come in any number of files and
+    micro-batches: its rows wait at path/pending/rev=<rev>/batch=<id> until all are there and every lower revision that the stream has
+    met is complete, or was before. Without size a revision must come within one micro-batch. A micro-batch may complete several
+    revisions: they are taken in order. Each is compared with the newest one published before it, kept at path/state/rev=<rev>, of which
+    only that folder is read; a revision that isn't newer is held: it changes nothing. Rerunning a batch writes the same folders again,
+    so a crash at any point loses and repeats nothing. options go to snapshot_diff.
     """
 
-    def newest(spark: SparkSession, below: int) -> int | None:
-        try:
-            return spark.read.parquet(f"{path}/state").where(F.col("rev") < below).agg(F.max("rev")).first()[0]
-        except AnalysisException as e:  # no snapshot yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            return None
+    def revisions(spark: SparkSession, folder: str) -> list[int]:
+        """The rev= folders below path/folder, which are few: one per revision."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [str(x.getPath().getName()) for x in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n[4:]) for n in names if n.startswith("rev=") and (folder != "state" or fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}/{n}/_SUCCESS"))))
+
+    def publish(spark: SparkSession, rev: int, new: DataFrame) -> None:
+        before = max((r for r in revisions(spark, "state") if r < rev), default=None)
+        old = spark.read.parquet(f"{path}/state/rev={before}") if before is not None else new.limit(0)
+        snapshot_diff(old, new, key, **options).write.mode("overwrite").parquet(f"{path}/events/rev={rev}")
+        new.write.mode("overwrite").parquet(f"{path}/state/rev={rev}")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        ahead = newest(spark, 1 << 60)
-        for rev in sorted(r.rev for r in batch.select("rev").distinct().collect() if r.rev is not None):
-            if ahead is not None and rev < ahead:
-                continue
-            new, before = batch.where(F.col("rev") == rev).drop("rev"), newest(spark, rev)
-            old = spark.read.parquet(f"{path}/state/rev={before}") if before is not None else new.limit(0)
-            snapshot_diff(old, new, key, **options).write.mode("overwrite").parquet(f"{path}/events/rev={rev}")
-            new.write.mode("overwrite").parquet(f"{path}/state/rev={rev}")
+        batch = batch.where("rev IS NOT NULL").persist()
+        met = sorted(r.rev for r in batch.select("rev").distinct().collect())  # a row per revision
+        ahead = max(revisions(spark, "state"), default=None)
+        fresh = [r for r in met if ahead is None or r >= ahead]
+        if size is None:
+            for rev in fresh:
+                publish(spark, rev, batch.where(F.col("rev") == rev).drop("rev"))
+        else:
+            for rev in fresh:
+                batch.where(F.col("rev") == rev).drop("rev").write.mode("overwrite").parquet(f"{path}/pending/rev={rev}/batch={batch_id}")
+            done = set(revisions(spark, "state"))
+            for rev in revisions(spark, "pending"):
+                if rev in done and rev not in fresh:
+                    continue
+                rows = spark.read.parquet(f"{path}/pending/rev={rev}").drop("batch")
+                n, want = rows.agg(F.count("*"), F.max(size)).first()
+                if n < want:
+                    break
+                publish(spark, rev, rows.drop(size))
         batch.unpersist()
 
     return snapshots.writeStream.foreachBatch(apply).option("checkpointLocation", f"{path}/checkpoint")
@@ -53,49 +69,92 @@ def snapshot_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 RATED = "pool string, contest_id long, d date, home_rating double, away_rating double, late boolean"
-STATE = "state string"
+#: Map state is kept in RocksDB, beyond a worker's memory.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 86_400_000
+
+
+class RatedDays(StatefulProcessor):
+    """State of a pool: a rating per entity; for each open date the number of its contests, and these by date and number; the last date
+    that was applied. A timer at the end of each open date applies it."""
+
+    def __init__(self, k: float, home_adv: float):
+        self.k, self.home_adv = k, home_adv
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.ratings = handle.getMapState("ratings", "entity long", "rating double")
+        self.sizes = handle.getMapState("sizes", "day long", "n long")
+        self.open = handle.getMapState("open", "day long, no long", "contest_id long, home long, away long, result int")
+        self.done = handle.getValueState("done", "day long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        done = self.done.get()[0] if self.done.exists() else None
+        late, sizes = [], {}
+        for pdf in rows:
+            pdf = pdf[pdf["contest_id"].notna()]
+            days = pdf["at"].to_numpy("datetime64[D]").astype("int64")
+            for day, cid, home, away, result in zip(days.tolist(), *(pdf[c].tolist() for c in ("contest_id", "home", "away", "result")), strict=True):
+                if done is not None and day <= done:
+                    late.append((key[0], int(cid), _date(day), None, None, True))
+                    continue
+                if day not in sizes:
+                    sizes[day] = self.sizes.getValue((day,))[0] if self.sizes.containsKey((day,)) else 0
+                    if not sizes[day]:
+                        self.handle.registerTimer((day + 1) * DAY_MS - 1)
+                self.open.updateValue((day, sizes[day]), (int(cid), int(home), int(away), int(result)))
+                sizes[day] += 1
+        for day, n in sizes.items():
+            self.sizes.updateValue((day,), (n,))
+        yield _frame(late)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        day = (expiredTimerInfo.getExpiryTimeInMs() + 1) // DAY_MS - 1
+        if self.done.exists() and day <= self.done.get()[0]:
+            raise RuntimeError("timers expired out of order")  # they are kept by their time
+        yield self._apply(key[0], day)
+
+    def _apply(self, pool: str, day: int) -> pd.DataFrame:
+        n = self.sizes.getValue((day,))[0]
+        rows = sorted((tuple(self.open.getValue((day, i))) for i in range(n)), key=lambda r: str(r[0]))
+        now = {e: self.ratings.getValue((e,))[0] if self.ratings.containsKey((e,)) else START for e in {e for r in rows for e in r[1:3]}}
+        new, out = dict(now), []
+        for cid, home, away, result in rows:
+            r = {"home_rating": now[home], "away_rating": now[away], "k": self.k, "home_adv": self.home_adv, "result": result}
+            out.append((pool, cid, _date(day), now[home], now[away], False))
+            a, b = elo_update(r, now)
+            new[home] += a
+            new[away] += b
+        for e, x in new.items():
+            self.ratings.updateValue((e,), (x,))
+        for i in range(n):
+            self.open.removeKey((day, i))
+        self.sizes.removeKey((day,))
+        self.done.update((day,))
+        return _frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def _date(day: int) -> date:
+    return date(1970, 1, 1) + timedelta(days=day)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["pool", "contest_id", "d", "home_rating", "away_rating", "late"])
 
 
 def stream_ratings(contests: DataFrame, k: float = 20.0, home_adv: float = 0.0, delay: str = "0 days") -> DataFrame:
     """contests (pool, contest_id, ts, home, away, result) -> ratings before each contest, once the watermark has passed its date.
 
-    State per pool: one number per entity, the last date applied, and the contests of dates still open. A
-    date is applied as a whole; contests of a date that is already applied come out with late = true and
-    null ratings and change nothing. A row without contest_id only moves the watermark: sources end with one
-    per pool, later than all contests, so that the last date comes out too.
+    State of a pool, in RocksDB (which is set as the session's state store): a rating per entity, the contests of open dates as entries
+    of their own, the last date applied. A batch reads and writes the entries of its contests and of the dates that end with it only. A
+    date is applied as a whole; contests of a date that is already applied come out with late = true and null ratings and change
+    nothing. A row without contest_id only moves the watermark: sources end with one per pool, later than all contests, so that the last
+    date comes out too.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"r": {}, "done": "", "open": {}}
-        out: list[tuple] = []
-        if not state.hasTimedOut:
-            for pdf in batches:
-                for ts, cid, home, away, result in zip(*(pdf[c].tolist() for c in ("ts", "contest_id", "home", "away", "result")), strict=True):
-                    day = str(ts)[:10]
-                    if cid is None or cid != cid:
-                        continue
-                    if day <= held["done"]:
-                        out.append((key[0], int(cid), pd.Timestamp(day).date(), None, None, True))
-                    else:
-                        held["open"].setdefault(day, []).append([int(cid), str(int(home)), str(int(away)), int(result)])
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms").strftime("%Y-%m-%d")
-        ratings = held["r"]
-        for day in sorted(x for x in held["open"] if x < mark):
-            rows = []
-            for cid, home, away, result in sorted(held["open"].pop(day), key=lambda x: str(x[0])):
-                r = {"home_rating": ratings.get(home, START), "away_rating": ratings.get(away, START), "k": k, "home_adv": home_adv, "result": result}
-                out.append((key[0], cid, pd.Timestamp(day).date(), r["home_rating"], r["away_rating"], False))
-                rows.append((home, away, r))
-            for home, away, r in rows:
-                a, b = elo_update(r, ratings)
-                ratings[home] = ratings.get(home, START) + a
-                ratings[away] = ratings.get(away, START) + b
-            held["done"] = day
-        state.update((json.dumps(held),))
-        if held["open"]:
-            due = int(pd.Timestamp(min(held["open"])).timestamp() * 1000) + 86_400_000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["pool", "contest_id", "d", "home_rating", "away_rating", "late"])
-
-    rows = contests.withWatermark("ts", delay).groupBy("pool")
-    return rows.applyInPandasWithState(step, RATED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    contests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    # rows behind the watermark must arrive too: the processor doesn't get the column that carries it
+    rows = contests.withWatermark("ts", delay).withColumn("at", F.col("ts") + F.expr("INTERVAL 0 SECOND")).drop("ts").groupBy("pool")
+    return rows.transformWithStateInPandas(RatedDays(k, home_adv), RATED, "Append", "EventTime")
