@@ -1,13 +1,16 @@
 """Fits of many models at once against plain numpy."""
 
+import datetime as dt
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rivalry.operators import boosting as B
 from rivalry.operators import goals as G
+from rivalry.operators import levels as LV
 from rivalry.operators import logits as LO
 from rivalry.operators import models as M
 from rivalry.operators import ratings as RA
@@ -84,7 +87,7 @@ def observed(n, contests, seed, seasons=3):
 @pytest.mark.parametrize(("numeric", "half_life"), [([], None), (["diff"], None), ([], 10.0)])
 def test_goal_effects_are_the_penalised_optimum(spark, numeric, half_life):
     obs = observed(12, 240, 3)
-    df = spark.createDataFrame(obs, "contest_id long, side string, season int, d string, e long, opp long, at_home double, gf double, diff double").withColumn("d", __import__("pyspark.sql.functions", fromlist=["to_date"]).to_date("d"))
+    df = spark.createDataFrame(obs, "contest_id long, side string, season int, d string, e long, opp long, at_home double, gf double, diff double").withColumn("d", F.to_date("d"))
     got = {(r.contest_id, r.side): r.lam for r in G.poisson_goals(df, [2003], stored, numeric, alpha=1e-3, half_life=half_life).collect()}
     past, now = [o for o in obs if o[2] < 2003], [o for o in obs if o[2] == 2003]
 
@@ -197,7 +200,7 @@ def test_calibrators_learn_from_earlier_folds_only(spark):
 
 def test_ratings_of_all_configurations_are_those_row_by_row(spark):
     v = lambda name: view(spark, DATA, name)
-    rows = v("contests").withColumn("prior_home", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1450.0))
+    rows = v("contests").withColumn("prior_home", F.lit(1450.0))
     rows = RA.with_ordinals(rows.where("contest_id % 9 <> 0").unionByName(rows.where("contest_id % 9 = 0").withColumn("result", rows["result"] * None)))
     configs = [
         {"config": "a", "k": 10.0}, {"config": "b", "home_adv": 75.0, "early_k": 45.0}, {"config": "c", "pull": 0.3, "offset": True, "use_prior": False},
@@ -213,6 +216,24 @@ def test_ratings_of_all_configurations_are_those_row_by_row(spark):
         assert max(abs(a - b) for r in got for a, b in zip(told(r), own[key(r)], strict=True)) < 1e-8
 
 
+def test_ratings_by_levels_are_those_of_the_replay(spark):
+    rng, rows = random.Random(7), []
+    for i in range(260):
+        h, a = rng.sample(range(60), 2)
+        if i % 3 == 0:  # an entity with a third of all contests, several of them on a date
+            h, a = 0, a or 1
+        rows.append((i, "one" if i % 20 else "two", dt.date(2020, 1, 1 + i * 9 // 260), 2020, h, a, rng.randrange(3) if i % 13 else None))
+    df = spark.createDataFrame(rows, "contest_id long, competition string, d date, season int, home long, away long, result int").repartition(3)
+    configs = [{"config": "a"}, {"config": "b", "k": 40.0, "home_adv": 60.0}]
+    got, want = LV.replay_levels(df, stored, configs).collect(), RA.replay(df, configs).collect()
+    own = {(r.pool, r.config, r.contest_id): (r.home_rating, r.away_rating, r.rating_diff) for r in want}
+    assert len(got) == len(want) == 520
+    assert max(abs(x - y) for r in got for x, y in zip((r.home_rating, r.away_rating, r.rating_diff), own[r.pool, r.config, r.contest_id], strict=True)) < 1e-9
+    assert LV.replay_levels(df.limit(0), stored).count() == 0
+    with pytest.raises(ValueError, match="home_adv only"):
+        LV.replay_levels(df, stored, [{"pull": 0.1}])
+
+
 def test_reference_candidates_are_complete():
     assert [PR.TUNING[f"c{c:g}"].c for c in (0.1, 0.3, 1.0, 3.0, 10.0)] == [0.1, 0.3, 1.0, 3.0, 10.0] and {"w3", "w5", "w8", "w10"} <= set(PR.TUNING)
     assert len(PR.VARIANTS) == 7 and len(PR.FAMILIES) == 9 and set(PR.ROLLING) == {"rating", "form", "rest", "parity", "staff", "statistics", "lineup"}

@@ -14,6 +14,7 @@ KEYS = [
     "form_lastn", "xg_lastn_mean", "workload_windows", "h2h_cumulative", "resolve_alias_asof", "scoped_exact_link", "bridge_candidates", "expect_contests",
     "participation_intervals", "two_leg_tie", "row_scores", "segment_metrics", "snapshot_diff", "id_bridge", "elo_replay", "training_base", "score_grid_probs",
     "read_contests_csv", "html_table_extract_job", "stream_snapshot_diff", "stream_ratings", "elo_promotion_offset", "attack_defence_replay", "training_plus_full", "calibrate_C3",
+    "logit_multinomial", "rolling_compare", "competition_rating_compare", "candidate_evaluation", "poisson_goals_elo", "score_batch", "coverage_profiles",
     "entity_concentration", "promotion_segments", "expect_round_robin", "min_ordinal_promoted", "export_ratings",
 ]
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from rivalry.plans import models as PM
+from rivalry.plans import rolling as PR
 from rivalry.plans.base import view
 
 DATA = "/root/testdata/sf0.001"
@@ -40,10 +41,10 @@ SEASONS = set(range(1996, 2002))
 
 @pytest.mark.parametrize("key", ["logit_multinomial", "poisson_goals_elo", "score_batch"])
 def test_every_season_with_an_earlier_one_is_scored(v, key):
-    got = PM.R.queries[key](v("contests").sparkSession, DATA).select("contest_id").distinct()
+    got = PR.R.queries[key](v("contests").sparkSession, DATA).select("contest_id").distinct()
     assert {r.season for r in got.join(v("contests"), "contest_id").select("season").distinct().collect()} == SEASONS
 
 
 def test_elo_grid_has_the_reference_candidates(spark):
-    got = {r.config for r in PM.R.queries["elo_grid"](spark, DATA).select("config").distinct().collect()}
+    got = {r.config for r in PR.R.queries["elo_grid"](spark, DATA).select("config").distinct().collect()}
     assert got == {f"k{k}a{a}" for k in (10, 15, 20, 30, 40) for a in range(0, 201, 25)}
