@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
 from functools import reduce
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ from pyspark.sql import Window as W
 
 from rivalry.llm.common import fresh, id_and_text, written
 
-#: Entries of a worker's cache of words, and of its cache of word parts; longer ones aren't kept.
-CACHE = 250_000
+#: Entries of a worker's cache of words, and of its cache of marks; longer ones aren't kept.
+CACHE = 400_000
 LONGEST = 64
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -29,23 +31,31 @@ class _Whole(Exception):
 
 
 class _Words(dict):
-    """Ids of words as little-endian bytes, each with `lead` before it, kept within CACHE entries."""
+    """Ids of words as little-endian bytes, each with `lead` before it, kept within CACHE entries: half of them are those met since the
+    other half was full, so that frequent words stay."""
 
     def __init__(self, owner: _Ids, lead: str):
         super().__init__()
-        self.owner, self.lead = owner, lead
+        self.owner, self.lead, self.older = owner, lead, {}
 
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Whole
-        if len(self) > CACHE:
+        if len(self) > CACHE // 2:
+            self.older = dict(self)
             self.clear()
-        part, plain = self.owner.part, _PLAIN.fullmatch(word)
-        if plain and (word.isascii() or plain[1].isalpha()):
-            letters, marks = plain.groups()
-            ids = part(self.lead + letters) + (part(marks) if marks else b"")
+        if word in self.older:
+            ids = self[word] = self.older[word]
+            return ids
+        if word.isalpha():
+            ids = self.owner.packed(self.lead + word)
         else:
-            ids = self.owner.encode(self.lead + word)
+            plain = _PLAIN.fullmatch(word)
+            if plain and plain[1].isalpha():
+                letters, marks = plain.groups()
+                ids = self[letters] + self.owner.part(marks)
+            else:
+                ids = self.owner.encode(self.lead + word)
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -70,19 +80,42 @@ class _Ids:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = (b for b in range(256) if b not in plain)
         self.alphabet = {b: 256 + i for i, b in enumerate(rest)} | {b: b for b in plain}
+        self.single = self._by_rank(path) or self._by_library
         self.line_end = self.part("\n")
 
+    def _by_library(self, piece: str) -> list[int]:
+        return [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]
+
+    def _by_rank(self, path: str):
+        """A faster form of the library's merges, from the same file: pairs are merged by the lowest id. None where the file's merges
+        aren't in the order of their ids. Tokens that their own merges don't lead to are left to the library."""
+        import tiktoken
+
+        model = json.loads(Path(path).read_text())["model"]
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ids = [model["vocab"].get("".join(p)) for p in pairs]
+        if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("ignore_merges") or None in ids or ids != sorted(ids):
+            return None
+        letters = {chr(c): b for b, c in self.alphabet.items()}
+        ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if all(c in letters for c in t)}
+        texts = ((t.decode(errors="replace"), t, i) for t, i in ranks.items())
+        astray = {x for x, t, i in texts if x.encode() == t and self._by_library(x) != [i]}
+        fast = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda piece: self._by_library(piece) if piece in astray else fast(piece)
+
     def encode(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def packed(self, pretoken: str) -> bytes:
+        own = self.single(pretoken)
+        return struct.pack(f"<{len(own)}I", *own)
+
     def part(self, pretoken: str) -> bytes:
         ids = self.parts.get(pretoken)
         if ids is None:
             if len(self.parts) > CACHE:
                 self.parts.clear()
-            chars = pretoken.encode().decode("latin-1").translate(self.alphabet)
-            own = [t.id for t in self.library.model.tokenize(chars)]
-            ids = struct.pack(f"<{len(own)}I", *own)
+            ids = self.packed(pretoken)
             if len(pretoken) <= LONGEST:
                 self.parts[pretoken] = ids
         return ids
