@@ -73,11 +73,12 @@ def fit_goals(cells: DataFrame, numeric: Sequence[str], store: Callable[[DataFra
             got = at.groupBy("fold", F.col(side).alias("id"), "_k").agg(F.sum("y").alias("y"), F.sum(F.col("w") * F.exp(base() + F.col(f"_{other}"))).alias("t"))
             got = got.join(effects[side].withColumnRenamed("v", "old"), ["fold", "id"]).withColumn("v", _effect(F.col("y"), F.col("t"), F.col("_k")))
             new = store(got.select("fold", "id", "v", "old"), "effects")
-            means = {r.fold: r.m for r in new.groupBy("fold").agg(F.avg("v").alias("m")).collect()}
+            gap = F.col("v") - F.col("old")
+            sums = new.groupBy("fold").agg(F.avg("v").alias("m"), F.max(gap).alias("hi"), F.min(gap).alias("lo")).collect()
+            means = {r.fold: r.m for r in sums}
+            moved = max([moved, *[abs(x - r.m) for r in sums for x in (r.hi, r.lo)]])
             shift = F.broadcast(spark.createDataFrame(list(means.items()), "fold int, _m double"))
-            centred = new.join(shift, "fold").withColumn("v", F.col("v") - F.col("_m"))
-            moved = max(moved, centred.agg(F.max(F.abs(F.col("v") - F.col("old")))).first()[0])
-            effects[side] = store(centred.select("fold", "id", "v"), "effects")
+            effects[side] = new.join(shift, "fold").select("fold", "id", (F.col("v") - F.col("_m")).alias("v"))
             for f, m in means.items():
                 theta[f][0] += m
         at = with_effect(with_effect(cells, "e"), "opp").join(known(), "fold")

@@ -84,7 +84,7 @@ def observed(n, contests, seed, seasons=3):
     return out
 
 
-@pytest.mark.parametrize(("numeric", "half_life"), [([], None), (["diff"], None), ([], 10.0)])
+@pytest.mark.parametrize(("numeric", "half_life"), [([], None), (["diff"], 10.0)])
 def test_goal_effects_are_the_penalised_optimum(spark, numeric, half_life):
     obs = observed(12, 240, 3)
     df = spark.createDataFrame(obs, "contest_id long, side string, season int, d string, e long, opp long, at_home double, gf double, diff double").withColumn("d", F.to_date("d"))
