@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
-_SCOPES: list[str] = []
+#: The scopes that the thread is in.
+_SCOPES: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 #: Tables up to so many bytes may be broadcast; their size is measured first.
 BROADCAST_BYTES = 64 << 20
@@ -31,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of this application's intermediate tables, inside the shared one."""
-    return "/".join([shared_dir(spark), f"rivalry-{spark.sparkContext.applicationId}", *_SCOPES])
+    return "/".join([shared_dir(spark), f"rivalry-{spark.sparkContext.applicationId}", *_SCOPES.get()])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,12 +43,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Intermediate tables made inside are deleted at the end. Results must have been written elsewhere by then."""
-    _SCOPES.append(uuid.uuid4().hex)
+    token = _SCOPES.set((*_SCOPES.get(), uuid.uuid4().hex))
     try:
         yield
     finally:
         clear_scratch(spark)
-        _SCOPES.pop()
+        _SCOPES.reset(token)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,8 +60,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, or inside scratch_scope those of the scope. Frames that still read them fail afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, scratch_dir(spark))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -89,7 +96,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b): one row (id, component) per vertex, component being the smallest id.
 
     Alternating large-star and small-star rounds. Each round is one aggregation and one join on the edge
-    list, and its edges are written to the shared folder. No edges give no rows.
+    list, and its edges are written to the shared folder. The rounds end when the edges are the same, by their
+    number and two sums of 64-bit hashes. No edges give no rows; an edge with a null end is left out.
     """
     edges = written(edges.select("a", "b").where("a <> b").distinct(), name)
     last = None
@@ -103,7 +111,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = written(
             small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").where("a <> b").distinct(), name
         )
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        now = edges.agg(F.count("*"), *[F.sum(F.xxhash64("a", "b", F.lit(s)).cast("decimal(20, 0)")) for s in (1, 2)]).first()
         if now == last:
             break
         last = now
