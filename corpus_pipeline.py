@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivalry.llm import leaks, neardup, packing, secrets, toxicity
-from rivalry.llm.common import scratch_scope, shared_dir, table
+from rivalry.llm.common import delete_folder, scratch_scope, shared_dir, table
 from rivalry.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -65,11 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage. What a stage writes on the way is deleted once its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage writes on the way is deleted once its result is written, and so is that result once
+    the next stage's is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         with scratch_scope(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if last:
+            delete_folder(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
