@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from rivalry.core.asof import ID
 from rivalry.functions.scalar import clipped_log
 from rivalry.operators.sketches import SKETCH_K, quantile
 

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivalry.operators import assembly as A
 from rivalry.operators import features as FE
-from rivalry.operators import link as L
 from rivalry.operators import models as M
 from rivalry.operators import ratings as RA
-from rivalry.operators import scoring as SC
 from rivalry.plans.base import Registry, last_sql, pivot_sql, scratch, stored
 from rivalry.plans.features import FORM_SQL, H2H, PLACE, STATS, XG, XG_AGG, stats
 from rivalry.sources import tables as T
@@ -222,11 +218,6 @@ def folds(v) -> list[int]:
     return sorted(r.season for r in v("contests").select("season").distinct().collect())[1:]
 
 
-def each_fold(v, rows, predict):
-    """The union of predict(earlier seasons' rows, the season's rows) over all folds."""
-    return M.side_by_side(rows.sparkSession, lambda y: predict(rows.where(F.col("season") < y), rows.where(F.col("season") == y)), folds(v))
-
-
 def feats(v, more=()) -> DataFrame:
     """Contests with the difference of ratings, of points and of goals over the last five, written once; more frames are joined by id."""
     rows = v("contests").join(FE.form_lastn(v("contests")), ID).join(RA.replay(v("contests")).select(ID, "rating_diff"), ID)

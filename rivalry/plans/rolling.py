@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivalry.core.asof import appearances
 from rivalry.operators import assembly as A
 from rivalry.operators import features as FE
 from rivalry.operators import goals as G
