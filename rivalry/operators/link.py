@@ -6,23 +6,57 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from rivalry.core.asof import ID, appearances
 from rivalry.functions.scalar import name_key
 
 
+#: Days before all dates: that of rows without one, and the start of aliases that are open to the past.
+UNDATED, PAST = -(1 << 40), 1 - (1 << 40)
+
+
+def _held(aliases: DataFrame) -> DataFrame:
+    """(source, source_name, code, at, change): the days on which an entity begins (1) or ceases (-1) to hold a name, its spans merged.
+
+    code numbers the entities of a name, for sums. A name without any bound holds on rows without a date, too.
+    """
+    name = ["source", "source_name"]
+    begin = F.when(F.col("valid_from").isNull() & F.col("valid_to").isNull(), UNDATED).otherwise(F.coalesce(F.unix_date("valid_from"), F.lit(PAST)))
+    spans = aliases.where("entity_id IS NOT NULL").select(*name, "entity_id", begin.alias("at"), (F.unix_date("valid_to") + 1).cast("long").alias("end"))
+    spans = spans.where("end IS NULL OR at < end").withColumn("end", F.coalesce("end", F.lit(1 << 40)))
+    w = W.partitionBy(*name, "entity_id").orderBy("at", "end")
+    spans = spans.withColumn("reach", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    spans = spans.withColumn("code", F.dense_rank().over(W.partitionBy(*name).orderBy("entity_id")).cast("long"))
+    # what lies beyond the earlier spans; the parts of an entity are disjoint
+    spans = spans.withColumn("at", F.greatest("at", "reach")).where("at < end")
+    ends = F.inline(F.array(F.struct("at", F.lit(1).alias("change")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("change"))))
+    return spans.select(*name, "entity_id", "code", ends)
+
+
 def resolve_alias_asof(rows: DataFrame, aliases: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rows (keys.., source, source_name, d nullable) -> entity_id and OK, UNKNOWN or AMBIGUOUS.
 
-    An alias holds from valid_from to valid_to, both inclusive and open where null; a bounded one needs a date.
+    An alias holds from valid_from to valid_to, both inclusive and open where null; a bounded one needs a date. Each distinct (source,
+    name, date) is looked up once, in running sums over the days on which entities begin and cease to hold the name: no row meets all
+    aliases of its name.
     """
-    a = aliases.select(F.col("source").alias("_s"), F.col("source_name").alias("_n"), "entity_id", "valid_from", "valid_to")
-    free = F.col("valid_from").isNull() & F.col("valid_to").isNull()
-    inside = (F.col("valid_from").isNull() | (F.col("d") >= F.col("valid_from"))) & (F.col("valid_to").isNull() | (F.col("d") <= F.col("valid_to")))
-    on = (F.col("source") == F.col("_s")) & (F.col("source_name") == F.col("_n")) & (free | (F.col("d").isNotNull() & inside))
-    found = rows.join(a, on, "left").groupBy(*keys).agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("one"))
-    status = F.when(F.col("n") == 0, "UNKNOWN").when(F.col("n") == 1, "OK").otherwise("AMBIGUOUS")
-    return found.select(*keys, F.when(F.col("n") == 1, F.col("one")).alias("entity_id"), status.alias("status"))
+    name = ["source", "source_name"]
+    rows = rows.select(*keys, *name, F.coalesce(F.unix_date("d").cast("long"), F.lit(UNDATED)).alias("_at"))
+    held = _held(aliases)
+    points = held.select(*name, "at", "change", (F.col("change") * F.col("code")).alias("codes"), F.lit(False).alias("asked"))
+    asked = rows.where("source IS NOT NULL AND source_name IS NOT NULL").select(*name, F.col("_at").alias("at")).distinct()
+    points = points.union(asked.select("*", F.lit(0), F.lit(0).cast("long"), F.lit(True)))
+    points = points.groupBy(*name, "at").agg(F.sum("change").alias("n"), F.sum("codes").alias("code"), F.max("asked").alias("asked"))
+    w = W.partitionBy(*name).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    state = points.withColumns({"n": F.sum("n").over(w), "code": F.sum("code").over(w)}).where("asked AND n > 0")
+    known = held.select(*name, "code", "entity_id").distinct()
+    state = state.withColumn("code", F.when(F.col("n") == 1, F.col("code"))).join(known, [*name, "code"], "left")
+    state = state.select(*name, F.col("at").alias("_at"), "n", F.col("entity_id").alias("one"))
+    found = rows.join(state, [*name, "_at"], "left").groupBy(*keys).agg(F.max("n").alias("n"), F.min("one").alias("one"), F.max("one").alias("other"))
+    sole = (F.col("n") == 1) & (F.col("one") == F.col("other"))
+    status = F.when(F.col("n").isNull(), "UNKNOWN").when(sole, "OK").otherwise("AMBIGUOUS")
+    return found.select(*keys, F.when(sole, F.col("one")).alias("entity_id"), status.alias("status"))
 
 
 def resolve_alias_safe(rows: DataFrame, aliases: DataFrame, given: str = "given_id") -> DataFrame:
