@@ -289,28 +289,37 @@ def asof_last_state(rows: DataFrame, values: Sequence[str], keys: Sequence[str]
 def workload_windows(contests: DataFrame, squads: DataFrame, windows: Sequence[int] = (7, 14, 30)) -> DataFrame:
     """Minutes that the previous squad played in the trailing windows: sum and players with history, all and starters.
 
-    squads (contest_id, d, season, e, player, starter, minutes). The range join is by week cells: minutes are
-    summed per player and day first, and each target meets only the cells that its widest window touches.
+    squads (contest_id, d, season, e, player, starter, minutes). Squads are shuffled once, by season and entity, together with a row per
+    contest that is the last one before a date. Within these partitions a contest's players get that date by a window, and a player's
+    windows are differences of running sums up to the days before it, so that no player meets their other days in a join.
     """
-    widest = max(windows)
-    cell = lambda d: F.floor(F.unix_date(d) / widest)
-    rows = asof_last_state(appearances(contests), [])
-    squad = squads.select(F.col(ID).alias("previous_id"), "e", "season", "player", "starter")
-    target = rows.select(ID, "d", "season", "e", "side", "previous_id").join(squad, ["previous_id", "e", "season"])
-    daily = squads.groupBy("season", "e", "player", F.col("d").alias("day")).agg(F.sum("minutes").alias("minutes"))
-    daily = daily.withColumn("cell", cell("day"))
-    target = target.withColumn("cell", F.explode(F.array(cell("d") - 1, cell("d"))))
-    age = F.datediff("d", "day")
-    played = target.join(daily, ["season", "e", "player", "cell"], "left")
-    sums = {f"m{n}": F.sum(F.when((age > 0) & (age <= n), F.col("minutes"))) for n in windows}
-    per = played.groupBy(ID, "side", "player", "starter").agg(*[v.alias(k) for k, v in sums.items()])
-    out = per.groupBy(ID, "side").agg(*[
+    group = ["season", "e"]
+    rows = asof_last_state(appearances(contests), []).select(ID, "d", *group, "side", "previous_id").where("previous_id IS NOT NULL")
+    last = rows.select(F.col("previous_id").alias(ID), *group, F.col("d").alias("next")).distinct()
+    squad = squads.select(ID, *group, F.unix_date("d").alias("day"), "player", "starter", "minutes")
+    both = squad.withColumn("squad", F.lit(True)).unionByName(last, allowMissingColumns=True).where("season IS NOT NULL AND e IS NOT NULL").repartition(*group)
+    at = F.unix_date(F.max("next").over(W.partitionBy(*group, ID)))
+    both = both.withColumn("at", at).where("squad")
+    # a player's day, and what it is asked for: the day of the next contest
+    kinds = F.array(
+        F.struct(F.col("day").alias("day"), F.col("minutes").alias("played"), F.lit(False).alias("asked")),
+        F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("day"), F.lit(None).cast(dict(squads.dtypes)["minutes"]).alias("played"), F.lit(True).alias("asked"))),
+    )
+    days = both.select(ID, *group, "player", "starter", F.inline(F.array_compact(kinds)))
+    before = lambda n: W.partitionBy(*group, "player").orderBy("day").rangeBetween(W.unboundedPreceding, -n)
+    until = {n: F.struct(F.coalesce(F.sum("played").over(before(n)), F.lit(0)).alias("s"), F.count("played").over(before(n)).alias("n")) for n in (1, *[n + 1 for n in windows])}
+    days = days.withColumns({f"_{n}": x for n, x in until.items()}).where("asked")
+    known = lambda n: F.col("player").isNotNull() & (F.col("_1.n") > F.col(f"_{n + 1}.n"))
+    days = days.withColumns({f"m{n}": F.when(known(n), F.col("_1.s") - F.col(f"_{n + 1}.s")) for n in windows})
+    out = days.groupBy(*group, ID, "day").agg(*[
         f for n in windows for f in (
             F.coalesce(F.sum(f"m{n}"), F.lit(0)).alias(f"squad_minutes_{n}"), F.count(f"m{n}").alias(f"squad_known_{n}"),
             F.coalesce(F.sum(F.when(F.col("starter"), F.col(f"m{n}"))), F.lit(0)).alias(f"starter_minutes_{n}"),
         )
     ])
-    return repivot(out, [x for x in out.columns if x not in (ID, "side")])
+    values = [x for x in out.columns if x not in (ID, "day", *group)]
+    out = out.withColumnRenamed(ID, "previous_id").withColumn("d", F.date_from_unix_date("day")).drop("day")
+    return repivot(rows.join(out, ["previous_id", *group, "d"]), values)
 
 
 def lineup_overlap(lineups: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from datetime import date
 from random import Random
 
+from rivalry.operators import features as FE
 from rivalry.operators import link as L
 from rivalry.operators import scoring as SC
 
@@ -37,3 +38,24 @@ def test_rating_differences_above_the_last_edge_are_in_the_last_bin(spark):
     rows = spark.createDataFrame([(d, 1, 0.5) for d in (-201, -200, 0, 199, 200, 999)], "diff int, result int, p_home double")
     got = {r.bin: r.n for r in SC.rating_diff_bins(rows, "diff", (-200, 0, 200)).collect()}
     assert got == {None: 1, 0: 1, 1: 4}
+
+
+def test_windows_of_players_are_no_join(spark):
+    day = lambda i: date.fromordinal(730_000 + i)
+    contests = [(i, day(i // 2), 2000, 1, 2, 1, 0) for i in range(40)]
+    k = spark.createDataFrame(contests, "contest_id long, d date, season int, home long, away long, home_score int, away_score int")
+    squads = [(c, d, s, e, 10 * e + j % 3, j < 2, None if (c + j) % 5 == 0 else 10 * c + j) for c, d, s, h, a, *_ in contests for e in (h, a) for j in range(c % 2, 3)]
+    got = FE.workload_windows(k, spark.createDataFrame(squads, "contest_id long, d date, season int, e long, player long, starter boolean, minutes int"), (3, 10))
+    want = {}
+    for c, d, s, h, a, *_ in contests:
+        for side, e in (("home", h), ("away", a)):
+            before = [x for x in contests if x[1] < d]
+            if before:
+                last = max(before, key=lambda x: (x[1], str(x[0])))
+                for n in (3, 10):
+                    own = [(p, st, [m for _, o, *_, p2, _, m in [(x[0], x[1], x[2], x[4], x[5], x[6]) for x in squads if x[3] == e] if p2 == p and m is not None and 0 < (d - o).days <= n]) for q, _, _, e2, p, st, _ in squads if q == last[0] and e2 == e]
+                    want[c, side, n] = (sum(sum(m) for *_, m in own), sum(bool(m) for *_, m in own), sum(sum(m) for _, st, m in own if st))
+    rows = {(r.contest_id, s, n): tuple(r[f"{s}_{x}_{n}"] for x in ("squad_minutes", "squad_known", "starter_minutes")) for r in got.collect() for s in ("home", "away") for n in (3, 10)}
+    assert rows == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "player#" in line]
