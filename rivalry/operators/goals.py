@@ -14,6 +14,8 @@ from rivalry.functions.scalar import time_decay
 ROUNDS, TOLERANCE = 80, 1e-8
 #: Newton steps for the one effect of an entity.
 INNER = 40
+#: Bytes of effects that are broadcast.
+WIDEST = 64 << 20
 
 
 def _effect(y: Column, t: Column, k: Column) -> Column:
@@ -21,21 +23,21 @@ def _effect(y: Column, t: Column, k: Column) -> Column:
 
     The left side is concave and falls; from a point right of the root Newton's steps approach it from there.
     """
-    start = F.greatest(F.log((y + 1) / t), F.lit(0.0))
+    start = F.when(t.isNotNull(), F.greatest(F.log((y + 1) / t), F.lit(0.0)))  # no rows, no effect
     step = lambda a, _: a + (y - F.exp(a) * t - k * a) / (F.exp(a) * t + k)
     return F.aggregate(F.sequence(F.lit(1), F.lit(INNER)), start, step)
 
 
 def weighted_cells(observations: DataFrame, folds: Sequence[int], numeric: Sequence[str] = (), half_life: float | None = None) -> DataFrame:
-    """(fold, e, opp, numeric.., w, y): weights and weighted goals of the rows of earlier seasons, added up where all columns agree."""
-    fold = F.explode(F.filter(F.array(*map(F.lit, folds)), lambda y: F.col("season") < y))
-    rows = observations.withColumn("fold", fold)
+    """(e, opp, numeric.., w<fold>.., y<fold>..): for each fold the weights and weighted goals of the rows of earlier seasons, added up
+    where all columns agree; null where a fold has no such row."""
     if half_life is None:
-        rows = rows.withColumn("_w", F.lit(1.0))
+        weight = {f: F.lit(1.0) for f in folds}
     else:
-        last = rows.groupBy("fold").agg(F.max("d").alias("_last"))  # a row per fold
-        rows = rows.join(F.broadcast(last), "fold").withColumn("_w", time_decay(F.datediff("_last", "d"), half_life))
-    return rows.groupBy("fold", "e", "opp", *numeric).agg(F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("gf")).alias("y"))
+        ends = observations.agg(*[F.max(F.when(F.col("season") < f, F.col("d"))).alias(f"d{f}") for f in folds]).first()
+        weight = {f: time_decay(F.datediff(F.lit(ends[f"d{f}"]).cast("date"), "d"), half_life) for f in folds}
+    w = {f: F.when(F.col("season") < f, weight[f]) for f in folds}
+    return observations.groupBy("e", "opp", *numeric).agg(*[F.sum(w[f]).alias(f"w{f}") for f in folds], *[F.sum(w[f] * F.col("gf")).alias(f"y{f}") for f in folds])
 
 
 def fit_goals(cells: DataFrame, numeric: Sequence[str], store: Callable[[DataFrame, str], DataFrame], alpha: float = 1e-6) -> tuple[DataFrame, DataFrame, dict]:
@@ -43,58 +45,65 @@ def fit_goals(cells: DataFrame, numeric: Sequence[str], store: Callable[[DataFra
 
     Minimises the weighted mean of the half deviance plus alpha / 2 times the squares of all effects and coefficients but the intercept,
     by blocks: the attack effects given all else, each from one sum over its rows; then the defence effects; then one Newton step of
-    intercept and coefficients. Effects are centred, which is where the penalty has them. A block is one aggregation by (fold, entity)
-    over the cells, which are joined with the effects of the other side; effects stay tables, `store` writes them. Only a row per fold
-    reaches the driver. Raises ValueError without convergence.
+    intercept and coefficients. Effects are centred, which is where the penalty has them. The cells are written twice, clustered by e and
+    by opp, with all folds in a row. A block is one aggregation by entity over the cells that are clustered by it, so that a task adds up
+    an entity's rows before they are sent; the effects of the other side are broadcast up to WIDEST bytes, joined by shuffle beyond.
+    Effects stay tables, `store` writes them. Only a row per fold reaches the driver. Raises ValueError without convergence.
     """
     spark, names = cells.sparkSession, list(numeric)
-    cells = store(cells, "cells")
-    sums = cells.groupBy("fold").agg(F.sum("w").alias("w"), F.sum("y").alias("y")).collect()
-    kappa = {r.fold: alpha * r.w for r in sums}
-    theta = {r.fold: np.array([np.log(max(r.y, 1e-9) / r.w)] + [0.0] * len(names)) for r in sums}
+    folds = [int(c[1:]) for c in cells.columns if c.startswith("w") and c[1:].isdigit()]
     sides = {"e": "opp", "opp": "e"}
-    effects = {s: store(cells.select("fold", F.col(s).alias("id")).distinct().withColumn("v", F.lit(0.0)), "effects") for s in sides}
-
-    def known() -> DataFrame:
-        rows = [(f, kappa[f], *map(float, t)) for f, t in theta.items()]
-        return F.broadcast(spark.createDataFrame(rows, ", ".join(["fold int", "_k double", "_t0 double", *[f"_t{i + 1} double" for i in range(len(names))]])))
-
-    def base() -> Column:
-        return sum((F.col(f"_t{i + 1}") * F.col(x) for i, x in enumerate(names)), F.col("_t0"))
-
-    def with_effect(df: DataFrame, side: str) -> DataFrame:
-        v = effects[side].select("fold", F.col("id").alias(side), F.col("v").alias(f"_{side}"))
-        return df.join(v, ["fold", side])
+    whole = store(cells.repartition("e"), "cells")
+    by = {"e": whole, "opp": store(whole.repartition("opp"), "cells")}
+    sums = whole.agg(*[F.sum(f"{x}{f}") for f in folds for x in "wy"]).first()
+    folds, sums = [f for i, f in enumerate(folds) if sums[2 * i]], {f: (sums[2 * i], sums[2 * i + 1]) for i, f in enumerate(folds) if sums[2 * i]}
+    kappa = {f: alpha * w for f, (w, _) in sums.items()}
+    theta = {f: np.array([np.log(max(y, 1e-9) / w)] + [0.0] * len(names)) for f, (w, y) in sums.items()}
+    # an entity that a fold hasn't met has no effect there
+    start = [F.when(F.count(f"w{f}") > 0, 0.0).alias(f"v{f}") for f in folds]
+    goals = {s: store(by[s].groupBy(F.col(s).alias("id")).agg(*start, *[F.sum(f"y{f}").alias(f"y{f}") for f in folds]), "effects") for s in sides}
+    effects = {s: goals[s].drop(*[f"y{f}" for f in folds]) for s in sides}
+    small = {s: goals[s].count() * (len(folds) + 3) * 8 <= WIDEST for s in sides}
+
+    def base(f: int) -> Column:
+        return sum((F.lit(float(theta[f][i + 1])) * F.col(x) for i, x in enumerate(names)), F.lit(float(theta[f][0])))
+
+    def with_effects(df: DataFrame, side: str) -> DataFrame:
+        own = effects[side].select(F.col("id").alias(side), *[F.col(f"v{f}").alias(f"_{side}{f}") for f in folds])
+        return df.join(F.broadcast(own) if small[side] else own, side)
 
     for _ in range(ROUNDS):
         moved = 0.0
         for side, other in sides.items():
-            at = with_effect(cells, other).join(known(), "fold")
-            got = at.groupBy("fold", F.col(side).alias("id"), "_k").agg(F.sum("y").alias("y"), F.sum(F.col("w") * F.exp(base() + F.col(f"_{other}"))).alias("t"))
-            got = got.join(effects[side].withColumnRenamed("v", "old"), ["fold", "id"]).withColumn("v", _effect(F.col("y"), F.col("t"), F.col("_k")))
-            new = store(got.select("fold", "id", "v", "old"), "effects")
-            gap = F.col("v") - F.col("old")
-            sums = new.groupBy("fold").agg(F.avg("v").alias("m"), F.max(gap).alias("hi"), F.min(gap).alias("lo")).collect()
-            means = {r.fold: r.m for r in sums}
-            moved = max([moved, *[abs(x - r.m) for r in sums for x in (r.hi, r.lo)]])
-            shift = F.broadcast(spark.createDataFrame(list(means.items()), "fold int, _m double"))
-            effects[side] = new.join(shift, "fold").select("fold", "id", (F.col("v") - F.col("_m")).alias("v"))
+            at = with_effects(by[side], other)
+            got = at.groupBy(F.col(side).alias("id")).agg(*[F.sum(F.col(f"w{f}") * F.exp(base(f) + F.col(f"_{other}{f}"))).alias(f"t{f}") for f in folds])
+            old = effects[side].select("id", *[F.col(f"v{f}").alias(f"old{f}") for f in folds])
+            got = got.join(goals[side].select("id", *[f"y{f}" for f in folds]), "id").join(old, "id")
+            new = store(got.select("id", *[_effect(F.col(f"y{f}"), F.col(f"t{f}"), F.lit(float(kappa[f]))).alias(f"v{f}") for f in folds], *[f"old{f}" for f in folds]), "effects")
+            gap = {f: F.col(f"v{f}") - F.col(f"old{f}") for f in folds}
+            r = new.agg(*[a for f in folds for a in (F.avg(f"v{f}"), F.max(gap[f]), F.min(gap[f]))]).first()
+            means = {f: r[3 * i] for i, f in enumerate(folds)}
+            moved = max([moved, *[abs(x - means[f]) for i, f in enumerate(folds) for x in r[3 * i + 1 : 3 * i + 3]]])
+            effects[side] = new.select("id", *[(F.col(f"v{f}") - F.lit(float(means[f]))).alias(f"v{f}") for f in folds])
             for f, m in means.items():
                 theta[f][0] += m
-        at = with_effect(with_effect(cells, "e"), "opp").join(known(), "fold")
-        rate = F.col("w") * F.exp(base() + F.col("_e") + F.col("_opp"))
+        at = with_effects(with_effects(whole, "e"), "opp")
+        at = at.withColumns({f"_r{f}": F.col(f"w{f}") * F.exp(base(f) + F.col(f"_e{f}") + F.col(f"_opp{f}")) for f in folds})
         x = [F.lit(1.0), *map(F.col, names)]
-        at = at.withColumn("_r", rate)
         n = len(x)
-        aggs = [F.sum((F.col("_r") - F.col("y")) * c) for c in x] + [F.sum(F.col("_r") * x[i] * x[j]) for i in range(n) for j in range(n)]
-        for r in at.groupBy("fold").agg(*aggs).collect():
-            pull = kappa[r.fold] * np.diag([0.0] + [1.0] * (n - 1))
-            g = np.array(r[1 : 1 + n]) + pull @ theta[r.fold]
-            step = np.linalg.solve(np.array(r[1 + n :]).reshape(n, n) + pull, g)
-            theta[r.fold] = theta[r.fold] - step
+        aggs = [a for f in folds for a in [F.sum((F.col(f"_r{f}") - F.col(f"y{f}")) * c) for c in x] + [F.sum(F.col(f"_r{f}") * x[i] * x[j]) for i in range(n) for j in range(n)]]
+        got, width = at.agg(*aggs).first(), n + n * n
+        for i, f in enumerate(folds):
+            r = got[i * width : (i + 1) * width]
+            pull = kappa[f] * np.diag([0.0] + [1.0] * (n - 1))
+            g = np.array(r[:n]) + pull @ theta[f]
+            step = np.linalg.solve(np.array(r[n:]).reshape(n, n) + pull, g)
+            theta[f] = theta[f] - step
             moved = max(moved, float(np.abs(step).max()))
         if moved < TOLERANCE:
-            return effects["e"], effects["opp"], theta
+            told = F.inline(F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"v{f}").alias("v")) for f in folds]))
+            attack, defence = (effects[s].select("id", told).where("v IS NOT NULL").select("fold", "id", "v") for s in sides)
+            return attack, defence, theta
     raise ValueError("no convergence")
 
 

@@ -3,9 +3,13 @@
 from datetime import date
 from random import Random
 
+import pytest
+
 from rivalry.operators import features as FE
+from rivalry.operators import goals as G
 from rivalry.operators import link as L
 from rivalry.operators import scoring as SC
+from rivalry.plans.base import stored
 
 
 def test_aliases_of_a_frequent_name_are_looked_up_once(spark):
@@ -59,3 +63,25 @@ def test_windows_of_players_are_no_join(spark):
     assert rows == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Join" in line and "player#" in line]
+
+
+def test_goal_fits_join_no_cells_by_shuffle(spark, monkeypatch):
+    rng, plans = Random(5), []
+    rows = [(2000 + i % 3, e, o, float(h), float(rng.randrange(4))) for i in range(120) for e, o in [rng.sample(range(6), 2)] for h in (0, 1)]
+    df = spark.createDataFrame(rows, "season int, e long, opp long, at_home double, gf double")
+
+    def store(x, name):
+        plans.append(x._jdf.queryExecution().executedPlan().toString())
+        return stored(x, name)
+
+    monkeypatch.setattr(G, "ROUNDS", 1)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.raises(ValueError, match="convergence"):
+            G.poisson_goals(df, [2001, 2002], store)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    blocks = [p for p in plans if "EXP(" in p]
+    joins = [line for p in blocks for line in p.splitlines() if "Join [" in line and "opp#" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
