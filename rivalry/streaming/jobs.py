@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,11 +73,19 @@ RATED = "pool string, contest_id long, d date, home_rating double, away_rating d
 #: Map state is kept in RocksDB, beyond a worker's memory.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Contests that a task holds before it writes them by date, and the most of them in a block.
+HELD, BLOCK = 500_000, 10_000
+#: Ratings that a task holds before it writes them, and rows that it holds before it sends them on.
+KNOWN, SENT = 200_000, 10_000
 
 
 class RatedDays(StatefulProcessor):
-    """State of a pool: a rating per entity; for each open date the number of its contests, and these by date and number; the last date
-    that was applied. A timer at the end of each open date applies it."""
+    """State of a pool: a rating per entity; for each open date the number of its blocks, and these by date and number (contests of
+    the date, as arrays); the last date that was applied.
+
+    Each open date has a timer at its end. The first that expires in a micro-batch applies every date that is over, so that an entity's
+    rating is read and written once for all of them, and the others find their dates applied. Each entry costs a call to the JVM.
+    """
 
     def __init__(self, k: float, home_adv: float):
         self.k, self.home_adv = k, home_adv
@@ -85,53 +94,86 @@ class RatedDays(StatefulProcessor):
         self.handle = handle
         self.ratings = handle.getMapState("ratings", "entity long", "rating double")
         self.sizes = handle.getMapState("sizes", "day long", "n long")
-        self.open = handle.getMapState("open", "day long, no long", "contest_id long, home long, away long, result int")
+        self.open = handle.getMapState("open", "day long, no long", "contest_id array<long>, home array<long>, away array<long>, result array<int>")
         self.done = handle.getValueState("done", "day long")
 
+    def _done(self) -> int | None:
+        return self.done.get()[0] if self.done.exists() else None
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        done = self.done.get()[0] if self.done.exists() else None
-        late, sizes = [], {}
+        done, sizes, held = self._done(), {}, []
         for pdf in rows:
             pdf = pdf[pdf["contest_id"].notna()]
-            days = pdf["at"].to_numpy("datetime64[D]").astype("int64")
-            for day, cid, home, away, result in zip(days.tolist(), *(pdf[c].tolist() for c in ("contest_id", "home", "away", "result")), strict=True):
-                if done is not None and day <= done:
-                    late.append((key[0], int(cid), _date(day), None, None, True))
-                    continue
-                if day not in sizes:
-                    sizes[day] = self.sizes.getValue((day,))[0] if self.sizes.containsKey((day,)) else 0
-                    if not sizes[day]:
-                        self.handle.registerTimer((day + 1) * DAY_MS - 1)
-                self.open.updateValue((day, sizes[day]), (int(cid), int(home), int(away), int(result)))
-                sizes[day] += 1
+            block = np.stack([pdf["at"].to_numpy("datetime64[D]").astype("int64"), *(pdf[c].to_numpy("int64") for c in ("contest_id", "home", "away", "result"))])
+            if done is not None:
+                late = block[0] <= done
+                yield _frame([(key[0], cid, _date(day), None, None, True) for day, cid in block[:2, late].T.tolist()])
+                block = block[:, ~late]
+            held.append(block)
+            if sum(x.shape[1] for x in held) > HELD:
+                self._keep(held, sizes)
+        self._keep(held, sizes)
         for day, n in sizes.items():
             self.sizes.updateValue((day,), (n,))
-        yield _frame(late)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        day = (expiredTimerInfo.getExpiryTimeInMs() + 1) // DAY_MS - 1
-        if self.done.exists() and day <= self.done.get()[0]:
-            raise RuntimeError("timers expired out of order")  # they are kept by their time
-        yield self._apply(key[0], day)
+    def _keep(self, held: list[np.ndarray], sizes: dict[int, int]) -> None:
+        """A block for each date of the contests in held, which is emptied."""
+        if not held:
+            return
+        rows = np.concatenate(held, axis=1)
+        held.clear()
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        days, first = np.unique(rows[0], return_index=True)
+        for day, own in zip(days.tolist(), np.split(rows[1:], first[1:], axis=1), strict=False):
+            if day not in sizes:
+                sizes[day] = self.sizes.getValue((day,))[0] if self.sizes.containsKey((day,)) else 0
+                if not sizes[day]:
+                    self.handle.registerTimer((day + 1) * DAY_MS - 1)
+            for i in range(0, own.shape[1], BLOCK):
+                self.open.updateValue((day, sizes[day]), tuple(own[:, i : i + BLOCK].tolist()))
+                sizes[day] += 1
 
-    def _apply(self, pool: str, day: int) -> pd.DataFrame:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        day, done = (expiredTimerInfo.getExpiryTimeInMs() + 1) // DAY_MS - 1, self._done()
+        if done is not None and day <= done:
+            return
+        now = timerValues.getCurrentWatermarkInMs()
+        days = sorted(d for (d,) in list(self.sizes.keys()) if d <= day or (d + 1) * DAY_MS - 1 < now)
+        known: dict[int, float] = {}
+        out: list[tuple] = []
+        for d in days:
+            self._apply(key[0], d, known, out)
+            if len(known) > KNOWN:
+                self._write(known)
+            if len(out) > SENT:
+                yield _frame(out)
+                out = []
+        self._write(known)
+        self.done.update((days[-1],))
+        yield _frame(out)
+
+    def _apply(self, pool: str, day: int, known: dict[int, float], out: list[tuple]) -> None:
         n = self.sizes.getValue((day,))[0]
-        rows = sorted((tuple(self.open.getValue((day, i))) for i in range(n)), key=lambda r: str(r[0]))
-        now = {e: self.ratings.getValue((e,))[0] if self.ratings.containsKey((e,)) else START for e in {e for r in rows for e in r[1:3]}}
-        new, out = dict(now), []
+        rows = sorted((r for i in range(n) for r in zip(*self.open.getValue((day, i)), strict=True)), key=lambda r: str(r[0]))
+        now = {}
+        for e in {e for r in rows for e in r[1:3]}:
+            if e not in known:
+                known[e] = self.ratings.getValue((e,))[0] if self.ratings.containsKey((e,)) else START
+            now[e] = known[e]
         for cid, home, away, result in rows:
             r = {"home_rating": now[home], "away_rating": now[away], "k": self.k, "home_adv": self.home_adv, "result": result}
             out.append((pool, cid, _date(day), now[home], now[away], False))
             a, b = elo_update(r, now)
-            new[home] += a
-            new[away] += b
-        for e, x in new.items():
-            self.ratings.updateValue((e,), (x,))
+            known[home] += a
+            known[away] += b
         for i in range(n):
             self.open.removeKey((day, i))
         self.sizes.removeKey((day,))
-        self.done.update((day,))
-        return _frame(out)
+
+    def _write(self, known: dict[int, float]) -> None:
+        for e, x in known.items():
+            self.ratings.updateValue((e,), (x,))
+        known.clear()
 
     def close(self) -> None:
         pass
@@ -148,9 +190,9 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 def stream_ratings(contests: DataFrame, k: float = 20.0, home_adv: float = 0.0, delay: str = "0 days") -> DataFrame:
     """contests (pool, contest_id, ts, home, away, result) -> ratings before each contest, once the watermark has passed its date.
 
-    State of a pool, in RocksDB (which is set as the session's state store): a rating per entity, the contests of open dates as entries
-    of their own, the last date applied. A batch reads and writes the entries of its contests and of the dates that end with it only. A
-    date is applied as a whole; contests of a date that is already applied come out with late = true and null ratings and change
+    State of a pool, in RocksDB (which is set as the session's state store): a rating per entity, the contests of open dates in blocks,
+    the last date applied. A batch reads and writes the blocks of its contests and of the dates that end with it only, and the ratings of
+    their entities once, however many dates end. A date is applied as a whole; contests of a date that is already applied come out with late = true and null ratings and change
     nothing. A row without contest_id only moves the watermark: sources end with one per pool, later than all contests, so that the last
     date comes out too.
     """

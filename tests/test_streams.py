@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,80 @@ def test_late_contests_change_nothing(spark, tmp_path):
     assert {r.contest_id: (r.pool, round(r.home_rating, 9), round(r.away_rating, 9)) for r in got if not r.late} == want
 
 
+class Map:
+    """A map state that counts its calls."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _call(self, got=None):
+        self.calls += 1
+        return got
+
+    def getValue(self, key):  # noqa: N802
+        return self._call(self.held.get(key))
+
+    def containsKey(self, key):  # noqa: N802
+        return self._call(key in self.held)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._call()
+        self.held[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self._call()
+        del self.held[key]
+
+    def keys(self):
+        return self._call(iter(self.held))
+
+
+class Handle:
+    """A pool's state: maps, one value and timers."""
+
+    def __init__(self):
+        self.maps, self.timers, self.value = {}, [], None
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.maps.setdefault(name, Map())
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+class Time:
+    def __init__(self, ms):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("known", [3, 200_000])
+def test_state_is_read_once_for_many_dates(spark, monkeypatch, known):
+    monkeypatch.setattr(J, "KNOWN", known)
+    rows = [("a", *r[1:]) for r in contests(n=600, entities=6, days=60)]
+    handle, job = Handle(), J.RatedDays(20.0, 0.0)
+    job.init(handle)
+    pdf = pd.DataFrame([r[1:] for r in rows] + [(None, dt.datetime(2020, 6, 1), None, None, None)], columns=["contest_id", "at", "home", "away", "result"])
+    list(job.handleInputRows(("a",), iter([pdf[:300], pdf[300:]]), None))
+    parts = [x for ms in sorted(handle.timers) for x in job.handleExpiredTimer(("a",), Time(J.DAY_MS * 30_000), Time(ms))]
+    got = pd.concat(parts)
+    assert {r.contest_id: (r.pool, round(r.home_rating, 9), round(r.away_rating, 9)) for r in got.itertuples()} == replayed(spark, rows) and not got["late"].any()
+    assert not handle.maps["open"].held and not handle.maps["sizes"].held and handle.value == (max(ms for ms in handle.timers) // J.DAY_MS,)
+    if known > 6:  # each of 6 ratings, and each of 60 dates, not each of 600 contests on each date
+        assert handle.maps["ratings"].calls <= 18 and handle.maps["open"].calls <= 180
+
+
 SNAP = "rev int, fixture_key long, d date, status string, score long, rev_rows long"
 
 
