@@ -9,7 +9,7 @@ from rivalry.operators import features as FE
 from rivalry.operators import goals as G
 from rivalry.operators import link as L
 from rivalry.operators import scoring as SC
-from rivalry.plans.base import stored
+from rivalry.plans.base import stored, views
 
 
 def test_aliases_of_a_frequent_name_are_looked_up_once(spark):
@@ -85,3 +85,10 @@ def test_goal_fits_join_no_cells_by_shuffle(spark, monkeypatch):
     blocks = [p for p in plans if "EXP(" in p]
     joins = [line for p in blocks for line in p.splitlines() if "Join [" in line and "opp#" in line]
     assert joins and all("BroadcastHashJoin" in line for line in joins)
+
+
+def test_contests_are_joined_once_for_a_query(spark):
+    v = views(spark, "/root/testdata/sf0.001")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (v("contests"), v("contests_strict"), v("appearances"), v("predictions"))]
+    assert not [line for p in plans for line in p.splitlines() if "Join" in line or "Window" in line]
+    assert v("contests_strict") is v("contests_strict") and v("contests_strict").count() > 0
