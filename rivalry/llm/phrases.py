@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from rivalry.llm.common import BROADCAST_BYTES, written
 from rivalry.llm.words import Words, chunks, mix, windows
 
-#: Bytes of text for each hash partition of the summaries.
-PARTITION_BYTES = 64 << 20
+#: Bytes of text for each hash partition of the summaries. What is sent to one may come in one Arrow batch and is some two to three
+#: times as long.
+PARTITION_BYTES = 16 << 20
 #: Entries of a worker's summaries, over all its hash partitions, that it holds before it sends them on.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Phrases that a worker counts before it sends them on.
+COUNTED = 200_000
 #: A summary's error stays below this share of the threshold.
 SHARE = 0.5
 #: A language's candidates are ranked in so many parts first.
@@ -170,8 +173,8 @@ def frequent_hashes(docs: DataFrame, sizes: tuple[int, ...], least: int, parts:
     def merge(batches):
         merged: dict[int, Summary] = {}
         for batch in batches:
-            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                merged.setdefault(part, Summary(SHARE * least, size)).add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64))
+            for part, keys, counts in zip(*batch.columns, strict=True):  # the batch's own memory, not copied
+                merged.setdefault(part.as_py(), Summary(SHARE * least, size)).add(np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.uint32))
         for own in merged.values():
             yield pa.RecordBatch.from_arrays([pa.array(own.reaching(least).view(np.int64))], ["hash"])
 
@@ -229,7 +232,7 @@ def exact_counts(docs: DataFrame, longest: int, least: int, parts: int, known=No
                             old[3] += c
                         else:
                             seen[h, s] = [langs[pieces.text[i]], k, pieces.phrase(i, k), c]
-                if len(seen) > HELD // 10:
+                if len(seen) > COUNTED:
                     yield sent()
         yield sent()
 

@@ -7,6 +7,7 @@ import time
 import pytest
 
 from rivalry.llm import leaks, packing, secrets, tokens, toxicity
+from rivalry.llm import phrases as PH
 from rivalry.llm.queries import tokenizer
 
 
@@ -68,3 +69,13 @@ def test_sentencepiece_agrees(spark):
     text = "x" * 300 + " " + "語" * 200 + "  a"
     got = tokens.count_tokens(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer("piece_bpe_32k.model")).first()
     assert got.n_tokens == len(sp.encode(text)) and re.search("a$", text)
+
+
+def test_summaries_of_a_partition_are_small(spark, monkeypatch):
+    """What a task that merges summaries gets, which may be one Arrow batch: not three times the text of 64 MB."""
+    sent = []
+    monkeypatch.setattr(PH, "exact_counts", lambda *a: None)
+    monkeypatch.setattr(PH, "frequent_hashes", lambda docs, sizes, least, parts, n_bytes, known=None: sent.append(n_bytes / parts) or spark.range(0).selectExpr("id AS hash"))
+    docs = spark.range(64, numPartitions=4).selectExpr("repeat('ab ', 1048576) AS text", "'en' AS lang")
+    PH.frequent_phrases(docs, 5, 100)
+    assert len(sent) == 2 and max(sent) <= 16 << 20
