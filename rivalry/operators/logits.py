@@ -188,26 +188,43 @@ def fit_logits(rows: DataFrame, candidates: Mapping[str, Candidate], folds: Sequ
 def predict_logits(rows: DataFrame, candidates: Mapping[str, Candidate], fits: Mapping[tuple, Fit]) -> DataFrame:
     """rows once for each candidate whose flag they have, with candidate and the probabilities by the fit of their season (or of all).
 
-    The coefficients, one row per fit, are broadcast.
+    All fits of a row's season are applied to a batch of rows at once; a row gets the list of its predictions, which is laid out after that.
     """
     names = sorted({x for c in candidates.values() for x in c.features})
     flags = sorted({c.flag for c in candidates.values() if c.flag})
-    table = []
+    labels = list(candidates)
+    pooled = all(fold is None for _, fold in fits)
+    by: dict = {}
     for (name, fold), f in fits.items():
-        w = np.zeros((2, len(names)))
-        w[:, [names.index(x) for x in f.features]] = f.weights
-        table.append((name, fold, candidates[name].flag, *w.tolist(), *f.intercepts.tolist()))
-    schema = "candidate string, _fold int, _flag string, _w1 array<double>, _w2 array<double>, _b1 double, _b2 double"
-    coef = F.broadcast(rows.sparkSession.createDataFrame(table, schema))
-    held = rows.withColumn("_x", F.array(*[F.coalesce(_double(x), F.lit(0.0)) for x in names])).withColumn("_on", F.array(*[F.when(_on(f), F.lit(f)) for f in flags]) if flags else F.array().cast("array<string>"))
-    season = F.lit(True) if all(fold is None for _, fold in fits) else F.col("_fold") == F.col("season")
-    fits_row = season & (F.col("_flag").isNull() | F.array_contains(F.array_compact("_on"), F.col("_flag")))
-    score = lambda i: F.aggregate(F.zip_with("_x", f"_w{i}", lambda a, b: a * b), F.col(f"_b{i}"), lambda a, b: a + b)
-    out = held.join(coef, fits_row).withColumns({"_s1": score(1), "_s2": score(2)}).withColumn("_top", F.greatest(F.lit(0.0), "_s1", "_s2"))
-    e = [F.exp(F.lit(0.0) - F.col("_top")), F.exp(F.col("_s1") - F.col("_top")), F.exp(F.col("_s2") - F.col("_top"))]
-    out = out.withColumns({f"_e{i}": x for i, x in enumerate(e)})
-    total = F.col("_e0") + F.col("_e1") + F.col("_e2")
-    return out.select(*rows.columns, "candidate", *[(F.col(f"_e{i}") / total).alias(p) for i, p in enumerate(P)])
+        flag = candidates[name].flag
+        by.setdefault(fold, []).append((labels.index(name), flags.index(flag) if flag else -1, [names.index(x) for x in f.features], np.asarray(f.weights), np.asarray(f.intercepts)))
+
+    def scored(season: pa.Array, x: pa.Array, on: pa.Array) -> pa.Array:
+        n = len(season)
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(n, len(names))
+        on = on.flatten().to_numpy(zero_copy_only=False).reshape(n, len(flags)) if flags else None
+        season = season.to_numpy(zero_copy_only=False)
+        places, codes, probs = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty((0, len(P)))]
+        for fold, models in by.items():
+            at = np.arange(n) if pooled else np.flatnonzero(season == fold)
+            for code, flag, cols, w, b in models:
+                own = at[on[at, flag].astype(bool)] if flag >= 0 else at
+                z = np.column_stack((np.zeros(len(own)), x[np.ix_(own, cols)] @ w.T + b))
+                e = np.exp(z - z.max(axis=1, keepdims=True))
+                places.append(own)
+                codes.append(np.full(len(own), code))
+                probs.append(e / e.sum(axis=1, keepdims=True))
+        place = np.concatenate(places)
+        order = np.argsort(place, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=n))))
+        p, name = np.concatenate(probs)[order], pa.array(labels, pa.string()).take(pa.array(np.concatenate(codes)[order]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([name, *[pa.array(p[:, i]) for i in range(len(P))]], ["candidate", *P]))
+
+    score = F.arrow_udf(scored, f"array<struct<candidate: string, {', '.join(f'{p}: double' for p in P)}>>")
+    x = F.array(*[F.coalesce(_double(x), F.lit(0.0)) for x in names])
+    season = F.lit(None).cast("double") if pooled else F.col("season").cast("double")
+    got = rows.withColumn("_p", score(season, x, F.array(*map(_on, flags)) if flags else F.lit(False)))
+    return got.select(*rows.columns, F.inline("_p"))
 
 
 def rolling_logits(rows: DataFrame, candidates: Mapping[str, Candidate], folds: Sequence[int]) -> DataFrame:
