@@ -107,11 +107,14 @@ def event_type_report(events: DataFrame) -> DataFrame:
 def participation_intervals(roster: DataFrame, moves: DataFrame, full: int = 90) -> DataFrame:
     """roster (contest_id, e, player, starter), moves (contest_id, e, player, kind in|out|red, minute) -> entry, exit, minutes, type.
 
-    A starter enters at 0; a red card after the exit is ignored; who never enters plays 0 minutes.
+    A starter enters at 0; a red card after the exit is ignored; who never enters plays 0 minutes. The moves of a contest are met as one
+    list, so that a roster that is partitioned by contest needn't be shuffled.
     """
     of = lambda k: F.min(F.when(F.col("kind") == k, F.col("minute")))
     m = moves.groupBy(ID, "e", "player").agg(of("in").alias("i"), of("out").alias("o"), of("red").alias("r"))
-    j = roster.join(m, [ID, "e", "player"], "left")
+    m = m.select(ID, F.struct("e", "player", "i", "o", "r").alias("m")).groupBy(ID).agg(F.collect_list("m").alias("_m"))
+    own = F.filter("_m", lambda x: (x["e"] == F.col("e")) & (x["player"] == F.col("player")))
+    j = roster.select(ID, "e", "player", "starter").join(m, ID, "left").withColumn("_m", F.get(own, F.lit(0))).select(ID, "e", "player", "starter", "_m.i", "_m.o", "_m.r")
     entry = F.when(F.col("starter"), 0).otherwise(F.col("i"))
     red = F.when(F.col("o").isNull() | (F.col("r") <= F.col("o")), F.col("r"))
     leave = F.when(entry.isNotNull(), F.least(F.coalesce("o", F.lit(full)), F.coalesce(red, F.lit(full)), F.lit(full)))

@@ -130,6 +130,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return views(spark, sf_dir)(name)
 
 
+def spread(v: Callable[[str], DataFrame], name: str, source: str, *keys: str) -> DataFrame:
+    """The view `name` over rows of its source that are shuffled by keys first: rows that the view makes of each one needn't be shuffled for groups with these keys."""
+    rows = v(source).repartition(*keys)
+    return rows.sparkSession.sql(VIEWS[name], **{source: rows})
+
+
 def ctes(sql: str) -> str:
     """sql for DuckDB, with the views that it names in braces put before it as common table expressions."""
     need: list[str] = []

@@ -9,7 +9,7 @@ from rivalry.operators import coverage as C
 from rivalry.operators import features as FE
 from rivalry.operators import quality as O
 from rivalry.operators import sketches as SK
-from rivalry.plans.base import Registry, last_sql, pivot_sql, stored
+from rivalry.plans.base import Registry, last_sql, pivot_sql, spread, stored
 
 R = Registry()
 ID = "contest_id"
@@ -192,7 +192,7 @@ R.add("event_type_report", lambda v: C.event_type_report(v("contest_events")), "
 
 
 def roster(v):
-    return v("squads").groupBy(ID, "e", "player").agg(F.max("starter").alias("starter"))
+    return spread(v, "squads", "appearances", ID).groupBy(ID, "e", "player").agg(F.max("starter").alias("starter"))
 
 
 def moves(v):

@@ -29,3 +29,17 @@ def test_contests_scan_lineitem_once(spark, monkeypatch):
     monkeypatch.setattr(base, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
     base.view(spark, SF, "contests")
     assert len(plans) == 1 and plans[0].count("Relation [l_orderkey") == 1
+
+
+@pytest.mark.parametrize(("key", "spread"), [("scoped_exact_link", 3), ("participation_intervals", 1)])
+def test_squads_are_made_after_the_shuffle(spark, key, spread):
+    """Appearances are shuffled, not the thirteen players of each: what is shuffled further by name is aggregated already."""
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("REPARTITION_BY_COL" in x for x in shuffles) == spread and sum("player#" in x for x in shuffles) <= 1
