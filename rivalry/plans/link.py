@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rivalry.core.asof import appearances
 from rivalry.functions import scalar as S
 from rivalry.operators import link as O
-from rivalry.plans.base import Registry
+from rivalry.plans.base import Registry, spread
 
 R = Registry()
 K = ["contest_id"]
@@ -97,10 +97,11 @@ R.add(
     """WITH m AS (SELECT c_custkey % 250 AS n, min(c_custkey) AS one FROM {customer} WHERE c_custkey <= 300 GROUP BY 1 HAVING count(*) = 1)
 SELECT c_custkey, m.one AS linked_id FROM {customer} LEFT JOIN m ON m.n = c_custkey % 200""",
 )
-people = lambda v: v("squads").select("season", "e", (F.col("player") % 7).alias("name"), F.col("player").alias("id")).where("e % 3 <> 0 or season % 2 = 0")
+squads = lambda v: spread(v, "squads", "appearances", "season", "e")
+people = lambda v: squads(v).select("season", "e", (F.col("player") % 7).alias("name"), F.col("player").alias("id")).where("e % 3 <> 0 or season % 2 = 0")
 R.add(
     "scoped_exact_link",
-    lambda v: O.scoped_exact_link(v("squads").select("season", "e", (F.col("player") % 10).alias("name")), people(v), ["season", "e"], "name"),
+    lambda v: O.scoped_exact_link(squads(v).select("season", "e", (F.col("player") % 10).alias("name")), people(v), ["season", "e"], "name"),
     """WITH m AS (SELECT season, e, player % 7 AS name, player AS id FROM {squads} WHERE e % 3 <> 0 OR season % 2 = 0), i AS (SELECT season, e, name, count(DISTINCT id) AS ni, min(id) AS one FROM m GROUP BY 1, 2, 3),
 c AS (SELECT season, e, id, count(DISTINCT name) AS nn FROM m GROUP BY 1, 2, 3), k AS (SELECT season, e, player % 10 AS name, count(*) AS n_rows FROM {squads} GROUP BY 1, 2, 3)
 SELECT k.season, k.e, k.name, n_rows, CASE WHEN ni IS NULL THEN 'UNRESOLVED' WHEN ni > 1 THEN 'AMBIGUOUS' WHEN nn > 1 THEN 'COLLISION' ELSE 'EXACT' END AS status,
