@@ -162,6 +162,66 @@ def _vector_replay(batches: Iterable[pa.RecordBatch], configs: Sequence[Mapping]
         yield ended()
 
 
+#: Columns that a contest may have beside its result.
+MORE = ("k_row", "adv_row", "prior_home", "prior_away", "home_ordinal", "away_ordinal")
+#: What stands for a null entity in blocks.
+NOBODY = -(1 << 63)
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def _packed(batches: Iterable[pa.RecordBatch], numbers: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pool, season, date and id -> a compressed block of numbers for each run of one date, in the same order (seq)."""
+    seq = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+        code = [cols[c].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in ("pool", "season", "d")]
+        starts = np.concatenate(([0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in code], axis=0)) + 1))
+        ends = np.append(starts[1:], batch.num_rows)
+        whole = [cols[c].cast(pa.int64()).fill_null(NOBODY).to_numpy(zero_copy_only=False) for c in (ID, "home", "away")]
+        real = [np.ascontiguousarray(cols[c].cast(pa.float64()).to_numpy(zero_copy_only=False)).view(np.int64) for c in numbers]
+        table = np.stack([*whole, *real])
+        data = [pa.compress(table[:, a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(starts, ends, strict=True)]
+        key = [cols[c].take(pa.array(starts)) for c in ("pool", "season", "d")]
+        yield pa.RecordBatch.from_arrays([*key, pa.array(np.arange(seq, seq + len(starts))), pa.array((ends - starts).astype(np.int32)), pa.array(data, pa.binary())], ["pool", "season", "d", "seq", "n", "data"])
+        seq += len(starts)
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch], numbers: Sequence[str], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The rows of blocks and of season events, about `most` at a time."""
+    waiting: list[tuple] = []
+
+    def rows() -> pa.RecordBatch:
+        pool, season, day, status, move, event, tables = zip(*waiting, strict=True)
+        table, n = np.concatenate(tables, axis=1), [t.shape[1] for t in tables]
+        text = lambda values: pa.array(np.repeat(np.array(values, object), n), pa.string())
+        ids = pa.array(table[0], mask=np.repeat(event, n))
+        known = {"pool": text(pool), ID: ids, "season": pa.array(np.repeat(season, n)), "d": pa.array(np.repeat(np.array(day, np.int32), n)).cast(pa.date32()), "home": pa.array(table[1]), "away": pa.array(table[2]), "status": text(status), "move": text(move)}
+        waiting.clear()
+        return pa.RecordBatch.from_pydict(known | {c: pa.array(x.view(np.float64)) for c, x in zip(numbers, table[3:], strict=True)})
+
+    held = 0
+    for batch in batches:
+        cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+        day = cols["d"].cast(pa.date32()).cast(pa.int32()).fill_null(-(1 << 31)).to_pylist()
+        own = [cols[c].to_pylist() if c in cols else [None] * batch.num_rows for c in ("home", "status", "move")]
+        for pool, season, d, n, data, e, status, move in zip(cols["pool"].to_pylist(), cols["season"].to_numpy(zero_copy_only=False), day, cols["n"].to_pylist(), cols["data"], *own, strict=True):
+            if n is None:
+                table = np.full((3 + len(numbers), 1), NOBODY)
+                table[1] = e
+            else:
+                size = 8 * n * (3 + len(numbers))
+                table = np.frombuffer(pa.decompress(data.as_buffer(), size, "zstd"), np.int64).reshape(-1, n)
+            waiting.append((pool, season, d, status, move, n is None, table))
+            held += table.shape[1]
+            if held >= most:
+                yield rows()
+                held = 0
+    if waiting:
+        yield rows()
+
+
 def replay(
     contests: DataFrame,
     configs: Sequence[Mapping] = ({},),
@@ -173,8 +233,8 @@ def replay(
     """Pre-contest ratings of every contest for each configuration; with final, the ratings after the last date.
 
     Pools are closed populations and share no state: the pool is the shuffle key, rows are sorted by (season, date, id as text)
-    within tasks, and a task carries one number per entity and configuration from batch to batch: contests are shuffled once, and a
-    date's contests are updated together for all configurations. Another update than the default one is called row by row, with
+    within tasks, and a task carries one number per entity and configuration from batch to batch. A date's contests are sorted and packed
+    by all tasks, so that the task of a pool sorts compressed blocks, and they are updated together for all configurations. Another update than the default one is called row by row, with
     (pool, config) as the key.
     All contests of a date read the state of the date before. Rows with a null result are targets: they are
     rated but change nothing. Optional columns: k_row and adv_row override a configuration's k and home_adv;
@@ -185,13 +245,22 @@ def replay(
     """
     spark = contests.sparkSession
     rows = [{**CONFIG, **c} for c in configs]
-    more = [c for c in ("k_row", "adv_row", "prior_home", "prior_away", "home_ordinal", "away_ordinal") if c in contests.columns]
+    more = [c for c in MORE if c in contests.columns]
     at = F.col(pool).cast("string").alias("pool")
     sent = contests.select(at, ID, "d", "season", "home", "away", "result", *more)
+    packs = update is elo_update and all(dict(contests.dtypes)[c] in WHOLE for c in ("home", "away"))
+    numbers = ["result", *more]
+    if packs:
+        sent = sent.where(F.col(ID).isNotNull()).repartition("pool", "season", "d").sortWithinPartitions("pool", "season", "d", by_id())
+        kinds = dict(sent.dtypes)
+        sent = sent.mapInArrow(lambda batches: _packed(batches, numbers), f"pool string, season {kinds['season']}, d {kinds['d']}, seq long, n int, data binary")
     if events is not None:
         plays = contests.select(at, F.explode(F.array("home", "away")).alias("e")).distinct()
         told = events.join(plays, "e").select("pool", "season", F.col("e").alias("home"), "status", "move")
         sent = sent.unionByName(told, allowMissingColumns=True)
+    if packs:
+        sent = sent.repartition("pool").sortWithinPartitions("pool", "season", F.col("n").isNotNull(), "d", "seq")
+        return _rated(sent.mapInArrow(lambda batches: _vector_replay(_unpacked(batches, numbers), rows, final), OUT), final)
     if update is elo_update:
         sent = sent.repartition("pool").sortWithinPartitions("pool", "season", F.col(ID).isNotNull(), "d", by_id())
         return _rated(sent.mapInArrow(lambda batches: _vector_replay(batches, rows, final), OUT), final)

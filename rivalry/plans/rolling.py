@@ -276,7 +276,10 @@ def variants(v) -> DataFrame:
     pools = F.array(F.concat(F.lit("own:"), "competition"), F.concat(F.lit("joined:"), two), F.lit("bridged:all"))
     rows = v("contests").withColumn("pool", F.explode(pools)).withColumns({f"prior_{s}": F.when(F.col(s) % 5 == 0, 1400.0).otherwise(1500.0) for s in ("home", "away")})
     got = RA.replay(rows, SETTINGS, pool="pool", events=PM.moves(v)).withColumn("kind", F.split("pool", ":")[0])
-    return got.groupBy(ID).agg(*[F.max(F.when((F.col("kind") == kind) & (F.col("config") == config), F.col("rating_diff"))).alias(n) for n, (kind, config) in VARIANTS.items()])
+    which = F.coalesce(*[F.when((F.col("kind") == kind) & (F.col("config") == config), F.lit(i)) for i, (kind, config) in enumerate(VARIANTS.values())])
+    # shuffled before they are aggregated, as the task of the one pool of all contests would hold a group for each
+    got = got.select(ID, which.cast("tinyint").alias("which"), "rating_diff").where("which is not null").repartition(ID)
+    return got.groupBy(ID).agg(*[F.max(F.when(F.col("which") == i, F.col("rating_diff"))).alias(n) for i, n in enumerate(VARIANTS)])
 
 
 def two_ratings(v) -> DataFrame:
