@@ -185,19 +185,19 @@ def fit_logits(rows: DataFrame, candidates: Mapping[str, Candidate], folds: Sequ
     return out
 
 
-def predict_logits(rows: DataFrame, candidates: Mapping[str, Candidate], fits: Mapping[tuple, Fit]) -> DataFrame:
-    """rows once for each candidate whose flag they have, with candidate and the probabilities by the fit of their season (or of all).
+def list_logits(rows: DataFrame, candidates: Mapping[str, Candidate], fits: Mapping[tuple, Fit], name: str = "_p") -> DataFrame:
+    """rows with a list of (candidate, probabilities): one for each candidate whose flag they have, by the fit of their season (or of all).
 
-    All fits of a row's season are applied to a batch of rows at once; a row gets the list of its predictions, which is laid out after that.
+    All fits of a row's season are applied to a batch of rows at once.
     """
     names = sorted({x for c in candidates.values() for x in c.features})
     flags = sorted({c.flag for c in candidates.values() if c.flag})
     labels = list(candidates)
     pooled = all(fold is None for _, fold in fits)
     by: dict = {}
-    for (name, fold), f in fits.items():
-        flag = candidates[name].flag
-        by.setdefault(fold, []).append((labels.index(name), flags.index(flag) if flag else -1, [names.index(x) for x in f.features], np.asarray(f.weights), np.asarray(f.intercepts)))
+    for (candidate, fold), f in fits.items():
+        flag = candidates[candidate].flag
+        by.setdefault(fold, []).append((labels.index(candidate), flags.index(flag) if flag else -1, [names.index(x) for x in f.features], np.asarray(f.weights), np.asarray(f.intercepts)))
 
     def scored(season: pa.Array, x: pa.Array, on: pa.Array) -> pa.Array:
         n = len(season)
@@ -217,14 +217,18 @@ def predict_logits(rows: DataFrame, candidates: Mapping[str, Candidate], fits: M
         place = np.concatenate(places)
         order = np.argsort(place, kind="stable")
         ends = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=n))))
-        p, name = np.concatenate(probs)[order], pa.array(labels, pa.string()).take(pa.array(np.concatenate(codes)[order]))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([name, *[pa.array(p[:, i]) for i in range(len(P))]], ["candidate", *P]))
+        p, label = np.concatenate(probs)[order], pa.array(labels, pa.string()).take(pa.array(np.concatenate(codes)[order]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([label, *[pa.array(p[:, i]) for i in range(len(P))]], ["candidate", *P]))
 
     score = F.arrow_udf(scored, f"array<struct<candidate: string, {', '.join(f'{p}: double' for p in P)}>>")
     x = F.array(*[F.coalesce(_double(x), F.lit(0.0)) for x in names])
     season = F.lit(None).cast("double") if pooled else F.col("season").cast("double")
-    got = rows.withColumn("_p", score(season, x, F.array(*map(_on, flags)) if flags else F.lit(False)))
-    return got.select(*rows.columns, F.inline("_p"))
+    return rows.withColumn(name, score(season, x, F.array(*map(_on, flags)) if flags else F.lit(False)))
+
+
+def predict_logits(rows: DataFrame, candidates: Mapping[str, Candidate], fits: Mapping[tuple, Fit]) -> DataFrame:
+    """rows once for each candidate whose flag they have, with candidate and the probabilities; see list_logits."""
+    return list_logits(rows, candidates, fits).select(*rows.columns, F.inline("_p"))
 
 
 def rolling_logits(rows: DataFrame, candidates: Mapping[str, Candidate], folds: Sequence[int]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from rivalry.core.asof import ID, appearances
 from rivalry.functions.scalar import clipped_log
-from rivalry.operators.logits import Candidate, fit_logits, predict_logits, rolling_logits
+from rivalry.operators.logits import Candidate, fit_logits, list_logits, predict_logits
 from rivalry.operators.scoring import P, metrics_by_fold_pooled, row_scores
 
 
@@ -114,17 +114,19 @@ def family_metrics(rows: DataFrame, candidates: Mapping[str, Candidate], base: s
     """For each candidate with a flag (a challenger on the rows that it can judge): a matched comparison with `base` on those rows, and
     the challenger with the baseline's prediction where a row isn't flagged. All are fitted together. A challenger judges the folds
     before which all three results were met among its rows."""
-    flags = {n: c.flag for n, c in candidates.items() if n != base}
-    got = rolling_logits(rows, candidates, folds)
-    named = F.array(*[F.struct(F.lit(n).alias("family"), F.coalesce(F.col(f), F.lit(False)).alias("_on")) for n, f in flags.items()])
-    whole = got.where(F.col("candidate") == base).withColumn("_f", F.explode(named)).select(ID, "season", "result", *P, "_f.*")
-    part = got.where(F.col("candidate") != base).select(ID, F.col("candidate").alias("family"), *[F.col(p).alias(f"_{p}") for p in P])
-    both = whole.join(part, [ID, "family"], "left")
-    judged = F.col(f"_{P[0]}").isNotNull()
-    new = [F.coalesce(f"_{p}", p).alias(p) for p in P]
-    keep = lambda df, name, family, probs: df.select("season", "result", *probs, family.alias("family"), F.lit(name).alias("population"))
-    out = keep(both, "operational", F.col("family"), new).unionByName(keep(both.where(judged), "challenger_matched", F.col("family"), new))
-    out = out.unionByName(keep(both.where("_on"), "baseline_matched", F.col("family"), P)).unionByName(keep(got.where(F.col("candidate") == base), "baseline_all", F.lit(""), P))
+    fits = fit_logits(rows, candidates, folds)
+    got = list_logits(rows.where(F.col("season").isin(*folds)), candidates, fits)
+    by = lambda n: F.get(F.filter("_p", lambda x: x["candidate"] == n), F.lit(0))
+    # a contest's list has all that is compared, so that predictions needn't meet by joins
+    said = [(F.lit(True), "", "baseline_all", F.col("_base"))]
+    for n, c in candidates.items():
+        if n != base:
+            own = F.col(f"_of_{n}")
+            on = F.coalesce(F.col(c.flag), F.lit(False))
+            said += [(F.lit(True), n, "operational", F.coalesce(own, F.col("_base"))), (own.isNotNull(), n, "challenger_matched", own), (on, n, "baseline_matched", F.col("_base"))]
+    got = got.select("season", "result", *[c.flag for n, c in candidates.items() if n != base], by(base).alias("_base"), *[by(n).alias(f"_of_{n}") for n in candidates if n != base])
+    each = [F.when(keep, F.struct(F.lit(n).alias("family"), F.lit(population).alias("population"), *[p[x].alias(x) for x in P])) for keep, n, population, p in said]
+    out = got.where("_base IS NOT NULL").select("season", "result", F.inline(F.array_compact(F.array(*each))))
     return metrics_by_fold_pooled(row_scores(out), by=["family", "population"])
 
 

@@ -111,8 +111,18 @@ def _parts(sql: str) -> list[str]:
 WRITTEN = ("contests", "contests_strict")
 
 
+#: Bytes that a row has in a hash table of the driver for each of its bytes in a Parquet file, where ids and dates are packed into a few bits.
+UNPACKED = 8
+
+
 def views(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
-    """A function from the name of a raw table or of one of VIEWS to its DataFrame, for one query."""
+    """A function from the name of a raw table or of one of VIEWS to its DataFrame, for one query.
+
+    Spark takes a file's size for that of its rows when it chooses what to broadcast, and then collects hundreds of MB on the driver; in the
+    session a file counts as UNPACKED times its size.
+    """
+    factor = "spark.sql.sources.fileCompressionFactor"
+    spark.conf.set(factor, str(max(float(spark.conf.get(factor)), UNPACKED)))
 
     @cache
     def view(name: str) -> DataFrame:

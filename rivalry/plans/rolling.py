@@ -194,7 +194,7 @@ FAMILIES = {
 
 
 def families(v) -> dict[str, DataFrame]:
-    k, ev = v("contests"), v("contest_events")
+    k, ev = v("contests"), stored(v("contest_events"), "events")  # four families read the events
     xi = v("squads").where("starter").groupBy(ID, "d", "e").agg(F.collect_set("player").alias("xi")).join(FE.appearances(k).select(ID, "e", "side"), [ID, "e"])
     h2h = FE.h2h_cumulative(k).withColumn("wins", F.when(F.col("h2h_available"), F.col("h2h_home_wins"))).withColumn("draws", F.when(F.col("h2h_available"), F.col("h2h_draws")))
     return {
