@@ -116,21 +116,27 @@ def _sums(rows: DataFrame, names: Sequence[str], flags: Sequence[str], models: S
                 h = [(z.T @ (w[:, None] * z))[tri] for w in (p[:, 1] * (1 - p[:, 1]), -p[:, 1] * p[:, 2], p[:, 2] * (1 - p[:, 2]))]
                 flat = np.concatenate(([loss], g, *h))
                 total[key] = total[key] + flat if key in total else flat
-        yield from _flat(total)
+        yield from flat_sums(total)
+
+    sent = rows.select("season", "result", F.array(*[F.coalesce(_double(x), F.lit(0.0)) for x in names]).alias("x"), F.array(*map(_on, flags)).alias("on") if flags else F.lit(None).alias("on"))
+    return added(sent.mapInArrow(part, "model int, flat array<double>"), len(models))
+
+
+def added(sent: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """The sum of each model's arrays of rows (model, flat), of which tasks send one for each of the n models."""
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for key, flat in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total[key] = total[key] + np.asarray(flat) if key in total else np.asarray(flat)
-        yield from _flat(total)
+        yield from flat_sums(total)
 
-    sent = rows.select("season", "result", F.array(*[F.coalesce(_double(x), F.lit(0.0)) for x in names]).alias("x"), F.array(*map(_on, flags)).alias("on") if flags else F.lit(None).alias("on"))
-    sent = sent.mapInArrow(part, "model int, flat array<double>").repartition(min(len(models), 64), "model").mapInArrow(merge, "model int, flat array<double>")
+    sent = sent.repartition(min(n, 64), "model").mapInArrow(merge, "model int, flat array<double>")
     return {r.model: np.asarray(r.flat) for r in sent.collect()}  # one array per model
 
 
-def _flat(total: dict[int, np.ndarray]):
+def flat_sums(total: dict[int, np.ndarray]):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([list(v) for v in total.values()], pa.list_(pa.float64()))], ["model", "flat"])
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from copy import copy
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rivalry.core.asof import ID, appearances
 from rivalry.functions.scalar import clipped_log
-from rivalry.operators.logits import Candidate, fit_logits, list_logits, predict_logits
+from rivalry.operators.logits import Candidate, added, fit_logits, flat_sums, list_logits, predict_logits
 from rivalry.operators.scoring import P, metrics_by_fold_pooled, row_scores
 
 
@@ -235,79 +236,90 @@ def fit_calibration(rows: DataFrame, kind: str = "C1", steps: int = 12, probs: S
 KINDS = {"C1": ("tau",), "C2": ("b1", "b2"), "C3": ("tau", "b1", "b2")}
 
 
+def _calibration_sums(models: Sequence[tuple], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By model: loss, gradient and Hessian, added up over the rows (season, result, logs) of a task that are before the model's fold.
+
+    models: (number, kind, fold, parameters).
+    """
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        season, result = (batch.column(i).to_numpy() for i in range(2))
+        logs = batch.column(2).flatten().to_numpy().reshape(-1, len(P))
+        for i, kind, fold, (tau, *bias) in models:
+            use = season < fold
+            if not use.any():
+                continue
+            own, y = logs[use].T, result[use]
+            z = tau * own
+            z[1:] += np.array(bias)[:, None]
+            top, which = z.max(axis=0), np.arange(len(y))
+            q = np.exp(z - top)
+            size = q.sum(axis=0)
+            q /= size
+            # a parameter's move of the three logs, its mean and what the result has of it
+            move = {"tau": own, "b1": np.array([[0.0], [1.0], [0.0]]), "b2": np.array([[0.0], [0.0], [1.0]])}
+            mean = {n: (q * move[n]).sum(axis=0) for n in KINDS[kind]}
+            true = {"tau": own[y, which], "b1": y == 1, "b2": y == 2}
+            flat = [(np.log(size) + top - z[y, which]).sum(), *[(mean[n] - true[n]).sum() for n in KINDS[kind]]]
+            flat += [((q * move[a] * move[b]).sum(axis=0) - mean[a] * mean[b]).sum() for a in KINDS[kind] for b in KINDS[kind]]
+            total[i] = total[i] + np.array(flat) if i in total else np.array(flat)
+    yield from flat_sums(total)
+
+
 def fit_calibrations(rows: DataFrame, folds: Sequence[int], kinds: Sequence[str] = tuple(KINDS), steps: int = 40, tolerance: float = 1e-10) -> dict[tuple[str, int], tuple[float, float, float]]:
     """(kind, fold) -> (tau, bias of draw, bias of home), learned from the rows (season, result, probabilities) of earlier seasons.
 
-    A Newton step of all kinds and folds is one aggregation. Folds without earlier rows have no entry. Plain steps, as the SQL has them, run
+    A Newton step of all kinds and folds is one pass over the rows, which are best stored. Folds without earlier rows have no entry. Plain steps, as the SQL has them, run
     away where the probabilities hardly differ between rows and the best tau is large; such a fit starts again with steps that are halved
     until they lower the loss, which is convex, and ends where no step can. A tau that would fall below 0 stays there.
     """
-    fold = F.explode(F.filter(F.array(*map(F.lit, folds)), lambda y: F.col("season") < y))
-    logs = [f"_l{i}" for i in range(len(P))]
-    rows = rows.select("season", "result", *[clipped_log(p).alias(x) for p, x in zip(P, logs, strict=True)]).withColumn("_fold", fold)
+    rows = rows.select(F.col("season").cast("int"), F.col("result").cast("int"), F.array(*map(clipped_log, P)).alias("logs"))
+    first = rows.agg(F.min("season")).first()[0]
     start = np.array([1.0, 0.0, 0.0])
-    theta = {(k, r["_fold"]): start for r in rows.select("_fold").distinct().collect() for k in kinds}  # a row per fold
-    at = {"tau": 0, "b1": 1, "b2": 2}
-    moves = {"tau": [F.col(x) for x in logs], "b1": [F.lit(0.0), F.lit(1.0), F.lit(0.0)], "b2": [F.lit(0.0), F.lit(0.0), F.lit(1.0)]}
+    theta = {(k, f): start for f in folds if first is not None and f > first for k in kinds}
+    keys, at = list(theta), {"tau": 0, "b1": 1, "b2": 2}
     done: set[tuple] = set()
     safe: dict[tuple, tuple] = {}  # fits with halved steps: the loss that was met last, where, and the move from there
     for turn in range(4 * steps):
         if len(done) == len(theta):
             break
-        own = {f: [float(x) for k in kinds for x in theta[k, f]] for f in {f for _, f in theta}}
-        names = [f"_{k}{i}" for k in kinds for i in range(3)]
-        known = F.broadcast(rows.sparkSession.createDataFrame([(f, *x) for f, x in own.items()], ", ".join(["_fold int", *[f"{n} double" for n in names]])))
-        now, aggs = rows.join(known, "_fold"), []
-        for k in kinds:
-            z = [F.col(f"_{k}0") * F.col(x) + (F.col(f"_{k}{i}") if i else F.lit(0.0)) for i, x in enumerate(logs)]
-            now = now.withColumn(f"_q{k}", F.transform(F.array(*z), lambda x: F.exp(x - F.greatest(*z))))  # noqa: B023
-            total = F.col(f"_q{k}")[0] + F.col(f"_q{k}")[1] + F.col(f"_q{k}")[2]
-            q = [F.col(f"_q{k}")[i] / total for i in range(3)]
-            mean = {n: sum((q[i] * moves[n][i] for i in range(3)), F.lit(0.0)) for n in KINDS[k]}
-            aggs += [F.sum(F.log(total) + F.greatest(*z) - F.element_at(F.array(*z), F.col("result") + 1))]
-            aggs += [F.sum(mean[n] - F.element_at(F.array(*moves[n]), F.col("result") + 1)) for n in KINDS[k]]
-            aggs += [F.sum(sum((q[i] * moves[a][i] * moves[b][i] for i in range(3)), F.lit(0.0)) - mean[a] * mean[b]) for a in KINDS[k] for b in KINDS[k]]
-        for r in now.groupBy("_fold").agg(*aggs).collect():
-            got, i = list(r)[1:], 0
-            for k in kinds:
-                key, n = (k, r["_fold"]), len(KINDS[k])
-                loss, g, h = got[i], np.array(got[i + 1 : i + 1 + n]), np.array(got[i + 1 + n : i + 1 + n + n * n]).reshape(n, n)
-                i += 1 + n + n * n
-                if key in done:
-                    continue
-                old, mine = theta[key], [at[x] for x in KINDS[k]]
-                if key in safe:
-                    best, before, move = safe[key]
-                    if not loss <= best + 1e-13 * abs(best):
-                        if np.abs(move).max() < tolerance:
-                            theta[key] = before
-                            done.add(key)
-                            continue
-                        safe[key] = (best, before, move / 2)
-                        theta[key] = before + move / 2
-                        continue
-                    free = [j for j, x in enumerate(mine) if x or old[0] > 0 or g[j] < 0]
-                    move = np.zeros(3)
-                    if free:
-                        move[[mine[j] for j in free]] = -np.linalg.lstsq(h[np.ix_(free, free)], g[free])[0]
-                    move[0] = max(move[0], -old[0])
-                    if np.abs(move).max() < tolerance * max(1.0, np.abs(old).max()) or -move[mine] @ g <= 1e-15 * abs(loss):
+        open_ = [(i, *key, theta[key]) for i, key in enumerate(keys) if key not in done]
+        for i, flat in added(rows.mapInArrow(partial(_calibration_sums, open_), "model int, flat array<double>"), len(open_)).items():
+            key, n = keys[i], len(KINDS[keys[i][0]])
+            loss, g, h = flat[0], flat[1 : 1 + n], flat[1 + n :].reshape(n, n)
+            old, mine = theta[key], [at[x] for x in KINDS[key[0]]]
+            if key in safe:
+                best, before, move = safe[key]
+                if not loss <= best + 1e-13 * abs(best):
+                    if np.abs(move).max() < tolerance:
+                        theta[key] = before
                         done.add(key)
-                    safe[key] = (loss, old, move)
-                    theta[key] = old + move
-                    continue
-                try:
-                    new = old.copy()
-                    new[mine] -= np.linalg.solve(h + 1e-12 * np.eye(n), g)
-                    new[0] = max(0.0, new[0])
-                except np.linalg.LinAlgError:
-                    new = np.full(3, np.inf)
-                if turn >= steps or not np.abs(new).max() < 1e6:
-                    safe[key], theta[key] = (np.inf, start, np.zeros(3)), start
+                        continue
+                    safe[key] = (best, before, move / 2)
+                    theta[key] = before + move / 2
                     continue
-                theta[key] = new
-                if np.abs(new - old).max() < tolerance:
+                free = [j for j, x in enumerate(mine) if x or old[0] > 0 or g[j] < 0]
+                move = np.zeros(3)
+                if free:
+                    move[[mine[j] for j in free]] = -np.linalg.lstsq(h[np.ix_(free, free)], g[free])[0]
+                move[0] = max(move[0], -old[0])
+                if np.abs(move).max() < tolerance * max(1.0, np.abs(old).max()) or -move[mine] @ g <= 1e-15 * abs(loss):
                     done.add(key)
+                safe[key] = (loss, old, move)
+                theta[key] = old + move
+                continue
+            try:
+                new = old.copy()
+                new[mine] -= np.linalg.solve(h + 1e-12 * np.eye(n), g)
+                new[0] = max(0.0, new[0])
+            except np.linalg.LinAlgError:
+                new = np.full(3, np.inf)
+            if turn >= steps or not np.abs(new).max() < 1e6:
+                safe[key], theta[key] = (np.inf, start, np.zeros(3)), start
+                continue
+            theta[key] = new
+            if np.abs(new - old).max() < tolerance:
+                done.add(key)
     if len(done) < len(theta):
         raise ValueError("no convergence")
     return {k: tuple(map(float, x)) for k, x in theta.items()}

@@ -316,7 +316,7 @@ CANDIDATES = {"rating": Candidate(RATING), "form": Candidate(ALL[1:]), "all": Ca
 def candidates(v) -> DataFrame:
     rows = stored(feats(v).join(variants(v), ID), "candidates")
     got = stored(LO.rolling_logits(rows, CANDIDATES, folds(v)).select(ID, "season", "result", "candidate", *M.P), "out-of-fold")
-    base = got.where(F.col("candidate") == "rating").drop("candidate")
+    base = stored(got.where(F.col("candidate") == "rating").drop("candidate"), "base")  # calibrators pass over it many times
     every = got.unionByName(M.chained(base, folds(v)).withColumnRenamed("kind", "candidate"))
     return M.held_out_metrics(every, folds(v)[-1])
 

@@ -27,3 +27,24 @@ def test_calibrators_of_nearly_equal_forecasts_converge(spark):
                 near = np.array(theta)
                 near[i] = max(0.0, near[i] + by) if i == 0 else near[i] + by
                 assert loss(log, y, near) >= at - 1e-8
+
+
+def test_sums_of_all_kinds_and_folds_are_one_pass_over_arrays():
+    """A row isn't copied for each fold: the sums of a batch are those of the rows before each fold."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    log = np.log(rng.dirichlet([3, 2, 3], 300))
+    season, y = 2000 + np.arange(300) % 4, rng.integers(0, 3, 300)
+    batch = pa.RecordBatch.from_arrays([pa.array(season, pa.int32()), pa.array(y, pa.int32()), pa.array(list(log))], ["season", "result", "logs"])
+    models = [(i, k, f, np.array([0.8, 0.1, -0.2])) for i, (k, f) in enumerate((k, f) for k in M.KINDS for f in (2000, 2001, 2003))]
+    (got,) = M._calibration_sums(models, [batch.slice(0, 100), batch.slice(100)])
+    got = dict(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    assert set(got) == {i for i, _, f, _ in models if f > 2000}
+    for i, kind, fold, theta in models:
+        if i in got:
+            past, mine, step = season < fold, [{"tau": 0, "b1": 1, "b2": 2}[x] for x in M.KINDS[kind]], 1e-4 * np.eye(3)
+            at = lambda t: loss(log[past], y[past], t)  # noqa: B023, E731
+            g = [(at(theta + step[j]) - at(theta - step[j])) / 2e-4 for j in mine]
+            h = [(at(theta + step[a] + step[b]) - at(theta + step[a] - step[b]) - at(theta - step[a] + step[b]) + at(theta - step[a] - step[b])) / 4e-8 for a in mine for b in mine]
+            assert np.allclose(got[i], [at(theta), *g, *h], atol=1e-3)
