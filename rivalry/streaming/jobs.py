@@ -76,7 +76,7 @@ DAY_MS = 86_400_000
 #: Contests that a task holds before it writes them by date, and the most of them in a block.
 HELD, BLOCK = 500_000, 10_000
 #: Ratings that a task holds before it writes them, and rows that it holds before it sends them on.
-KNOWN, SENT = 200_000, 10_000
+KNOWN, SENT = 1_000_000, 10_000
 
 
 class RatedDays(StatefulProcessor):
@@ -158,7 +158,8 @@ class RatedDays(StatefulProcessor):
         now = {}
         for e in {e for r in rows for e in r[1:3]}:
             if e not in known:
-                known[e] = self.ratings.getValue((e,))[0] if self.ratings.containsKey((e,)) else START
+                held = self.ratings.getValue((e,))  # None where there is none
+                known[e] = held[0] if held else START
             now[e] = known[e]
         for cid, home, away, result in rows:
             r = {"home_rating": now[home], "away_rating": now[away], "k": self.k, "home_adv": self.home_adv, "result": result}
